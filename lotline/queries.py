@@ -1,4 +1,741 @@
-"""The engine's queries over the test tables, by name, with their SQL for DuckDB."""
+"""The engine's queries over the test tables, by name, with their SQL for DuckDB.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+"Now" is a fixed instant. Stores that the queries compare are whole views with rows left out by rule,
+because the test tables hold one store only.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lotline.functions import identity, nested, timekey
+from lotline.operators import compare, export, filters, merge, players, prices, scan
+from lotline.plans import memo
+from lotline.session import configure
+from lotline.sources import archive, tables
+from lotline.streaming import ingest
+
+AS_OF, CUTOFF = "2025-08-01 00:00:00", "2025-05-01 00:00:00"
+RECENT = "2024-06-27 00:00:00"  # 400 days before
+FIRST_DAY, LAST_DAY = "2025-07-01 00:00:00", "2025-08-01 00:00:00"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+BASE = """WITH bids AS (
+  SELECT l_orderkey AS auction_uid, l_suppkey AS bidder, CAST(round(l_extendedprice) AS BIGINT) AS amount, l_linenumber AS seq, l_shipdate + INTERVAL '24' YEAR AS ts FROM lineitem),
+top AS (SELECT auction_uid, max(amount) AS high, count(*) AS n FROM bids GROUP BY auction_uid),
+auctions AS (
+  SELECT o_orderkey AS auction_uid, md5(CAST(o_orderkey AS VARCHAR)) AS uuid,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'ENCHANTED_BOOK' WHEN '5-LOW' THEN 'unknown' ELSE o_orderpriority END AS tag, o_custkey AS seller,
+    (o_orderdate + INTERVAL '24' YEAR) + to_seconds((o_orderkey * 7919) % 86400) AS end_ts, (o_orderdate + INTERVAL '24' YEAR) - to_days(CAST(o_orderkey % 14 + 1 AS INT)) AS start_ts,
+    o_orderkey % 2 = 0 AS bin, o_orderstatus AS tier, coalesce(high, 0) AS highest_bid, coalesce(n, 0) AS bid_count, coalesce(high, 0) > 0 AS is_sold
+  FROM orders LEFT JOIN top ON top.auction_uid = o_orderkey),
+keyed AS (SELECT *, CAST((epoch_us(end_ts) - 1546300800000000) // (CASE WHEN tag IN ('ENCHANTED_BOOK', 'unknown') THEN 43200000000 ELSE 604800000000 END) AS SMALLINT) AS time_key FROM auctions),
+hot AS (SELECT * FROM keyed WHERE auction_uid % 13 <> 0),
+cold AS (SELECT * FROM keyed WHERE auction_uid % 17 <> 0),
+part AS (SELECT seller AS player, auction_uid, end_ts, tag, 0 AS type FROM auctions UNION ALL
+  SELECT DISTINCT b.bidder, a.auction_uid, a.end_ts, a.tag, 1 FROM bids b JOIN auctions a USING (auction_uid))
+"""
+
+
+def query(sql: str | None = None):
+    """Register a function of (auctions, bids) or of (spark, sf_dir) under its name."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLES[f.__name__] = BASE + sql
+        return f
+
+    return add
+
+
+def A(spark, d):
+    return tables.keyed(tables.auctions(spark, d))
+
+
+def B(spark, d):
+    return tables.bids(spark, d)
+
+
+def hot(spark, d):
+    return A(spark, d).where("auction_uid % 13 <> 0")
+
+
+def cold(spark, d):
+    return A(spark, d).where("auction_uid % 17 <> 0")
+
+
+def parts(spark, d):
+    return players.participations(tables.auctions(spark, d), B(spark, d))
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster shares, or a temporary one of a local session."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        top = "file://" + tempfile.mkdtemp(prefix="lotline-")
+        spark.sparkContext.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+# --- scans and lookups
+
+
+@query("SELECT auction_uid, end_ts, highest_bid FROM keyed WHERE tag = '3-MEDIUM' AND time_key = 300 AND is_sold")
+def scan_hot_partition(spark, d):
+    return A(spark, d).where("tag = '3-MEDIUM' and time_key = 300 and is_sold").select("auction_uid", "end_ts", "highest_bid")
+
+
+@query("SELECT auction_uid, uuid, tag, seller, end_ts, highest_bid FROM auctions WHERE auction_uid = 7")
+def auction_by_uid(spark, d):
+    return A(spark, d).where("auction_uid = 7").select("auction_uid", "uuid", "tag", "seller", "end_ts", "highest_bid")
+
+
+@query(f"SELECT auction_uid, tag, end_ts, highest_bid FROM auctions WHERE seller = 7 AND end_ts <= TIMESTAMP '{AS_OF}' ORDER BY end_ts DESC, auction_uid DESC LIMIT 10")
+def player_recent(spark, d):
+    return scan.newest(A(spark, d).where((F.col("seller") == 7) & (F.col("end_ts") <= scan.ntz(AS_OF))), 10).select("auction_uid", "tag", "end_ts", "highest_bid")
+
+
+@query("SELECT auction_uid, (auction_uid * 31) % 1000 AS item_uid, tag FROM auctions WHERE (auction_uid * 31) % 1000 = 42")
+def by_item_uid(spark, d):
+    uid = identity.item_uid(F.hex((F.col("auction_uid") * 31) % 1000))
+    return A(spark, d).select("auction_uid", uid.alias("item_uid"), "tag").where("item_uid = 42")
+
+
+@query("SELECT DISTINCT tag, time_key FROM keyed")
+def list_partitions(spark, d):
+    return tables.keyed(tables.auctions(spark, d)).select("tag", "time_key").distinct()
+
+
+@query("SELECT bidder, auction_uid, amount, seq, ts FROM bids WHERE bidder = 7")
+def bids_by_bidder(spark, d):
+    return B(spark, d).where("bidder = 7").select("bidder", "auction_uid", "amount", "seq", "ts")
+
+
+@query("""SELECT a.auction_uid, count(b.amount) AS n_bids, coalesce(string_agg(b.amount || ':' || b.bidder || ':' || b.seq, ',' ORDER BY b.amount, b.bidder, b.seq), '') AS bid_list
+FROM auctions a LEFT JOIN bids b USING (auction_uid) GROUP BY a.auction_uid""")
+def auction_with_children(spark, d):
+    rows = tables.with_bids(tables.auctions(spark, d).select("auction_uid"), B(spark, d))
+    text = F.array_join(F.transform("bids", lambda b: F.concat_ws(":", b["amount"].cast("string"), b["bidder"].cast("string"), b["seq"].cast("string"))), ",")
+    return rows.select("auction_uid", F.size("bids").cast("long").alias("n_bids"), text.alias("bid_list"))
+
+
+@query("SELECT auction_uid, tag FROM auctions WHERE auction_uid > 100 ORDER BY auction_uid LIMIT 2000")
+def keyset_page(spark, d):
+    return scan.page(A(spark, d), 100, 2000).select("auction_uid", "tag")
+
+
+@query("SELECT auction_uid, tag FROM auctions WHERE auction_uid >= 500 AND auction_uid < 3000")
+def id_window(spark, d):
+    return A(spark, d).where("auction_uid >= 500 and auction_uid < 3000").select("auction_uid", "tag")
+
+
+@query("SELECT min(auction_uid) AS first_id FROM auctions WHERE end_ts >= TIMESTAMP '2024-01-01'")
+def first_id_after(spark, d):
+    return A(spark, d).where(F.col("end_ts") >= scan.ntz("2024-01-01")).agg(F.min("auction_uid").alias("first_id"))
+
+
+@query(f"SELECT auction_uid, uuid, tag, strftime(end_ts, '%Y-%m') AS month, end_ts, highest_bid FROM cold WHERE end_ts < TIMESTAMP '{CUTOFF}' AND tag = '2-HIGH'")
+def archive_read(spark, d):
+    path = folder(spark)
+    archive.write(cold(spark, d).where(F.col("end_ts") < scan.ntz(CUTOFF)).select("auction_uid", "uuid", "tag", "end_ts", "highest_bid"), path, as_json=True)
+    rows = archive.read(spark, path, "auction_uid long, uuid string, end_ts timestamp_ntz, highest_bid long, tag string, month string", as_json=True)
+    return rows.where("tag = '2-HIGH'").select("auction_uid", "uuid", "tag", "month", "end_ts", "highest_bid")
+
+
+@query("SELECT DISTINCT 'auctions/' || tag || '/' || strftime(end_ts, '%Y-%m') || '.json.gz' AS key, tag, strftime(end_ts, '%Y-%m') AS month FROM auctions")
+def blob_key_parse(spark, d):
+    keys = A(spark, d).select(identity.archive_key(F.col("tag"), timekey.month(F.col("end_ts"))).alias("key")).distinct()
+    tag, month = identity.archive_key_parts(F.col("key"))
+    return keys.select("key", tag.alias("tag"), month.alias("month"))
+
+
+@query("SELECT DISTINCT strftime(end_ts, '%Y-%m') AS month FROM auctions WHERE tag = '2-HIGH' ORDER BY month")
+def available_months(spark, d):
+    return A(spark, d).where("tag = '2-HIGH'").select(timekey.month(F.col("end_ts")).alias("month")).distinct().orderBy("month")
+
+
+@query("SELECT auction_uid, end_ts, tag, type FROM part WHERE player = 7 AND year(end_ts) = 2024")
+def participation_year(spark, d):
+    return parts(spark, d).where((F.col("player") == 7) & (F.year("end_ts") == 2024)).select("auction_uid", "end_ts", "tag", "type")
+
+
+@query("SELECT auction_uid, tag, end_ts FROM auctions WHERE tag = 'unknown' AND end_ts > TIMESTAMP '2024-01-01' AND end_ts <= TIMESTAMP '2024-03-01'")
+def time_range_scan(spark, d):
+    return scan.in_range(A(spark, d), "2024-01-01 00:00:00", "2024-03-01 00:00:00", "unknown").select("auction_uid", "tag", "end_ts")
+
+
+@query(f"""SELECT auction_uid, tag, end_ts, origin FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY CAST((origin = 'hot') = (end_ts > TIMESTAMP '{CUTOFF}') AS INT) DESC, origin) AS r
+FROM (SELECT *, 'hot' AS origin FROM hot UNION ALL SELECT *, 'cold' FROM cold)) WHERE r = 1""")
+def tiered_scan(spark, d):
+    return scan.tiers(hot(spark, d), cold(spark, d), CUTOFF).select("auction_uid", "tag", "end_ts", "origin")
+
+
+# --- sinks and merges
+
+
+@query("""SELECT auction_uid, seller, highest_bid + CASE WHEN auction_uid % 3 = 0 THEN 1 ELSE 0 END AS highest_bid, CASE WHEN auction_uid % 13 = 0 THEN 'insert' ELSE 'update' END AS action
+FROM keyed WHERE auction_uid % 13 = 0 OR auction_uid % 3 = 0""")
+def upsert_changed_only(spark, d):
+    new = A(spark, d).withColumn("highest_bid", F.col("highest_bid") + F.when(F.col("auction_uid") % 3 == 0, 1).otherwise(0)).where(~filters.junk())
+    key = ["tag", "time_key", "is_sold", "end_ts", "auction_uid"]
+    sold = F.coalesce((F.col("highest_bid") > 0) & (F.col("auction_uid") % 3 != 0), F.lit(False)) | ((F.col("auction_uid") % 3 == 0) & (F.col("highest_bid") > 1))
+    return merge.upsert_changed(hot(spark, d), new.withColumn("is_sold", sold), key, ["seller", "highest_bid"]).select("auction_uid", "seller", "highest_bid", "action")
+
+
+@query("""SELECT auction_uid, highest_bid, write_ts FROM (SELECT *, row_number() OVER (PARTITION BY auction_uid ORDER BY write_ts DESC, highest_bid DESC) AS r FROM (
+  SELECT auction_uid, 0 AS highest_bid, start_ts AS write_ts FROM auctions UNION ALL SELECT a.auction_uid, a.highest_bid, w.ts FROM auctions a JOIN (SELECT auction_uid, max(ts) AS ts FROM bids GROUP BY 1) w USING (auction_uid))) WHERE r = 1""")
+def upsert_lww(spark, d):
+    rows = tables.auctions(spark, d).select("auction_uid", "highest_bid", "start_ts")
+    first = rows.select("auction_uid", F.lit(0).cast("long").alias("highest_bid"), F.col("start_ts").alias("write_ts"))
+    last = rows.join(B(spark, d).groupBy("auction_uid").agg(F.max("ts").alias("write_ts")), "auction_uid").select("auction_uid", "highest_bid", "write_ts")
+    return merge.last_write(first.unionByName(last), ["auction_uid"])
+
+
+@query("SELECT bidder, ts, amount, auction_uid, seq FROM (SELECT *, row_number() OVER (PARTITION BY bidder, ts ORDER BY amount DESC, auction_uid DESC, seq DESC) AS r FROM bids) WHERE r = 1")
+def bids_dedup(spark, d):
+    return players.last_bids(B(spark, d)).select("bidder", "ts", "amount", "auction_uid", "seq")
+
+
+@query("""SELECT uuid, tag, highest_bid, v FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY highest_bid DESC, v DESC) AS r FROM (
+  SELECT uuid, tag, highest_bid, 0 AS v FROM hot UNION ALL SELECT uuid, tag, CASE WHEN auction_uid % 5 = 0 THEN highest_bid - 1 ELSE highest_bid END, 1 FROM cold)) WHERE r = 1""")
+def archive_merge(spark, d):
+    old = hot(spark, d).select("uuid", "tag", "highest_bid", F.lit(0).alias("v"))
+    new = cold(spark, d).select(F.upper("uuid").alias("uuid"), "tag", F.when(F.col("auction_uid") % 5 == 0, F.col("highest_bid") - 1).otherwise(F.col("highest_bid")).alias("highest_bid"), F.lit(1).alias("v"))
+    return merge.archive(old, new)
+
+
+@query("SELECT player, auction_uid, type, max(end_ts) AS end_ts FROM part GROUP BY player, auction_uid, type")
+def participation_merge(spark, d):
+    all_ = parts(spark, d)
+    return merge.participations(all_.where("auction_uid % 13 <> 0"), all_.where("auction_uid % 17 <> 0")).unionByName(all_.where("auction_uid % 13 = 0 and auction_uid % 17 = 0")).select("player", "auction_uid", "type", "end_ts")
+
+
+@query("""SELECT uuid AS "Uuid", tag AS "Tag", strftime(end_ts, '%Y-%m-%dT%H:%M:%S.%f') || '0Z' AS "End", CAST(highest_bid AS VARCHAR) AS "HighestBidAmount", CASE WHEN bin THEN 'True' ELSE 'False' END AS "Bin"
+FROM auctions WHERE tag = '4-NOT SPECIFIED' AND end_ts > TIMESTAMP '2024-01-01' AND end_ts <= TIMESTAMP '2025-01-01'""")
+def export_rows(spark, d):
+    rows = scan.in_range(tables.auctions(spark, d), "2024-01-01 00:00:00", "2025-01-01 00:00:00", "4-NOT SPECIFIED")
+    return export.selected(rows, ["Uuid", "Tag", "End", "HighestBidAmount", "Bin"])
+
+
+@query("""SELECT c_custkey, CASE WHEN regexp_matches(t, '[",\\r\\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS field
+FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name || ',x' WHEN 1 THEN 'q"' || c_name WHEN 2 THEN c_name || chr(10) ELSE c_name END AS t FROM customer)""")
+def csv_escape(spark, d):
+    k, n = F.col("c_custkey") % 4, F.col("c_name")
+    text = F.when(k == 0, F.concat(n, F.lit(",x"))).when(k == 1, F.concat(F.lit('q"'), n)).when(k == 2, F.concat(n, F.lit("\n"))).otherwise(n)
+    return tables.table(spark, d, "customer").select("c_custkey", identity.csv_field(text).alias("field"))
+
+
+@query("""SELECT a.uuid, count(*) AS n_versions, max(a.highest_bid) AS highest_bid FROM (SELECT * FROM hot UNION ALL SELECT * FROM cold) a WHERE seller = 7 GROUP BY uuid""")
+def restore_player(spark, d):
+    both = hot(spark, d).withColumn("version", F.lit(0)).unionByName(cold(spark, d).withColumn("version", F.lit(1))).where("seller = 7")
+    folded = merge.combine_versions(versions(both, B(spark, d)))
+    return folded.select("uuid", "n_versions", "highest_bid")
+
+
+def versions(rows: DataFrame, bids: DataFrame) -> DataFrame:
+    """Versions as the fold reads them; the first lacks a start, a starting bid and every other bid."""
+    first = F.col("version") == 0
+    out = tables.with_bids(rows, bids)
+    return out.select(
+        "uuid", "auction_uid", "seller", "tag", "version", F.when(~(first & (F.col("auction_uid") % 2 == 0)), F.col("start_ts")).alias("start_ts"), F.when(first, 0).otherwise(F.col("auction_uid") % 100).cast("long").alias("starting_bid"),
+        F.when(first, "UNKNOWN").otherwise(F.concat(F.lit("C"), (F.col("auction_uid") % 5).cast("string"))).alias("category"), F.when(first, F.col("seller")).otherwise(F.col("seller") + 1).alias("profile"), "highest_bid", "bids",
+    )
+
+
+@query("""SELECT auction_uid, tag, time_key FROM keyed WHERE NOT (tag = '3-MEDIUM' AND time_key = 300 AND is_sold AND end_ts > TIMESTAMP '2024-10-01' AND end_ts <= TIMESTAMP '2024-10-04')""")
+def range_delete_keep(spark, d):
+    return merge.without_range(A(spark, d), "3-MEDIUM", 300, True, "2024-10-01 00:00:00", "2024-10-04 00:00:00").select("auction_uid", "tag", "time_key")
+
+
+@query("SELECT uuid AS key, '{\"uuid\":\"' || uuid || '\",\"highest_bid\":' || highest_bid || ',\"id\":' || auction_uid || '}' AS value FROM hot JOIN (SELECT uuid FROM cold) c USING (uuid)")
+def delete_events(spark, d):
+    rows = compare.verified(hot(spark, d), cold(spark, d), "uuid", ["seller", "highest_bid"]).where("same")
+    return rows.select(F.col("uuid").alias("key"), F.to_json(F.struct("uuid", "highest_bid", F.col("auction_uid").alias("id"))).alias("value"))
+
+
+@query("SELECT DISTINCT tag, time_key FROM keyed WHERE time_key % 2 <> 0 ORDER BY time_key, tag")
+def backfill_remaining(spark, d):
+    all_ = A(spark, d).select("tag", "time_key").distinct()
+    return all_.join(all_.where("time_key % 2 = 0"), ["tag", "time_key"], "left_anti").orderBy("time_key", "tag")
+
+
+# --- projections
+
+
+@query(f"""SELECT auction_uid, uuid, coalesce(tag, 'unknown') AS tag, time_key, highest_bid > 0 AND end_ts <= TIMESTAMP '{AS_OF}' AS is_sold, b.bidder AS highest_bidder, lower(lpad(hex(auction_uid), 12, '0')) AS item_hex
+FROM keyed LEFT JOIN (SELECT auction_uid, bidder FROM (SELECT *, row_number() OVER (PARTITION BY auction_uid ORDER BY amount DESC, seq, bidder) AS r FROM bids) WHERE r = 1) b USING (auction_uid)""")
+def normalize_auction(spark, d):
+    rows = A(spark, d).join(players.top_bidders(B(spark, d)).withColumnRenamed("bidder", "highest_bidder"), "auction_uid", "left")
+    sold = (F.col("highest_bid") > 0) & (F.col("end_ts") <= scan.ntz(AS_OF))
+    short = F.right(identity.item_guid(F.lit(None).cast("string"), F.hex("auction_uid")), F.lit(12))
+    return rows.select("auction_uid", identity.normal_uuid(F.concat(F.lit(" "), F.upper("uuid"))).alias("uuid"), F.coalesce("tag", F.lit("unknown")).alias("tag"), "time_key", sold.alias("is_sold"), "highest_bidder", short.alias("item_hex"))
+
+
+def attributes() -> dict:
+    """Attributes and enchantments made up from the id."""
+    k = F.col("auction_uid")
+    nbt = F.when(k % 5 == 0, F.create_map(F.lit("modifier"), F.lit("own"))).otherwise(F.create_map(F.lit("upgrade_level"), (k % 6).cast("string")))
+    return {"nbt": nbt, "anvil_uses": (k % 4).cast("smallint"), "reforge": F.when(k % 3 == 0, "None").otherwise("Sharp")}
+
+
+@query("""SELECT auction_uid, array_to_string(list_sort(list_filter([CASE WHEN auction_uid % 4 > 0 THEN 'anvil_uses=' || auction_uid % 4 END,
+  CASE WHEN auction_uid % 5 = 0 THEN 'modifier=own' WHEN auction_uid % 3 <> 0 THEN 'modifier=sharp' END, CASE WHEN auction_uid % 5 <> 0 THEN 'upgrade_level=' || auction_uid % 6 END], x -> x IS NOT NULL)), ';') AS nbt FROM auctions""")
+def nbt_enrich(spark, d):
+    a = attributes()
+    return tables.auctions(spark, d).select("auction_uid", nested.map_text(nested.enrich_nbt(a["nbt"], a["anvil_uses"], a["reforge"])).alias("nbt"))
+
+
+@query(f"SELECT tag, highest_bid > 0 AND end_ts <= TIMESTAMP '{AS_OF}' AS is_sold, count(*) AS n FROM auctions GROUP BY ALL")
+def is_sold(spark, d):
+    return tables.auctions(spark, d).groupBy("tag", ((F.col("highest_bid") > 0) & (F.col("end_ts") <= scan.ntz(AS_OF))).alias("is_sold")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT auction_uid, amount, bidder FROM (SELECT *, row_number() OVER (PARTITION BY auction_uid ORDER BY amount DESC, seq, bidder) AS r FROM bids) WHERE r = 1")
+def highest_bidder(spark, d):
+    return players.top_bidders(B(spark, d))
+
+
+@query("SELECT auction_uid, auction_uid AS item_uid, CASE WHEN auction_uid % 2 = 0 THEN uuid ELSE lpad('', 20, '0') || lower(lpad(hex(auction_uid), 12, '0')) END AS item_id FROM auctions")
+def item_identity(spark, d):
+    h = F.hex("auction_uid")
+    own = F.when(F.col("auction_uid") % 2 == 0, F.concat_ws("-", F.substring("uuid", 1, 8), F.substring("uuid", 9, 24)))
+    return tables.auctions(spark, d).select("auction_uid", identity.item_uid(h).alias("item_uid"), identity.item_guid(own, h).alias("item_id"))
+
+
+@query("SELECT auction_uid, CASE WHEN auction_uid % 2 = 0 THEN 'sharpness=' || auction_uid % 7 || ';unknown=1;unknown#2=' || auction_uid % 3 ELSE 'sharpness=' || auction_uid % 7 || ';unknown=1' END AS enchantments FROM auctions")
+def enchant_map(spark, d):
+    k = F.col("auction_uid")
+    e = lambda t, v: F.struct(F.lit(t).alias("type"), v.cast("int").alias("level"))
+    both = F.array(e("sharpness", k % 7), e("unknown", F.lit(1)))
+    list_ = F.when(k % 2 == 0, F.concat(both, F.array(e("unknown", k % 3)))).otherwise(both)
+    return tables.auctions(spark, d).select("auction_uid", nested.map_text(nested.enchantment_map(list_)).alias("enchantments"))
+
+
+@query("""SELECT auction_uid, CASE auction_uid % 3 WHEN 0 THEN 'DIVINE' WHEN 1 THEN 'EPIC' ELSE 'UNKNOWN' END AS tier, CASE WHEN auction_uid % 5 = 0 THEN 'own' WHEN auction_uid % 3 <> 0 THEN 'sharp' END AS reforge, CAST(auction_uid % 4 AS INT) AS anvil_uses FROM auctions""")
+def denormalize_auction(spark, d):
+    a, k = attributes(), F.col("auction_uid")
+    nbt = nested.enrich_nbt(a["nbt"], a["anvil_uses"], a["reforge"])
+    tier = F.when(k % 3 == 0, "SUPREME").when(k % 3 == 1, "epic").otherwise("???")
+    return tables.auctions(spark, d).select("auction_uid", identity.normal_tier(tier).alias("tier"), F.element_at(nbt, "modifier").alias("reforge"), F.coalesce(F.element_at(nbt, "anvil_uses").cast("int"), F.lit(0)).alias("anvil_uses"))
+
+
+@query("""SELECT auction_uid, bidder, seq, amount, CASE WHEN seq % 3 = 0 THEN lpad('1', 32, '0') WHEN seq % 3 = 1 THEN CAST(bidder AS VARCHAR) ELSE 'p' || bidder END AS profile FROM bids""")
+def bid_normalize(spark, d):
+    profile = F.when(F.col("seq") % 3 == 0, "unknown").when(F.col("seq") % 3 == 2, F.concat(F.lit("p"), F.col("bidder").cast("string")))
+    return B(spark, d).select("auction_uid", "bidder", "seq", "amount", identity.bid_profile(profile, F.col("bidder").cast("string")).alias("profile"))
+
+
+@query("SELECT auction_uid, tag, time_key FROM keyed")
+def rekey(spark, d):
+    return tables.keyed(tables.auctions(spark, d).withColumn("time_key", F.lit(0))).select("auction_uid", "tag", "time_key")
+
+
+@query("SELECT type, tag, count(*) AS n, count(DISTINCT player) AS n_players FROM part GROUP BY type, tag")
+def participation_build(spark, d):
+    return parts(spark, d).groupBy("type", "tag").agg(F.count("*").alias("n"), F.countDistinct("player").alias("n_players"))
+
+
+# --- filters
+
+
+@query("SELECT auction_uid, tag, highest_bid FROM auctions WHERE bin AND tier = 'F' AND highest_bid >= 50000 AND end_ts > TIMESTAMP '2023-01-01'")
+def filter_expr(spark, d):
+    return tables.auctions(spark, d).where(filters.compiled({"Bin": "true", "Tier": "F", "MinPrice": "50000", "EndAfter": "1672531200"})).select("auction_uid", "tag", "highest_bid")
+
+
+@query("SELECT auction_uid FROM auctions WHERE bin")
+def filter_bin(spark, d):
+    return tables.auctions(spark, d).where(filters.compiled({"Bin": "true"})).select("auction_uid")
+
+
+@query("SELECT auction_uid FROM auctions WHERE seller = 11")
+def filter_seller(spark, d):
+    return tables.auctions(spark, d).where(filters.compiled({"Seller": "11"})).select("auction_uid")
+
+
+def with_attributes(spark, d):
+    a, k = attributes(), F.col("auction_uid")
+    nbt = nested.enrich_nbt(a["nbt"], a["anvil_uses"], a["reforge"])
+    enchantments = F.when(k % 2 == 0, F.create_map(F.lit("sharpness"), (k % 7).cast("int")))
+    return tables.auctions(spark, d).select("*", nbt.alias("nbt"), enchantments.alias("enchantments"))
+
+
+@query("SELECT auction_uid FROM auctions WHERE auction_uid % 5 <> 0 AND auction_uid % 3 <> 0")
+def filter_reforge(spark, d):
+    return with_attributes(spark, d).where(filters.compiled({"Reforge": "Sharp"})).select("auction_uid")
+
+
+@query("SELECT auction_uid FROM auctions WHERE auction_uid % 5 <> 0 AND auction_uid % 6 = 5")
+def filter_stars(spark, d):
+    return with_attributes(spark, d).where(filters.compiled({"Stars": "5"})).select("auction_uid")
+
+
+@query("SELECT auction_uid FROM auctions WHERE auction_uid % 2 = 0")
+def filter_enchantment(spark, d):
+    return with_attributes(spark, d).where(filters.compiled({"Enchantment": "Sharpness"})).select("auction_uid")
+
+
+@query("SELECT p_partkey, CAST(CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 1.5 END AS DOUBLE) AS days FROM part")
+def summary_days(spark, d):
+    k = F.col("p_partkey") % 5
+    text = F.when(k == 0, "9").when(k == 1, "-1").when(k == 2, "x").when(k == 4, "1.5")
+    return tables.table(spark, d, "part").select("p_partkey", identity.summary_days_column(text).alias("days"))
+
+
+@query("SELECT auction_uid, seller FROM auctions a WHERE seller IN (7, 12) OR EXISTS (SELECT 1 FROM bids b WHERE b.auction_uid = a.auction_uid AND b.bidder IN (7, 12))")
+def export_user_filter(spark, d):
+    return tables.with_bids(tables.auctions(spark, d), B(spark, d)).where(filters.of_users([" 7", "12 "])).select("auction_uid", "seller")
+
+
+@query("SELECT player, auction_uid FROM part WHERE type = 1 AND tag = '2-HIGH'")
+def participation_filter(spark, d):
+    return parts(spark, d).where("type = 1 and tag = '2-HIGH'").select("player", "auction_uid")
+
+
+@query("SELECT auction_uid, seller = 7 AS sells, EXISTS (SELECT 1 FROM bids b WHERE b.auction_uid = a.auction_uid AND b.bidder = 7) AS bids FROM auctions a WHERE seller = 7 OR EXISTS (SELECT 1 FROM bids b WHERE b.auction_uid = a.auction_uid AND b.bidder = 7)")
+def player_side(spark, d):
+    mine = parts(spark, d).where("player = 7").groupBy("auction_uid")
+    return mine.agg(F.max(F.col("type") == 0).alias("sells"), F.max(F.col("type") == 1).alias("bids"))
+
+
+@query("SELECT auction_uid FROM auctions WHERE auction_uid % 100 = 0 AND highest_bid = 0")
+def junk_rows(spark, d):
+    lost = F.col("auction_uid") % 100 == 0
+    rows = tables.auctions(spark, d).withColumn("seller", F.when(~lost, F.col("seller"))).withColumn("tag", F.when(~lost, F.col("tag")))
+    return rows.where(filters.junk()).select("auction_uid")
+
+
+@query("SELECT auction_uid, tag FROM auctions WHERE auction_uid IN (SELECT DISTINCT auction_uid FROM bids WHERE amount > 90000)")
+def fetch_by_ids(spark, d):
+    ids = B(spark, d).where("amount > 90000").select("auction_uid").distinct()
+    return tables.auctions(spark, d).join(ids, "auction_uid", "left_semi").select("auction_uid", "tag")
+
+
+@query("SELECT h.uuid, c.uuid IS NOT NULL AS may_exist FROM hot h LEFT JOIN cold c USING (uuid)")
+def may_exist(spark, d):
+    have = cold(spark, d).select("uuid", F.lit(True).alias("_in"))
+    return hot(spark, d).select("uuid").join(have, "uuid", "left").select("uuid", F.col("_in").isNotNull().alias("may_exist"))
+
+
+# --- joins and comparisons
+
+
+@query("""SELECT h.auction_uid, c.start_ts, c.bin FROM (SELECT * FROM hot WHERE is_sold) h LEFT JOIN (SELECT * FROM cold WHERE auction_uid % 4 <> 0) c
+ON c.uuid = h.uuid AND c.tag = h.tag AND c.end_ts + to_days(CAST(c.auction_uid % 20 AS INT)) < h.end_ts + INTERVAL '14' DAY AND c.end_ts + to_days(CAST(c.auction_uid % 20 AS INT)) > h.end_ts - INTERVAL '14' DAY""")
+def retrofit_join(spark, d):
+    sold = hot(spark, d).where("is_sold").select("auction_uid", "uuid", "tag", "end_ts", F.lit(None).cast("timestamp_ntz").alias("start_ts"), F.lit(None).cast("long").alias("starting_bid"), F.lit(None).cast("boolean").alias("bin"))
+    unsold = cold(spark, d).where("auction_uid % 4 <> 0").withColumn("end_ts", F.col("end_ts") + F.make_dt_interval((F.col("auction_uid") % 20).cast("int"))).withColumn("starting_bid", F.lit(1).cast("long"))
+    return merge.retrofit(sold, unsold).select("auction_uid", "start_ts", "bin")
+
+
+@query("SELECT auction_uid, (auction_uid % 5 <> 0) AS same FROM hot JOIN (SELECT uuid FROM cold) c USING (uuid)")
+def verify_match(spark, d):
+    kept = cold(spark, d).withColumn("highest_bid", F.col("highest_bid") + F.when(F.col("auction_uid") % 5 == 0, 1).otherwise(0))
+    return compare.verified(hot(spark, d), kept, "uuid", ["seller", "highest_bid", "bid_count", "end_ts"]).select("auction_uid", "same")
+
+
+@query("SELECT auction_uid FROM hot WHERE uuid NOT IN (SELECT uuid FROM cold)")
+def verify_miss(spark, d):
+    return compare.missing(hot(spark, d), cold(spark, d), "uuid").select("auction_uid")
+
+
+@query("""SELECT tag, count(*) FILTER (h IS NOT NULL AND c IS NOT NULL) AS matches, count(*) FILTER (c IS NULL) AS left_only, count(*) FILTER (h IS NULL) AS right_only
+FROM (SELECT uuid, tag, 1 AS h FROM hot) FULL JOIN (SELECT uuid, tag, 1 AS c FROM cold) USING (uuid, tag) GROUP BY tag""")
+def shadow_compare(spark, d):
+    return compare.shadow(hot(spark, d), cold(spark, d), "uuid", ["tag"])
+
+
+@query("""SELECT auction_uid, tag, end_ts FROM auctions WHERE auction_uid IN (SELECT auction_uid FROM (SELECT * FROM part WHERE player = 7 AND year(end_ts) = 2024 ORDER BY end_ts DESC, auction_uid, type LIMIT 50))""")
+def player_auctions(spark, d):
+    return players.auctions_of(parts(spark, d), tables.auctions(spark, d), 7, 2024, 50).select("auction_uid", "tag", "end_ts")
+
+
+@query(f"""SELECT e.end_ts, e.highest_bid AS price, coalesce(c_name, CAST(e.seller AS VARCHAR)) AS player, e.auction_uid FROM (
+  SELECT * FROM (SELECT *, end_ts > TIMESTAMP '{AS_OF}' - INTERVAL '1' HOUR AS h FROM auctions WHERE end_ts <= TIMESTAMP '{AS_OF}' AND end_ts > TIMESTAMP '{AS_OF}' - INTERVAL '13' DAY - INTERVAL '1' HOUR ORDER BY end_ts DESC, auction_uid DESC LIMIT 12)
+  QUALIFY h OR count(*) FILTER (h) OVER () < 12) e LEFT JOIN customer ON c_custkey = e.seller""")
+def recent_overview(spark, d):
+    top = scan.overview(tables.auctions(spark, d), AS_OF)
+    names = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("seller"), "c_name")
+    return F.broadcast(top).join(names, "seller", "left").select("end_ts", F.col("highest_bid").alias("price"), F.coalesce("c_name", F.col("seller").cast("string")).alias("player"), "auction_uid")
+
+
+@query(f"""SELECT t.tag, g.day FROM (SELECT DISTINCT tag FROM auctions) t, (SELECT unnest(generate_series(TIMESTAMP '{FIRST_DAY}', TIMESTAMP '{LAST_DAY}', INTERVAL 1 DAY)) AS day) g
+WHERE (t.tag, g.day) NOT IN (SELECT tag, date_trunc('day', end_ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 DAY FROM auctions WHERE is_sold)""")
+def missing_days(spark, d):
+    rows = tables.auctions(spark, d)
+    stored = rows.where("is_sold").select("tag", prices.closing_day(F.col("end_ts")).alias("day")).distinct()
+    return prices.days(rows, FIRST_DAY, LAST_DAY).join(stored, ["tag", "day"], "left_anti")
+
+
+@query("""SELECT tag, count(w) AS expected, CAST(sum(coalesce(n, 0)) AS BIGINT) AS archived, count(*) FILTER (n IS NULL) AS missing, CAST(sum(CASE WHEN w IS NULL THEN n ELSE greatest(coalesce(n, 0) - 1, 0) END) AS BIGINT) AS extra
+FROM (SELECT uuid, tag, 1 AS w FROM hot) FULL JOIN (SELECT uuid, tag, count(*) AS n FROM (SELECT * FROM cold UNION ALL SELECT * FROM cold WHERE auction_uid % 11 = 0) GROUP BY ALL) USING (uuid, tag) GROUP BY tag""")
+def archive_coverage(spark, d):
+    kept = cold(spark, d)
+    return compare.coverage(hot(spark, d), kept.unionByName(kept.where("auction_uid % 11 = 0")), "uuid", ["tag"])
+
+
+@query("SELECT tag, time_key, count(*) AS missing FROM hot WHERE uuid NOT IN (SELECT uuid FROM cold) GROUP BY ALL")
+def gap_by_partition(spark, d):
+    return compare.gaps(hot(spark, d), cold(spark, d), "uuid", ["tag", "time_key"])
+
+
+@query("SELECT strftime(end_ts, '%Y-%m') AS month, count(*) AS missing FROM hot WHERE uuid NOT IN (SELECT uuid FROM cold) GROUP BY ALL ORDER BY missing DESC, month LIMIT 6")
+def gap_by_month(spark, d):
+    rows = hot(spark, d).withColumn("month", timekey.month(F.col("end_ts")))
+    return compare.gaps(rows, cold(spark, d), "uuid", ["month"]).orderBy(F.col("missing").desc(), "month").limit(6)
+
+
+@query("SELECT auction_uid, auction_uid % 5 = 0 AS differs FROM (SELECT auction_uid FROM auctions)")
+def canonical_diff(spark, d):
+    rows = tables.with_bids(tables.auctions(spark, d), B(spark, d))
+    other = rows.select("uuid", F.reverse("bids").alias("_bids"), (F.col("highest_bid") + F.when(F.col("auction_uid") % 5 == 0, 1).otherwise(0)).alias("_high"))
+    canonical = lambda b, h: F.sha2(F.to_json(F.struct(F.array_sort(b).alias("bids"), h.alias("high"))), 256)
+    return rows.join(other, "uuid").select("auction_uid", (canonical(F.col("bids"), F.col("highest_bid")) != canonical(F.col("_bids"), F.col("_high"))).alias("differs"))
+
+
+# --- aggregation
+
+_SUMMARY = """r AS (SELECT {by}, highest_bid p, row_number() OVER (PARTITION BY {by} ORDER BY highest_bid, auction_uid) rn, count(*) OVER (PARTITION BY {by}) n FROM w),
+m AS (SELECT {by}, highest_bid p, row_number() OVER (PARTITION BY {by} ORDER BY count(*) DESC, max(end_ts) DESC, highest_bid) mr FROM w GROUP BY {by}, highest_bid),
+s AS (SELECT {by}, max(r.p) AS max, min(r.p) AS min, round(avg(r.p), 4) AS mean, max(CASE WHEN r.rn = (r.n // 2) + 1 THEN r.p END) AS med, max(CASE WHEN m.mr = 1 THEN r.p END) AS mode, CAST(count(*) AS DOUBLE) AS volume FROM r JOIN m USING ({by}, p) GROUP BY {by})"""
+
+
+@query(f", w AS (SELECT * FROM auctions WHERE is_sold AND end_ts > TIMESTAMP '{RECENT}' AND end_ts < TIMESTAMP '{AS_OF}'), " + _SUMMARY.format(by="tag") + " SELECT * FROM s")
+def price_summary(spark, d):
+    return prices.summary(prices.in_window(tables.auctions(spark, d), RECENT, AS_OF), ["tag"]).withColumn("mean", F.round("mean", 4))
+
+
+_HISTORY = f""", w AS (SELECT *, date_trunc('day', end_ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 DAY AS day FROM auctions WHERE is_sold AND end_ts > TIMESTAMP '{FIRST_DAY}' - INTERVAL 1 DAY AND end_ts <= TIMESTAMP '{LAST_DAY}'), """ + _SUMMARY.format(by="tag, day") + f"""
+SELECT tag, day, coalesce(max, 0) AS max, coalesce(min, 0) AS min, coalesce(mean, 0) AS mean, coalesce(med, 0) AS med, coalesce(mode, 0) AS mode, coalesce(volume, 0) AS volume
+FROM (SELECT DISTINCT tag FROM auctions WHERE is_sold) t CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '{FIRST_DAY}', TIMESTAMP '{LAST_DAY}', INTERVAL 1 DAY)) AS day) g LEFT JOIN s USING (tag, day)"""
+
+
+@query(_HISTORY)
+def price_history(spark, d):
+    return prices.history(tables.auctions(spark, d).where("is_sold"), FIRST_DAY, LAST_DAY).withColumn("mean", F.round("mean", 4))
+
+
+@query(_HISTORY)
+def price_history_memo(spark, d):
+    kept = memo.PriceMemo(spark, folder(spark))
+    sold = tables.auctions(spark, d).where("is_sold")
+    kept.history(sold, "2025-07-10 00:00:00", LAST_DAY)
+    return kept.history(sold, FIRST_DAY, LAST_DAY).withColumn("mean", F.round("mean", 4))
+
+
+@query(f"SELECT tag, CAST(hour(end_ts) AS INT) AS hour, round(avg(highest_bid), 4) AS mean, min(highest_bid) AS min, max(highest_bid) AS max, count(*) AS volume, min(end_ts) AS first_end FROM auctions WHERE end_ts > TIMESTAMP '{RECENT}' AND end_ts < TIMESTAMP '{AS_OF}' GROUP BY ALL")
+def hourly_prices(spark, d):
+    rows = tables.auctions(spark, d).where((F.col("end_ts") > scan.ntz(RECENT)) & (F.col("end_ts") < scan.ntz(AS_OF)))
+    return prices.hourly(rows).withColumn("mean", F.round("mean", 4))
+
+
+@query("""SELECT uuid, count(*) AS n_versions, min(seller) AS seller,
+  CASE WHEN count(*) FILTER (v = 0) = 0 OR max(auction_uid) % 2 <> 0 OR count(*) FILTER (v = 1) > 0 THEN max(start_ts) END AS start_ts,
+  CASE WHEN count(*) FILTER (v = 1) > 0 THEN max(auction_uid) % 100 ELSE 0 END AS starting_bid, CASE WHEN count(*) FILTER (v = 1) > 0 THEN 'C' || max(auction_uid) % 5 ELSE 'UNKNOWN' END AS category,
+  CASE WHEN count(*) FILTER (v = 1) > 0 THEN max(seller) + 1 ELSE max(seller) END AS profile, max(highest_bid) AS highest_bid,
+  CASE WHEN count(*) > 1 THEN coalesce(max(d), 0) ELSE max(bid_count) END AS n_bids
+FROM (SELECT *, 0 AS v FROM hot UNION ALL SELECT *, 1 FROM cold) LEFT JOIN (SELECT auction_uid, count(DISTINCT amount) AS d FROM bids GROUP BY 1) USING (auction_uid) GROUP BY uuid""")
+def combine_versions(spark, d):
+    both = hot(spark, d).withColumn("version", F.lit(0)).unionByName(cold(spark, d).withColumn("version", F.lit(1)))
+    out = merge.combine_versions(versions(both, B(spark, d)))
+    return out.select("uuid", "n_versions", "seller", "start_ts", "starting_bid", "category", "profile", "highest_bid", F.col("n_bids").cast("long").alias("n_bids"))
+
+
+@query("SELECT tag, date_trunc('month', end_ts) AS month, count(*) AS n FROM auctions GROUP BY ALL")
+def tag_month_counts(spark, d):
+    return tables.auctions(spark, d).groupBy(F.coalesce("tag", F.lit("unknown")).alias("tag"), F.date_trunc("month", "end_ts").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT bidder, count(*) AS n_bids, max(amount) AS top FROM bids GROUP BY bidder")
+def bids_per_bidder(spark, d):
+    return B(spark, d).groupBy("bidder").agg(F.count("*").alias("n_bids"), F.max("amount").alias("top"))
+
+
+@query("SELECT uuid, count(*) AS n FROM (SELECT * FROM hot UNION ALL SELECT * FROM cold) GROUP BY uuid HAVING count(*) > 1")
+def duplicate_auctions(spark, d):
+    return hot(spark, d).unionByName(cold(spark, d)).groupBy("uuid").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT bidder, auction_uid, ts FROM (SELECT *, row_number() OVER (PARTITION BY bidder ORDER BY ts, auction_uid, seq, amount) AS r FROM bids) WHERE r = 1")
+def first_per_key(spark, d):
+    first = B(spark, d).groupBy("bidder").agg(F.min(F.struct("ts", "auction_uid", "seq", "amount")).alias("f"))
+    return first.select("bidder", "f.auction_uid", "f.ts")
+
+
+@query("SELECT DISTINCT CAST(year(end_ts) AS INT) AS year FROM auctions")
+def distinct_years(spark, d):
+    return tables.auctions(spark, d).select(F.year("end_ts").alias("year")).distinct()
+
+
+# --- order and limits
+
+
+@query("SELECT auction_uid, end_ts, highest_bid FROM auctions WHERE tag = '1-URGENT' OR tag = 'ENCHANTED_BOOK' ORDER BY end_ts DESC, auction_uid DESC LIMIT 100")
+def recent_topk(spark, d):
+    return scan.newest(tables.auctions(spark, d).where("tag = 'ENCHANTED_BOOK'"), 100).select("auction_uid", "end_ts", "highest_bid")
+
+
+@query(f"SELECT auction_uid, end_ts FROM auctions WHERE tag = '2-HIGH' AND is_sold AND end_ts > TIMESTAMP '{AS_OF}' - INTERVAL '2' DAY AND end_ts <= TIMESTAMP '{AS_OF}' ORDER BY end_ts DESC, auction_uid DESC LIMIT 1000")
+def recent_batch(spark, d):
+    rows = scan.in_range(tables.auctions(spark, d).where("is_sold"), "2025-07-30 00:00:00", AS_OF, "2-HIGH")
+    return scan.newest(rows, 1000).select("auction_uid", "end_ts")
+
+
+@query("SELECT month, CAST(abs((year(m) - 2023) * 12 + month(m) - 6) AS INT) AS apart FROM (SELECT DISTINCT strftime(end_ts, '%Y-%m') AS month, date_trunc('month', end_ts) AS m FROM auctions) ORDER BY apart, month")
+def nearest_months(spark, d):
+    months = tables.auctions(spark, d).select(timekey.month(F.col("end_ts")).alias("month")).distinct()
+    return months.withColumn("apart", timekey.months_apart(F.to_date("month", "yyyy-MM"), F.lit("2023-06-01").cast("date"))).orderBy("apart", "month")
+
+
+@query("SELECT auction_uid, strftime(end_ts, '%Y-%m') AS month FROM auctions WHERE tag = '3-MEDIUM' AND strftime(end_ts, '%Y-%m') IN ('2023-04', '2023-05', '2023-06', '2023-07', '2023-08')")
+def month_probe(spark, d):
+    months = ["2023-06", "2023-05", "2023-07", "2023-04", "2023-08"]
+    return tables.auctions(spark, d).select("auction_uid", "tag", timekey.month(F.col("end_ts")).alias("month")).where((F.col("tag") == "3-MEDIUM") & F.col("month").isin(*months)).select("auction_uid", "month")
+
+
+@query(f"""SELECT auction_uid, type, end_ts, end_ts <= TIMESTAMP '{CUTOFF}' AS archived FROM part WHERE player = 7 AND ((end_ts > TIMESTAMP '{CUTOFF}' AND auction_uid % 13 <> 0) OR (end_ts <= TIMESTAMP '{CUTOFF}' AND auction_uid % 17 <> 0)) ORDER BY end_ts DESC, auction_uid, type LIMIT 500""")
+def player_history(spark, d):
+    all_ = parts(spark, d)
+    return players.history(all_.where("auction_uid % 13 <> 0"), all_.where("auction_uid % 17 <> 0"), 7, CUTOFF, 500).select("auction_uid", "type", "end_ts", "archived")
+
+
+@query("SELECT auction_uid, tag, time_key, CAST((row_number() OVER (PARTITION BY tag, time_key ORDER BY auction_uid) - 1) // 10 AS INT) AS chunk FROM keyed")
+def chunk_rows(spark, d):
+    return scan.chunks(A(spark, d), ["tag", "time_key"], 10).select("auction_uid", "tag", "time_key", "chunk")
+
+
+@query("SELECT auction_uid, tag FROM (SELECT *, row_number() OVER (PARTITION BY tag, strftime(end_ts, '%Y-%m') ORDER BY end_ts, auction_uid) AS r FROM auctions) WHERE r % 10 = 0")
+def sample_every_n(spark, d):
+    rows = tables.auctions(spark, d).withColumn("month", timekey.month(F.col("end_ts")))
+    return scan.every_nth(rows, ["tag", "month"], 10).select("auction_uid", "tag")
+
+
+# --- sets
+
+
+@query("SELECT auction_uid, is_sold FROM hot WHERE is_sold UNION ALL SELECT auction_uid, is_sold FROM hot WHERE NOT is_sold")
+def union_sold_unsold(spark, d):
+    rows = hot(spark, d)
+    return rows.where("is_sold").unionByName(rows.where("not is_sold")).select("auction_uid", "is_sold")
+
+
+@query("(SELECT uuid FROM hot EXCEPT SELECT uuid FROM cold)")
+def ids_except(spark, d):
+    return hot(spark, d).select("uuid").subtract(cold(spark, d).select("uuid"))
+
+
+@query("(SELECT uuid FROM hot INTERSECT SELECT uuid FROM cold)")
+def ids_intersect(spark, d):
+    return hot(spark, d).select("uuid").intersect(cold(spark, d).select("uuid"))
+
+
+@query("(SELECT uuid FROM hot UNION SELECT uuid FROM cold)")
+def ids_union(spark, d):
+    return hot(spark, d).select("uuid").union(cold(spark, d).select("uuid")).distinct()
+
+
+# --- functions
+
+
+@query("SELECT tag, time_key, count(*) AS n FROM keyed GROUP BY ALL")
+def time_key(spark, d):
+    return A(spark, d).groupBy("tag", "time_key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT tag, time_key, make_timestamp(1546300800000000 + CAST(time_key AS BIGINT) * (CASE WHEN tag IN ('ENCHANTED_BOOK', 'unknown') THEN 43200000000 ELSE 604800000000 END)) AS begins FROM keyed")
+def time_key_date(spark, d):
+    return A(spark, d).select("tag", "time_key").distinct().withColumn("begins", timekey.time_key_date(F.col("tag"), F.col("time_key")))
+
+
+@query("SELECT auction_uid, make_timestamp((1700000000 + auction_uid) * 1000000) AS at FROM auctions")
+def unix_to_ts(spark, d):
+    return tables.auctions(spark, d).select("auction_uid", F.timestamp_seconds(F.lit(1700000000) + F.col("auction_uid")).cast("timestamp_ntz").alias("at"))
+
+
+@query("SELECT auction_uid, CAST(TIMESTAMP '2019-06-01' + to_years(CAST((auction_uid * 40000) // 30000000 AS INT)) AS DATE) AS guess FROM auctions")
+def estimate_date(spark, d):
+    return tables.auctions(spark, d).select("auction_uid", timekey.estimated_date(F.col("auction_uid") * 40000).alias("guess"))
+
+
+@query("SELECT auction_uid, CASE WHEN auction_uid % 4 < 2 THEN uuid END AS uuid FROM auctions")
+def uuid_normalize(spark, d):
+    k, u = F.col("auction_uid") % 4, F.col("uuid")
+    dashed = F.upper(F.concat_ws("-", F.substring(u, 1, 8), F.substring(u, 9, 4), F.substring(u, 13, 4), F.substring(u, 17, 4), F.substring(u, 21, 12)))
+    text = F.when(k == 0, u).when(k == 1, F.concat(F.lit("  "), dashed, F.lit(" "))).when(k == 2, "unknown").otherwise(F.substring(u, 1, 31))
+    return tables.auctions(spark, d).select("auction_uid", identity.normal_uuid(text).alias("uuid"))
+
+
+@query()
+def auction_uid(spark, d):
+    own = F.when(F.col("auction_uid") % 2 == 0, F.col("auction_uid"))
+    return tables.auctions(spark, d).select("uuid", identity.auction_uid(own, F.col("uuid")).alias("auction_uid"))
+
+
+@query("SELECT c_custkey, 'Bin=true;Seller=' || c_custkey || ';Tier=F' AS key FROM customer")
+def filter_key(spark, d):
+    m = F.create_map(F.lit("Tier"), F.lit("F"), F.lit("EndAfter"), F.lit("1"), F.lit("Seller"), F.col("c_custkey").cast("string"), F.lit("Bin"), F.lit("true"), F.lit("EndBefore"), F.lit("2"))
+    return tables.table(spark, d, "customer").select("c_custkey", identity.filter_key(m).alias("key"))
+
+
+@query("SELECT DISTINCT 'players/' || substr(md5(CAST(seller AS VARCHAR)), 1, 2) || '/' || md5(CAST(seller AS VARCHAR)) || '/' || year(end_ts) || '.json.gz' AS key FROM auctions")
+def player_key(spark, d):
+    return tables.auctions(spark, d).select(identity.player_key(F.md5(F.col("seller").cast("string")), F.year("end_ts")).alias("key")).distinct()
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'DIVINE' WHEN 1 THEN 'RARE' WHEN 2 THEN 'UNKNOWN' ELSE 'UNKNOWN' END AS tier FROM part")
+def tier_normalize(spark, d):
+    k = F.col("p_partkey") % 4
+    return tables.table(spark, d, "part").select("p_partkey", identity.normal_tier(F.when(k == 0, "SUPREME").when(k == 1, "rare").when(k == 2, "none")).alias("tier"))
+
+
+@query("SELECT n_nationkey, CAST(ceil(-(1000 * (n_nationkey + 1)) * ln(0.01) / (ln(2) * ln(2))) AS BIGINT) AS bits FROM nation")
+def bloom_size(spark, d):
+    n = F.lit(1000) * (F.col("n_nationkey") + 1)
+    return tables.table(spark, d, "nation").select("n_nationkey", F.ceil(-n * F.log(F.lit(0.01)) / (F.log(F.lit(2.0)) * F.log(F.lit(2.0)))).alias("bits"))
+
+
+@query("SELECT a.auction_uid, coalesce(max(b.ts), any_value(a.start_ts)) AS write_ts FROM auctions a LEFT JOIN bids b USING (auction_uid) GROUP BY a.auction_uid")
+def write_timestamp(spark, d):
+    return tables.with_bids(tables.auctions(spark, d), B(spark, d)).select("auction_uid", nested.write_time(F.col("bids"), F.col("start_ts")).alias("write_ts"))
+
+
+@query("SELECT auction_uid, bid_count, (SELECT count(*) FROM bids b WHERE b.auction_uid = a.auction_uid AND b.bidder = 7) > 0 AS by_7 FROM auctions a")
+def bid_count(spark, d):
+    rows = tables.with_bids(tables.auctions(spark, d).select("auction_uid"), B(spark, d))
+    return rows.select("auction_uid", F.size("bids").cast("long").alias("bid_count"), F.exists("bids", lambda b: b["bidder"] == 7).alias("by_7"))
+
+
+@query("SELECT auction_uid, CASE WHEN auction_uid % 5 = 0 THEN '0' ELSE CAST(auction_uid % 6 AS VARCHAR) END AS stars FROM auctions")
+def nbt_lookup(spark, d):
+    return tables.auctions(spark, d).select("auction_uid", F.coalesce(F.element_at(attributes()["nbt"], "upgrade_level"), F.lit("0")).alias("stars"))
+
+
+@query("SELECT auction_uid, tag, end_ts, highest_bid FROM auctions")
+def json_roundtrip(spark, d):
+    cols = ["auction_uid", "tag", "end_ts", "highest_bid"]
+    text = tables.auctions(spark, d).select(F.to_json(F.struct(*cols)).alias("j"))
+    return text.select(F.from_json("j", "auction_uid long, tag string, end_ts timestamp_ntz, highest_bid long").alias("r")).select("r.*")
+
+
+@query("SELECT uuid, max(highest_bid) AS highest_bid FROM auctions GROUP BY uuid")
+def stream_ingest(spark, d):
+    """Auctions as a stream of two files per half, folded by event time."""
+    top = folder(spark)
+    rows = tables.auctions(spark, d).select("auction_uid", "uuid", "tag", "seller", "end_ts", "start_ts", "highest_bid", F.col("end_ts").alias("write_ts"))
+    early = rows.withColumn("highest_bid", F.lit(0).cast("long")).withColumn("write_ts", F.col("start_ts"))
+    rows.unionByName(early).repartition(4, "auction_uid").write.parquet(f"{top}/in")
+    q = ingest.start(ingest.file_source(spark, f"{top}/in", 2), f"{top}/out", f"{top}/checkpoint")
+    q.awaitTermination()
+    return ingest.current(spark, f"{top}/out").select("uuid", "highest_bid")
