@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
@@ -11,10 +12,23 @@ from pyspark.sql import functions as F
 #: An instant with seven fractional digits.
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0Z'"
 
-COLUMNS: dict[str, Column] = {
-    "uuid": F.col("uuid"), "tag": F.col("tag"), "seller": F.col("seller").cast("string"), "highestbidamount": F.col("highest_bid").cast("string"), "bidcount": F.col("bid_count").cast("string"),
-    "end": F.date_format("end_ts", ISO), "start": F.date_format("start_ts", ISO), "bin": F.when(F.col("bin"), "True").otherwise("False"), "tier": F.col("tier"), "issold": F.when(F.col("is_sold"), "True").otherwise("False"),
-}
+def _yes_no(name: str) -> Callable[[], Column]:
+    return lambda: F.when(F.col(name), "True").otherwise("False")
+
+
+#: Columns by name, made when they are asked for: an expression needs a session.
+COLUMNS: dict[str, Callable[[], Column]] = {
+    "uuid": lambda: F.col("uuid"),
+    "tag": lambda: F.col("tag"),
+    "seller": lambda: F.col("seller").cast("string"),
+    "highestbidamount": lambda: F.col("highest_bid").cast("string"),
+    "bidcount": lambda: F.col("bid_count").cast("string"),
+    "end": lambda: F.date_format("end_ts", ISO),
+    "start": lambda: F.date_format("start_ts", ISO),
+    "bin": _yes_no("bin"),
+    "tier": lambda: F.col("tier"),
+    "issold": _yes_no("is_sold"),
+}
 ALIASES = {"price": "highestbidamount"}
 STATES = ("Pending", "InProgress", "Done", "Failed", "Aborted", "Deleted")
 
@@ -28,7 +42,7 @@ def selected(rows: DataFrame, columns: list[str], aliases: bool = False) -> Data
             name = ALIASES.get(name, name)
         if name not in COLUMNS:
             raise ValueError(f"invalid_column: {c}")
-        out.append(COLUMNS[name].alias(c))
+        out.append(COLUMNS[name]().alias(c))
     return rows.select(*out)
 
 

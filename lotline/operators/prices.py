@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MICRO = F.expr("INTERVAL '0.000001' SECOND")
-DAY = F.expr("INTERVAL '1' DAY")
+
+def day() -> Column:
+    """An interval of one day."""
+    return F.expr("INTERVAL '1' DAY")
 
 
 def summary(sold: DataFrame, by: list[str], price: str = "highest_bid") -> DataFrame:
@@ -33,12 +35,12 @@ def in_window(rows: DataFrame, start: str, end: str) -> DataFrame:
 
 def closing_day(end: Column) -> Column:
     """The midnight that closes the day (day - 1, day] of ``end``."""
-    return F.date_trunc("day", end - MICRO).cast("timestamp_ntz") + DAY
+    return F.date_trunc("day", end - F.expr("INTERVAL '0.000001' SECOND")).cast("timestamp_ntz") + day()
 
 
 def days(tags: DataFrame, first: str, last: str) -> DataFrame:
     """Every day from ``first`` to ``last`` of every tag."""
-    span = F.sequence(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"), DAY)
+    span = F.sequence(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"), day())
     return tags.select("tag").distinct().withColumn("day", F.explode(span))
 
 
@@ -48,7 +50,7 @@ def daily(sold: DataFrame) -> DataFrame:
 
 def history(sold: DataFrame, first: str, last: str) -> DataFrame:
     """daily() for all days of all tags of ``sold``, zeros where nothing was sold."""
-    start = F.lit(first).cast("timestamp_ntz") - DAY
+    start = F.lit(first).cast("timestamp_ntz") - day()
     wanted = sold.where((F.col("end_ts") > start) & (F.col("end_ts") <= F.lit(last).cast("timestamp_ntz")))
     return days(sold, first, last).join(daily(wanted), ["tag", "day"], "left").fillna(0)
 

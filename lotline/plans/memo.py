@@ -26,7 +26,7 @@ class PriceMemo:
 
     def history(self, sold: DataFrame, first: str, last: str) -> DataFrame:
         new = self.missing(sold, first, last)
-        start = F.lit(first).cast("timestamp_ntz") - prices.DAY
+        start = F.lit(first).cast("timestamp_ntz") - prices.day()
         rows = sold.where((F.col("end_ts") > start) & (F.col("end_ts") <= F.lit(last).cast("timestamp_ntz"))).withColumn("day", prices.closing_day(F.col("end_ts")))
         found = prices.summary(rows.join(new, ["tag", "day"], "left_semi"), ["tag", "day"])
         new.join(found, ["tag", "day"], "left").fillna(0).select(*[c.split(" ")[0] for c in MEMO.split(", ")]).write.mode("append").parquet(self.path)

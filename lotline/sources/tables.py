@@ -6,12 +6,15 @@ is that of the time keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotline.functions import timekey
 
-YEARS = F.expr("INTERVAL '24' YEAR")
+
+def later(c: str) -> Column:
+    """The date or time ``c``, 24 years on."""
+    return F.col(c) + F.expr("INTERVAL '24' YEAR")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("auction_uid"), F.col("l_suppkey").alias("bidder"), F.round("l_extendedprice").cast("long").alias("amount"),
-        F.col("l_linenumber").alias("seq"), (F.col("l_shipdate") + YEARS).alias("ts"),
+        F.col("l_linenumber").alias("seq"), later("l_shipdate").alias("ts"),
     )
 
 
 def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = bids(spark, sf_dir).groupBy("auction_uid").agg(F.max("amount").alias("_high"), F.count("*").alias("_n"))
-    key, day = F.col("o_orderkey"), F.col("o_orderdate") + YEARS
+    key, day = F.col("o_orderkey"), later("o_orderdate")
     tag = F.when(F.col("o_orderpriority") == "1-URGENT", "ENCHANTED_BOOK").when(F.col("o_orderpriority") == "5-LOW", "unknown").otherwise(F.col("o_orderpriority"))
     rows = table(spark, sf_dir, "orders").select(
         key.alias("auction_uid"), F.md5(key.cast("string")).alias("uuid"), tag.alias("tag"), F.col("o_custkey").alias("seller"),
