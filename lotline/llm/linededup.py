@@ -78,7 +78,7 @@ class LineRuns:
         batch, runs = self.batch(docs), self.totals()
         if self._made:
             batch = written(batch, "line-batch")
-            fresh = batch.join(runs, ["h1", "h2"], "left_anti")
+            fresh = self._unseen(batch)
             again = batch.join(runs.select("h1", "h2", F.col("max_doc").alias("_held")), ["h1", "h2"])
             again = again.select("h1", "h2", "n_docs", F.when(F.coalesce(F.col("max_doc") > F.col("_held"), F.col("_held").isNull()), F.col("max_doc")).alias("max_doc"))
             batch = fresh.unionByName(again)
@@ -89,6 +89,13 @@ class LineRuns:
             self._write(self._merged(self._read(runs)), level + 1)
             level += 1
 
+    def _unseen(self, batch: DataFrame) -> DataFrame:
+        return batch.join(self.totals().select("h1", "h2"), ["h1", "h2"], "left_anti")
+
+    def fresh(self, docs: DataFrame) -> DataFrame:
+        """The rows of batch() whose lines no run has yet: the merge-anti-join alone."""
+        return self._unseen(self.batch(docs))
+
     def totals(self) -> DataFrame:
         paths = [p for level in self.levels for p in level]
         return self._read(paths) if len(paths) == 1 else self._merged(self._read(paths))

@@ -6,7 +6,9 @@ its ranking until its words are used up: a sample of fixed size with unequal pro
 
 Only built-in column functions are used. A source may hold any share of the rows: nothing sorts or
 gathers a source in one task. The ranking is cut into ``BINS`` bins of the ranking variable, summed
-per bin; only the one bin in which a source's words run out is ranked row by row.
+per bin; only the one bin in which a source's words run out is ranked row by row. A document that is
+longer than all that its source has left over has no place in the ranking; where the others do not
+fill what is left, the ranking goes on for a second lap, of documents that may have another copy.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from lotline.llm.common import join_small, unit, written
 
-#: Bins of the ranking variable; a source's last bin holds about 1/BINS of its rows.
-BINS = 1 << 14
+#: Bins of a lap of the ranking; the bin that is ranked row by row holds about 1/BINS of a source's rows.
+BINS = 1 << 10
 #: What separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -99,51 +101,69 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
         "classes",
     )
     rates = written(_level(classes, ["source"], F.first("goal")), "copies")
-    ruled = written(join_small(goals, rates, ["source"], F.col("source")), "ruled")
 
-    expected = F.least(F.lit(float(most)), F.coalesce(F.col("rate"), F.lit(0.0)) * F.log(F.col("size") + 2.718281828459045))
-    ranked = join_small(lean, ruled, ["source"], spread).withColumn("_expected", F.when(F.col("size") > 0, expected).otherwise(0.0))
-    sure = F.floor(F.col("_expected") + 1e-9)
+    def expected(weight: Column) -> Column:
+        return F.least(F.lit(float(most)), F.coalesce(F.col("rate"), F.lit(0.0)) * weight)
+
+    def sure(x: Column) -> Column:
+        return F.floor(x + 1e-9)
+
+    # what each source's certain copies leave
+    certain = join_small(classes, rates, ["source"], F.col("size")).groupBy("source").agg(F.sum(F.col("n") * sure(expected(F.col("weight")))).alias("_certain"))
+    ruled = join_small(join_small(goals, rates, ["source"], F.col("source")), written(certain, "certain"), ["source"], F.col("source"))
+    ruled = written(ruled.select("source", "source_size", "target", "rate", (F.col("target") - F.coalesce("_certain", F.lit(0.0))).alias("_left")), "ruled")
+
+    # places in the ranking: a document's fraction on the first lap, one more copy on the second
+    ranked = join_small(lean, ruled, ["source"], spread)
+    want = F.when(F.col("size") > 0, expected(F.log(F.col("size") + 2.718281828459045))).otherwise(0.0)
+    ranked = ranked.withColumn("_want", want).withColumn("_sure", sure(F.col("_want"))).withColumn("_p", F.greatest(F.col("_want") - F.col("_sure"), F.lit(0.0)))
     odds = lambda p: p / (1 - p)
-    p = F.greatest(F.col("_expected") - sure, F.lit(0.0))
-    u = unit("doc_id", "_t", seed=seed)
-    q = F.when(p > 1e-9, odds(u) / odds(p))
-    ranked = ranked.withColumn("_sure", sure).withColumn("_place", q / (1 + q)).withColumn("_bin", F.floor(F.col("_place") * BINS))
-    ranked = written(ranked, "ranked")
+    q = odds(unit("doc_id", "_t", seed=seed)) / odds(F.col("_p"))
+    fits = (F.col("size") > 0) & (F.col("size") <= F.col("_left"))
+    parted = F.col("_p") > 1e-9
+    first = F.when(fits & parted, q / (1 + q))
+    second = F.when(fits & (F.col("_sure") + F.when(parted, 2).otherwise(1) <= most), 1 + unit("doc_id", "_t", seed=seed + 1))
+    ranked = written(ranked.withColumn("_first", first).withColumn("_second", second).drop("_want", "_p", "rate"), "ranked")
 
     # words by source and bin, then the bin where each source's words run out
-    bins = ranked.groupBy("source", "_bin").agg(F.sum(F.when(F.col("_bin").isNotNull(), F.col("size")).otherwise(0)).alias("w"), F.sum(F.col("size") * F.col("_sure")).alias("sure_words"))
-    certain = bins.groupBy("source").agg(F.sum("sure_words").alias("_certain"))
+    bin_of = lambda place: F.floor(place * BINS)
+    places = F.explode(F.filter(F.array("_first", "_second"), lambda x: x.isNotNull()))
+    bins = ranked.select("source", "size", places.alias("_place")).groupBy("source", bin_of(F.col("_place")).alias("_bin")).agg(F.sum("size").alias("w"))
     upto = F.sum("w").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
-    bins = bins.where("_bin is not null").withColumn("upto", upto)  # BINS rows a source at most
-    left = join_small(ruled, written(certain, "certain"), ["source"], F.col("source"))
-    left = written(left.select("source", (F.col("target") - F.coalesce("_certain", F.lit(0))).alias("_left")), "left")
+    bins = bins.withColumn("upto", upto)  # 2 * BINS rows a source at most
+    left = ruled.select("source", "_left")
     cut = join_small(bins, left, ["source"], F.col("_bin")).where(F.col("upto") > F.col("_left"))
     cut = cut.groupBy("source").agg(F.min(F.struct("_bin", (F.col("upto") - F.col("w")).alias("base"))).alias("_cut"))
-    cut = join_small(left, written(cut, "cut"), ["source"], F.col("source")).select("source", "_left", F.col("_cut._bin").alias("_cut_bin"), F.col("_cut.base").alias("_base"))
-    cut = written(cut, "cuts")
+    whole = written(bins.groupBy("source").agg(F.max("upto").alias("_whole")), "whole")
+    cut = join_small(join_small(left, written(cut, "cut"), ["source"], F.col("source")), whole, ["source"], F.col("source"))
+    cut = written(cut.select("source", "_left", F.col("_cut._bin").alias("_cut_bin"), F.coalesce("_cut.base", "_whole", F.lit(0)).alias("_base")), "cuts")
 
     # inside that bin, row by row
-    edge = join_small(ranked.where("_bin is not null"), cut, ["source"], spread).where(F.col("_bin") == F.col("_cut_bin"))
-    order = Window.partitionBy("source").orderBy("_place", "doc_id", "_t").rowsBetween(Window.unboundedPreceding, 0)
+    edge = join_small(ranked.select("source", "size", "doc_id", "_t", places.alias("_place")), cut, ["source"], spread).where(bin_of(F.col("_place")) == F.col("_cut_bin"))
+    order = Window.partitionBy("source").orderBy("_place", "doc_id", "_t")  # equal rows are peers: all or none is taken
     edge = edge.withColumn("_sum", F.col("_base") + F.sum("size").over(order)).where(F.col("_sum") <= F.col("_left"))
     last = edge.groupBy("source").agg(F.max(F.struct("_place", "doc_id", "_t")).alias("_last"), F.max("_sum").alias("_used"))
     plan = join_small(cut, written(last, "last"), ["source"], F.col("source"))
-    plan = written(plan.withColumn("_gap", F.col("_left") - F.coalesce("_used", "_base", F.lit(0))), "plan")
-
-    out = join_small(ranked, plan, ["source"], spread)
-    key = F.struct("_place", "doc_id", "_t")
-    first = F.col("_bin").isNotNull() & (F.col("_cut_bin").isNull() | (F.col("_bin") < F.col("_cut_bin")) | ((F.col("_bin") == F.col("_cut_bin")) & F.col("_last").isNotNull() & (key <= F.col("_last"))))
-    out = written(out.withColumn("_copies", F.col("_sure") + F.when(first, 1).otherwise(0)), "drawn")
-    free = out.where(F.col("_bin").isNotNull() & (F.col("_copies") == F.col("_sure")) & (F.col("_gap") > 0) & (F.col("size") < 2 * F.col("_gap")))
-    closing = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("d"), "_place", "doc_id", "_t")).alias("_close"))
+    plan = written(plan.select("source", "_cut_bin", "_last", (F.col("_left") - F.coalesce("_used", "_base")).alias("_gap")), "plan")
+
+    def taken(place: str) -> Column:
+        at = bin_of(F.col(place))
+        inside = F.coalesce(F.struct(F.col(place).alias("_place"), "doc_id", "_t") <= F.col("_last"), F.lit(False))
+        yes = F.col(place).isNotNull() & (F.col("_cut_bin").isNull() | (at < F.col("_cut_bin")) | ((at == F.col("_cut_bin")) & inside))
+        return F.when(yes, 1).otherwise(0)
+
+    out = join_small(ranked, plan, ["source"], spread).withColumn("_copies", F.col("_sure") + taken("_first") + taken("_second"))
+    out = written(out.select("source", "doc_id", "_t", "size", "source_size", "target", "_copies", "_gap"), "drawn")
+    closer = (F.col("_copies") + 1 <= most) & (F.col("_gap") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("_gap"))
+    order = F.struct(unit("doc_id", "_t", seed=seed + 2).alias("u"), "doc_id", "_t")
+    closing = out.where(closer).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("d"), order.alias("o"))).alias("_close"))
     out = join_small(out, written(closing, "closing"), ["source"], spread)
-    closes = F.coalesce(key == F.struct("_close._place", "_close.doc_id", "_close._t"), F.lit(False))
-    one = F.row_number().over(Window.partitionBy("source", "doc_id", "_t").orderBy("size"))
+    closes = F.coalesce(closer & (order == F.col("_close.o")), F.lit(False))
     # equal rows share a key: only the first of them closes the gap
-    shut = out.where(closes & (F.col("_copies") == F.col("_sure"))).select("source", "doc_id", "_t", "size", "source_size", "target", "_sure", one.alias("_one"))
-    shut = shut.select("source", "doc_id", "_t", "size", "source_size", "target", (F.col("_sure") + F.when(F.col("_one") == 1, 1).otherwise(0)).alias("copies"))
-    rest = out.where(~(closes & (F.col("_copies") == F.col("_sure")))).select("source", "doc_id", "_t", "size", "source_size", "target", F.col("_copies").alias("copies"))
+    one = F.row_number().over(Window.partitionBy("source", "doc_id", "_t").orderBy("size"))
+    cols = ["source", "doc_id", "_t", "size", "source_size", "target"]
+    shut = out.where(closes).select(*cols, (F.col("_copies") + F.when(one == 1, 1).otherwise(0)).alias("copies"))
+    rest = out.where(~closes).select(*cols, F.col("_copies").alias("copies"))
     done = rest.unionByName(shut).withColumn("copies", F.col("copies").cast("long"))
     return done.withColumn("taken", F.col("copies") * F.col("size")).withColumnRenamed("_t", "text_hash")
 

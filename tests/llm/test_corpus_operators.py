@@ -82,7 +82,9 @@ def test_mixing(docs):
         assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"]
         got[r["source"]] += r["taken"]
     for s in sizes:
-        assert abs(got[s] - want[s]) <= max(60, 0.05 * want[s]), s
+        # s2 has one text of 30,000 words: no choice of its other documents comes nearer than half of that
+        longest = max(len(BLANKS.findall(r[1] or "")) for r in rows if r[3] == s)
+        assert abs(got[s] - want[s]) <= max(60, 0.05 * want[s], longest / 2 if longest > want[s] / 2 else 0), s
     again = mixing.mix(docs.repartition(3), **queries.MIX).collect()
     key = lambda x: sorted((repr(r["doc_id"]), r["size"], r["taken"]) for r in x)
     assert key(again) == key(drawn)
@@ -382,7 +384,8 @@ def jaccard(a, b):
 
 def test_fingerprints_estimate_jaccard(spark):
     rng = random.Random(8)
-    rows = [(3 * i, " ".join(rng.choice(WORDS[: rng.randint(3, 24)]) for _ in range(rng.randint(5, 200)))) for i in range(150)]
+    # pairs of documents have words of their own: errors of different pairs are independent
+    rows = [(3 * i, " ".join(rng.choice(WORDS[: rng.randint(3, 24)]) + str(i // 2) for _ in range(rng.randint(5, 200)))) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r["doc_id"]: r for r in cws.compare_edited(df, k=64, ranges=7).collect()}
     errors = []
@@ -404,7 +407,11 @@ def test_equal_texts_have_equal_fingerprints(docs):
     for r in out:
         if r["doc_id"] is not None:
             by[text[r["doc_id"]]].add(r["fingerprint"])
-    assert all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) >= len(by) - 2
+    assert all(len(v) == 1 for v in by.values())
+    # texts that share less than half of their words never agree in all samples
+    texts = sorted(by)
+    for i, a in enumerate(texts):
+        assert all(min(by[a]) != min(by[b]) for b in texts[:i] if jaccard(a, b) < 0.5)
 
 
 def test_fingerprint_edges(empty, spark):
