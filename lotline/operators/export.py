@@ -75,14 +75,14 @@ def checked(job: Job, now: datetime) -> Job:
     return replace(job, email=job.email.strip().lower())
 
 
-def run(job: Job, rows: DataFrame, path: str) -> Job:
-    """Run a job into ``path``; a failure is its status, not an exception."""
+def run(job: Job, rows: DataFrame, path: str, files: int | None = None) -> Job:
+    """Run a job into ``path``, as write_csv() does; a failure is its status, not an exception."""
     from lotline.operators import filters, scan
 
     try:
         wanted = {k: v for k, v in job.filters.items() if k not in ("EndAfter", "EndBefore")}
         part = scan.in_range(rows, f"{job.start:%Y-%m-%d %H:%M:%S}", f"{job.end:%Y-%m-%d %H:%M:%S}", job.tag).where(filters.compiled(wanted))
-        write_csv(selected(part, list(job.columns)), path)
+        write_csv(selected(part, list(job.columns)), path, files)
     except Exception as e:  # the job's table shows it
         return replace(job, status="Failed", error=str(e)[:1024])
     return replace(job, status="Done")

@@ -39,7 +39,7 @@ auctions AS (
 keyed AS (SELECT *, CAST((epoch_us(end_ts) - 1546300800000000) // (CASE WHEN tag IN ('ENCHANTED_BOOK', 'unknown') THEN 43200000000 ELSE 604800000000 END) AS SMALLINT) AS time_key FROM auctions),
 hot AS (SELECT * FROM keyed WHERE auction_uid % 13 <> 0),
 cold AS (SELECT * FROM keyed WHERE auction_uid % 17 <> 0),
-part AS (SELECT seller AS player, auction_uid, end_ts, tag, 0 AS type FROM auctions UNION ALL
+took_part AS (SELECT seller AS player, auction_uid, end_ts, tag, 0 AS type FROM auctions UNION ALL
   SELECT DISTINCT b.bidder, a.auction_uid, a.end_ts, a.tag, 1 FROM bids b JOIN auctions a USING (auction_uid))
 """
 
@@ -166,7 +166,7 @@ def available_months(spark, d):
     return A(spark, d).where("tag = '2-HIGH'").select(timekey.month(F.col("end_ts")).alias("month")).distinct().orderBy("month")
 
 
-@query("SELECT auction_uid, end_ts, tag, type FROM part WHERE player = 7 AND year(end_ts) = 2024")
+@query("SELECT auction_uid, end_ts, tag, type FROM took_part WHERE player = 7 AND year(end_ts) = 2024")
 def participation_year(spark, d):
     return parts(spark, d).where((F.col("player") == 7) & (F.year("end_ts") == 2024)).select("auction_uid", "end_ts", "tag", "type")
 
@@ -216,7 +216,7 @@ def archive_merge(spark, d):
     return merge.archive(old, new)
 
 
-@query("SELECT player, auction_uid, type, max(end_ts) AS end_ts FROM part GROUP BY player, auction_uid, type")
+@query("SELECT player, auction_uid, type, max(end_ts) AS end_ts FROM took_part GROUP BY player, auction_uid, type")
 def participation_merge(spark, d):
     all_ = parts(spark, d)
     return merge.participations(all_.where("auction_uid % 13 <> 0"), all_.where("auction_uid % 17 <> 0")).unionByName(all_.where("auction_uid % 13 = 0 and auction_uid % 17 = 0")).select("player", "auction_uid", "type", "end_ts")
@@ -290,8 +290,8 @@ def attributes() -> dict:
     return {"nbt": nbt, "anvil_uses": (k % 4).cast("smallint"), "reforge": F.when(k % 3 == 0, "None").otherwise("Sharp")}
 
 
-@query("""SELECT auction_uid, array_to_string(list_sort(list_filter([CASE WHEN auction_uid % 4 > 0 THEN 'anvil_uses=' || auction_uid % 4 END,
-  CASE WHEN auction_uid % 5 = 0 THEN 'modifier=own' WHEN auction_uid % 3 <> 0 THEN 'modifier=sharp' END, CASE WHEN auction_uid % 5 <> 0 THEN 'upgrade_level=' || auction_uid % 6 END], x -> x IS NOT NULL)), ';') AS nbt FROM auctions""")
+@query("""SELECT auction_uid, concat_ws(';', CASE WHEN auction_uid % 4 > 0 THEN 'anvil_uses=' || auction_uid % 4 END,
+  CASE WHEN auction_uid % 5 = 0 THEN 'modifier=own' WHEN auction_uid % 3 <> 0 THEN 'modifier=sharp' END, CASE WHEN auction_uid % 5 <> 0 THEN 'upgrade_level=' || auction_uid % 6 END) AS nbt FROM auctions""")
 def nbt_enrich(spark, d):
     a = attributes()
     return tables.auctions(spark, d).select("auction_uid", nested.map_text(nested.enrich_nbt(a["nbt"], a["anvil_uses"], a["reforge"])).alias("nbt"))
@@ -342,7 +342,7 @@ def rekey(spark, d):
     return tables.keyed(tables.auctions(spark, d).withColumn("time_key", F.lit(0))).select("auction_uid", "tag", "time_key")
 
 
-@query("SELECT type, tag, count(*) AS n, count(DISTINCT player) AS n_players FROM part GROUP BY type, tag")
+@query("SELECT type, tag, count(*) AS n, count(DISTINCT player) AS n_players FROM took_part GROUP BY type, tag")
 def participation_build(spark, d):
     return parts(spark, d).groupBy("type", "tag").agg(F.count("*").alias("n"), F.countDistinct("player").alias("n_players"))
 
@@ -399,7 +399,7 @@ def export_user_filter(spark, d):
     return tables.with_bids(tables.auctions(spark, d), B(spark, d)).where(filters.of_users([" 7", "12 "])).select("auction_uid", "seller")
 
 
-@query("SELECT player, auction_uid FROM part WHERE type = 1 AND tag = '2-HIGH'")
+@query("SELECT player, auction_uid FROM took_part WHERE type = 1 AND tag = '2-HIGH'")
 def participation_filter(spark, d):
     return parts(spark, d).where("type = 1 and tag = '2-HIGH'").select("player", "auction_uid")
 
@@ -457,7 +457,7 @@ def shadow_compare(spark, d):
     return compare.shadow(hot(spark, d), cold(spark, d), "uuid", ["tag"])
 
 
-@query("""SELECT auction_uid, tag, end_ts FROM auctions WHERE auction_uid IN (SELECT auction_uid FROM (SELECT * FROM part WHERE player = 7 AND year(end_ts) = 2024 ORDER BY end_ts DESC, auction_uid, type LIMIT 50))""")
+@query("""SELECT auction_uid, tag, end_ts FROM auctions WHERE auction_uid IN (SELECT auction_uid FROM (SELECT * FROM took_part WHERE player = 7 AND year(end_ts) = 2024 ORDER BY end_ts DESC, auction_uid, type LIMIT 50))""")
 def player_auctions(spark, d):
     return players.auctions_of(parts(spark, d), tables.auctions(spark, d), 7, 2024, 50).select("auction_uid", "tag", "end_ts")
 
@@ -605,7 +605,7 @@ def month_probe(spark, d):
     return tables.auctions(spark, d).select("auction_uid", "tag", timekey.month(F.col("end_ts")).alias("month")).where((F.col("tag") == "3-MEDIUM") & F.col("month").isin(*months)).select("auction_uid", "month")
 
 
-@query(f"""SELECT auction_uid, type, end_ts, end_ts <= TIMESTAMP '{CUTOFF}' AS archived FROM part WHERE player = 7 AND ((end_ts > TIMESTAMP '{CUTOFF}' AND auction_uid % 13 <> 0) OR (end_ts <= TIMESTAMP '{CUTOFF}' AND auction_uid % 17 <> 0)) ORDER BY end_ts DESC, auction_uid, type LIMIT 500""")
+@query(f"""SELECT auction_uid, type, end_ts, end_ts <= TIMESTAMP '{CUTOFF}' AS archived FROM took_part WHERE player = 7 AND ((end_ts > TIMESTAMP '{CUTOFF}' AND auction_uid % 13 <> 0) OR (end_ts <= TIMESTAMP '{CUTOFF}' AND auction_uid % 17 <> 0)) ORDER BY end_ts DESC, auction_uid, type LIMIT 500""")
 def player_history(spark, d):
     all_ = parts(spark, d)
     return players.history(all_.where("auction_uid % 13 <> 0"), all_.where("auction_uid % 17 <> 0"), 7, CUTOFF, 500).select("auction_uid", "type", "end_ts", "archived")

@@ -134,7 +134,7 @@ def test_export(spark, tmp_path):
     assert export.selected(rows, ["END"]).first()[0] == "2024-06-15T12:00:00.0000000Z"
     job = export.checked(export.Job(" A@B ", "x", T - timedelta(days=1), T, ("Uuid", "Tier")), T)
     assert job.email == "a@b"
-    assert export.run(job, rows, str(tmp_path / "csv")).status == "Done"
+    assert export.run(job, rows, str(tmp_path / "csv"), files=1).status == "Done"
     text = "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
     assert text == f'Uuid,Tier\n{0:032x},"q""q,"\n'
     assert export.run(job, rows.drop("tier"), str(tmp_path / "bad")).status == "Failed"
