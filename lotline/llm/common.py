@@ -5,7 +5,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Python workers get ``rows`` rows at a time unless the session says otherwise: texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
+def slices(pdf: pd.DataFrame, column: str, chars: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Parts of a batch of about ``chars`` characters of ``column``, a text of any length whole: what a
+    worker makes of a text is many times its size."""
+    upto = np.cumsum([len(t) if t is not None else 0 for t in pdf[column]])
+    cuts = np.flatnonzero(np.diff(upto // chars)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+        if b > a:
+            yield pdf.iloc[a:b]
+
+
 def unit(*cols: Column | str, seed: int = 0) -> Column:
     """A repeatable uniform number in (0, 1) for the row's ``cols``."""
     h = F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in cols], F.lit(seed))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import components, written
+from lotline.llm.common import components, slices, small_batches, written
 
 SHINGLE, TWO, ROWS, BANDS = 5, 2, 2, 14
 #: Linked if the distance is at most this share of n1 + n2: Jaccard 0.8.
@@ -129,8 +129,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo : lo + 512]
+            for part in slices(pdf, "text"):
                 seqs = labelled_shingles(part["text"].tolist())
                 yield pd.DataFrame({"node": part["node"].to_numpy(), "bands": [bands(x) if len(x) else np.zeros(0, np.int64) for x in seqs]})
 
@@ -143,8 +142,7 @@ def _measured(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
+            for part in slices(pdf, "node_text"):
                 names, where = np.unique(part["pivot"].to_numpy(), return_index=True)
                 heads = dict(zip(names.tolist(), labelled_shingles(part["pivot_text"].iloc[where].tolist())))
                 seqs = labelled_shingles(part["node_text"].tolist())
@@ -194,6 +192,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equal. Texts of fewer than five words are linked only to texts with the same words. Rows with equal
     ids are one node; a row with a null id has a null class. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     keys = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     ids = written(text.select("doc_id", *keys), "ids")

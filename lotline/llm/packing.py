@@ -18,41 +18,102 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotline.llm.common import BROADCAST_ROWS, written
+from lotline.llm.common import BROADCAST_ROWS, slices, small_batches, written
 
 #: Slices over which the documents of one length are ranked.
 SLICES = 64
-#: Entries of the table of chunk ids that a task keeps before it starts anew.
-CACHE = 300_000
+#: Entries of each table of ids that a task keeps before it starts anew.
+CACHE = 250_000
 
 PIECE = "_row long, piece int, start long, length long, ids binary"
 
 
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 letters beyond ASCII as a byte-level tokenizer spells their UTF-8: bytes that print stand
+    for themselves, the others, in order, for the characters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    spelled = {b: chr(b if b in shown else 256 + hidden.index(b)) for b in range(256)}
+    return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(128, 256) if chr(c).isalpha()}
+
+
+#: Marks that end a word and are a token run of their own; not the apostrophe, which may begin a token.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+PROBES = ["word", "WORD", "extraordinarily", "señor", "ÀÉ", "straße", "naïve", "zwölf"]
+
+
+class Chunks:
+    """Ids of chunks, the parts of a text between blanks, as little-endian uint32.
+
+    Most chunks are letters and then marks. If lower-case letters can go straight to the tokenizer's
+    model, which PROBES tell, only what the chunk's letters and marks are made of is encoded, each
+    once; everything else is encoded whole.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.letters = _byte_letters()
+        self.direct = all(self._letters(w) == self._whole([w])[0] == self._whole([w + MARKS])[0][: len(self._letters(w))] for w in PROBES)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _letters(self, word: str) -> bytes:
+        return self._pack([t.id for t in self.tok.model.tokenize(word.lower().translate(self.letters))])
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [self._pack(e.ids) for e in self.tok.encode_batch(chunks, add_special_tokens=False)]
+
+    def _part(self, x: str, make) -> bytes:
+        got = self.parts.get(x)
+        if got is None:
+            got = self.parts[x] = make(x)
+        return got
+
+    def learn(self, new: list[str]) -> None:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        if len(self.parts) > CACHE:
+            self.parts = {"": b""}
+        rest = []
+        for c in new:
+            word = c.rstrip(MARKS)
+            if self.direct and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+                self.known[c] = self._part(word.lower(), self._letters) + self._part(c[len(word) :], lambda x: self._whole([x])[0])
+            else:
+                rest.append(c)
+        for i in range(0, len(rest), 5000):
+            self.known.update(zip(rest[i : i + 5000], self._whole(rest[i : i + 5000])))
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        # ids never depend on what stands beyond white space
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split)
+        new.difference_update(self.known.keys())
+        if new:
+            gone = len(self.known) > CACHE
+            self.learn(list(set().union(*split)) if gone else list(new))
+        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+
+
 def _encode(tokenizer_path: str, capacity: int, end_id: int):
     """A mapInPandas function: rows of (_row, text) to pieces with their ids as little-endian uint32."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer_path)
-        known: dict[str, bytes] = {}
+        chunks = Chunks(tokenizer_path)
         end = struct.pack("<I", end_id)
         step = 4 * capacity
         for pdf in batches:
-            split = [(t or "").replace("\n", " ").split(" ") for t in pdf["text"]]
-            if len(known) > CACHE:
-                known.clear()
-            new = list({c for s in split for c in s} - known.keys())
-            # ids never depend on what stands beyond white space
-            for i in range(0, len(new), 5000):
-                part = new[i : i + 5000]
-                known.update((c, struct.pack(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(part, tok.encode_batch(part, add_special_tokens=False)))
-            out = []
-            for row, chunks in zip(pdf["_row"], split):
-                ids = b"".join([known[c] for c in chunks]) + end
-                out += [(row, k, k * capacity, (min(len(ids), at + step) - at) // 4, ids[at : at + step]) for k, at in enumerate(range(0, len(ids), step))]
-            for i in range(0, len(out), 2000):
-                yield pd.DataFrame(out[i : i + 2000], columns=["_row", "piece", "start", "length", "ids"])
+            for part in slices(pdf, "text"):
+                out = []
+                for row, ids in zip(part["_row"], chunks.ids(part["text"].tolist())):
+                    ids += end
+                    out += [(row, k, k * capacity, (min(len(ids), at + step) - at) // 4, ids[at : at + step]) for k, at in enumerate(range(0, len(ids), step))]
+                yield pd.DataFrame(out, columns=["_row", "piece", "start", "length", "ids"])
 
     return run
 
@@ -64,6 +125,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id
     Repeated rows and null ids are kept, a row each. Other columns are not read.
     """
     schema = PIECE
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").alias("_row"), "text")
     return rows.mapInPandas(_encode(tokenizer_path, capacity, end_id), schema).withColumnRenamed("_row", "doc_id")
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lotline.llm.common import small_batches
+
 # Tags, compressions and type sizes of TIFF 6.0 and its supplements
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
@@ -246,6 +248,7 @@ def stored(docs: DataFrame, *keep: str) -> DataFrame:
     The UTF-8 bytes (null: none) are followed by blanks up to a positive multiple of ROW.
     """
     schema = _schema(docs.select(*keep), "n_bytes long, media binary")
+    small_batches(docs.sparkSession)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

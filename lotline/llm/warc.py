@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm.common import new_path, written
+from lotline.llm.common import new_path, small_batches, written
 
 ARCHIVE_BYTES = 8 << 20
 #: Smaller payloads are never revisits.
@@ -75,6 +75,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
         for data in _chunks(records(), start, b"\n"):
             yield pd.DataFrame({"value": [data]})
 
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
     _write(rows.mapInPandas(make, "value binary"), path, "\n")
 
