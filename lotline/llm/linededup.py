@@ -30,13 +30,16 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def hashes(text: Column, least: int) -> Column:
-    """Per line of ``text``: struct(h1, h2), null where the key is shorter than ``least``."""
+def line_hashes(docs: DataFrame, least: int, *keep: Column | str) -> DataFrame:
+    """Per line of ``docs`` whose key has ``least`` code points: keep, _pos (from 0), h1, h2.
 
-    def one(x: Column) -> Column:
-        return F.when(F.length(x) >= least, F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(1)).alias("h2")))
-
-    return F.transform(lines(text), lambda x: one(key(x)))
+    The length is tested on the bare line, which has as many code points as its key, so that keys are
+    only made of lines that count.
+    """
+    each = docs.select(*keep, F.posexplode(lines(F.col("text"))).alias("_pos", "_line"))
+    each = each.where((F.octet_length("_line") >= least) & (F.length(F.btrim("_line", F.lit(BLANKS))) >= least))
+    k = key(F.col("_line"))
+    return each.withColumn("h1", F.xxhash64(k)).withColumn("h2", F.xxhash64(k, F.lit(1))).drop("_line")
 
 
 class LineRuns:
@@ -64,9 +67,14 @@ class LineRuns:
         return df.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
     def batch(self, docs: DataFrame) -> DataFrame:
-        """One row per line key of ``docs`` (doc_id, text). A line counts once a row of ``docs``."""
-        each = docs.select("doc_id", F.explode(F.array_distinct(F.filter(hashes(F.col("text"), self.least), lambda h: h.isNotNull()))).alias("h"))
-        return each.groupBy("h.h1", "h.h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").cast("long").alias("max_doc"))
+        """One row per line key of ``docs`` (doc_id, text). A line counts once a doc_id; all rows
+        without an id are one document.
+
+        Lines are first made distinct by document, dealt by line and document, so that a line that
+        many documents hold is counted before it comes to one task.
+        """
+        each = line_hashes(docs, self.least, "doc_id").select("h1", "h2", "doc_id").distinct()
+        return each.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").cast("long").alias("max_doc"))
 
     def add(self, docs: DataFrame) -> None:
         """Merge-anti-join a batch with the runs and add it as a run of its own.
@@ -119,7 +127,7 @@ def add_in_batches(runs: LineRuns, docs: DataFrame, batches: int) -> None:
 def drop_lines(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept``, the text of the lines that stay.
 
-    A line whose key has at least ``runs.least`` code points and is held by ``min_docs`` rows or more
+    A line whose key has at least ``runs.least`` code points and is held by ``min_docs`` ids or more
     goes from every row but those of the largest doc_id that holds it. Order and other lines stay as
     they are; a null text is one empty line. Rows equal in id and text are treated alike; rows with a
     null id never hold a line against one that has an id. Columns named like the results are replaced.
@@ -127,8 +135,7 @@ def drop_lines(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped", "kept")
     ident = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t")]
     common = runs.totals().where(F.col("n_docs") >= min_docs)
-    each = docs.select(*ident, F.posexplode(hashes(F.col("text"), runs.least)).alias("_pos", "_h")).where("_h is not null")
-    each = each.select("_id", "_t", "_pos", F.col("_h.h1").alias("h1"), F.col("_h.h2").alias("h2"))
+    each = line_hashes(docs, runs.least, *ident)
     gone = each.join(common, ["h1", "h2"]).where(~F.col("_id").eqNullSafe(F.col("max_doc")))
     gone = gone.groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_gone"))
     mine = docs.withColumn("_text", F.xxhash64("text"))
