@@ -11,11 +11,13 @@ exploded words, which are gathered again without another shuffle.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 16
-#: Ranges of doc_id into which the documents are dealt.
+#: Ranges of doc_id into which the documents are dealt, at least.
 RANGES = 64
 _SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -66,24 +68,45 @@ def likeness(a: Column, b: Column, k: int = SAMPLES) -> Column:
     return sum((F.when(F.substring(a, 6 * i + 1, 6) == F.substring(b, 6 * i + 1, 6), 1.0).otherwise(0.0) for i in range(1, k)), F.when(F.substring(a, 1, 6) == F.substring(b, 1, 6), 1.0).otherwise(0.0)) / k
 
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def _constant(values: list) -> Column:
+    """An array of longs, one literal however long it is; folded before it runs."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _rank_in(c: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are less than ``c``, by halving steps; 0 for null."""
+    if not cuts:
+        return F.lit(0)
+    table = _constant(cuts)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when((at + step <= len(cuts)) & (F.get(table, at + step - 1) < c), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), halve)
+
+
+def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text) dealt in ranges of doc_id, each row knowing the text that follows.
 
     Gives _range, _place, doc_id, text, next_text and _own. Ids ascend, null ids come first, equal ids
     are ordered by text; the first document follows the last. The first row of each range is also
     lent to the range before it (_own is false there), so no range waits for another: the only
-    shuffle is the one that deals the texts.
+    shuffle is the one that deals the texts. There are several ranges to a shuffle partition unless
+    ``ranges`` says how many; the driver gets one id a range.
     """
-    ids = docs.select("doc_id")
-    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100_000)).first()[0] or []))
-    which = lambda c: F.coalesce(F.size(F.filter(F.array(*[F.lit(v) for v in cuts]), lambda v: v < c)), F.lit(0)) if cuts else F.lit(0)
+    ranges = ranges or max(RANGES, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", shares, max(100_000, 10 * ranges))).first()[0] or [])) if shares else []
+    which = lambda c: _rank_in(c, cuts)
     firsts = ids.groupBy(which(F.col("doc_id")).alias("r")).agg(F.min("doc_id").alias("id"), F.max(F.isnull("doc_id")).alias("nulls")).orderBy("r").collect()  # a row per range
-    at = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("_r"))
+    at = lambda values: F.get(_constant([None if v is None else int(v) for v in values]), F.col("_r"))
     known = {f["r"]: (f["id"], f["nulls"], firsts[i - 1]["r"]) for i, f in enumerate(firsts)}
     first, nulls, before = zip(*[known.get(r, (None, False, None)) for r in range(len(cuts) + 1)])
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), which(F.col("doc_id")).cast("int").alias("_r"))
-    lent = F.when(F.when(at(nulls), F.col("doc_id").isNull()).otherwise(F.col("doc_id") == at(first)), at(before))
+    lent = F.when(F.when(at(nulls) == 1, F.col("doc_id").isNull()).otherwise(F.col("doc_id") == at(first)), at(before).cast("int"))
     own = F.struct(F.col("_r").alias("r"), F.lit(0).alias("late"))
     loan = F.struct(F.col("_lent").alias("r"), F.lit(1).alias("late"))
     rows = docs.select("doc_id", "text", "_r", lent.alias("_lent"))
@@ -103,7 +126,7 @@ def _pack_hex(digest: Column, i: int) -> Column:
     return F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
 
 
-def compare_edited(docs: DataFrame, k: int = SAMPLES, ranges: int = RANGES) -> DataFrame:
+def compare_edited(docs: DataFrame, k: int = SAMPLES, ranges: int | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next.
 
