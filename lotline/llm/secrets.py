@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm.common import new_path
+from lotline.llm.common import new_path, written
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ class BlobLedger:
     def join_back(self, versions: DataFrame) -> DataFrame:
         """The columns of ``versions`` but its text, with the findings of each row's blob; one row a
         row, zero counts and empty spans where nothing was found. Clashing columns are replaced."""
-        found = self.findings()
+        found = written(self.findings(), "findings")  # joined as a plain table, of which Spark can split a hot blob
         mine = [c for c in found.columns if c != "blob"]
         paths = versions.withColumn("blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).drop("text", *mine)
         out = paths.join(found, "blob", "left")
