@@ -2,9 +2,10 @@
 
 A document is the sequence of its five-word shingles, each labelled with its occurrence number. A
 sketch takes the TWO labelled shingles with the least hashes and keeps them in text order; BANDS
-bands of ROWS sketches give candidates. Two documents are linked if a banded alignment of their
-labelled shingles finds n1 + n2 - 2 * aligned <= (n1 + n2) / 9, which is a Jaccard similarity of
-0.8 or more that also respects order.
+bands of ROWS sketches give candidates. Labels serve the sketches only. Two documents are linked if a
+banded alignment of their shingles, where any two equal ones may meet, finds
+n1 + n2 - 2 * aligned <= (n1 + n2) / 9, which is a Jaccard similarity of 0.8 or more that also
+respects order.
 
 Equal texts are one node from the start. A group of candidates never meets pair by pair: each bucket
 elects a pivot and every member is aligned with it. The edit distance obeys the triangle
@@ -31,6 +32,8 @@ LINK = 1 / 9
 WIDE = 0.3
 #: Open documents and members of a block.
 OPEN_BLOCK, MEMBER_BLOCK = 64, 256
+#: Up to so many matches a shingle are aligned match by match; bytes of bit masks kept at a time.
+MATCHES, MASK_BYTES = 4, 1 << 25
 
 _M = np.uint64
 
@@ -41,8 +44,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _M(31))
 
 
-def labelled_shingles(texts: list[str]) -> list[np.ndarray]:
-    """Per text the hashes of its labelled shingles, in order (uint64). Words are runs of
+def shingles(texts: list[str]) -> list[np.ndarray]:
+    """Per text the hashes of its shingles, in order (uint64). Words are runs of
     non-blanks in lower case; a text of fewer than five words is one shingle, without words none."""
     split = [(t or "").lower().split() for t in texts]
     flat = np.array([w for s in split for w in s], dtype=object)
@@ -61,19 +64,32 @@ def labelled_shingles(texts: list[str]) -> list[np.ndarray]:
         x = np.full(n, k, _M)
         for j in range(k):
             x = _mix(x * _M(0x9E3779B97F4A7C15) + w[j : j + n])
-        order = np.argsort(x, kind="stable")
-        ordered = x[order]
-        new = np.empty(n, bool)
-        new[0], new[1:] = True, ordered[1:] != ordered[:-1]
-        if not new.all():
-            starts = np.flatnonzero(new)
-            label = np.empty(n, np.int64)
-            label[order] = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-            x = np.where(label > 0, _mix(x + label.astype(_M)), x)
         out.append(x)
     return out
 
 
+def labelled(x: np.ndarray) -> np.ndarray:
+    """The hashes of shingles, each with its occurrence number."""
+    n = len(x)
+    if not n:
+        return x
+    order = np.argsort(x, kind="stable")
+    ordered = x[order]
+    new = np.empty(n, bool)
+    new[0], new[1:] = True, ordered[1:] != ordered[:-1]
+    if new.all():
+        return x
+    starts = np.flatnonzero(new)
+    label = np.empty(n, np.int64)
+    label[order] = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    return np.where(label > 0, _mix(x + label.astype(_M)), x)
+
+
+def labelled_shingles(texts: list[str]) -> list[np.ndarray]:
+    """Per text the hashes of its labelled shingles, in order (uint64)."""
+    return [labelled(x) for x in shingles(texts)]
+
+
 _SALTS = _mix(np.arange(1, ROWS * BANDS + 1, dtype=_M) * _M(0x9E3779B97F4A7C15))
 
 
@@ -101,27 +117,77 @@ def bands(x: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _ends(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements ``a`` and ``b`` have in common from the start."""
+    n = min(len(a), len(b))
+    other = a[:n] != b[:n]
+    return int(other.argmax()) if other.any() else n
+
+
+def _rising(places: np.ndarray) -> int:
+    """Length of the longest rising run among ``places``."""
+    if len(places) < 2 or (np.diff(places) > 0).all():
+        return len(places)
+    tails: list[int] = []
+    for p in places.tolist():
+        k = bisect_left(tails, p)
+        if k == len(tails):
+            tails.append(p)
+        else:
+            tails[k] = p
+    return len(tails)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, bit-parallel (Hyyro, 2004): for sequences with so many
+    matches that they cannot be listed."""
+    if len(a) > len(b):
+        a, b = b, a
+    m = len(b)
+    order = np.argsort(b, kind="stable")
+    ends = np.searchsorted(b[order], np.arange(int(max(a.max(), b.max())) + 2))
+    masks: dict[int, int] = {}
+    full = v = (1 << m) - 1
+    for s in a.tolist():
+        mask = masks.get(s)
+        if mask is None:
+            bits = np.zeros(m, np.uint8)
+            bits[order[ends[s] : ends[s + 1]]] = 1
+            mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if len(masks) * m < 8 * MASK_BYTES:
+                masks[s] = mask
+        u = v & mask
+        v = ((v + u) | (v - u)) & full
+    return m - v.bit_count()
+
+
 def distance(a: np.ndarray, b: np.ndarray, limit: float) -> int:
-    """Insertions and deletions that turn ``a`` into ``b``, both of distinct labels, by an alignment in
-    the band |i - j| <= limit; exact up to ``limit``, else some larger number."""
-    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(a) + len(b) - 2 * len(ia) > limit:
-        return len(a) + len(b) - 2 * len(ia)
-    near = np.abs(ia - ib) <= limit
-    ia, ib = ia[near], ib[near]
-    places = ib[np.argsort(ia, kind="stable")]
-    if len(places) > 1 and (np.diff(places) > 0).all():
-        run = len(places)
-    else:
-        tails: list[int] = []
-        for p in places.tolist():
-            k = bisect_left(tails, p)
-            if k == len(tails):
-                tails.append(p)
-            else:
-                tails[k] = p
-        run = len(tails)
-    return len(a) + len(b) - 2 * run
+    """Insertions and deletions that turn ``a`` into ``b``, by an alignment in the band
+    |i - j| <= limit; exact up to ``limit``, else some larger number."""
+    both = len(a) + len(b)
+    start = _ends(a, b)
+    a, b = a[start:], b[start:]
+    end = _ends(a[::-1], b[::-1])
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    both -= 2 * (start + end)
+    if not len(a) or not len(b):
+        return both
+    names, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ids[: len(a)], ids[len(a) :]
+    n_x, n_y = np.bincount(x, minlength=len(names)), np.bincount(y, minlength=len(names))
+    least = both - 2 * int(np.minimum(n_x, n_y).sum())
+    if least > limit:
+        return least
+    n = n_y[x]  # matches of each element of a
+    matches = int(n.sum())
+    if matches > MATCHES * both:
+        return both - 2 * _common(x[n > 0], y[n_x[y] > 0])
+    # by place in a, the latest place in b first: a rising run takes one match of each element at most
+    last = np.cumsum(n_y)[x] - 1
+    back = np.arange(matches) - np.repeat(np.cumsum(n) - n, n)
+    places = np.argsort(y, kind="stable")[np.repeat(last, n) - back]
+    near = np.abs(np.repeat(np.arange(len(x)), n) - places) <= limit
+    return both - 2 * _rising(places[near])
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
@@ -144,8 +210,8 @@ def _measured(pairs: DataFrame) -> DataFrame:
         for pdf in batches:
             for part in slices(pdf, "node_text"):
                 names, where = np.unique(part["pivot"].to_numpy(), return_index=True)
-                heads = dict(zip(names.tolist(), labelled_shingles(part["pivot_text"].iloc[where].tolist())))
-                seqs = labelled_shingles(part["node_text"].tolist())
+                heads = dict(zip(names.tolist(), shingles(part["pivot_text"].iloc[where].tolist())))
+                seqs = shingles(part["node_text"].tolist())
                 rows = []
                 for p, q, y in zip(part["pivot"].tolist(), part["node"].tolist(), seqs):
                     x = heads[p]
@@ -159,7 +225,7 @@ def _measured(pairs: DataFrame) -> DataFrame:
 
 def _block_links(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of one block: open documents against members of the same pivot."""
-    seqs = dict(zip(pdf["node"].tolist(), labelled_shingles(pdf["text"].tolist())))
+    seqs = dict(zip(pdf["node"].tolist(), shingles(pdf["text"].tolist())))
     info = {r.node: (r.d, r.far, r.n, r.root) for r in pdf.itertuples(index=False)}
     opens, members = pdf.loc[pdf["is_open"], "node"].unique().tolist(), pdf.loc[~pdf["is_open"], "node"].unique().tolist()
     size = {k: len(v) for k, v in seqs.items()}

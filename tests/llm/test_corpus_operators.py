@@ -249,6 +249,43 @@ def test_order_matters():
     assert (omh.bands(a) == omh.bands(a)).all()
 
 
+def brute_distance(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(old[j] + 1 if x == y else max(old[j + 1], row[j]))
+    return len(a) + len(b) - 2 * row[-1]
+
+
+@pytest.mark.parametrize("letters", [2, 8, 40, 1000])
+def test_distance_is_that_of_brute_force(letters):
+    rng = random.Random(letters)
+    for _ in range(60):
+        a = [rng.randrange(letters) for _ in range(rng.randint(0, 120))]
+        b = [x for x in a if rng.random() < 0.9] + [rng.randrange(letters) for _ in range(rng.randint(0, 5))]
+        if rng.random() < 0.3:
+            rng.shuffle(b)
+        want = brute_distance(a, b)
+        for limit in (want, want + 7, 1000, want / 2):
+            got = omh.distance(np.array(a, np.uint64), np.array(b, np.uint64), limit)
+            assert got == want if want <= limit else got > limit
+
+
+def test_near_duplicates_with_a_recurring_line(spark):
+    """A line that recurs between passages of their own: without its first occurrence, the others still align."""
+    rng = random.Random(12)
+    line = " ".join(f"sign{i}" for i in range(20))
+    passages = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(80)) for _ in range(10)]
+    whole = "\n".join(f"{line}\n{p}" for p in passages)
+    texts = [whole, whole[len(line) + 1 :], "\n".join(passages)]
+    a, b, c = omh.shingles(texts)
+    assert omh.distance(a, b, omh.WIDE * (len(a) + len(b))) == brute_distance(a.tolist(), b.tolist()) == 20
+    assert omh.distance(a, c, len(a) + len(c)) == brute_distance(a.tolist(), c.tolist()) > omh.LINK * (len(a) + len(c))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in omh.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def test_near_duplicates_edges(docs, empty):
     out = omh.near_duplicates(docs).collect()
     assert len(out) == docs.count()
