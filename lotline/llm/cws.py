@@ -6,7 +6,8 @@ a = c * exp(-r * (n - b + 1)) is least, together with n. Two documents agree in
 probability equal to their generalised Jaccard similarity, sum(min w) / sum(max w).
 
 Only built-in column functions are used: the gamma variables and the minimum are compiled code over
-exploded words, which are gathered again without another shuffle.
+exploded words, which are gathered again without another shuffle. A sample of a word depends on the
+word and its weight alone, so within a range of documents all samples are made once per word and weight.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 16
+SAMPLES = 64
+#: Samples that are columns of one row: compiled code for more of them is too long to be made fast.
+BLOCK = 8
 #: Ranges of doc_id into which the documents are dealt, at least.
 RANGES = 64
 _SPLIT = r"[\x20\x09-\x0D]+"
@@ -33,8 +36,8 @@ def bags(text: Column) -> Column:
     return F.when(line != "", groups)
 
 
-def _sample(term: Column, lnw: Column, i: int) -> Column:
-    h1, h2 = F.xxhash64(term, F.lit(3 * i)), F.xxhash64(term, F.lit(3 * i + 1))
+def _sample(term: Column, lnw: Column, i: Column) -> Column:
+    h1, h2 = F.xxhash64(term, 3 * i), F.xxhash64(term, 3 * i + 1)
     part = lambda h, shift: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 21) - 1)) + 0.5) / float(1 << 21)
     r = -F.log(part(h1, 43) * part(h1, 22))
     c = -F.log(part(h2, 43) * part(h2, 22))
@@ -45,16 +48,29 @@ def _sample(term: Column, lnw: Column, i: int) -> Column:
     return F.shiftleft(((F.greatest(F.least(ln_a, F.lit(500.0)), F.lit(-500.0)) + 512.0) * float(1 << 29)).cast("long"), 24).bitwiseOR(name)
 
 
-def signatures(rows: DataFrame, by: list[str], text: str, k: int = SAMPLES) -> DataFrame:
-    """Per ``by`` the samples s0 .. s(k-1) of the words of ``text``; null where there is no word.
+def signatures(rows: DataFrame, near: str, by: list[str], keep: list[str], text: str, k: int = SAMPLES) -> DataFrame:
+    """Per ``near`` and ``by``: ``keep`` and ``fingerprint``, the samples of the words of ``text``.
 
-    ``rows`` should be hash-dealt by a column of ``by``, then nothing is shuffled again. Rows that
-    share ``by`` are one document.
+    There is one row per ``near`` and ``by``; ``keep`` are longs without nulls. Samples are shared by the
+    rows of equal ``near``, by which ``rows`` should be hash-dealt: then nothing is shuffled again.
     """
-    each = rows.select(*by, F.explode_outer(bags(F.coalesce(F.col(text), F.lit("")))).alias("_group"))
+    each = rows.select(near, *by, *keep, F.posexplode_outer(bags(F.coalesce(F.col(text), F.lit("")))).alias("_at", "_group"))
     word = F.substring_index("_group", " ", 1)
-    each = each.select(*by, F.xxhash64(word).alias("_term"), F.log((F.length("_group") + 1.0) / (F.length(word) + 1.0)).alias("_lnw"))
-    return each.groupBy(*by).agg(*[F.min(F.when(F.col("_lnw").isNotNull(), _sample(F.col("_term"), F.col("_lnw"), i))).alias(f"s{i}") for i in range(k)])
+    weight = F.when(F.col("_group").isNotNull(), F.log((F.length("_group") + 1.0) / (F.length(word) + 1.0)))
+    # what is kept travels with one word of a text
+    kept = F.when(F.coalesce("_at", F.lit(0)) == 0, F.struct(*keep))
+    each = each.select(near, F.xxhash64(word).alias("_term"), weight.alias("_lnw"), F.struct(*by, kept.alias("_kept")).alias("_doc"))
+    words = each.groupBy(near, "_term", "_lnw").agg(F.collect_list("_doc").alias("_docs"))
+    words = words.select("*", F.explode(F.array(*[F.lit(i) for i in range(0, k, BLOCK)])).alias("_from"))
+    names = [f"s{i}" for i in range(min(k, BLOCK))]
+    some = [_sample(F.col("_term"), F.coalesce("_lnw", F.lit(0.0)), F.col("_from") + i).alias(s) for i, s in enumerate(names)]
+    each = words.select(near, "_from", "_docs", F.isnull("_lnw").alias("_none"), *some).select(near, "_from", "_none", *names, F.explode("_docs").alias("_doc"))
+    each = each.select(near, "_from", *[F.col(f"_doc.{c}").alias(c) for c in by], *[F.col(f"_doc._kept.{c}").alias(c) for c in keep], "_none", *names)
+    parts = each.groupBy(near, *by, "_from").agg(*[F.min(c).alias(c) for c in [*keep, "_none", *names]])
+    empty = F.lit("-" * 6 * len(names))
+    parts = parts.select(near, *by, *keep, "_from", F.when(F.col("_none"), empty).otherwise(fingerprint(len(names))).alias("_f"))
+    whole = F.concat(*[F.max(F.when(F.col("_from") == i, F.col("_f"))) for i in range(0, k, BLOCK)])
+    return parts.groupBy(near, *by).agg(*[F.min(c).alias(c) for c in keep], F.substring(whole, 1, 6 * k).alias("fingerprint"))
 
 
 def fingerprint(k: int = SAMPLES, prefix: str = "s") -> Column:
@@ -65,7 +81,8 @@ def fingerprint(k: int = SAMPLES, prefix: str = "s") -> Column:
 
 def likeness(a: Column, b: Column, k: int = SAMPLES) -> Column:
     """Share of samples in which two fingerprints agree: an estimate of generalised Jaccard."""
-    return sum((F.when(F.substring(a, 6 * i + 1, 6) == F.substring(b, 6 * i + 1, 6), 1.0).otherwise(0.0) for i in range(1, k)), F.when(F.substring(a, 1, 6) == F.substring(b, 1, 6), 1.0).otherwise(0.0)) / k
+    at = lambda x, i: F.substring(x, 6 * i + 1, F.lit(6))
+    return F.size(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: at(a, i) == at(b, i))) / k
 
 
 def _constant(values: list) -> Column:
@@ -138,18 +155,18 @@ def compare_edited(docs: DataFrame, k: int = SAMPLES, ranges: int | None = None)
     # the digest travels as numbers, which a hash aggregation keeps in place
     sha = F.sha2(F.col("_edited"), 256)
     rows = rows.withColumn("_edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("_range", "_place", F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_null"), "_own", F.length("text").cast("long").alias("n_chars"), sha.alias("_sha"), "text", "_edited")
+    rows = rows.select("_range", "_place", F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").cast("long").alias("_null"), F.col("_own").cast("long").alias("_own"), F.length("text").cast("long").alias("n_chars"), sha.alias("_sha"), "text", "_edited")
     both = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("_edited").alias("t")))
     keep = ["_range", "_place", "_id", "_null", "_own", "n_chars", *[f"_d{i}" for i in range(8)]]
     rows = rows.select(*keep[:6], *[_pack_hex(F.col("_sha"), i).alias(f"_d{i}") for i in range(8)], F.explode(both).alias("_x"))
-    rows = rows.where(F.col("_own") | (F.col("_x.v") == 0)).select(*keep, F.col("_x.v").alias("_v"), F.col("_x.t").alias("_t"))
-    sig = signatures(rows, [*keep, "_v"], "_t", k).select(*keep, "_v", fingerprint(k).alias("_f"))
+    rows = rows.where((F.col("_own") == 1) | (F.col("_x.v") == 0)).select(*keep, F.col("_x.v").alias("_v"), F.col("_x.t").alias("_t"))
+    sig = signatures(rows, "_range", ["_place", "_v"], keep[2:], "_t", k).withColumnRenamed("fingerprint", "_f")
     first = lambda v: F.max(F.when(F.col("_v") == v, F.col("_f")))
     two = sig.groupBy(*keep).agg(first(0).alias("fingerprint"), first(1).alias("edited_fingerprint"))
     order = Window.partitionBy("_range").orderBy("_place")
-    two = two.withColumn("_next", F.lead("fingerprint").over(order)).where("_own")
+    two = two.withColumn("_next", F.lead("fingerprint").over(order)).where("_own = 1")
     digest = F.concat(*[F.lower(F.lpad(F.hex(f"_d{i}"), 8, "0")) for i in range(8)])
     return two.select(
-        F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), "n_chars", digest.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        F.when(F.col("_null") == 0, F.col("_id")).alias("doc_id"), "n_chars", digest.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), k).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next"), k).alias("near_next"),
     )

@@ -436,6 +436,19 @@ def test_fingerprints_estimate_jaccard(spark):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
 
 
+def test_fingerprints_of_the_query_estimate_jaccard(spark):
+    """At the samples of the query, texts replaced by half are seldom off by 0.2."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{rng.choice(WORDS)}{i // 2}" for _ in range(rng.randint(50, 200)))) for i in range(150)]
+    out = {r["doc_id"]: r for r in cws.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {len(r["fingerprint"]) for r in out.values()} == {6 * cws.SAMPLES}
+    errors = []
+    for i, (d, t) in enumerate(rows):
+        h = len(t) // 2
+        errors.append(out[d]["near_edited"] - jaccard(t, t[: len(t) - h] + rows[(i + 1) % len(rows)][1][:h]))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08 and np.mean(np.abs(errors) >= 0.2) < 0.02
+
+
 def test_equal_texts_have_equal_fingerprints(docs):
     out = cws.compare_edited(docs).collect()
     assert len(out) == docs.count()
