@@ -40,28 +40,36 @@ KNOWN = (
 
 COPYRIGHT = r"^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 OTHER = r"[^\p{L}\p{N}\n]+"
+#: In a wrapped licence text a line can begin with 'copyright' without being a notice.
+PROSE = r"(?![^\p{L}\p{N}\n]*(?:$|(?:notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|and|or|in|of|to|is|as)\b))"
+NOTICE = COPYRIGHT.replace("(copyright|", "(copyright" + PROSE + "|")
 
 
-def canonical_lines(text: Column) -> Column:
-    """The text normalised, its lines kept apart by line feeds; null counts as empty."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    owned = F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("(c)")) | F.contains(t, F.lit("©")) | F.contains(t, F.lit("all rights reserved"))
-    t = F.when(owned, F.regexp_replace(t, "(?md)" + COPYRIGHT, "")).otherwise(t)
-    t = F.regexp_replace(t, OTHER, " ")
+def _spelled(t: Column) -> Column:
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
     return t
 
 
+def plain_lines(text: Column) -> Column:
+    """The text without case, punctuation and notices, its lines kept apart by line feeds; null counts
+    as empty."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    owned = F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("(c)")) | F.contains(t, F.lit("©")) | F.contains(t, F.lit("all rights reserved"))
+    t = F.when(owned, F.regexp_replace(t, "(?md)" + NOTICE, "")).otherwise(t)
+    return F.regexp_replace(t, OTHER, " ")
+
+
 def canonical(lines: Column) -> Column:
-    """The whole of canonical_lines() on one line."""
-    return F.trim(F.regexp_replace(F.replace(lines, F.lit("\n"), F.lit(" ")), "  +", " "))
+    """The whole of plain_lines() on one line; lines are joined before spellings are replaced, so that
+    it does not matter where they wrap."""
+    return F.trim(_spelled(F.regexp_replace(F.replace(lines, F.lit("\n"), F.lit(" ")), "  +", " ")))
 
 
 def digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """license_id, digest and number of characters of the known texts, one row per digest."""
     rows = spark.createDataFrame(list(known), "license_id string, text string")
-    text = canonical(canonical_lines(F.col("text")))
+    text = canonical(plain_lines(F.col("text")))
     return rows.groupBy(F.sha2(text, 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.length(text)).alias("n"))
 
 
@@ -77,9 +85,9 @@ def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFra
     found = table.collect()  # likewise
     longest = max((r["n"] for r in found), default=0)
     by_digest = F.create_map(*[F.lit(x) for r in found for x in (r["digest"], r["license_id"])])
-    lines = F.filter(F.transform(F.split("_lines", "\n", -1), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & (F.length(x) <= longest))
+    lines = F.filter(F.transform(F.split(_spelled(F.col("_lines")), "\n", -1), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & (F.length(x) <= longest))
     ids = F.filter(F.transform(lines, lambda x: F.element_at(by_digest, F.sha2(x, 256))), lambda x: x.isNotNull())
-    rows = docs.select("doc_id", canonical_lines(F.col("text")).alias("_lines"))
+    rows = docs.select("doc_id", plain_lines(F.col("text")).alias("_lines"))
     rows = rows.select("doc_id", F.sha2(canonical(F.col("_lines")), 256).alias("canonical_sha256"), F.array_join(F.array_sort(F.array_distinct(ids)), ",").alias("notices"))
     return rows.join(whole, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id", "notices")
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -560,6 +561,14 @@ def test_licences(spark, docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+def test_licences_may_wrap_anywhere(spark):
+    texts = [(k, t) for k, t in licenses.KNOWN if len(t) > 200]
+    notice = "Copyright (c) 2020 Some Body\nCopyright Some Body Inc.\nAll rights reserved.\n\n"
+    rows = [(i * 1000 + w, notice + "\n".join(textwrap.fill(x, w) for x in t.split("\n"))) for i, (_, t) in enumerate(texts) for w in (20, 40, 60, 66, 72, 76, 80, 100)]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and [r["doc_id"] for r in out if r["license_id"] != texts[r["doc_id"] // 1000][0]] == []
+
+
 # --- lines
 
 
