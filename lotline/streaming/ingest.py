@@ -1,8 +1,9 @@
-"""Continuous ingest: micro-batches of auctions into auction and participation tables.
+"""Continuous ingest: micro-batches of auctions into a table of auctions.
 
 Each batch is cleaned, reduced to the last write per auction and appended under its batch number;
 a batch that is run again replaces its own files, so delivery is exactly once. Readers fold what
-batches wrote by event time, so late and repeated events do no harm.
+batches wrote by event time, so late and repeated events do no harm. Bids, participations, the archive
+and the player index are not written per batch.
 """
 
 from __future__ import annotations
@@ -47,8 +48,9 @@ def current(spark: SparkSession, path: str) -> DataFrame:
 
 
 def retrofit_stream(sold: DataFrame, unsold: DataFrame, days: int = 14) -> DataFrame:
-    """Sold events completed from earlier unsold ones, as a stream-stream interval join; state older
-    than ``days`` is dropped by the watermark."""
+    """Sold events with the start_ts of unsold ones of equal uuid, as a stream-stream interval join; state
+    older than ``days`` is dropped by the watermark. Tags are not compared, other fields are not completed.
+    No query calls it."""
     a = sold.withWatermark("end_ts", f"{days} days").alias("a")
     b = unsold.withWatermark("end_ts", f"{days} days").select(F.col("uuid").alias("_uuid"), F.col("end_ts").alias("_end"), F.col("start_ts").alias("_start")).alias("b")
     near = F.expr(f"uuid = _uuid AND _end > end_ts - INTERVAL '{days}' DAY AND _end < end_ts + INTERVAL '{days}' DAY")
