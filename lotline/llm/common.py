@@ -3,6 +3,7 @@ and connected components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,10 +22,14 @@ SALTS = 32
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (a local session, as in tests), a temporary folder is set once.
+    Where a local session has none, as in tests, a temporary folder is set once. On a cluster that
+    would be a folder of one machine, so a session there must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="lotline-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -42,6 +47,53 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete work folders that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Work tables of one operator in a folder of their own, deleted together when its result is written.
+
+    ``with Scratch(spark, name) as at: ... return at.result(df)``: the result stays in the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path, self.made = spark, name, new_path(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        removed(self.spark, self.path)
+
+    def folder(self, name: str) -> str:
+        self.made += 1
+        return f"{self.path}/{name}-{self.made}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.folder(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return written(df, self.name)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Let Python workers get ``rows`` rows at a time unless the session says otherwise: texts are long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

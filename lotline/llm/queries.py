@@ -112,8 +112,8 @@ ORACLES = {
     "op7_legacy_archives": f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 g AS (SELECT d, max(page_id) AS best FROM p WHERE n >= {warc.REVISIT_BYTES} GROUP BY d)
-SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN best <> page_id THEN best END AS refers_to
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN best IS DISTINCT FROM page_id AND g.d IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN best IS DISTINCT FROM page_id THEN best END AS refers_to
 FROM p LEFT JOIN g ON p.d = g.d AND n >= {warc.REVISIT_BYTES}""",
     "op9_licenses": licenses.scan_sql(),
     "op10_line_dedup": f"""
