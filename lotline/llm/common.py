@@ -7,12 +7,15 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Rows = TypeVar("Rows", pd.DataFrame, pa.RecordBatch)
 #: Rows up to which a narrow table counts as small enough to broadcast.
 BROADCAST_ROWS = 50_000
 #: Copies of a table that is joined with a skewed one and is too large to broadcast.
@@ -101,14 +104,14 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(name, str(rows))
 
 
-def slices(pdf: pd.DataFrame, column: str, chars: int = 1 << 20) -> Iterator[pd.DataFrame]:
-    """Parts of a batch of about ``chars`` characters of ``column``, a text of any length whole: what a
-    worker makes of a text is many times its size."""
-    upto = np.cumsum([len(t) if t is not None else 0 for t in pdf[column]])
+def slices(rows: Rows, texts: list[str | None], chars: int = 1 << 20) -> Iterator[Rows]:
+    """Parts of a batch of about ``chars`` characters of its ``texts``, a text of any length whole: what
+    a worker makes of a text is many times its size."""
+    upto = np.cumsum([len(t) if t is not None else 0 for t in texts])
     cuts = np.flatnonzero(np.diff(upto // chars)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+    for a, b in zip([0, *cuts], [*cuts, len(texts)]):
         if b > a:
-            yield pdf.iloc[a:b]
+            yield rows.iloc[a:b] if isinstance(rows, pd.DataFrame) else rows.slice(a, b - a)
 
 
 def unit(*cols: Column | str, seed: int = 0) -> Column:

@@ -195,7 +195,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part in slices(pdf, "text"):
+            for part in slices(pdf, pdf["text"].tolist()):
                 seqs = labelled_shingles(part["text"].tolist())
                 yield pd.DataFrame({"node": part["node"].to_numpy(), "bands": [bands(x) if len(x) else np.zeros(0, np.int64) for x in seqs]})
 
@@ -208,7 +208,7 @@ def _measured(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part in slices(pdf, "node_text"):
+            for part in slices(pdf, pdf["node_text"].tolist()):
                 names, where = np.unique(part["pivot"].to_numpy(), return_index=True)
                 heads = dict(zip(names.tolist(), shingles(part["pivot_text"].iloc[where].tolist())))
                 seqs = shingles(part["node_text"].tolist())

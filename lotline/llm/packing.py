@@ -1,31 +1,40 @@
 """Packing token sequences: bulk-synchronous best fit.
 
-Sizes are whole numbers up to the capacity, so documents and gaps that are range-sorted by size fall
-into at most ``capacity`` runs of equal size, however many there are. A round matches every run of
-documents with its successor among the runs of gaps (the smallest gap that holds it), longest
-documents first; where several runs meet in one, ranks decide; gaps shrink and the next round sweeps
-what is left. The rounds exchange run lengths only. Documents are ranked within their run by Spark,
-dealt over ``SLICES`` slices a run, and each finds its place by an interval join on its rank.
+Documents and gaps are sorted by size into runs of equal size. A round sweeps from the largest size
+down: every document, longest first, takes the smallest gap that holds it and that no longer one has
+taken. In the order of that sweep gaps open and documents close like brackets, so running sums over
+the runs give each gap and each document its rank, the depth at which it opens or closes, and a
+document meets the gap before it at the same rank. Gaps shrink and the next round sweeps what is left,
+until no document is. Runs are cut into slices of ``SLICE`` rows, so a size that many share is dealt
+out; no rank has more rows than there are sizes. The driver sees a few sums a round.
+
+It starts from as many empty sequences as the tokens fill. Where there are many documents to a gap,
+some of one length are placed as one unit, which saves rounds. If no gap holds what is left, as many
+sequences as that fills are added.
 """
 
 from __future__ import annotations
 
-import bisect
+import functools
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lotline.llm.common import BROADCAST_ROWS, slices, small_batches, written
+from lotline.llm.common import Scratch, join_small, slices, small_batches
 
-#: Slices over which the documents of one length are ranked.
-SLICES = 64
+#: Documents or gaps of one size that one task ranks, at most about.
+SLICE = 250_000
+#: Documents to a gap beyond which some of one length are placed as one unit.
+PER_GAP = 2
+UNIT = "struct<length: bigint, slice: bigint, nth: bigint, k: bigint>"
 #: Entries of each table of ids that a task keeps before it starts anew.
 CACHE = 250_000
 
-PIECE = "_row long, piece int, start long, length long, ids binary"
+PIECE = "piece int, start long, length long, ids binary"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -100,118 +109,119 @@ class Chunks:
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
-def _encode(tokenizer_path: str, capacity: int, end_id: int):
-    """A mapInPandas function: rows of (_row, text) to pieces with their ids as little-endian uint32."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks = Chunks(tokenizer_path)
-        end = struct.pack("<I", end_id)
-        step = 4 * capacity
-        for pdf in batches:
-            for part in slices(pdf, "text"):
-                out = []
-                for row, ids in zip(part["_row"], chunks.ids(part["text"].tolist())):
-                    ids += end
-                    out += [(row, k, k * capacity, (min(len(ids), at + step) - at) // 4, ids[at : at + step]) for k, at in enumerate(range(0, len(ids), step))]
-                yield pd.DataFrame(out, columns=["_row", "piece", "start", "length", "ids"])
-
-    return run
-
-
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, piece, start, length, ids (little-endian uint32).
 
     A null or empty text is just the end id. Only documents of more than ``capacity`` ids are cut.
-    Repeated rows and null ids are kept, a row each. Other columns are not read.
+    Repeated rows and null ids are kept, a row each; ids of any type and size come back as they are.
+    Other columns are not read.
     """
-    schema = PIECE
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").alias("_row"), "text")
-    return rows.mapInPandas(_encode(tokenizer_path, capacity, end_id), schema).withColumnRenamed("_row", "doc_id")
-
+    names = ["piece", "start", "length", "ids"]
 
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Placements of runs: (length, first rank, last rank + 1, first sequence, offset).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = Chunks(tokenizer_path)
+        end, step = struct.pack("<I", end_id), 4 * capacity
+        for batch in batches:
+            for part in slices(batch, batch.column(1).to_pylist()):
+                which, out = [], []
+                for row, ids in enumerate(chunks.ids(part.column(1).to_pylist())):
+                    ids += end
+                    which += [row] * -(-len(ids) // step)
+                    out += [(k, k * capacity, (min(len(ids), at + step) - at) // 4, ids[at : at + step]) for k, at in enumerate(range(0, len(ids), step))]
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), *columns], names=["doc_id", *names])
 
-    ``counts``: documents by length, at most ``capacity`` entries; full ones are left out. What is
-    kept is one entry per run of gaps, as long as gaps that were filled alike stay one run.
-    """
-    left = {n: c for n, c in counts.items() if 0 < n < capacity and c}
-    ranks = dict.fromkeys(left, 0)
-    gaps: dict[int, list[tuple[int, int]]] = {}  # by gap: runs of (first sequence, count)
-    sizes: list[int] = []  # sorted gaps
-    out, sequences = [], 0
-
-    def put(gap: int, first: int, count: int) -> None:
-        if gap and count:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, count))
-
-    def place(n: int, first: int, count: int, gap: int) -> None:
-        out.append((n, ranks[n], ranks[n] + count, first, capacity - gap))
-        ranks[n] += count
-        left[n] -= count
-        put(gap - n, first, count)
-
-    while left:
-        # new sequences: one for each of the longest that nothing holds
-        top = max(left)
-        if not sizes or sizes[-1] < top:
-            opened = [n for n in left if n > max(capacity // 2, sizes[-1] if sizes else 0)] or [top]
-            for n in sorted(opened, reverse=True):
-                need = left[n] if n > capacity // 2 else -(-left[n] // (capacity // n))
-                first, sequences = sequences, sequences + need
-                place(n, first, need, capacity)
-        left = {n: c for n, c in left.items() if c}
-        # one sweep: every run goes to its successor, longest first
-        for n in sorted(left, reverse=True):
-            while left[n]:
-                i = bisect.bisect_left(sizes, n)
-                if i == len(sizes):
-                    break
-                gap = sizes[i]
-                first, count = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap]
-                    sizes.pop(i)
-                used = min(count, left[n])
-                put(gap, first + used, count - used)
-                place(n, first, used, gap)
-            if left[n]:  # nothing holds the rest: open sequences before shorter ones take the gaps
-                break
-        left = {n: c for n, c in left.items() if c}
-    return out
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, StructType(rows.schema.fields[:1] + StructType.fromDDL(PIECE).fields))
+
+
+def _sliced(rows: DataFrame, size: str, by: Column) -> DataFrame:
+    """``rows`` with ``slice``: a part of at most about SLICE of the rows of a ``size``. There are no
+    more sizes than the capacity, which bounds what is broadcast."""
+    parts = rows.groupBy(size).agg(F.ceil(F.count("*") / SLICE).alias("_parts"))
+    return rows.join(F.broadcast(parts), size).withColumn("slice", F.pmod(F.xxhash64(by), F.col("_parts"))).drop("_parts")
+
+
+def _round(at: Scratch, docs: DataFrame, gaps: DataFrame, capacity: int, left: int) -> tuple[DataFrame, DataFrame] | None:
+    """One sweep of ``docs`` (length, slice, n, done: runs of documents and how many of each have a place)
+    over ``gaps`` (seq, gap): the runs after it, and the gaps after it with what each took. None if no gap
+    holds any document."""
+    found = gaps.agg(F.count("*"), F.max("gap")).first()
+    if not found[0]:
+        return None
+    k = F.greatest(F.least(F.floor(F.lit(left / (PER_GAP * found[0]))), F.floor(F.lit(found[1]) / F.col("length")), F.col("n")), F.lit(1)).cast("long")
+    docs = docs.withColumn("k", k).withColumn("units", F.when(F.col("length") <= found[1], F.floor(F.col("n") / F.col("k"))).otherwise(0).cast("long"))
+    sliced = _sliced(gaps, "gap", F.col("seq"))
+    opening = sliced.groupBy("gap", "slice").agg(F.count("*").alias("change"))
+    none = F.lit(None).cast("long")
+    events = opening.select(F.col("gap").alias("size"), F.lit(0).alias("kind"), "slice", "change", none.alias("length"), none.alias("n"), none.alias("done"), none.alias("k"))
+    events = events.unionByName(docs.select((F.col("length") * F.col("k")).alias("size"), F.lit(1).alias("kind"), "slice", (-F.col("units")).alias("change"), "length", "n", "done", "k"))
+    # a row per run: the number of sizes, and one for each SLICE rows beyond
+    order = Window.orderBy(F.col("size").desc(), "kind", "slice", "length")
+    runs = events.withColumn("_sum", F.sum("change").over(order)).withColumn("_low", F.least(F.min("_sum").over(order), F.lit(0)))
+    runs = runs.withColumn("after", F.col("_sum") - F.col("_low")).withColumn("before", F.coalesce(F.lag("after").over(order), F.lit(0).cast("long")))
+    runs = at.written(runs.drop("_sum", "_low"), "runs")
+
+    nth = F.row_number().over(Window.partitionBy("gap", "slice").orderBy("seq"))
+    start = at.written(runs.where("kind = 0").select(F.col("size").alias("gap"), "slice", "before"), "gap-runs")
+    opened = join_small(sliced, start, ["gap", "slice"], F.col("seq")).select((F.col("before") + nth).alias("rank"), F.col("gap").alias("size"), F.lit(0).alias("kind"), "seq", F.lit(None).cast(UNIT).alias("unit"))
+    taken = runs.where("kind = 1 and before > after").repartition(int(at.spark.conf.get("spark.sql.shuffle.partitions")), "length", "slice")
+    taken = taken.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("before") - F.col("after") - 1)))
+    unit = F.struct("length", "slice", (F.col("done") + F.col("_i") * F.col("k")).alias("nth"), "k").cast(UNIT)
+    closed = taken.select((F.col("before") - F.col("_i")).alias("rank"), "size", F.lit(1).alias("kind"), none.alias("seq"), unit.alias("unit"))
+    sweep = Window.partitionBy("rank").orderBy(F.col("size").desc(), "kind")
+    met = opened.unionByName(closed).withColumn("unit", F.lead("unit").over(sweep)).where("kind = 0")
+    used = F.coalesce(F.col("unit.length") * F.col("unit.k"), F.lit(0))
+    gaps = at.written(met.select("seq", (F.col("size") - used).alias("gap"), "unit.*", (F.lit(capacity) - F.col("size")).alias("offset")), "gaps")
+    placed = (F.col("before") - F.col("after")) * F.col("k")
+    docs = at.written(runs.where("kind = 1").select("length", "slice", (F.col("n") - placed).alias("n"), (F.col("done") + placed).alias("done")), "documents")
+    return docs, gaps
+
+
+def _places(at: Scratch, docs: DataFrame, capacity: int) -> DataFrame:
+    """Places for ``docs`` (length, slice, n): per document, the nth of its run, seq and offset."""
+    docs = docs.withColumn("done", F.lit(0).cast("long"))
+    rounds, gaps, opened, before = [], None, 0, None
+    while True:
+        left, tokens, least = docs.where("n > 0").agg(F.sum("n"), F.sum(F.col("n") * F.col("length")), F.min("length")).first()
+        if not left:
+            break
+        if gaps is None or left == before:
+            new = -(-tokens // capacity)
+            fresh = at.spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+            gaps, opened = fresh if gaps is None else fresh.unionByName(gaps.select("seq", "gap")), opened + new
+        before = left
+        swept = _round(at, docs.where("n > 0"), gaps.select("seq", "gap").where(F.col("gap") >= least), capacity, left)
+        if swept:
+            docs, gaps = swept
+            rounds.append(gaps.where("length is not null"))
+    if not rounds:
+        return at.spark.createDataFrame([], "length long, slice long, nth long, seq long, offset long")
+    each = functools.reduce(DataFrame.unionByName, rounds)
+    each = each.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    return each.select("length", "slice", (F.col("nth") + F.col("_i")).alias("nth"), "seq", (F.col("offset") + F.col("_i") * F.col("length")).cast("long").alias("offset"))
 
 
 def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; lengths add up to ``capacity`` at most.
 
     pieces: doc_id, piece, start, length and other narrow columns (not the ids: this is written).
-    Ties are broken by doc_id, piece and start. Rows that are equal get places of their own.
+    Rows that are equal, or have a null id, get places of their own; so do ties of length, in any order.
+    A piece of ``capacity`` ids or more is a sequence. An empty table gives an empty result. Columns
+    named sequence_id or offset are replaced; other names don't matter.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     keep = pieces.columns
-    slot = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES))
-    rows = written(pieces.withColumn("_uid", F.monotonically_increasing_id()).withColumn("_slice", slot), "pieces")
-    full = rows.where(F.col("length") >= capacity).select(*keep, (-1 - F.col("_uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    open_ = rows.where(F.col("length") < capacity)
-    # a row per length and slice: fewer than capacity * SLICES
-    tally = written(open_.groupBy("length", "_slice").agg(F.count("*").alias("_n")), "tally")
-    before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = tally.select(F.col("length").alias("_l"), F.col("_slice").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    counts = {int(r[0]): int(r[1]) for r in tally.groupBy("length").agg(F.sum("_n")).collect()}  # a row per length
-    plan = sweep(counts, capacity)
-    spark = pieces.sparkSession
-    places = spark.createDataFrame(pd.DataFrame(plan, columns=["_l", "_from", "_to", "_first", "offset"]).astype("int64"), "_l long, _from long, _to long, _first long, offset long")
-    rank = F.row_number().over(Window.partitionBy("length", "_slice").orderBy("doc_id", "piece", "start", "_uid")) - 1
-    ranked = open_.withColumn("_rank", rank)
-    ranked = ranked.join(F.broadcast(bases), (F.col("length") == F.col("_l")) & (F.col("_slice") == F.col("_s"))).withColumn("_rank", F.col("_rank") + F.col("_base")).drop("_l", "_s", "_base")
-    # intervals grow with the number of lengths, not of documents; checked all the same
-    places = F.broadcast(places) if len(plan) <= 4 * BROADCAST_ROWS else places
-    hit = (F.col("length") == F.col("_l")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    seq = F.col("_first") + F.col("_rank") - F.col("_from")
-    return ranked.join(places, hit).select(*keep, seq.alias("sequence_id"), "offset").unionByName(full)
+    with Scratch(pieces.sparkSession, "packed") as at:
+        rows = at.written(pieces.select(F.struct(*keep).alias("kept"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("row")), "rows")
+        full = rows.where(F.col("length") >= capacity).select("kept.*", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        open_ = at.written(_sliced(rows.where(F.col("length") < capacity), "length", F.col("row")), "open")
+        counts = at.written(open_.groupBy("length", "slice").agg(F.count("*").alias("n")), "counts")
+        places = _places(at, counts, capacity)
+        ranked = open_.withColumn("nth", (F.row_number().over(Window.partitionBy("length", "slice").orderBy("row")) - 1).cast("long"))
+        found = ranked.join(places, ["length", "slice", "nth"]).select("kept.*", F.col("seq").alias("sequence_id"), "offset")
+        return at.result(found.unionByName(full))
 
 
 def sequences(pieces: DataFrame, places: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ encode() writes what the decoder reads; the unit of the stored samples is 8 bits
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,27 +30,30 @@ CLEAR, END = 256, 257
 #: Bytes of a row: 64 pixels of three samples.
 ROW = 192
 #: Rows of a page; a longer payload has more pages.
-PAGE_ROWS = 512
-#: Payloads up to so many bytes are stored with LZW, up to the second number with PackBits.
-SHORT, MIDDLE = 384, 768
+PAGE_ROWS = 32
+
+
+_RUN = re.compile(rb"(?s)(.)\1\1+")
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = 1
-        while at + run < n and run < 128 and data[at + run] == data[at]:
-            run += 1
-        if run >= 3:
-            out += bytes([257 - run, data[at]])
-            at += run
-            continue
-        stop = at + run
-        while stop < n and stop - at < 128 and not (stop + 2 < n and data[stop] == data[stop + 1] == data[stop + 2]):
-            stop += 1
-        stop = min(stop, at + 128)
-        out += bytes([stop - at - 1]) + data[at:stop]
-        at = stop
+    """Runs of three equal bytes or more as a count and the byte, all else copied; 128 at a time."""
+    out, done = bytearray(), 0
+
+    def copied(stop: int) -> None:
+        for at in range(done, stop, 128):
+            n = min(128, stop - at)
+            out.append(n - 1)
+            out.extend(data[at : at + n])
+
+    for run in _RUN.finditer(data):
+        copied(run.start())
+        done, stop = run.start(), run.end()
+        while stop - done >= 3:
+            n = min(128, stop - done)
+            out.extend((257 - n, data[done]))
+            done += n
+    copied(len(data))
     return bytes(out)
 
 
@@ -69,66 +73,76 @@ def packbits_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Bits of the n-th code after a clear code: a code is read when the table has 258 + n entries at most.
+_WIDTHS = np.searchsorted([512, 1024, 2048], np.arange(258, 4097), side="right") + 9
+
+
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first; widths grow one code early."""
-    table = {bytes([i]): i for i in range(256)}
-    acc, bits, width, out, prefix = CLEAR, 9, 9, bytearray(), b""
-    fresh = table.copy()
-    size = 258
-    for b in data:
-        longer = prefix + bytes([b])
-        if longer in table:
-            prefix = longer
-            continue
-        acc, bits = acc << width | table[prefix], bits + width
-        table[longer] = size
-        size += 1
-        if size == 4094:
-            acc, bits = acc << width | CLEAR, bits + width
-            table, size, width = fresh.copy(), 258, 9
-        elif size + 1 > 1 << width:
-            width += 1
-        prefix = bytes([b])
-        if bits > 4096:
-            keep = bits % 8
-            out += (acc >> keep).to_bytes((bits - keep) // 8, "big")
-            acc, bits = acc & ((1 << keep) - 1), keep
-    if prefix:
-        acc, bits = acc << width | table[prefix], bits + width
-        size += 1
-        if size + 1 > 1 << width and width < 12:
-            width += 1
-    acc, bits = acc << width | END, bits + width
-    pad = -bits % 8
-    return bytes(out + (acc << pad).to_bytes((bits + pad) // 8, "big"))
+    codes, widths, table, size = [CLEAR], [_WIDTHS[:1]], {}, 258
+    if data:
+        since, prefix = 1, data[0]
+        for b in data[1:]:
+            longer = prefix << 8 | b
+            known = table.get(longer)
+            if known is not None:
+                prefix = known
+                continue
+            codes.append(prefix)
+            table[longer] = size
+            size += 1
+            prefix = b
+            if size == 4094:
+                codes.append(CLEAR)
+                widths.append(_WIDTHS[: len(codes) - since])
+                table, size, since = {}, 258, len(codes)
+        codes += [prefix, END]
+        widths.append(_WIDTHS[: len(codes) - since])
+    else:
+        codes, widths = [CLEAR, END], [_WIDTHS[:2]]
+    bits = np.arange(11, -1, -1)
+    each = np.array(codes, np.uint16)[:, None] >> bits.astype(np.uint16) & 1
+    return np.packbits(each[bits < np.concatenate(widths)[:, None]].astype(np.uint8)).tobytes()
+
+
+def _lzw_codes(data: np.ndarray, at: int, since: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes from bit ``at`` on, ``since`` codes after a clear code, with the bit at which each ends."""
+    room = (len(data) - 4) * 8 - at
+    widths = _WIDTHS[np.minimum(np.arange(since, since + min(4096, max(room, 0) // 9)), len(_WIDTHS) - 1)]
+    ends = at + np.cumsum(widths)
+    widths, ends = widths[ends <= at + room], ends[ends <= at + room]
+    byte = (ends - widths) >> 3
+    window = data[byte].astype(np.int64) << 16 | data[byte + 1].astype(np.int64) << 8 | data[byte + 2]
+    return window >> 24 - ((ends - widths) & 7) - widths & (1 << widths) - 1, ends
 
 
 def lzw_decode(data: bytes) -> bytes:
+    """The bytes up to the end code, or to the last whole code where there is none."""
+    padded = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
     table: list[bytes] = [bytes([i]) for i in range(256)] + [b"", b""]
-    acc = bits = at = 0
-    width, last, out = 9, None, []
+    at = since = 0
+    last, out = b"", []
     while True:
-        while bits < width:
-            if at >= len(data):
-                return b"".join(out)
-            acc, bits, at = (acc << 8 | data[at]) & 0xFFFFFF, bits + 8, at + 1
-        code = acc >> (bits - width) & ((1 << width) - 1)
-        bits -= width
-        if code == END:
+        codes, ends = _lzw_codes(padded, at, since)
+        if not len(codes):
+            return b"".join(out)
+        stops = np.flatnonzero((codes == CLEAR) | (codes == END))
+        n = int(stops[0]) if len(stops) else len(codes)
+        for code in codes[:n].tolist():
+            if not last:
+                last = table[code]
+            else:
+                entry = table[code] if code < len(table) else last + last[:1]
+                table.append(last + entry[:1])
+                last = entry
+            out.append(last)
+        if n == len(codes):
+            at, since = int(ends[-1]), since + n
+        elif codes[n] == END:
             return b"".join(out)
-        if code == CLEAR:
-            del table[258:]
-            width, last = 9, None
-            continue
-        if last is None:
-            entry = table[code]
         else:
-            entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
-            if len(table) + 1 >= 1 << width and width < 12:
-                width += 1
-        out.append(entry)
-        last = entry
+            at, since, last = int(ends[n]), 0, b""
+            del table[258:]
 
 
 def _compress(data: bytes, how: int) -> bytes:
@@ -228,20 +242,31 @@ def decode(data: bytes) -> Iterator[np.ndarray]:
 
 
 def store(payload: bytes) -> bytes:
-    """``payload``, a positive multiple of ROW bytes, as a TIFF of rows of 64 RGB pixels."""
+    """``payload``, a positive multiple of ROW bytes, as a TIFF of rows of 64 RGB pixels.
+
+    A checksum of the payload chooses compression, predictor, strips or tiles and byte order, so texts
+    of every length use all of them and equal ones are stored alike.
+    """
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW // 3, 3)
     pages = [rows[y : y + PAGE_ROWS] for y in range(0, len(rows), PAGE_ROWS)]
-    if len(payload) <= SHORT:
-        return encode(pages, LZW, predictor=2)
-    if len(payload) <= MIDDLE:
-        return encode(pages, PACKBITS)
-    return encode(pages, DEFLATE, tile=64) if len(rows) >= 64 else encode(pages, DEFLATE)
+    mark = zlib.crc32(payload)
+    pick = lambda shift, choices: choices[(mark >> shift) % len(choices)]
+    return encode(pages, pick(16, (LZW, PACKBITS, DEFLATE)), pick(0, (1, 2)), strip_rows=PAGE_ROWS // 2, tile=pick(1, (0, 16)), order=pick(2, "<>"))
+
+
+ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
 def _schema(kept: DataFrame, more: str) -> StructType:
     return StructType(kept.schema.fields + StructType.fromDDL(more).fields)
 
 
+def _batch(kept: pa.RecordBatch, columns: list[list], schema: StructType) -> pa.RecordBatch:
+    """The columns of ``kept``, as they are (ids stay whole numbers beside nulls), and further ones."""
+    types = [ARROW[f.dataType.simpleString()] for f in schema.fields[kept.num_columns :]]
+    return pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(c, t) for c, t in zip(columns, types)]], names=schema.names)
+
+
 def stored(docs: DataFrame, *keep: str) -> DataFrame:
     """``docs`` (text and ``keep``) with its text stored as a TIFF: keep, n_bytes, media.
 
@@ -250,13 +275,13 @@ def stored(docs: DataFrame, *keep: str) -> DataFrame:
     schema = _schema(docs.select(*keep), "n_bytes long, media binary")
     small_batches(docs.sparkSession)
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            data = [(t or "").encode() for t in pdf["text"]]
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [(t or "").encode() for t in batch.column(batch.num_columns - 1).to_pylist()]
             media = [store(b.ljust(max(-(-len(b) // ROW), 1) * ROW)) for b in data]
-            yield pdf[list(keep)].assign(n_bytes=[len(b) for b in data], media=media)
+            yield _batch(batch.select(range(batch.num_columns - 1)), [[len(b) for b in data], media], schema)
 
-    return docs.select(*keep, "text").mapInPandas(make, schema)
+    return docs.select(*keep, "text").mapInArrow(make, schema)
 
 
 PAGE = "page int, pages int, width int, height int, samples int, data binary"
@@ -267,20 +292,17 @@ def pages(media: DataFrame, *keep: str) -> DataFrame:
     samples row by row. The pages of a file follow one another. A null file has no pages."""
     schema = _schema(media.select(*keep), PAGE)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                if r.media is None:
-                    continue
-                found = list(decode(r.media))
-                head = r[:-1]
-                rows += [(*head, i, len(found), p.shape[1], p.shape[0], p.shape[2], p.tobytes()) for i, p in enumerate(found)]
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, rows = [], []
+            for i, file in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                found = list(decode(file)) if file is not None else []
+                which += [i] * len(found)
+                rows += [(k, len(found), p.shape[1], p.shape[0], p.shape[2], p.tobytes()) for k, p in enumerate(found)]
             if rows:
-                out = pd.DataFrame(rows, columns=schema.names)
-                yield out.astype({k: "Int64" for k in schema.names if schema[k].dataType.typeName() == "long"})
+                yield _batch(batch.select(range(batch.num_columns - 1)).take(pa.array(which)), list(zip(*rows)), schema)
 
-    return media.select(*keep, "media").mapInPandas(read, schema)
+    return media.select(*keep, "media").mapInArrow(read, schema)
 
 
 FILE = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pages int, feature string"
@@ -291,43 +313,46 @@ def summaries(docs: DataFrame) -> DataFrame:
 
     feature: pages, height, and of the samples of all pages the mean, deviation and entropy (bits) and
     the mean step between rows, to four digits. Equal texts give equal values. Null and empty texts
-    are one row of blanks. Rows with equal or null ids are kept, a row each. Other columns are not read.
+    are one row of blanks; a text of any length is one file. Rows with equal or null ids are kept, a
+    row each; ids of any size come back as they are. Other columns are not read.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", "text"), "_row", "doc_id")
-    rows = rows.select("_row", "doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    keep = ["_row", "doc_id", "n_bytes", "media_bytes", "media_sha256"]
+    rows = stored(docs, "doc_id")
+    rows = rows.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    keep = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
     schema = _schema(docs.select("doc_id"), FILE)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # pages of a file stand together and in order, but may be cut by a batch
-        held: list = []
-        for pdf in batches:
+        held: list[dict] = []
+        for batch in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                held.append(r)
-                if r.page + 1 == r.pages:
-                    out.append(_fold(held))
+            for row in batch.to_pylist():
+                held.append(row)
+                if row["page"] + 1 == row["pages"]:
+                    out.append((row["doc_id"], *summary(held)))
                     held = []
             if out:
-                yield pd.DataFrame(out, columns=schema.names).astype({"doc_id": "Int64"} if schema["doc_id"].dataType.typeName() == "long" else {})
+                ids, *rest = zip(*out)
+                kept = pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type)], names=["doc_id"])
+                yield _batch(kept, rest, schema)
 
-    return pages(rows, *keep).mapInPandas(fold, schema)
+    return pages(rows, *keep).mapInArrow(fold, schema)
 
 
-def _fold(rows: list) -> tuple:
-    first = rows[0]
+def summary(rows: list[dict]) -> tuple:
+    """What FILE says of a file, from the rows of its pages."""
     sha, counts, steps, n_steps, size, height, tail = hashlib.sha256(), np.zeros(256, np.int64), 0, 0, 0, 0, b""
     for r in rows:
-        sha.update(r.data)
-        px = np.frombuffer(r.data, np.uint8)
+        sha.update(r["data"])
+        px = np.frombuffer(r["data"], np.uint8)
         counts += np.bincount(px, minlength=256)
-        lines = px.reshape(r.height, -1).astype(np.int16)
+        lines = px.reshape(r["height"], -1).astype(np.int16)
         steps += int(np.abs(np.diff(lines, axis=0)).sum())
-        n_steps += (r.height - 1) * lines.shape[1]
-        size, height, tail = size + len(px), height + r.height, (tail + r.data[-16:])[-16:]
+        n_steps += (r["height"] - 1) * lines.shape[1]
+        size, height, tail = size + len(px), height + r["height"], (tail + r["data"][-16:])[-16:]
     p = counts[counts > 0] / size
     mean = float((counts * np.arange(256)).sum() / size)
     var = float((counts * (np.arange(256) - mean) ** 2).sum() / size)
     feature = f"pages={len(rows)};height={height};mean={mean:.4f};deviation={var**0.5:.4f};entropy={float(-(p * np.log2(p)).sum()):.4f};step={steps / n_steps if n_steps else 0:.4f}"
-    doc = None if pd.isna(first.doc_id) else first.doc_id
-    return doc, int(first.n_bytes), size, sha.hexdigest(), zlib.crc32(tail), int(first.media_bytes), first.media_sha256, len(rows), feature
+    first = rows[0]
+    return first["n_bytes"], size, sha.hexdigest(), zlib.crc32(tail), first["media_bytes"], first["media_sha256"], len(rows), feature

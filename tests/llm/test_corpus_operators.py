@@ -3,6 +3,8 @@
 import collections
 import gzip
 import hashlib
+import itertools
+import math
 import random
 import re
 import struct
@@ -378,32 +380,42 @@ def test_chunks_tokenize_like_whole_texts(spark, text):
     assert list(struct.unpack(f"<{len(got) // 4}I", got)) == want
 
 
-def test_sweep_against_best_fit_decreasing():
-    rng = random.Random(4)
-    for _ in range(30):
-        sizes = [rng.choice([rng.randint(1, 99), rng.randint(1, 10), 50, 99]) for _ in range(rng.randint(1, 400))]
-        plan = packing.sweep(dict(collections.Counter(sizes)), 100)
-        ranks, fill = collections.defaultdict(list), collections.defaultdict(list)
-        for n, a, b, first, offset in plan:
-            ranks[n] += range(a, b)
-            for i in range(b - a):
-                fill[first + i].append((offset, n))
-        assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(c)) for n, c in collections.Counter(sizes).items()}
-        for parts in fill.values():
-            at = 0
-            for offset, n in sorted(parts):
-                assert offset == at
-                at += n
-            assert at <= 100
-        bins = []
-        for n in sorted(sizes, reverse=True):
-            fits = [g for g in bins if g >= n]
-            if fits:
-                bins.remove(min(fits))
-                bins.append(min(fits) - n)
-            else:
-                bins.append(100 - n)
-        assert len(fill) <= len(bins) * 1.02 + 1
+def best_fit_decreasing(sizes, capacity):
+    gaps = []
+    for n in sorted(sizes, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_packing_against_best_fit_decreasing(spark, seed, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 20)  # runs of several slices
+    rng = random.Random(seed)
+    draw = [lambda: rng.randint(1, 99), lambda: rng.choice([3, 3, 3, rng.randint(1, 10)]), lambda: rng.choice([50, 51, 99, 100, 1]), lambda: int(rng.lognormvariate(2.5, 1)) % 100 + 1, lambda: 70 if rng.random() < 0.4 else 1][seed]
+    sizes = [draw() for _ in range(600)]
+    df = spark.createDataFrame([(i, 0, 0, n, 1) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, row int")
+    out = packing.packed(df, 100).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in out) == list(enumerate(sizes)) and {r["row"] for r in out} == {1}
+    fill = collections.defaultdict(list)
+    for r in out:
+        fill[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in fill.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 100
+    assert len(fill) <= best_fit_decreasing(sizes, 100) * 1.02 + 1
+
+
+def test_ids_stay_whole_beside_nulls(spark):
+    ids = [2**53 + 1, None, -(2**53) - 1, 2**63 - 1]
+    df = spark.createDataFrame([(i, "some words", 1) for i in ids], "doc_id long, text string, row int").coalesce(1)
+    key = lambda rows: sorted((r["doc_id"] for r in rows), key=repr)
+    assert key(queries.packed(df).collect()) == key(tiff.summaries(df).collect()) == sorted(ids, key=repr)
 
 
 def test_packing_edges(empty, spark):
@@ -548,6 +560,18 @@ def test_codecs():
     assert tiff.packbits_decode(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
 
 
+def brute_feature(px):
+    """Of the rows of samples, in plain Python."""
+    flat = [x for row in px for x in row]
+    mean = sum(flat) / len(flat)
+    counts = collections.Counter(flat)
+    deviation = (sum((x - mean) ** 2 for x in flat) / len(flat)) ** 0.5
+    entropy = -sum(n / len(flat) * math.log2(n / len(flat)) for n in counts.values())
+    steps = sum(abs(a - b) for i in range(0, len(px), tiff.PAGE_ROWS) for p, q in itertools.pairwise(px[i : i + tiff.PAGE_ROWS]) for a, b in zip(p, q))
+    n = sum(max(0, min(tiff.PAGE_ROWS, len(px) - i) - 1) for i in range(0, len(px), tiff.PAGE_ROWS)) * 192
+    return {"pages": -(-len(px) // tiff.PAGE_ROWS), "height": len(px), "mean": mean, "deviation": deviation, "entropy": entropy, "step": steps / n if n else 0}
+
+
 def test_tiff_summaries(docs, empty):
     out = tiff.summaries(docs).collect()
     assert len(out) == docs.count()
@@ -557,9 +581,34 @@ def test_tiff_summaries(docs, empty):
             b = text[r["doc_id"]].encode()
             p = b.ljust(max(1, -(-len(b) // 192)) * 192)
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+            media = tiff.store(p)
+            assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+            got = dict(x.split("=") for x in r["feature"].split(";"))
+            assert {k: float(v) for k, v in got.items()} == pytest.approx(brute_feature([p[i : i + 192] for i in range(0, len(p), 192)]), abs=1e-4)
     assert max(r["pages"] for r in out) > 1 and tiff.summaries(empty).count() == 0
 
 
+def test_every_codec_has_its_share(sf):
+    import pyarrow.parquet as pq
+
+    used = collections.Counter()
+    for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column(0).to_pylist():
+        b = (t or "").encode()
+        p = b.ljust(max(1, -(-len(b) // 192)) * 192)
+        media = tiff.store(p)
+        assert b"".join(x.tobytes() for x in tiff.decode(media)) == p
+        d = next(tiff.directories(media))
+        used.update({(k, v): len(p) for k, v in (("codec", d[tiff.COMPRESSION][0]), ("predictor", d[tiff.PREDICTOR][0]), ("tiles", tiff.TILE_OFFSETS in d), ("order", media[:2]), ("all", 0))})
+    assert len(used) == 10 and all(n > 0.15 * used["all", 0] for n in used.values())
+
+
+def test_lzw_codes_are_those_of_other_writers():
+    # The example of the TIFF specification: 7 7 7 8 8 7 7 6 6 as codes of nine bits
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    assert tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
 # --- licences
 
 
