@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lotline.llm.common import Scratch, join_small, slices, small_batches
+from lotline.llm.common import BROADCAST_ROWS, Scratch, join_small, slices, small_batches
 
 #: Documents or gaps of one size that one task ranks, at most about.
 SLICE = 250_000
@@ -143,18 +143,15 @@ def _sliced(rows: DataFrame, size: str, by: Column) -> DataFrame:
     return rows.join(F.broadcast(parts), size).withColumn("slice", F.pmod(F.xxhash64(by), F.col("_parts"))).drop("_parts")
 
 
-def _round(at: Scratch, docs: DataFrame, gaps: DataFrame, capacity: int, left: int) -> tuple[DataFrame, DataFrame] | None:
+def _round(at: Scratch, docs: DataFrame, gaps: DataFrame, capacity: int, per_gap: float, n_gaps: int, widest: int) -> tuple[DataFrame, DataFrame]:
     """One sweep of ``docs`` (length, slice, n, done: runs of documents and how many of each have a place)
-    over ``gaps`` (seq, gap): the runs after it, and the gaps after it with what each took. None if no gap
-    holds any document."""
-    found = gaps.agg(F.count("*"), F.max("gap")).first()
-    if not found[0]:
-        return None
-    k = F.greatest(F.least(F.floor(F.lit(left / (PER_GAP * found[0]))), F.floor(F.lit(found[1]) / F.col("length")), F.col("n")), F.lit(1)).cast("long")
-    docs = docs.withColumn("k", k).withColumn("units", F.when(F.col("length") <= found[1], F.floor(F.col("n") / F.col("k"))).otherwise(0).cast("long"))
-    sliced = _sliced(gaps, "gap", F.col("seq"))
-    opening = sliced.groupBy("gap", "slice").agg(F.count("*").alias("change"))
+    over ``n_gaps`` ``gaps`` (seq, gap): the runs after it, and the gaps after it with what each took."""
+    k = F.greatest(F.least(F.lit(int(per_gap / PER_GAP)), F.floor(F.lit(widest) / F.col("length")), F.col("n")), F.lit(1)).cast("long")
+    docs = docs.withColumn("k", k).withColumn("units", F.when(F.col("length") <= widest, F.floor(F.col("n") / F.col("k"))).otherwise(0).cast("long"))
     none = F.lit(None).cast("long")
+    # no size can have more gaps than there are
+    sliced = _sliced(gaps, "gap", F.col("seq")) if n_gaps > SLICE else gaps.withColumn("slice", F.lit(0).cast("long"))
+    opening = sliced.groupBy("gap", "slice").agg(F.count("*").alias("change"))
     events = opening.select(F.col("gap").alias("size"), F.lit(0).alias("kind"), "slice", "change", none.alias("length"), none.alias("n"), none.alias("done"), none.alias("k"))
     events = events.unionByName(docs.select((F.col("length") * F.col("k")).alias("size"), F.lit(1).alias("kind"), "slice", (-F.col("units")).alias("change"), "length", "n", "done", "k"))
     # a row per run: the number of sizes, and one for each SLICE rows beyond
@@ -163,9 +160,13 @@ def _round(at: Scratch, docs: DataFrame, gaps: DataFrame, capacity: int, left: i
     runs = runs.withColumn("after", F.col("_sum") - F.col("_low")).withColumn("before", F.coalesce(F.lag("after").over(order), F.lit(0).cast("long")))
     runs = at.written(runs.drop("_sum", "_low"), "runs")
 
+    start = runs.where("kind = 0").select(F.col("size").alias("gap"), "slice", "before")
+    if min(n_gaps, capacity) + n_gaps // SLICE <= BROADCAST_ROWS:  # no more runs than that
+        opened = sliced.join(F.broadcast(start), ["gap", "slice"])
+    else:
+        opened = join_small(sliced, start, ["gap", "slice"], F.col("seq"))
     nth = F.row_number().over(Window.partitionBy("gap", "slice").orderBy("seq"))
-    start = at.written(runs.where("kind = 0").select(F.col("size").alias("gap"), "slice", "before"), "gap-runs")
-    opened = join_small(sliced, start, ["gap", "slice"], F.col("seq")).select((F.col("before") + nth).alias("rank"), F.col("gap").alias("size"), F.lit(0).alias("kind"), "seq", F.lit(None).cast(UNIT).alias("unit"))
+    opened = opened.select((F.col("before") + nth).alias("rank"), F.col("gap").alias("size"), F.lit(0).alias("kind"), "seq", F.lit(None).cast(UNIT).alias("unit"))
     taken = runs.where("kind = 1 and before > after").repartition(int(at.spark.conf.get("spark.sql.shuffle.partitions")), "length", "slice")
     taken = taken.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("before") - F.col("after") - 1)))
     unit = F.struct("length", "slice", (F.col("done") + F.col("_i") * F.col("k")).alias("nth"), "k").cast(UNIT)
@@ -175,27 +176,28 @@ def _round(at: Scratch, docs: DataFrame, gaps: DataFrame, capacity: int, left: i
     used = F.coalesce(F.col("unit.length") * F.col("unit.k"), F.lit(0))
     gaps = at.written(met.select("seq", (F.col("size") - used).alias("gap"), "unit.*", (F.lit(capacity) - F.col("size")).alias("offset")), "gaps")
     placed = (F.col("before") - F.col("after")) * F.col("k")
-    docs = at.written(runs.where("kind = 1").select("length", "slice", (F.col("n") - placed).alias("n"), (F.col("done") + placed).alias("done")), "documents")
-    return docs, gaps
+    return runs.where("kind = 1").select("length", "slice", (F.col("n") - placed).alias("n"), (F.col("done") + placed).alias("done")), gaps
 
 
 def _places(at: Scratch, docs: DataFrame, capacity: int) -> DataFrame:
     """Places for ``docs`` (length, slice, n): per document, the nth of its run, seq and offset."""
     docs = docs.withColumn("done", F.lit(0).cast("long"))
-    rounds, gaps, opened, before = [], None, 0, None
+    none = F.lit(None).cast("long")
+    gaps = at.spark.range(0).select(F.col("id").alias("seq"), F.col("id").alias("gap"))
+    rounds, opened, before, least = [], 0, None, 1
     while True:
-        left, tokens, least = docs.where("n > 0").agg(F.sum("n"), F.sum(F.col("n") * F.col("length")), F.min("length")).first()
+        docs, gaps = docs.where("n > 0"), gaps.select("seq", "gap").where(F.col("gap") >= least)
+        both = docs.select("n", "length", none.alias("gap")).union(gaps.select(none, none, "gap"))
+        left, tokens, least, n_gaps, widest = both.agg(F.sum("n"), F.sum(F.col("n") * F.col("length")), F.min("length"), F.count("gap"), F.max("gap")).first()
         if not left:
             break
-        if gaps is None or left == before:
+        if not n_gaps or left == before:
             new = -(-tokens // capacity)
             fresh = at.spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
-            gaps, opened = fresh if gaps is None else fresh.unionByName(gaps.select("seq", "gap")), opened + new
+            gaps, opened, n_gaps, widest = fresh.unionByName(gaps), opened + new, n_gaps + new, capacity
         before = left
-        swept = _round(at, docs.where("n > 0"), gaps.select("seq", "gap").where(F.col("gap") >= least), capacity, left)
-        if swept:
-            docs, gaps = swept
-            rounds.append(gaps.where("length is not null"))
+        docs, gaps = _round(at, docs, gaps, capacity, left / n_gaps, n_gaps, widest)
+        rounds.append(gaps.where("length is not null"))
     if not rounds:
         return at.spark.createDataFrame([], "length long, slice long, nth long, seq long, offset long")
     each = functools.reduce(DataFrame.unionByName, rounds)
