@@ -27,12 +27,12 @@ from pyspark.sql.types import StructType
 from lotline.llm.common import BROADCAST_ROWS, Scratch, join_small, slices, small_batches
 
 #: Documents or gaps of one size that one task ranks, at most about.
-SLICE = 250_000
+SLICE = 20_000
 #: Documents to a gap beyond which some of one length are placed as one unit.
 PER_GAP = 2
 UNIT = "struct<length: bigint, slice: bigint, nth: bigint, k: bigint>"
 #: Entries of each table of ids that a task keeps before it starts anew.
-CACHE = 250_000
+CACHE = 500_000
 
 PIECE = "piece int, start long, length long, ids binary"
 
@@ -167,7 +167,9 @@ def _round(at: Scratch, docs: DataFrame, gaps: DataFrame, capacity: int, per_gap
         opened = join_small(sliced, start, ["gap", "slice"], F.col("seq"))
     nth = F.row_number().over(Window.partitionBy("gap", "slice").orderBy("seq"))
     opened = opened.select((F.col("before") + nth).alias("rank"), F.col("gap").alias("size"), F.lit(0).alias("kind"), "seq", F.lit(None).cast(UNIT).alias("unit"))
-    taken = runs.where("kind = 1 and before > after").repartition(int(at.spark.conf.get("spark.sql.shuffle.partitions")), "length", "slice")
+    # runs are few: they are dealt out before each becomes as many rows as it has documents
+    parts = min(int(at.spark.conf.get("spark.sql.shuffle.partitions")), 1 + int(per_gap * n_gaps) // 5000)
+    taken = runs.where("kind = 1 and before > after").repartition(parts, "length", "slice")
     taken = taken.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("before") - F.col("after") - 1)))
     unit = F.struct("length", "slice", (F.col("done") + F.col("_i") * F.col("k")).alias("nth"), "k").cast(UNIT)
     closed = taken.select((F.col("before") - F.col("_i")).alias("rank"), "size", F.lit(1).alias("kind"), none.alias("seq"), unit.alias("unit"))

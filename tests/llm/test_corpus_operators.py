@@ -663,12 +663,36 @@ def test_line_dedup(spark, batches):
     got = sorted(tuple(r) for r in out.select("doc_id", "n_lines", "n_dropped", "kept").collect())
     assert got == sorted(brute_lines(rows, 40, 5))
     assert len(runs.levels[0]) < 2
+    # a line is fresh in the first run that has it, and only there
+    lines_ = linededup.LineRuns(spark, fanout=99)
+    linededup.add_in_batches(lines_, df.select("doc_id", "text"), batches)
+    fresh = [r["h1"] for run in lines_.levels[0] for r in spark.table(lines_._table(run)).where("fresh").collect()]
+    assert sorted(fresh) == sorted(r["h1"] for r in lines_.batch(df).collect())
     if batches == 8:
         assert len(runs.levels) > 2
     assert runs.fresh(df.limit(5).select("doc_id", "text")).isEmpty()
 
 
-def test_line_dedup_edges(docs, empty):
+def test_line_runs_are_kept_and_a_batch_is_added_once(spark):
+    line = "a line of well over forty characters in three documents"
+    df = spark.createDataFrame([(i, f"{line}\nand one of its own for document {i}, also long enough") for i in range(3)], "doc_id long, text string")
+    path = new_path(spark, "runs")
+    runs = linededup.LineRuns(spark, path, fanout=2, buckets=3)
+    assert runs.add(df.limit(2), "a") and not runs.add(df, "a")
+    again = linededup.LineRuns(spark, path, least_chars=1, fanout=2)
+    assert (again.least, again.buckets, again.batches, again.levels) == (40, 3, {"a"}, runs.levels)
+    assert not again.add(df, "a") and again.add(df.where("doc_id = 2"), "b")
+    last = linededup.LineRuns(spark, path, fanout=2)
+    assert [len(x) for x in last.levels] == [0, 1] and last.batches == {"a", "b"}
+    assert sorted(r["n_docs"] for r in last.totals().collect()) == [1, 1, 1, 3]
+    assert last._merged(last.levels[1]).where("not fresh").isEmpty()
+    last.drop()
+
+
+def test_line_dedup_edges(docs, empty, spark):
+    clash = docs.select("doc_id", "text", F.lit(1).alias("_text"), F.lit(2).alias("_gone"), F.lit(3).alias("_id"))
+    out = queries.without_common_lines(clash)
+    assert out.columns[:5] == clash.columns and out.where("_text <> 1 or _gone <> 2 or _id <> 3").isEmpty()
     out = queries.without_common_lines(docs)
     assert out.count() == docs.count() and set(docs.columns) <= set(out.columns)
     kept = {r["doc_id"]: r["kept"] for r in out.collect()}
