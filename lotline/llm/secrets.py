@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm.common import new_path, written
+from lotline.llm.common import join_small, new_path, written
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,8 @@ RULES = (
     Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("-----begin ",), base=False),
 )
 
+#: Pieces of a text whose places are summed at a time.
+BLOCK = 256
 SPAN = "struct<start: bigint, end: bigint>"
 LEDGER = f"blob string, kind string, rule string, spans array<{SPAN}>"
 
@@ -51,22 +53,30 @@ LEDGER = f"blob string, kind string, rule string, spans array<{SPAN}>"
 def spans(text: Column, rule: Rule) -> Column:
     """Spans of the rule's matches in code points, end exclusive, as an array of structs.
 
-    The text is cut at the matches; the lengths of pieces and matches, summed, give the places.
+    The text is cut at the matches; the lengths of pieces and matches, summed, give the places. Pieces
+    are summed in blocks of BLOCK: appending to one array would copy it as often as there are matches.
     """
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     kept = F.regexp_extract_all(text, pattern, F.lit(rule.group))
     pieces = F.split(text, rule.pattern, -1)
     parts = F.transform(F.arrays_zip(pieces.alias("p"), found.alias("m"), kept.alias("g")), lambda x: F.struct(F.length(x["p"]).cast("long").alias("p"), F.length(x["m"]).cast("long").alias("m"), F.length(x["g"]).alias("g")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda i: F.slice(parts, i * BLOCK + 1, BLOCK))
+    none = F.array().cast(f"array<{SPAN}>")
+    zero = F.lit(0).cast("long")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["p"]
-        end = begin + F.coalesce(x["m"], F.lit(0).cast("long"))
+        end = begin + F.coalesce(x["m"], zero)
         one = F.array(F.struct(begin.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(F.coalesce(x["g"], F.lit(-1)) >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    def block(acc: Column, xs: Column) -> Column:
+        here = F.aggregate(xs, F.struct(acc["here"]["at"].alias("at"), none.alias("out")), step)
+        return F.struct(here.alias("here"), F.concat(acc["done"], F.array(acc["here"]["out"])).alias("done"))
+
+    start = F.struct(F.struct(zero.alias("at"), none.alias("out")).alias("here"), F.array().cast(f"array<array<{SPAN}>>").alias("done"))
+    return F.aggregate(blocks, start, block, lambda acc: F.concat(F.flatten(acc["done"]), acc["here"]["out"]))
 
 
 class BlobLedger:
@@ -82,7 +92,9 @@ class BlobLedger:
     def scan(self, versions: DataFrame) -> int:
         """Scan what is new in ``versions`` (text); returns how many pairs were appended.
 
-        A null text is an empty one. A scan that is lost before its append is repeated by the next.
+        A null text is an empty one; a text of any length is one blob; equal texts are one blob, however
+        many rows have them; spans of one kind never overlap, so there are no ties. An empty table appends
+        nothing. Other columns are not read. A scan that is lost before its append is repeated by the next.
         """
         wanted = F.array(*[F.lit(r.key) for r in self.rules])
         before = self.table().count()
@@ -126,8 +138,8 @@ class BlobLedger:
     def join_back(self, versions: DataFrame) -> DataFrame:
         """The columns of ``versions`` but its text, with the findings of each row's blob; one row a
         row, zero counts and empty spans where nothing was found. Clashing columns are replaced."""
-        found = written(self.findings(), "findings")  # joined as a plain table, of which Spark can split a hot blob
+        found = written(self.findings(), "findings")
         mine = [c for c in found.columns if c != "blob"]
         paths = versions.withColumn("blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).drop("text", *mine)
-        out = paths.join(found, "blob", "left")
+        out = join_small(paths, found, ["blob"], F.monotonically_increasing_id())
         return out.fillna(0, [c for c in mine if c.startswith("n_")]).fillna("", ["base_spans", "spans"])
