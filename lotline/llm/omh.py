@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import components, slices, small_batches, written
+from lotline.llm.common import Scratch, components, slices, small_batches, unused
 
 SHINGLE, TWO, ROWS, BANDS = 5, 2, 2, 14
 #: Linked if the distance is at most this share of n1 + n2: Jaccard 0.8.
@@ -32,6 +32,8 @@ LINK = 1 / 9
 WIDE = 0.3
 #: Open documents and members of a block.
 OPEN_BLOCK, MEMBER_BLOCK = 64, 256
+#: Members that are aligned with one copy of their pivot's text, at most about.
+PART = 128
 #: Up to so many matches a shingle are aligned match by match; bytes of bit masks kept at a time.
 MATCHES, MASK_BYTES = 4, 1 << 25
 
@@ -223,7 +225,7 @@ def _measured(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "pivot long, node long, d long, far boolean, n_pivot long, n_node long")
 
 
-def _block_links(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of one block: open documents against members of the same pivot."""
     seqs = dict(zip(pdf["node"].tolist(), shingles(pdf["text"].tolist())))
     info = {r.node: (r.d, r.far, r.n, r.root) for r in pdf.itertuples(index=False)}
@@ -259,49 +261,62 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids are one node; a row with a null id has a null class. Other columns are not read.
     """
     small_batches(docs.sparkSession)
+    with Scratch(docs.sparkSession, "near") as at:
+        return at.result(_classes(docs, at))
+
+
+def _classes(docs: DataFrame, at: Scratch) -> DataFrame:
     keys = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    ids = written(text.select("doc_id", *keys), "ids")
-    nodes = written(ids.groupBy("h1", "h2").agg(F.min("doc_id").cast("long").alias("node")), "nodes")
+    ids = at.written(text.select("doc_id", *keys), "ids")
+    nodes = at.written(ids.groupBy("h1", "h2").agg(F.min("doc_id").cast("long").alias("node")), "nodes")
     # texts stay where they are read: sketches are made of all rows, and of equal ones one is kept
     seen = _sketches(text.select(F.col("doc_id").cast("long").alias("node"), "text"))
     one = nodes.select("node").distinct()
-    member = written(seen.join(one, "node", "left_semi").select("node", F.explode("bands").alias("key")).distinct(), "members")
+    member = at.written(seen.join(one, "node", "left_semi").select("node", F.explode("bands").alias("key")).distinct(), "members")
 
-    sizes = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(member.join(sizes, "key").select("node", "key", "n"), "shared")
+    # tables of one row a bucket are written before they are joined: Spark can then split large buckets
+    sizes = at.written(member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = at.written(member.join(sizes, "key").select("node", "key", "n"), "shared")
     # the pivot of a bucket is the member that shares most buckets with others
-    weight = shared.groupBy("node").agg(F.sum("n").alias("w"))
+    weight = at.written(shared.groupBy("node").agg(F.sum("n").alias("w")), "weights")
     weighed = shared.join(weight, "node")
-    pivots = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("node"))).alias("p")).select("key", (-F.col("p.node")).alias("pivot"))
-    star = written(shared.join(pivots, "key").where("node <> pivot").select("pivot", "node").distinct(), "star")
+    pivots = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("node"))).alias("p"))
+    pivots = at.written(pivots.select("key", "p.w", (-F.col("p.node")).alias("pivot")), "pivots")
+    # a pivot's members are dealt in parts: it has w members at most, each counted once a bucket
+    parts = F.ceil(F.col("w") / (BANDS * PART)).cast("int")
+    star = shared.join(pivots, "key").where("node <> pivot").select("pivot", "node", parts.alias("parts")).distinct()
+    star = at.written(star.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "star")
 
     wanted = star.select("node").union(star.select("pivot")).distinct()
     own = text.select(F.col("doc_id").cast("long").alias("node"), "text")
-    texts = written(own.join(wanted, "node").join(nodes.join(wanted, "node"), ["node"], "left_semi"), "texts")
-    pairs = star.join(texts.withColumnRenamed("text", "node_text"), "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-    measured = written(_measured(pairs), "measured")
+    texts = at.written(own.join(wanted, "node").join(nodes.join(wanted, "node"), ["node"], "left_semi"), "texts")
+    heads = star.select("pivot", "part").distinct().join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    pairs = star.select("pivot", "part", "node").join(texts.withColumnRenamed("text", "node_text"), "node").join(heads, ["pivot", "part"])
+    measured = at.written(_measured(pairs), "measured")
     linked = F.col("d") <= LINK * (F.col("n_pivot") + F.col("n_node"))
     links = measured.where(linked).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
 
-    links = links.union(_open_links(measured.withColumn("linked", linked), links, texts))
+    links = links.union(_open_links(measured.withColumn("linked", linked), links, texts, at))
     roots = components(links)
     classes = nodes.join(roots.select("node", "root"), "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("class_id"))
-    found = ids.join(classes, ["h1", "h2"])
+    found = ids.join(at.written(classes, "classes"), ["h1", "h2"])
     return found.select("doc_id", "class_id").unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
 
-def _open_links(measured: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+def _open_links(measured: DataFrame, links: DataFrame, texts: DataFrame, at: Scratch) -> DataFrame:
     """Links between members of a pivot that it did not link itself."""
-    roots = written(components(links, "first"), "roots")
+    roots = components(links)
     stars = measured.join(roots, "node", "left").select("pivot", "node", "d", "far", F.col("n_node").alias("n"), "linked", F.coalesce("root", "node").alias("root"))
+    stars = at.written(stars, "rooted")
     # an open document can only link to a linked one if its distance is within that one's reach
     reach = F.max(F.when(F.col("linked"), F.col("d") + LINK * F.col("n")))
     per = stars.groupBy("pivot").agg(F.count("*").alias("m"), F.sum(F.when(~F.col("linked"), 1).otherwise(0)).alias("o"), reach.alias("reach"))
+    per = at.written(per.where("o > 0 and m > 1"), "pivots")
     near = (F.col("o") > 1) | (F.col("d") <= F.col("reach") + LINK * F.col("n"))
-    stars = stars.join(per.where("o > 0 and m > 1"), "pivot").withColumn("is_open", ~F.col("linked") & F.coalesce(near, F.lit(False)))
-    stars = written(stars, "stars")
-    stars = stars.drop("o").join(stars.where("is_open").groupBy("pivot").agg(F.count("*").alias("o")), "pivot")
+    stars = stars.join(per, "pivot").withColumn("is_open", ~F.col("linked") & F.coalesce(near, F.lit(False)))
+    stars = at.written(stars.drop("o"), "stars")
+    stars = stars.join(at.written(stars.where("is_open").groupBy("pivot").agg(F.count("*").alias("o")), "open"), "pivot")
     blocks = lambda n, size: F.greatest(F.ceil(F.col(n) / size), F.lit(1)).cast("int")
     all_to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -314,7 +329,8 @@ def _open_links(measured: DataFrame, links: DataFrame, texts: DataFrame) -> Data
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each class: the one whose doc_id is the class id. Rows
-    with a null id stay; of rows with equal ids all stay or go."""
-    classes = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(classes, F.col("doc_id") == F.col("_id"), "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    with a null id stay; of rows with equal ids all stay or go. Other columns are kept, whatever their
+    names; an empty table stays empty."""
+    (own,) = unused(docs, "_id")
+    classes = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(classes, F.col("doc_id") == F.col(own), "left_semi").unionByName(docs.where("doc_id is null"))
