@@ -140,7 +140,9 @@ def edited(text: Column, other: Column) -> Column:
 
 
 def _pack_hex(digest: Column, i: int) -> Column:
-    return F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
+    """Digits 16 i to 16 i + 15 of a hexadecimal text as the bits of a long."""
+    half = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(16 * i + 1), 32).bitwiseOR(half(16 * i + 9))
 
 
 def compare_edited(docs: DataFrame, k: int = SAMPLES, ranges: int | None = None) -> DataFrame:
@@ -155,18 +157,19 @@ def compare_edited(docs: DataFrame, k: int = SAMPLES, ranges: int | None = None)
     # the digest travels as numbers, which a hash aggregation keeps in place
     sha = F.sha2(F.col("_edited"), 256)
     rows = rows.withColumn("_edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("_range", "_place", F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").cast("long").alias("_null"), F.col("_own").cast("long").alias("_own"), F.length("text").cast("long").alias("n_chars"), sha.alias("_sha"), "text", "_edited")
+    facts = F.length("text").cast("long") * 4 + F.isnull("doc_id").cast("long") * 2 + F.col("_own").cast("long")
+    rows = rows.select("_range", "_place", F.coalesce("doc_id", F.lit(0)).alias("_id"), facts.alias("_facts"), sha.alias("_sha"), "text", "_edited")
     both = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("_edited").alias("t")))
-    keep = ["_range", "_place", "_id", "_null", "_own", "n_chars", *[f"_d{i}" for i in range(8)]]
-    rows = rows.select(*keep[:6], *[_pack_hex(F.col("_sha"), i).alias(f"_d{i}") for i in range(8)], F.explode(both).alias("_x"))
-    rows = rows.where((F.col("_own") == 1) | (F.col("_x.v") == 0)).select(*keep, F.col("_x.v").alias("_v"), F.col("_x.t").alias("_t"))
+    keep = ["_range", "_place", "_id", "_facts", *[f"_d{i}" for i in range(4)]]
+    rows = rows.select(*keep[:4], *[_pack_hex(F.col("_sha"), i).alias(f"_d{i}") for i in range(4)], F.explode(both).alias("_x"))
+    rows = rows.where((F.col("_facts") % 2 == 1) | (F.col("_x.v") == 0)).select(*keep, F.col("_x.v").alias("_v"), F.col("_x.t").alias("_t"))
     sig = signatures(rows, "_range", ["_place", "_v"], keep[2:], "_t", k).withColumnRenamed("fingerprint", "_f")
     first = lambda v: F.max(F.when(F.col("_v") == v, F.col("_f")))
     two = sig.groupBy(*keep).agg(first(0).alias("fingerprint"), first(1).alias("edited_fingerprint"))
     order = Window.partitionBy("_range").orderBy("_place")
-    two = two.withColumn("_next", F.lead("fingerprint").over(order)).where("_own = 1")
-    digest = F.concat(*[F.lower(F.lpad(F.hex(f"_d{i}"), 8, "0")) for i in range(8)])
+    two = two.withColumn("_next", F.lead("fingerprint").over(order)).where("_facts % 2 = 1")
+    digest = F.concat(*[F.lower(F.lpad(F.hex(f"_d{i}"), 16, "0")) for i in range(4)])
     return two.select(
-        F.when(F.col("_null") == 0, F.col("_id")).alias("doc_id"), "n_chars", digest.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        F.when(F.col("_facts").bitwiseAND(F.lit(2)) == 0, F.col("_id")).alias("doc_id"), F.shiftright("_facts", 2).alias("n_chars"), digest.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), k).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next"), k).alias("near_next"),
     )
