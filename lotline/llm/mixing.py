@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotline.llm.common import join_small, unit, written
+from lotline.llm.common import join_small, unit, unused, written
 
 #: Bins of a lap of the ranking; the bin that is ranked row by row holds about 1/BINS of a source's rows.
 BINS = 1 << 10
@@ -168,16 +168,17 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     return done.withColumn("taken", F.col("copies") * F.col("size")).withColumnRenamed("_t", "text_hash")
 
 
-def _row_key(doc_id: Column, source: Column, text_hash: Column) -> list[Column]:
-    return [F.xxhash64(doc_id, F.isnull(source), source, text_hash).alias("_k1"), F.xxhash64(text_hash, doc_id, F.lit(7)).alias("_k2")]
+def _row_key(doc_id: Column, source: Column, text_hash: Column, k1: str, k2: str) -> list[Column]:
+    return [F.xxhash64(doc_id, F.isnull(source), source, text_hash).alias(k1), F.xxhash64(text_hash, doc_id, F.lit(7)).alias(k2)]
 
 
 def repeat_rows(docs: DataFrame, drawn: DataFrame) -> DataFrame:
     """``docs`` with each row as often as ``drawn`` (a result of mix) says; rows equal in id, source
     and text share out the copies that they got together."""
-    rows = docs.select("*", *_row_key(docs["doc_id"], docs["source"], F.xxhash64("text")))
-    got = drawn.select("copies", *_row_key(F.col("doc_id"), F.col("source"), F.col("text_hash"))).groupBy("_k1", "_k2").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_n"))
-    joined = rows.join(got.where("_sum > 0"), ["_k1", "_k2"])
-    i = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("doc_id"))
-    times = F.floor(F.col("_sum") / F.col("_n")) + F.when(i <= F.col("_sum") % F.col("_n"), 1).otherwise(0)
-    return joined.withColumn("_times", times).where("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(docs.columns)
+    k1, k2, total, rows_, times_, copy = unused(docs, "_k1", "_k2", "_sum", "_n", "_times", "_k")
+    rows = docs.select("*", *_row_key(docs["doc_id"], docs["source"], F.xxhash64("text"), k1, k2))
+    got = drawn.select("copies", *_row_key(F.col("doc_id"), F.col("source"), F.col("text_hash"), k1, k2)).groupBy(k1, k2).agg(F.sum("copies").alias(total), F.count("*").alias(rows_))
+    joined = rows.join(got.where(F.col(total) > 0), [k1, k2])
+    i = F.row_number().over(Window.partitionBy(k1, k2).orderBy("doc_id"))
+    times = F.floor(F.col(total) / F.col(rows_)) + F.when(i <= F.col(total) % F.col(rows_), 1).otherwise(0)
+    return joined.withColumn(times_, times).where(F.col(times_) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times_)))).select(docs.columns)

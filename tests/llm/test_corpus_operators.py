@@ -149,6 +149,14 @@ def test_secrets_match_brute_force(spark):
     assert any("private_key:0:31" in r["spans"] for r in out)
 
 
+def test_many_matches_in_one_text(spark):
+    text = "é ".join(f"token={i:012d}" for i in range(700)) + " 0123456789abcdef" * 300
+    ledger = secrets.BlobLedger(spark)
+    df = spark.createDataFrame([(1, text), (2, text * 2)], "doc_id long, text string")
+    ledger.scan(df)
+    assert {r["doc_id"]: r["base_spans"] for r in ledger.join_back(df).collect()} == {1: brute_spans(text), 2: brute_spans(text * 2)}
+
+
 def test_ledger_is_incremental(spark):
     old = secrets.RULES[:2]
     df = spark.createDataFrame([(1, "a", SECRETS[0]), (2, "b", SECRETS[0]), (3, "c", "nothing")], "doc_id long, kind string, text string")
@@ -244,6 +252,37 @@ def test_near_duplicates_through_an_open_document(spark):
     assert {r["class_id"] for r in omh.near_duplicates(df).collect()} == {0}
 
 
+def test_recall_against_all_pairs(spark):
+    """Queries are the rows whose id is divisible by 20, against all rows; links by brute force."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    grams = {d: set(x.tolist()) for d, x in zip(texts, omh.labelled_shingles(list(texts.values())))}
+    got = {r["doc_id"]: r["class_id"] for r in queries.op3_near_duplicates(spark, sf).collect()}
+    hit = want = 0
+    for a in (d for d in texts if d % 20 == 0):
+        for b in texts:
+            both = len(grams[a] & grams[b])
+            if a != b and both and both >= 0.8 * (len(grams[a]) + len(grams[b]) - both):
+                want += 1
+                hit += got[a] == got[b]
+    assert want >= 5 and hit >= 0.9 * want, (hit, want)
+
+
+def test_clashing_columns_are_kept(spark):
+    import corpus_pipeline
+
+    names = ["_h", "_hash", "_id", "_same", "_text", "_gone", "_k1", "_k2", "_sum", "_n", "_times", "_k", "kept", "n_dropped", "row", "_salt", "node", "part"]
+    rows = [(i, f"{prose(random.Random(i), 60)}", "en", "s", 1, *range(len(names))) for i in range(12)] + [(None, None, None, None, None, *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, "/root/testdata/sf0.001")
+        assert out.columns == df.columns, name
+        got = out.select(*names).distinct().collect()
+        assert [tuple(r) for r in got] in ([tuple(range(len(names)))], []), name
+        assert stage(spark, df.limit(0), "/root/testdata/sf0.001").count() == 0
+    assert corpus_pipeline.pack(spark, df, "").count() == 13
+
+
 def test_order_matters():
     rng = random.Random(1)
     w = prose(rng, 200).split()
