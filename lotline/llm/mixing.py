@@ -6,20 +6,28 @@ its ranking until its words are used up: a sample of fixed size with unequal pro
 
 Only built-in column functions are used. A source may hold any share of the rows: nothing sorts or
 gathers a source in one task. The ranking is cut into ``BINS`` bins of the ranking variable, summed
-per bin; only the one bin in which a source's words run out is ranked row by row. A document that is
-longer than all that its source has left over has no place in the ranking; where the others do not
-fill what is left, the ranking goes on for a second lap, of documents that may have another copy.
+per bin, and the one bin in which a source's words run out into as many again; only that smaller bin
+is ranked row by row. A document that is longer than all that its source has left over has no place in
+the ranking; where the others do not fill what is left, the ranking goes on for a second lap, of
+documents that may have another copy, by odds over those of their expected copies. Up to CLOSING
+documents, each the nearest in size to what is then left, close the gap at the end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotline.llm.common import join_small, unit, unused, written
+from lotline.llm.common import Scratch, join_small, unit, unused, written
 
-#: Bins of a lap of the ranking; the bin that is ranked row by row holds about 1/BINS of a source's rows.
+#: Bins of a lap of the ranking, and of the bin that is cut again: about 1/BINS**2 of a source's rows are
+#: ranked row by row.
 BINS = 1 << 10
+#: Documents that close what the ranking leaves of a source's target, at most.
+CLOSING = 3
+Written = Callable[[DataFrame, str], DataFrame]
 #: What separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,7 +37,7 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def _level(classes: DataFrame, by: list[str], amount: Column) -> DataFrame:
+def _level(classes: DataFrame, by: list[str], amount: Column, written: Written = written) -> DataFrame:
     """Per group ``by``, the rate x at which sum(least(cap, x * weight)) is ``amount``.
 
     ``classes``: by, weight, cap, total: how many units each class stands for are in ``n``. Newton's
@@ -52,7 +60,7 @@ def _level(classes: DataFrame, by: list[str], amount: Column) -> DataFrame:
             return rates.select(*by, "rate")
 
 
-def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
+def targets(sizes: DataFrame, weights: list[float], share: float, most: float, written: Written = written) -> DataFrame:
     """``sizes`` (source, source_size), one row per source, with each source's ``target``.
 
     Sources by code point, null last, weigh ``weights``, repeating, and share ``share`` of all
@@ -69,7 +77,7 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("_rank", F.lit(len(weights))) + 1).cast("int"))
     ranked = written(ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(most)).alias("cap")), "weighted")
     classes = ranked.select(F.lit(0).alias("all"), "weight", "cap", F.lit(1.0).alias("n"))
-    rate = _level(classes, ["all"], F.sum("cap") * (share / most)).first()
+    rate = _level(classes, ["all"], F.sum("cap") * (share / most), written).first()
     x = rate["rate"] if rate else 0.0
     return ranked.select("source", "source_size", F.least(F.col("cap"), F.lit(x) * F.col("weight")).alias("target"))
 
@@ -79,18 +87,22 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     ``target``, ``copies``, ``taken`` (words) and ``text_hash``; repeat_rows() applies it.
 
     Within a source, a document's expected copies
-    grow with ln(e + size), up to ``most``: longer contexts are taken somewhat more often. The sum of
-    taken words of a source misses its target by less than its closest fitting document: the ranked
-    sample stops before the target, and one further document, the one whose size is nearest to what
-    is left, closes the gap if that brings it nearer.
+    grow with ln(e + size), up to ``most``: longer contexts are taken somewhat more often. The ranked
+    sample stops before the target; then up to CLOSING times the document whose size is nearest to what
+    is left has one more copy if that brings the sum nearer.
 
     Null texts have size 0; documents of size 0 get no copies. A null source is a source of its own,
     ordered last. Rows that are equal in id, source and text are ranked one after another. An empty
     table gives an empty result. Other columns of ``docs`` are not read.
     """
-    lean = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("_t")), "sizes")
+    with Scratch(docs.sparkSession, "mixed") as at:
+        return at.result(_mix(docs, weights, share, most, seed, at.written))
+
+
+def _mix(docs: DataFrame, weights: list[float], share: float, most: float, seed: int, written: Written) -> DataFrame:
+    lean = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("_t"), F.monotonically_increasing_id().alias("_row")), "sizes")
     per_source = written(lean.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
-    goals = written(targets(per_source, weights, share, most), "targets")
+    goals = written(targets(per_source, weights, share, most, written), "targets")
     spread = F.xxhash64("doc_id", "_t")
 
     # expected copies: classes of documents of one source and size share them
@@ -100,7 +112,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
         classes.select("source", "goal", "size", (F.col("docs") * F.col("size")).alias("n"), F.log(F.col("size") + 2.718281828459045).alias("weight"), F.lit(float(most)).alias("cap")),
         "classes",
     )
-    rates = written(_level(classes, ["source"], F.first("goal")), "copies")
+    rates = written(_level(classes, ["source"], F.first("goal"), written), "copies")
 
     def expected(weight: Column) -> Column:
         return F.least(F.lit(float(most)), F.coalesce(F.col("rate"), F.lit(0.0)) * weight)
@@ -122,7 +134,8 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     fits = (F.col("size") > 0) & (F.col("size") <= F.col("_left"))
     parted = F.col("_p") > 1e-9
     first = F.when(fits & parted, q / (1 + q))
-    second = F.when(fits & (F.col("_sure") + F.when(parted, 2).otherwise(1) <= most), 1 + unit("doc_id", "_t", seed=seed + 1))
+    q2 = odds(unit("doc_id", "_t", seed=seed + 1)) / odds(F.least(F.col("_want") / (1.01 * most), F.lit(0.99)))
+    second = F.when(fits & (F.col("_sure") + F.when(parted, 2).otherwise(1) <= most), 1 + q2 / (1 + q2))
     ranked = written(ranked.withColumn("_first", first).withColumn("_second", second).drop("_want", "_p", "rate"), "ranked")
 
     # words by source and bin, then the bin where each source's words run out
@@ -138,8 +151,19 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     cut = join_small(join_small(left, written(cut, "cut"), ["source"], F.col("source")), whole, ["source"], F.col("source"))
     cut = written(cut.select("source", "_left", F.col("_cut._bin").alias("_cut_bin"), F.coalesce("_cut.base", "_whole", F.lit(0)).alias("_base")), "cuts")
 
-    # inside that bin, row by row
-    edge = join_small(ranked.select("source", "size", "doc_id", "_t", places.alias("_place")), cut, ["source"], spread).where(bin_of(F.col("_place")) == F.col("_cut_bin"))
+    # that bin cut again
+    fine = lambda place: F.floor(place * (BINS * BINS))
+    all_places = ranked.select("source", "size", "doc_id", "_t", places.alias("_place"))
+    inside = join_small(all_places, cut, ["source"], spread).where(bin_of(F.col("_place")) == F.col("_cut_bin"))
+    parts = inside.groupBy("source", "_left", "_base", fine(F.col("_place")).alias("_bin")).agg(F.sum("size").alias("w"))
+    upto = F.col("_base") + F.sum("w").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("upto", upto).where(F.col("upto") > F.col("_left"))  # BINS rows a source at most
+    parts = written(parts.groupBy("source").agg(F.min(F.struct("_bin", (F.col("upto") - F.col("w")).alias("base"))).alias("_fine")), "fine")
+    cut = join_small(cut, parts, ["source"], F.col("source"))
+    cut = written(cut.select("source", "_left", F.col("_fine._bin").alias("_cut_bin"), F.coalesce("_fine.base", "_base").alias("_base")), "fine-cuts")
+
+    # inside that, row by row
+    edge = join_small(all_places, cut, ["source"], spread).where(fine(F.col("_place")) == F.col("_cut_bin"))
     order = Window.partitionBy("source").orderBy("_place", "doc_id", "_t")  # equal rows are peers: all or none is taken
     edge = edge.withColumn("_sum", F.col("_base") + F.sum("size").over(order)).where(F.col("_sum") <= F.col("_left"))
     last = edge.groupBy("source").agg(F.max(F.struct("_place", "doc_id", "_t")).alias("_last"), F.max("_sum").alias("_used"))
@@ -147,24 +171,23 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     plan = written(plan.select("source", "_cut_bin", "_last", (F.col("_left") - F.coalesce("_used", "_base")).alias("_gap")), "plan")
 
     def taken(place: str) -> Column:
-        at = bin_of(F.col(place))
-        inside = F.coalesce(F.struct(F.col(place).alias("_place"), "doc_id", "_t") <= F.col("_last"), F.lit(False))
-        yes = F.col(place).isNotNull() & (F.col("_cut_bin").isNull() | (at < F.col("_cut_bin")) | ((at == F.col("_cut_bin")) & inside))
+        at = fine(F.col(place))
+        before = F.coalesce(F.struct(F.col(place).alias("_place"), "doc_id", "_t") <= F.col("_last"), F.lit(False))
+        yes = F.col(place).isNotNull() & (F.col("_cut_bin").isNull() | (at < F.col("_cut_bin")) | ((at == F.col("_cut_bin")) & before))
         return F.when(yes, 1).otherwise(0)
 
-    out = join_small(ranked, plan, ["source"], spread).withColumn("_copies", F.col("_sure") + taken("_first") + taken("_second"))
-    out = written(out.select("source", "doc_id", "_t", "size", "source_size", "target", "_copies", "_gap"), "drawn")
-    closer = (F.col("_copies") + 1 <= most) & (F.col("_gap") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("_gap"))
-    order = F.struct(unit("doc_id", "_t", seed=seed + 2).alias("u"), "doc_id", "_t")
-    closing = out.where(closer).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("d"), order.alias("o"))).alias("_close"))
-    out = join_small(out, written(closing, "closing"), ["source"], spread)
-    closes = F.coalesce(closer & (order == F.col("_close.o")), F.lit(False))
-    # equal rows share a key: only the first of them closes the gap
-    one = F.row_number().over(Window.partitionBy("source", "doc_id", "_t").orderBy("size"))
-    cols = ["source", "doc_id", "_t", "size", "source_size", "target"]
-    shut = out.where(closes).select(*cols, (F.col("_copies") + F.when(one == 1, 1).otherwise(0)).alias("copies"))
-    rest = out.where(~closes).select(*cols, F.col("_copies").alias("copies"))
-    done = rest.unionByName(shut).withColumn("copies", F.col("copies").cast("long"))
+    cols = ["source", "doc_id", "_t", "_row", "size", "source_size", "target"]
+    out = join_small(ranked, plan, ["source"], spread)
+    out = written(out.select(*cols, (F.col("_sure") + taken("_first") + taken("_second")).alias("copies"), "_gap"), "drawn")
+    # rows equal in id, source and text differ in _row alone, so it does not matter which of them closes
+    order = F.struct(unit("doc_id", "_t", seed=seed + 2).alias("u"), "doc_id", "_t", "_row")
+    for _ in range(CLOSING):
+        closer = (F.col("copies") + 1 <= most) & (F.col("_gap") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("_gap"))
+        closing = out.where(closer).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("d"), order.alias("o"), "size")).alias("_close"))
+        out = join_small(out, written(closing, "closing"), ["source"], spread)
+        closes = F.coalesce(closer & (order == F.col("_close.o")), F.lit(False))
+        out = written(out.select(*cols, (F.col("copies") + F.when(closes, 1).otherwise(0)).alias("copies"), (F.col("_gap") - F.coalesce("_close.size", F.lit(0))).alias("_gap")), "closed")
+    done = out.drop("_gap", "_row").withColumn("copies", F.col("copies").cast("long"))
     return done.withColumn("taken", F.col("copies") * F.col("size")).withColumnRenamed("_t", "text_hash")
 
 
