@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Weighted rows that a task of the lasso holds, at least, where there are as many.
+TASK_ROWS = 5000
+
+
 def statistics(text: Column) -> dict[str, Column]:
     """Numbers about a text; null counts as empty. Rates are per character, word or line."""
     t = F.coalesce(text, F.lit(""))
@@ -96,7 +100,7 @@ class RuleEnsemble:
         return 1 / (1 + F.exp(-z))
 
 
-def fit(rows: DataFrame, label: str, trees: int = 12, depth: int = 3, penalty: float = 0.002, seed: int = 7) -> RuleEnsemble:
+def fit(rows: DataFrame, label: str, trees: int = 12, depth: int = 3, penalty: float = 0.0005, seed: int = 7) -> RuleEnsemble:
     """Fit on ``rows``: the statistics and ``label`` (0 or 1; null labels are left out).
 
     All rows count; the fits are Spark jobs. Without rows of both labels the score is constant: the
@@ -116,8 +120,9 @@ def fit(rows: DataFrame, label: str, trees: int = 12, depth: int = 3, penalty: f
     flags = rows.select("_y", *[Rule(c).column().cast("double").alias(k) for c, k in zip(found, names)])
     # rows that meet the same rules are one weighted row
     flags = flags.groupBy("_y", *names).agg(F.count("*").cast("double").alias("_w"))
-    table = VectorAssembler(inputCols=names, outputCol="_x").transform(flags).coalesce(8).cache()
+    held = VectorAssembler(inputCols=names, outputCol="_x").transform(flags).cache()
+    table = held.coalesce(1 + held.count() // TASK_ROWS)  # many passes over what may be few rows
     lasso = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=penalty, elasticNetParam=1.0, maxIter=60).fit(table)
-    table.unpersist()
+    held.unpersist()
     kept = tuple(Rule(c, float(w)) for c, w in zip(found, lasso.coefficients) if abs(w) > 1e-6)
     return RuleEnsemble(kept, float(lasso.intercept))

@@ -48,7 +48,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with held_out, score and predicted; fitted on their labelled rows that aren't held out."""
+    """``docs`` (doc_id, text) with held_out, score and predicted; fitted on those of their rows that have
+    a label and aren't held out.
+
+    Null and empty texts are scored as empty ones, texts of any length whole. Rows with equal texts have
+    equal scores, repeated rows and null ids a row each; a null id is not held out and has no label. Of
+    several labels of an id the larger counts. A score of exactly THRESHOLD is predicted as 1. Without
+    labels all scores are a half; an empty table gives an empty result. Other columns are not read.
+    """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     stats = docs.withColumn("_text", F.xxhash64("text")).select("doc_id", "_text", held.alias("held_out"), *[c.alias(k) for k, c in quality.statistics(F.col("text")).items()])
     stats = written(stats, "statistics")
