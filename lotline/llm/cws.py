@@ -30,7 +30,7 @@ def bags(text: Column) -> Column:
 
     Words are cut at blanks; sorted, equal words stand together and a repeat of one is one match.
     """
-    words = F.array_sort(F.filter(F.split(text, _SPLIT), lambda w: w != ""))
+    words = F.sort_array(F.array_remove(F.split(text, _SPLIT), ""))
     line = F.array_join(words, " ")
     groups = F.regexp_extract_all(line, F.lit(r"(?<![^ ])([^ ]+)(?: \1(?![^ ]))*+"), F.lit(0))
     return F.when(line != "", groups)
