@@ -149,8 +149,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014), each a written table; the
     number of steps is about the logarithm of a component's diameter. Nothing is collected but two
-    sums a step. What each node's edges are joined with is written first, so that Spark can split the
-    edges of a node that has very many.
+    sums a step. The least neighbours are written before the edges are joined with them, so that Spark
+    can split the edges of a node that has very many.
     """
     with Scratch(edges.sparkSession, name) as at:
         cur = at.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -158,8 +158,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         while True:
             both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
             low = at.written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
-            large = at.written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-            low = at.written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
             cur = at.written(small.where("u <> v").distinct(), "small")
             now = cur.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
