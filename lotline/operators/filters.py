@@ -12,7 +12,7 @@ REGISTRY: dict[str, Callable[[str], Column]] = {
     "Stars": lambda v: F.element_at("nbt", "upgrade_level").try_cast("int") == int(v),
     "Enchantment": lambda v: F.coalesce(F.map_contains_key("enchantments", v.lower()), F.lit(False)),
     "Bin": lambda v: F.col("bin") == (v.lower() == "true"),
-    "Seller": lambda v: F.col("seller").cast("string") == v,
+    "Seller": lambda v: F.col("seller") == F.lit(v).try_cast("long"),
     "Tier": lambda v: F.col("tier") == v,
     "MinPrice": lambda v: F.col("highest_bid") >= int(v),
     "EndAfter": lambda v: F.col("end_ts") > F.timestamp_seconds(F.lit(int(v))).cast("timestamp_ntz"),

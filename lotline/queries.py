@@ -84,6 +84,8 @@ def folder(spark: SparkSession) -> str:
     """A new folder in the one that the cluster shares, or a temporary one of a local session."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="lotline-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
@@ -468,7 +470,7 @@ def player_auctions(spark, d):
 def recent_overview(spark, d):
     top = scan.overview(tables.auctions(spark, d), AS_OF)
     names = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("seller"), "c_name")
-    return F.broadcast(top).join(names, "seller", "left").select("end_ts", F.col("highest_bid").alias("price"), F.coalesce("c_name", F.col("seller").cast("string")).alias("player"), "auction_uid")
+    return names.join(F.broadcast(top), "seller", "right").select("end_ts", F.col("highest_bid").alias("price"), F.coalesce("c_name", F.col("seller").cast("string")).alias("player"), "auction_uid")
 
 
 @query(f"""SELECT t.tag, g.day FROM (SELECT DISTINCT tag FROM auctions) t, (SELECT unnest(generate_series(TIMESTAMP '{FIRST_DAY}', TIMESTAMP '{LAST_DAY}', INTERVAL 1 DAY)) AS day) g
@@ -729,13 +731,29 @@ def json_roundtrip(spark, d):
     return text.select(F.from_json("j", "auction_uid long, tag string, end_ts timestamp_ntz, highest_bid long").alias("r")).select("r.*")
 
 
-@query("SELECT uuid, max(highest_bid) AS highest_bid FROM auctions GROUP BY uuid")
-def stream_ingest(spark, d):
-    """Auctions as a stream of two files per half, folded by event time."""
+def ingested(spark, d):
+    """The folder that a stream of auctions with their bids leaves, two files per batch; each auction
+    comes twice, first without a price."""
     top = folder(spark)
-    rows = tables.auctions(spark, d).select("auction_uid", "uuid", "tag", "seller", "end_ts", "start_ts", "highest_bid", F.col("end_ts").alias("write_ts"))
+    rows = tables.with_bids(tables.auctions(spark, d), B(spark, d))
+    bids = F.transform("bids", lambda b: F.struct(b["bidder"].alias("bidder"), b["amount"].alias("amount"), b["ts"].alias("ts")))
+    rows = rows.select("auction_uid", "uuid", "tag", "seller", "end_ts", "start_ts", "highest_bid", F.col("end_ts").alias("write_ts"), bids.alias("bids"))
     early = rows.withColumn("highest_bid", F.lit(0).cast("long")).withColumn("write_ts", F.col("start_ts"))
     rows.unionByName(early).repartition(4, "auction_uid").write.parquet(f"{top}/in")
-    q = ingest.start(ingest.file_source(spark, f"{top}/in", 2), f"{top}/out", f"{top}/checkpoint")
-    q.awaitTermination()
-    return ingest.current(spark, f"{top}/out").select("uuid", "highest_bid")
+    ingest.start(ingest.file_source(spark, f"{top}/in", 2), f"{top}/out", f"{top}/checkpoint").awaitTermination()
+    return f"{top}/out"
+
+
+@query("SELECT uuid, max(highest_bid) AS highest_bid FROM auctions GROUP BY uuid")
+def stream_ingest(spark, d):
+    return ingest.current(spark, ingested(spark, d)).select("uuid", "highest_bid")
+
+
+@query("SELECT DISTINCT player, auction_uid, type FROM took_part")
+def stream_participations(spark, d):
+    return ingest.participations(spark, ingested(spark, d)).select("player", "auction_uid", "type")
+
+
+@query("SELECT auction_uid, tag, strftime(end_ts, '%Y-%m') AS month, highest_bid FROM auctions")
+def stream_archive(spark, d):
+    return ingest.archived(spark, ingested(spark, d)).select("auction_uid", "tag", "month", "highest_bid")

@@ -1,12 +1,3 @@
-"""Record types of the engine, as DDL."""
+"""Types of participation."""
 
-BID = "struct<auction_uid: bigint, bidder: string, amount: bigint, ts: timestamp, bidder_name: string, profile_id: string>"
-AUCTION = (
-    "uuid string, tag string, item_name string, item_lore string, extra string, category string, tier string, starting_bid bigint, highest_bid bigint, bin boolean, is_sold boolean, "
-    "end_ts timestamp, start_ts timestamp, item_created_at timestamp, seller string, profile_id string, highest_bidder string, item_id string, profile_name string, coop_name string, "
-    "highest_bidder_name string, extra_attributes string, coop array<string>, nbt map<string, string>, item_bytes binary, item_uid bigint, enchantments map<string, int>, "
-    f"bids array<{BID}>, count int, color int, time_key smallint, auction_uid bigint, anvil_uses smallint, reforge string"
-)
-PARTICIPATION = "player string, auction_uid bigint, end_ts timestamp, tag string, type tinyint"
-SUMMARY = "tag string, min bigint, max bigint, mean double, med bigint, mode bigint, volume double"
 SELLER, BIDDER = 0, 1

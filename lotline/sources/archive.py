@@ -10,8 +10,9 @@ from lotline.functions import timekey
 
 def write(rows: DataFrame, path: str, as_json: bool = False) -> None:
     """One folder per tag and month. Folders that ``rows`` touches are replaced, others stay, so the
-    rows must not come from the folders they replace."""
-    out = rows.withColumn("month", timekey.month(F.col("end_ts"))).repartition("tag", "month").sortWithinPartitions("tag", "month", "end_ts", "auction_uid")
+    rows must not come from the folders they replace. Rows are dealt in ranges of tag, month and end, so
+    a month that has very many is written by many tasks, each a range of its ends."""
+    out = rows.withColumn("month", timekey.month(F.col("end_ts"))).repartitionByRange("tag", "month", "end_ts", "auction_uid").sortWithinPartitions("tag", "month", "end_ts", "auction_uid")
     w = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tag", "month")
     w.option("compression", "gzip").json(path) if as_json else w.parquet(path)
 

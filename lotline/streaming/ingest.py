@@ -1,9 +1,9 @@
-"""Continuous ingest: micro-batches of auctions into a table of auctions.
+"""Continuous ingest: micro-batches of auctions into tables of auctions, bids and participations, and
+the archive.
 
-Each batch is cleaned, reduced to the last write per auction and appended under its batch number;
-a batch that is run again replaces its own files, so delivery is exactly once. Readers fold what
-batches wrote by event time, so late and repeated events do no harm. Bids, participations, the archive
-and the player index are not written per batch.
+Each batch is cleaned, reduced to the last write per auction and appended, to every table, under its
+batch number; a batch that is run again replaces its own files, so delivery is exactly once. Readers
+fold what batches wrote by event time, so late and repeated events do no harm.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lotline.operators import filters, merge
+from lotline.functions import timekey
+from lotline.operators import filters, merge, players
 
-EVENTS = "auction_uid long, uuid string, tag string, seller long, end_ts timestamp_ntz, start_ts timestamp_ntz, highest_bid long, write_ts timestamp_ntz"
+EVENTS = "auction_uid long, uuid string, tag string, seller long, end_ts timestamp_ntz, start_ts timestamp_ntz, highest_bid long, write_ts timestamp_ntz, bids array<struct<bidder: bigint, amount: bigint, ts: timestamp_ntz>>"
 
 
 def file_source(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -32,26 +33,53 @@ def clean(events: DataFrame) -> DataFrame:
     return rows.withColumn("tag", F.coalesce("tag", F.lit("unknown"))).withColumn("write_ts", F.coalesce("write_ts", "start_ts"))
 
 
+def exploded(auctions: DataFrame) -> DataFrame:
+    """The bids of ``auctions`` (EVENTS), a row each; repeated ones once."""
+    rows = auctions.where("auction_uid is not null").select("auction_uid", F.explode("bids").alias("b"))
+    return rows.select("auction_uid", "b.*").where("bidder is not null").distinct()
+
+
 def start(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process all that is there, then stop; run again to go on from the checkpoint."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        last = merge.last_write(clean(rows), ["uuid"])
-        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last = merge.last_write(clean(rows), ["uuid"]).persist()
+        bids = exploded(last)
+        tables = {"auctions": last.drop("bids"), "bids": bids, "participations": players.participations(last, bids)}
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        ended = last.withColumn("month", timekey.month(F.col("end_ts"))).where("end_ts is not null")
+        ended = ended.repartitionByRange("tag", "month", "end_ts")
+        ended.write.mode("overwrite").partitionBy("tag", "month").parquet(f"{path}/archive/batch={number}")
+        last.unpersist()
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The auctions as all batches leave them."""
-    return merge.last_write(spark.read.parquet(path), ["uuid"]).drop("batch")
+    return merge.last_write(spark.read.parquet(f"{path}/auctions"), ["uuid"]).drop("batch")
+
+
+def participations(spark: SparkSession, path: str) -> DataFrame:
+    """By player, auction and type, the entry of the last batch that has it."""
+    rows = spark.read.parquet(f"{path}/participations")
+    return merge.best_per_key(rows, ["player", "auction_uid", "type"], [F.col("batch").desc(), F.col("end_ts").desc()]).drop("batch")
+
+
+def archived(spark: SparkSession, path: str) -> DataFrame:
+    """The archive that the batches leave, by normalised UUID; tag and month prune folders."""
+    rows = spark.read.parquet(f"{path}/archive")
+    old = rows.where(F.lit(False)).drop("batch")
+    return merge.archive(old, merge.last_write(rows, ["uuid"]).drop("batch"))
 
 
 def retrofit_stream(sold: DataFrame, unsold: DataFrame, days: int = 14) -> DataFrame:
-    """Sold events with the start_ts of unsold ones of equal uuid, as a stream-stream interval join; state
-    older than ``days`` is dropped by the watermark. Tags are not compared, other fields are not completed.
-    No query calls it."""
-    a = sold.withWatermark("end_ts", f"{days} days").alias("a")
-    b = unsold.withWatermark("end_ts", f"{days} days").select(F.col("uuid").alias("_uuid"), F.col("end_ts").alias("_end"), F.col("start_ts").alias("_start")).alias("b")
-    near = F.expr(f"uuid = _uuid AND _end > end_ts - INTERVAL '{days}' DAY AND _end < end_ts + INTERVAL '{days}' DAY")
-    return a.join(b, near, "left_outer").withColumn("start_ts", F.coalesce("start_ts", "_start")).drop("_uuid", "_end", "_start")
+    """Sold events without a start, completed from the unsold ones of equal uuid and tag that ended less
+    than ``days`` before or after: a stream-stream interval join that drops older state by its watermark.
+    Only completed events come out; the others are in the main stream as they are."""
+    a = sold.where("start_ts is null").withWatermark("end_ts", f"{days} days")
+    b = unsold.withWatermark("end_ts", f"{days} days").select(F.col("uuid").alias("_uuid"), F.col("tag").alias("_tag"), F.col("end_ts").alias("_end"), F.col("start_ts").alias("_start"), F.col("seller").alias("_seller"))
+    near = F.expr(f"uuid = _uuid AND tag = _tag AND _end > end_ts - INTERVAL '{days}' DAY AND _end < end_ts + INTERVAL '{days}' DAY")
+    both = a.join(b, near)
+    return both.withColumn("start_ts", F.col("_start")).withColumn("seller", F.coalesce("seller", "_seller")).drop("_uuid", "_tag", "_end", "_start", "_seller")

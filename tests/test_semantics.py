@@ -9,6 +9,7 @@ from lotline.functions import identity, nested, timekey
 from lotline.operators import compare, export, filters, merge, players, prices, scan
 from lotline.plans.memo import PriceMemo
 from lotline.sources import archive
+from lotline.schema import BIDDER, SELLER
 from lotline.streaming import ingest
 
 AUCTION = "auction_uid long, uuid string, tag string, seller long, end_ts timestamp_ntz, start_ts timestamp_ntz, highest_bid long, is_sold boolean"
@@ -165,7 +166,7 @@ def test_archive_round_trip_prunes(spark, tmp_path):
 
 def test_stream_is_idempotent(spark, tmp_path):
     base = [("u%d" % i, i) for i in range(20)]
-    ev = lambda shift: spark.createDataFrame([(n, u, "t", 1, T, T, 10 + shift, T + timedelta(hours=shift)) for u, n in base], ingest.EVENTS.replace("auction_uid", "auction_uid"))
+    ev = lambda shift: spark.createDataFrame([(n, u, "t", 1, T, T, 10 + shift, T + timedelta(hours=shift), None) for u, n in base], ingest.EVENTS.replace("auction_uid", "auction_uid"))
     src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
     ev(2).coalesce(1).write.mode("append").parquet(src)
     ingest.start(ingest.file_source(spark, src), out, cp).awaitTermination()
@@ -173,3 +174,42 @@ def test_stream_is_idempotent(spark, tmp_path):
     ingest.start(ingest.file_source(spark, src), out, cp).awaitTermination()
     rows = ingest.current(spark, out).collect()
     assert len(rows) == 20 and {r["highest_bid"] for r in rows} == {12}
+
+
+def test_round_trip_of_a_stream(spark, tmp_path):
+    """Two batches of one auction each: both are archived, and seller and bidders are indexed."""
+    path = f"{tmp_path}/in"
+    rows = [
+        [(1, "0" * 31 + "1", "A", 7, "2025-01-02 00:00:00", 10, [(8, 10), (8, 10), (9, 5)])],
+        [(2, "0" * 31 + "2", "A", 7, "2025-01-03 00:00:00", 3, [(9, 3)]), (3, None, "A", 7, "2025-01-03 00:00:00", 3, [])],
+    ]
+    schema = "auction_uid long, uuid string, tag string, seller long, e string, highest_bid long, b array<struct<bidder: bigint, amount: bigint>>"
+    for batch in rows:
+        df = spark.createDataFrame(batch, schema)
+        end = F.col("e").cast("timestamp_ntz")
+        bids = F.transform("b", lambda x: F.struct(x["bidder"].alias("bidder"), x["amount"].alias("amount"), end.alias("ts")))
+        df.select("auction_uid", "uuid", "tag", "seller", end.alias("end_ts"), end.alias("start_ts"), "highest_bid", end.alias("write_ts"), bids.alias("bids")).coalesce(1).write.mode("append").parquet(path)
+    for _ in range(2):  # the second run finds nothing new
+        ingest.start(ingest.file_source(spark, path), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    out = f"{tmp_path}/out"
+    assert sorted((r["auction_uid"], r["month"]) for r in ingest.archived(spark, out).collect()) == [(1, "2025-01"), (2, "2025-01")]
+    got = sorted((r["player"], r["auction_uid"], r["type"]) for r in ingest.participations(spark, out).collect())
+    assert got == [(7, 1, SELLER), (7, 2, SELLER), (8, 1, BIDDER), (9, 1, BIDDER), (9, 2, BIDDER)]
+    assert spark.read.parquet(f"{out}/bids").count() == 3
+
+
+def test_stream_retrofit(spark, tmp_path):
+    """Sold events without a start get that of an unsold one of the same uuid and tag within 14 days."""
+    schema = "auction_uid long, uuid string, tag string, seller long, e string, s string"
+    sold = [(1, "a", "T", None, "2025-01-20 00:00:00", None), (2, "b", "T", 5, "2025-01-20 00:00:00", None), (3, "c", "T", 5, "2025-01-20 00:00:00", None), (4, "a", "T", 5, "2025-01-20 00:00:00", "2025-01-19 00:00:00")]
+    unsold = [(1, "a", "T", 6, "2025-01-10 00:00:00", "2025-01-09 00:00:00"), (2, "b", "U", 6, "2025-01-10 00:00:00", "2025-01-09 00:00:00"), (3, "c", "T", 6, "2025-01-06 00:00:00", "2025-01-05 00:00:00")]
+    streams = []
+    for name, rows in (("sold", sold), ("unsold", unsold)):
+        df = spark.createDataFrame(rows, schema).select("auction_uid", "uuid", "tag", "seller", F.col("e").cast("timestamp_ntz").alias("end_ts"), F.col("s").cast("timestamp_ntz").alias("start_ts"))
+        df.write.parquet(f"{tmp_path}/{name}")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/{name}")
+        streams.append(stream.withColumn("end_ts", F.col("end_ts").cast("timestamp")))
+    q = ingest.retrofit_stream(*streams).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+    q.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").selectExpr("auction_uid", "seller", "cast(start_ts AS string) AS s").collect()
+    assert [tuple(r) for r in got] == [(1, 6, "2025-01-09 00:00:00")]
