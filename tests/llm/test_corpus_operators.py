@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import struct
@@ -662,6 +663,23 @@ def test_licences(spark, docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+def test_complete_licences_and_catalogues(spark, tmp_path):
+    """Repeated rows, complete long texts where this machine has them, and texts from a folder."""
+    (tmp_path / "Own-1.0.txt").write_text("You may do\nwhat you like, with a licence.")
+    rows = [(1, "YOU MAY DO what you like; with a license"), (1, "YOU MAY DO what you like; with a license"), (2, "You may do")]
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    want = {}
+    for i, (license_id, name) in enumerate(files.items()):
+        path = f"/usr/share/common-licenses/{name}"
+        if os.path.exists(path):
+            text = open(path).read()
+            rows += [(10 + i, text), (20 + i, "Copyright (C) 2020 Some Body\n\n" + " ".join(text.upper().split(" "))), (30 + i, text[:-50])]
+            want |= {10 + i: license_id, 20 + i: license_id, 30 + i: None}
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), more=licenses.catalogue(spark, str(tmp_path))).collect()
+    assert len(out) == len(rows) and {r["doc_id"]: r["license_id"] for r in out if r["doc_id"] >= 10} == want
+    assert [r["license_id"] for r in out if r["doc_id"] < 10].count("Own-1.0") == 2
+
+
 def test_licences_may_wrap_anywhere(spark):
     texts = [(k, t) for k, t in licenses.KNOWN if len(t) > 200]
     notice = "Copyright (c) 2020 Some Body\nCopyright Some Body Inc.\nAll rights reserved.\n\n"
