@@ -103,7 +103,7 @@ class BlobLedger:
         text = F.coalesce(F.col("text"), F.lit(""))
         blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
         if before:
-            blobs = blobs.join(seen.where(F.size("seen") == len(self.rules)), "blob", "left_anti").dropDuplicates(["blob"]).join(seen, "blob", "left")
+            blobs = blobs.dropDuplicates(["blob"]).join(seen.where(F.size("seen") == len(self.rules)), "blob", "left_anti").join(seen, "blob", "left")  # copies go before the shuffle
             todo = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
         else:
             blobs, todo = blobs.dropDuplicates(["blob"]), wanted
