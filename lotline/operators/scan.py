@@ -63,3 +63,9 @@ def every_nth(rows: DataFrame, by: list[str], n: int) -> DataFrame:
     """Each group's n-th, 2n-th, ... row by end and id."""
     w = Window.partitionBy(*by).orderBy("end_ts", "auction_uid")
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") % n == 0).drop("_r")
+
+
+def remaining(rows: DataFrame, probed: list[str]) -> DataFrame:
+    """The months of ``rows`` that are not ``probed`` yet, with how many rows each has."""
+    months = rows.select(timekey.month(F.col("end_ts")).alias("month"))
+    return months.where(~F.col("month").isin(*probed)).groupBy("month").agg(F.count("*").alias("rows"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotline.functions import identity, nested, timekey
-from lotline.operators import compare, export, filters, merge, players, prices, scan
+from lotline.operators import compare, export, filters, jobs, merge, players, prices, scan
 from lotline.plans import memo
 from lotline.session import configure
 from lotline.sources import archive, tables
@@ -603,8 +603,15 @@ def nearest_months(spark, d):
 
 @query("SELECT auction_uid, strftime(end_ts, '%Y-%m') AS month FROM auctions WHERE tag = '3-MEDIUM' AND strftime(end_ts, '%Y-%m') IN ('2023-04', '2023-05', '2023-06', '2023-07', '2023-08')")
 def month_probe(spark, d):
-    months = ["2023-06", "2023-05", "2023-07", "2023-04", "2023-08"]
-    return tables.auctions(spark, d).select("auction_uid", "tag", timekey.month(F.col("end_ts")).alias("month")).where((F.col("tag") == "3-MEDIUM") & F.col("month").isin(*months)).select("auction_uid", "month")
+    return tables.auctions(spark, d).select("auction_uid", "tag", timekey.month(F.col("end_ts")).alias("month")).where((F.col("tag") == "3-MEDIUM") & F.col("month").isin(*PROBED)).select("auction_uid", "month")
+
+
+PROBED = ["2023-06", "2023-05", "2023-07", "2023-04", "2023-08"]
+
+
+@query("SELECT month, count(*) AS rows FROM (SELECT strftime(end_ts, '%Y-%m') AS month FROM auctions WHERE tag = '3-MEDIUM') WHERE month NOT IN ('2023-04', '2023-05', '2023-06', '2023-07', '2023-08') GROUP BY month")
+def remaining_months(spark, d):
+    return scan.remaining(tables.auctions(spark, d).where("tag = '3-MEDIUM'"), PROBED)
 
 
 @query(f"""SELECT auction_uid, type, end_ts, end_ts <= TIMESTAMP '{CUTOFF}' AS archived FROM took_part WHERE player = 7 AND ((end_ts > TIMESTAMP '{CUTOFF}' AND auction_uid % 13 <> 0) OR (end_ts <= TIMESTAMP '{CUTOFF}' AND auction_uid % 17 <> 0)) ORDER BY end_ts DESC, auction_uid, type LIMIT 500""")
@@ -757,3 +764,28 @@ def stream_participations(spark, d):
 @query("SELECT auction_uid, tag, strftime(end_ts, '%Y-%m') AS month, highest_bid FROM auctions")
 def stream_archive(spark, d):
     return ingest.archived(spark, ingested(spark, d)).select("auction_uid", "tag", "month", "highest_bid")
+
+
+@query("SELECT uuid, seller, start_ts FROM auctions WHERE auction_uid % 20 < 14")
+def stream_retrofit(spark, d):
+    """Sold events without seller and start meet unsold ones that ended up to 19 days later."""
+    top, a = folder(spark), tables.auctions(spark, d).select("uuid", "tag", "seller", "end_ts", "start_ts", "auction_uid")
+    later = F.timestamp_add("DAY", F.pmod("auction_uid", F.lit(20)).cast("int"), F.col("end_ts"))
+    a.withColumn("end_ts", later).write.parquet(f"{top}/unsold")
+    a.withColumn("seller", F.lit(None).cast("long")).withColumn("start_ts", F.lit(None).cast("timestamp_ntz")).write.parquet(f"{top}/sold")
+    # watermarks need instants, not local times
+    read = lambda name: spark.readStream.schema(a.schema).parquet(f"{top}/{name}").withColumn("end_ts", F.col("end_ts").cast("timestamp"))
+    out = ingest.retrofit_stream(read("sold"), read("unsold")).writeStream.format("parquet").option("checkpointLocation", f"{top}/checkpoint")
+    out.trigger(availableNow=True).start(f"{top}/out").awaitTermination()
+    return spark.read.parquet(f"{top}/out").select("uuid", "seller", "start_ts")
+
+
+@query("SELECT o_orderkey AS job_id, 'user' || o_custkey AS email, CASE o_orderkey % 4 WHEN 2 THEN 'Done' ELSE 'Deleted' END AS status, CAST(o_orderkey % 4 AS BIGINT) AS changed_at FROM orders WHERE o_orderkey % 4 >= 2")
+def export_jobs(spark, d):
+    k = F.col("o_orderkey") % 4
+    done = F.array(F.lit("request"), F.when(k >= 1, "start"), F.when(k >= 2, "finish"), F.when(k >= 3, "delete"), F.when(k >= 3, "abort"))
+    log = tables.table(spark, d, "orders").select(F.concat(F.lit(" User"), "o_custkey").alias("email"), F.col("o_orderdate").alias("requested_at"), F.col("o_orderkey").alias("job_id"), F.posexplode(done).alias("at", "action"))
+    path = folder(spark)
+    jobs.save(log.where("action is not null").withColumn("at", F.col("at").cast("long")), path)
+    ended = jobs.states(spark.read.parquet(path)).where(F.col("status").isin(*jobs.ENDED))
+    return ended.select("job_id", "email", "status", "changed_at")

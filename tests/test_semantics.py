@@ -213,3 +213,17 @@ def test_stream_retrofit(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").selectExpr("auction_uid", "seller", "cast(start_ts AS string) AS s").collect()
     assert [tuple(r) for r in got] == [(1, 6, "2025-01-09 00:00:00")]
+
+
+def test_job_states_follow_their_actions(spark, tmp_path):
+    from lotline.operators import jobs
+
+    acts = [("j1", 1, "request"), ("j1", 2, "start"), ("j1", 2, "start"), ("j1", 3, "abort"), ("j1", 4, "finish"), ("j2", 1, "request"), ("j2", 2, "delete"), ("j3", 1, "request"), ("j3", 2, "start"), ("j3", 3, "fail")]
+    log = spark.createDataFrame([(" A@B.c ", int(j[1]), j, at, act) for j, at, act in acts], "email string, requested_at long, job_id string, at long, action string")
+    for part in (log.where("at > 1"), log.where("at = 1")):  # written in any order
+        jobs.save(part, f"{tmp_path}/log")
+    got = jobs.states(spark.read.parquet(f"{tmp_path}/log"))
+    assert {r.job_id: (r.status, r.changed_at) for r in got.collect()} == {"j1": ("Aborted", 3), "j2": ("Pending", 1), "j3": ("Failed", 3)}
+    assert [r.job_id for r in jobs.listed(got, "a@b.C ").collect()] == ["j3", "j2", "j1"]
+    assert [r.job_id for r in jobs.listed(got, "a@b.c", jobs.SCHEDULED).collect()] == ["j2"]
+    assert jobs.states(log.limit(0)).count() == 0
