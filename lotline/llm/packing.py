@@ -51,8 +51,9 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PROBES = ["word", "WORD", "extraordinarily", "señor", "ÀÉ", "straße", "naïve", "zwölf"]
 
 
-class Chunks:
-    """Ids of chunks, the parts of a text between blanks, as little-endian uint32.
+class Chunks(dict):
+    """Ids of chunks, the parts of a text between blanks, as little-endian uint32: each is made when it
+    is first asked for.
 
     Most chunks are letters and then marks. If lower-case letters can go straight to the tokenizer's
     model, which PROBES tell, only what the chunk's letters and marks are made of is encoded, each
@@ -62,11 +63,11 @@ class Chunks:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
         self.letters = _byte_letters()
-        self.direct = all(self._letters(w) == self._whole([w])[0] == self._whole([w + MARKS])[0][: len(self._letters(w))] for w in PROBES)
+        self.direct = all(self._letters(w) == self._whole(w) == self._whole(w + MARKS)[: len(self._letters(w))] for w in PROBES)
 
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -74,8 +75,8 @@ class Chunks:
     def _letters(self, word: str) -> bytes:
         return self._pack([t.id for t in self.tok.model.tokenize(word.lower().translate(self.letters))])
 
-    def _whole(self, chunks: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.tok.encode_batch(chunks, add_special_tokens=False)]
+    def _whole(self, chunk: str) -> bytes:
+        return self._pack(self.tok.encode(chunk, add_special_tokens=False).ids)
 
     def _part(self, x: str, make) -> bytes:
         got = self.parts.get(x)
@@ -83,30 +84,24 @@ class Chunks:
             got = self.parts[x] = make(x)
         return got
 
-    def learn(self, new: list[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        if len(self.parts) > CACHE:
-            self.parts = {"": b""}
-        rest = []
-        for c in new:
-            word = c.rstrip(MARKS)
-            if self.direct and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
-                self.known[c] = self._part(word.lower(), self._letters) + self._part(c[len(word) :], lambda x: self._whole([x])[0])
-            else:
-                rest.append(c)
-        for i in range(0, len(rest), 5000):
-            self.known.update(zip(rest[i : i + 5000], self._whole(rest[i : i + 5000])))
+    def __missing__(self, c: str) -> bytes:
+        word = c.rstrip(MARKS)
+        if self.direct and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+            got = self._part(word.lower(), self._letters)
+            if len(word) < len(c):
+                got += self._part(c[len(word) :], self._whole)
+        else:
+            got = self._whole(c)
+        self[c] = got
+        return got
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
+        if len(self) > CACHE:
+            self.clear()
+        if len(self.parts) > CACHE:
+            self.parts = {"": b""}
         # ids never depend on what stands beyond white space
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split)
-        new.difference_update(self.known.keys())
-        if new:
-            gone = len(self.known) > CACHE
-            self.learn(list(set().union(*split)) if gone else list(new))
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        return [b"".join(map(self.__getitem__, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
