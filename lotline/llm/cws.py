@@ -25,15 +25,9 @@ RANGES = 64
 _SPLIT = r"[\x20\x09-\x0D]+"
 
 
-def bags(text: Column) -> Column:
-    """Per distinct word of the text, the word repeated with blanks as often as it occurs.
-
-    Words are cut at blanks; sorted, equal words stand together and a repeat of one is one match.
-    """
-    words = F.sort_array(F.array_remove(F.split(text, _SPLIT), ""))
-    line = F.array_join(words, " ")
-    groups = F.regexp_extract_all(line, F.lit(r"(?<![^ ])([^ ]+)(?: \1(?![^ ]))*+"), F.lit(0))
-    return F.when(line != "", groups)
+def words(text: Column) -> Column:
+    """The words of the text, cut at blanks, as often as they occur."""
+    return F.array_remove(F.split(text, _SPLIT), "")
 
 
 def _sample(term: Column, lnw: Column, i: Column) -> Column:
@@ -54,17 +48,18 @@ def signatures(rows: DataFrame, near: str, by: list[str], keep: list[str], text:
     There is one row per ``near`` and ``by``; ``keep`` are longs without nulls. Samples are shared by the
     rows of equal ``near``, by which ``rows`` should be hash-dealt: then nothing is shuffled again.
     """
-    each = rows.select(near, *by, *keep, F.posexplode_outer(bags(F.coalesce(F.col(text), F.lit("")))).alias("_at", "_group"))
-    word = F.substring_index("_group", " ", 1)
-    weight = F.when(F.col("_group").isNotNull(), F.log((F.length("_group") + 1.0) / (F.length(word) + 1.0)))
+    each = rows.select(near, *by, *keep, F.posexplode_outer(words(F.coalesce(F.col(text), F.lit("")))).alias("_at", "_word"))
     # what is kept travels with one word of a text
-    kept = F.when(F.coalesce("_at", F.lit(0)) == 0, F.struct(*keep))
-    each = each.select(near, F.xxhash64(word).alias("_term"), weight.alias("_lnw"), F.struct(*by, kept.alias("_kept")).alias("_doc"))
-    words = each.groupBy(near, "_term", "_lnw").agg(F.collect_list("_doc").alias("_docs"))
-    words = words.select("*", F.explode(F.array(*[F.lit(i) for i in range(0, k, BLOCK)])).alias("_from"))
+    head = F.coalesce("_at", F.lit(0)) == 0
+    each = each.select(near, *by, *[F.when(head, F.col(c)).alias(c) for c in keep], F.xxhash64("_word").alias("_term"), F.isnotnull("_word").cast("long").alias("_one"))
+    each = each.groupBy(near, *by, "_term").agg(F.sum("_one").alias("_n"), *[F.min(c).alias(c) for c in keep])
+    kept = F.when(F.col(keep[0]).isNotNull(), F.struct(*keep))
+    each = each.select(near, "_term", F.when(F.col("_n") > 0, F.log("_n")).alias("_lnw"), F.struct(*by, kept.alias("_kept")).alias("_doc"))
+    terms = each.groupBy(near, "_term", "_lnw").agg(F.collect_list("_doc").alias("_docs"))
+    terms = terms.select("*", F.explode(F.array(*[F.lit(i) for i in range(0, k, BLOCK)])).alias("_from"))
     names = [f"s{i}" for i in range(min(k, BLOCK))]
     some = [_sample(F.col("_term"), F.coalesce("_lnw", F.lit(0.0)), F.col("_from") + i).alias(s) for i, s in enumerate(names)]
-    each = words.select(near, "_from", "_docs", F.isnull("_lnw").alias("_none"), *some).select(near, "_from", "_none", *names, F.explode("_docs").alias("_doc"))
+    each = terms.select(near, "_from", "_docs", F.isnull("_lnw").alias("_none"), *some).select(near, "_from", "_none", *names, F.explode("_docs").alias("_doc"))
     each = each.select(near, "_from", *[F.col(f"_doc.{c}").alias(c) for c in by], *[F.col(f"_doc._kept.{c}").alias(c) for c in keep], "_none", *names)
     parts = each.groupBy(near, *by, "_from").agg(*[F.min(c).alias(c) for c in [*keep, "_none", *names]])
     empty = F.lit("-" * 6 * len(names))
