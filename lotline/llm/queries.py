@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import cws, licenses, linededup, mixing, omh, packing, quality, secrets, tiff, warc
+from lotline.llm import cws, licenses, linededup, mixing, omh, packing, quality, secrets, simhash, tiff, warc
 from lotline.llm.common import written
 
 #: Weights of sources, by code point, repeating; words to take as a share of all; limit of repeats.
@@ -106,6 +106,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_common_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,7 +117,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_near_duplicates, op4_quality, op5_pack, op6_fingerprints, op7_legacy_archives, op8_tiff, op9_licenses, op10_line_dedup, pipeline)
+    f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_near_duplicates, op4_quality, op5_pack, op6_fingerprints, op7_legacy_archives, op8_tiff, op9_licenses, op10_line_dedup, op13_simhash, pipeline)
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
