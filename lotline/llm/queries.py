@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import cws, licenses, linededup, mixing, omh, packing, quality, secrets, simhash, tiff, warc
+from lotline.llm import cws, licenses, linededup, mixing, omh, packing, periodic, quality, secrets, simhash, tiff, warc
 from lotline.llm.common import written
 
 #: Weights of sources, by code point, repeating; words to take as a share of all; limit of repeats.
@@ -106,6 +106,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_common_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with the end of a tenth of the texts, chosen by a checksum of the id, made
+    periodic: the word i >= a of n becomes the original word a + (i - a) % p, where g = checksum // 10,
+    a = g % n and p = 1 + (n - a) // (3 + g % 8)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("_words")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.withColumn("_words", F.when(h % 10 == 0, words))
+    chosen = chosen.withColumn("_a", F.when(n > 0, g % n)).withColumn("_p", F.when(n > 0, 1 + F.floor((n - F.col("_a")) / (3 + g % 8))))
+    moved = F.transform("_words", lambda w, i: F.when(i >= F.col("_a"), F.get("_words", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))).otherwise(w))
+    return chosen.withColumn("text", F.when(n > 0, F.array_join(moved, " ")).otherwise(F.col("text"))).drop("_words", "_a", "_p")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    top = periodic.top_run(F.col("runs"))
+    line = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[x].cast("string") for x in ("start", "length", "period")])), "\n")
+    return periodic.find_runs(docs, "doc_id").withColumn("_top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_top.start", "_top.length", "_top.period", F.floor(1000 * F.col("_top.length") / F.col("_top.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(line, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
@@ -117,7 +140,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_near_duplicates, op4_quality, op5_pack, op6_fingerprints, op7_legacy_archives, op8_tiff, op9_licenses, op10_line_dedup, op13_simhash, pipeline)
+    f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_near_duplicates, op4_quality, op5_pack, op6_fingerprints, op7_legacy_archives, op8_tiff, op9_licenses, op10_line_dedup, op12_periodic_runs, op13_simhash, pipeline)
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
