@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import cws, licenses, linededup, mixing, omh, packing, periodic, quality, secrets, simhash, tiff, warc
+from lotline.llm import cws, licenses, linededup, mixing, omh, packing, periodic, quality, secrets, simhash, tiff, trie, warc
 from lotline.llm.common import written
 
 #: Weights of sources, by code point, repeating; words to take as a share of all; limit of repeats.
@@ -106,6 +106,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_common_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"), c - c % 5, F.crc32(c.cast("string")) % 9, 8)
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with the end of a tenth of the texts, chosen by a checksum of the id, made
     periodic: the word i >= a of n becomes the original word a + (i - a) % p, where g = checksum // 10,
@@ -140,7 +145,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_near_duplicates, op4_quality, op5_pack, op6_fingerprints, op7_legacy_archives, op8_tiff, op9_licenses, op10_line_dedup, op12_periodic_runs, op13_simhash, pipeline)
+    f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_near_duplicates, op4_quality, op5_pack, op6_fingerprints, op7_legacy_archives, op8_tiff, op9_licenses, op10_line_dedup, op11_conversation_trie, op12_periodic_runs, op13_simhash, pipeline)
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -160,4 +165,22 @@ c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= {LINE_CHARS} G
 f AS (SELECT k.*, coalesce(last <> doc_id, false) AS gone FROM k LEFT JOIN c USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM f GROUP BY doc_id""",
+    "op11_conversation_trie": """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS x FROM t),
+c AS (SELECT conv_id, (4294967295 - list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(x) + 1), lambda i: CAST(ascii(x[i]) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384)))) % 9 AS h FROM ids),
+r AS (SELECT c.conv_id, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND k <= h UNION ALL SELECT c.conv_id, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND k > h),
+p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth, sha256(strlen(role) || ':' || role || text) AS key, strlen(text) AS size FROM r),
+paths AS (SELECT conv_id, depth, size, string_agg(key, ',') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM p UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS last FROM paths),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends_sha256 FROM n GROUP BY path, depth),
+up AS (SELECT v.*, u.path AS parent, u.conv_id AS parent_conv_id FROM nodes v LEFT JOIN nodes u ON u.depth = v.depth - 1 AND u.path = CASE WHEN v.depth = 1 THEN '' ELSE left(v.path, greatest(length(v.path) - 65, 0)) END),
+kids AS (SELECT parent AS path, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY parent),
+below AS (SELECT a.path, a.depth, count(*) FILTER (k.path IS NULL) AS n_leaves, CAST(sum((d.n_convs - 1) * d.size) AS BIGINT) AS saved_tokens
+  FROM nodes a JOIN (SELECT DISTINCT x.path, x.depth, y.path AS above, y.depth AS at FROM n x JOIN n y ON x.conv_id = y.conv_id AND y.depth <= x.depth) e ON e.above = a.path AND e.at = a.depth
+  JOIN nodes d ON d.path = e.path AND d.depth = e.depth LEFT JOIN kids k ON k.path = d.path GROUP BY a.path, a.depth)
+SELECT u.conv_id, u.depth, parent_conv_id, u.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, u.ends_sha256
+FROM up u JOIN below USING (path, depth) LEFT JOIN kids ON kids.path = u.path""",
 }
