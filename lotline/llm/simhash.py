@@ -104,8 +104,10 @@ def links(nodes: DataFrame, name: str = "simhash-links") -> DataFrame:
     with Scratch(nodes.sparkSession, name) as at:
         keyed = nodes.select("node", F.explode(variants(F.col("node"), segments)).alias("key"))
         pivots = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key"), F.col("node").alias("p")))["p"].alias("pivot"), F.count("*").alias("n")).where("n > 1")
-        met = at.written(keyed.join(at.written(pivots, "pivots"), "key"), "met")
-        stars = at.written(met.where((F.col("node") != F.col("pivot")) & _linked(F.col("node"), F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+        near = (F.col("node") != F.col("pivot")) & _linked(F.col("node"), F.col("pivot"))
+        # what is neither linked nor in a key of three or more is settled here
+        met = at.written(keyed.join(at.written(pivots, "pivots"), "key").where(near | (F.col("n") > 2)), "met")
+        stars = at.written(met.where(near).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
         roots = components(stars)
         # keys of three or more whose members are still apart
         many = met.where("n > 2").select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
