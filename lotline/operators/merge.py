@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotline.functions import identity
+from lotline.functions import identity, timekey
+
+#: What a sold auction that came without a start takes from its unsold record.
+RETROFITTED = ("start_ts", "count", "item_created_at", "item_name", "profile", "bin", "starting_bid")
 
 
 def best_per_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -68,14 +71,27 @@ def combine_versions(versions: DataFrame, key: str = "uuid", order: str = "versi
 
 
 def retrofit(sold: DataFrame, unsold: DataFrame, days: int = 14) -> DataFrame:
-    """Sold rows without a start, completed from the stored unsold row of the same UUID and tag whose
-    end lies in the window of its own, ``days`` to either side, exclusive."""
-    old = unsold.select(F.col("uuid"), F.col("tag"), F.col("end_ts").alias("_end"), F.col("start_ts").alias("_start"), F.col("starting_bid").alias("_starting"), F.col("bin").alias("_bin"))
+    """Sold rows that lack a start, completed from the stored unsold row of the same UUID and tag whose end
+    lies less than ``days`` before or after; of several that which ended last. One row per sold row.
+
+    The columns RETROFITTED that both have are taken. The stored side is read between the least and the
+    greatest end of the batch only: where it is stored by month, those bounds are known before its
+    folders are listed, so others are not read.
+    """
+    taken = [c for c in RETROFITTED if c in sold.columns and c in unsold.columns]
+    lacking = F.col("start_ts").isNull() & F.col("uuid").isNotNull() & F.col("tag").isNotNull()
     span = F.expr(f"INTERVAL '{days}' DAY")
-    near = (F.col("_end") > F.col("end_ts") - span) & (F.col("_end") < F.col("end_ts") + span)
-    old = old.withColumnRenamed("uuid", "_uuid").withColumnRenamed("tag", "_tag")
-    joined = sold.join(old, (F.col("uuid") == F.col("_uuid")) & (F.col("tag") == F.col("_tag")) & near, "left")
-    return joined.select(*[c for c in sold.columns if c not in ("start_ts", "starting_bid", "bin")], F.coalesce("start_ts", "_start").alias("start_ts"), F.coalesce("starting_bid", "_starting").alias("starting_bid"), F.coalesce("_bin", "bin").alias("bin"))
+    wanted = sold.where(lacking).select(F.col("uuid").alias("_uuid"), F.col("tag").alias("_tag"), F.col("end_ts").alias("_at")).distinct()
+    bound = lambda f, by: wanted.select(by(f("_at"))).scalar()
+    old = unsold.where((F.col("end_ts") > bound(F.min, lambda e: e - span)) & (F.col("end_ts") < bound(F.max, lambda e: e + span)))
+    if "month" in unsold.columns:
+        old = old.where((F.col("month") >= bound(F.min, lambda e: timekey.month(e - span))) & (F.col("month") <= bound(F.max, lambda e: timekey.month(e + span))))
+    near = (F.col("end_ts") > F.col("_at") - span) & (F.col("end_ts") < F.col("_at") + span)
+    met = old.join(wanted, (F.col("uuid") == F.col("_uuid")) & (F.col("tag") == F.col("_tag")) & near)
+    best = met.groupBy("_uuid", "_tag", "_at").agg(F.max(F.struct("end_ts", *taken)).alias("_old"))
+    same = lacking & (F.col("uuid") == F.col("_uuid")) & (F.col("tag") == F.col("_tag")) & (F.col("end_ts") == F.col("_at"))
+    rows, found = sold.join(best, same, "left"), F.col("_old").isNotNull()
+    return rows.select(*[F.when(found, F.col("_old")[c]).otherwise(F.col(c)).alias(c) if c in taken else F.col(c) for c in sold.columns])
 
 
 def without_range(rows: DataFrame, tag: str, time_key: int, sold: bool, start: str, end: str) -> DataFrame:

@@ -18,7 +18,7 @@ from lotline.operators import compare, export, filters, jobs, merge, players, pr
 from lotline.plans import memo
 from lotline.session import configure
 from lotline.sources import archive, tables
-from lotline.streaming import ingest
+from lotline.streaming import completion, ingest
 
 AS_OF, CUTOFF = "2025-08-01 00:00:00", "2025-05-01 00:00:00"
 RECENT = "2024-06-27 00:00:00"  # 400 days before
@@ -434,12 +434,43 @@ def may_exist(spark, d):
 # --- joins and comparisons
 
 
-@query("""SELECT h.auction_uid, c.start_ts, c.bin FROM (SELECT * FROM hot WHERE is_sold) h LEFT JOIN (SELECT * FROM cold WHERE auction_uid % 4 <> 0) c
-ON c.uuid = h.uuid AND c.tag = h.tag AND c.end_ts + to_days(CAST(c.auction_uid % 20 AS INT)) < h.end_ts + INTERVAL '14' DAY AND c.end_ts + to_days(CAST(c.auction_uid % 20 AS INT)) > h.end_ts - INTERVAL '14' DAY""")
+def stored_unsold(rows: DataFrame) -> DataFrame:
+    """Unsold records of ``rows``, up to 19 days later, of a third of them a second one with other values."""
+    k = F.col("auction_uid")
+    one = rows.withColumn("end_ts", F.timestamp_add("DAY", (k % 20).cast("int"), F.col("end_ts"))).withColumn("starting_bid", k % 100)
+    two = rows.where("auction_uid % 3 = 0").withColumn("end_ts", F.timestamp_add("DAY", (k % 7).cast("int"), F.col("end_ts"))).withColumn("starting_bid", k % 100 + 1000)
+    return one.unionByName(two).withColumn("item_name", F.concat(F.lit("item "), F.col("starting_bid").cast("string"))).withColumn("count", (k % 5).cast("int"))
+
+
+def lacking(rows: DataFrame) -> DataFrame:
+    """``rows`` as sold events that lack what only the unsold record has."""
+    none = {"start_ts": "timestamp_ntz", "bin": "boolean", "starting_bid": "long", "item_name": "string", "count": "int"}
+    return rows.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+
+
+# windows of the stored records: the one that ended last, of those less than 14 days away
+_UNSOLD = """, unsold AS (SELECT *, end_ts + to_days(CAST(auction_uid % 20 AS INT)) AS e, auction_uid % 100 AS starting_bid FROM {rows} UNION ALL
+  SELECT *, end_ts + to_days(CAST(auction_uid % 7 AS INT)), auction_uid % 100 + 1000 FROM {rows} WHERE auction_uid % 3 = 0),
+best AS (SELECT h.auction_uid, c.start_ts, c.bin, c.starting_bid, row_number() OVER (PARTITION BY h.auction_uid ORDER BY c.e DESC, c.start_ts DESC, CAST(c.auction_uid % 5 AS INT) DESC, 'item ' || c.starting_bid DESC) AS r
+  FROM {sold} h JOIN unsold c ON c.uuid = h.uuid AND c.tag = h.tag AND c.e < h.end_ts + INTERVAL '14' DAY AND c.e > h.end_ts - INTERVAL '14' DAY)"""
+
+
+@query(_UNSOLD.format(rows="(SELECT * FROM cold WHERE auction_uid % 4 <> 0)", sold="(SELECT * FROM hot WHERE is_sold)") + """
+SELECT h.auction_uid, b.start_ts, b.bin, b.starting_bid, 'item ' || b.starting_bid AS item_name, CASE WHEN b.auction_uid IS NOT NULL THEN CAST(h.auction_uid % 5 AS INT) END AS count
+FROM (SELECT * FROM hot WHERE is_sold) h LEFT JOIN best b ON b.auction_uid = h.auction_uid AND r = 1""")
 def retrofit_join(spark, d):
-    sold = hot(spark, d).where("is_sold").select("auction_uid", "uuid", "tag", "end_ts", F.lit(None).cast("timestamp_ntz").alias("start_ts"), F.lit(None).cast("long").alias("starting_bid"), F.lit(None).cast("boolean").alias("bin"))
-    unsold = cold(spark, d).where("auction_uid % 4 <> 0").withColumn("end_ts", F.col("end_ts") + F.make_dt_interval((F.col("auction_uid") % 20).cast("int"))).withColumn("starting_bid", F.lit(1).cast("long"))
-    return merge.retrofit(sold, unsold).select("auction_uid", "start_ts", "bin")
+    rows = merge.retrofit(lacking(hot(spark, d).where("is_sold")), stored_unsold(cold(spark, d).where("auction_uid % 4 <> 0")))
+    return rows.select("auction_uid", "start_ts", "bin", "starting_bid", "item_name", "count")
+
+
+@query(_UNSOLD.format(rows="cold", sold="(SELECT * FROM hot WHERE is_sold AND end_ts > TIMESTAMP '2025-06-01' AND end_ts <= TIMESTAMP '2025-06-15')") + """
+SELECT h.auction_uid, b.start_ts, b.starting_bid FROM (SELECT * FROM hot WHERE is_sold AND end_ts > TIMESTAMP '2025-06-01' AND end_ts <= TIMESTAMP '2025-06-15') h LEFT JOIN best b ON b.auction_uid = h.auction_uid AND r = 1""")
+def retrofit_batch(spark, d):
+    """A batch of two weeks against the store by month, of which it reads its own months only."""
+    path = folder(spark)
+    archive.write(stored_unsold(cold(spark, d)), path)
+    batch = scan.in_range(hot(spark, d).where("is_sold"), "2025-06-01 00:00:00", "2025-06-15 00:00:00")
+    return merge.retrofit(lacking(batch), archive.read(spark, path)).select("auction_uid", "start_ts", "starting_bid")
 
 
 @query("SELECT auction_uid, (auction_uid % 5 <> 0) AS same FROM hot JOIN (SELECT uuid FROM cold) c USING (uuid)")
@@ -766,18 +797,26 @@ def stream_archive(spark, d):
     return ingest.archived(spark, ingested(spark, d)).select("auction_uid", "tag", "month", "highest_bid")
 
 
-@query("SELECT uuid, seller, start_ts FROM auctions WHERE auction_uid % 20 < 14")
+@query(_UNSOLD.format(rows="auctions", sold="auctions") + """, early AS (SELECT h.auction_uid, c.start_ts, c.starting_bid, CAST(c.e >= h.end_ts + INTERVAL '3' DAY AS INT) AS late, c.e
+  FROM auctions h JOIN unsold c ON c.uuid = h.uuid AND c.e < h.end_ts + INTERVAL '14' DAY AND c.e > h.end_ts - INTERVAL '14' DAY),
+first AS (SELECT *, row_number() OVER (PARTITION BY auction_uid ORDER BY late, e DESC, CAST(starting_bid AS VARCHAR) DESC) AS r FROM early)
+SELECT a.uuid, a.seller, f.start_ts, f.starting_bid FROM auctions a LEFT JOIN first f ON f.auction_uid = a.auction_uid AND r = 1""")
 def stream_retrofit(spark, d):
-    """Sold events without seller and start meet unsold ones that ended up to 19 days later."""
-    top, a = folder(spark), tables.auctions(spark, d).select("uuid", "tag", "seller", "end_ts", "start_ts", "auction_uid")
-    later = F.timestamp_add("DAY", F.pmod("auction_uid", F.lit(20)).cast("int"), F.col("end_ts"))
-    a.withColumn("end_ts", later).write.parquet(f"{top}/unsold")
-    a.withColumn("seller", F.lit(None).cast("long")).withColumn("start_ts", F.lit(None).cast("timestamp_ntz")).write.parquet(f"{top}/sold")
-    # watermarks need instants, not local times
-    read = lambda name: spark.readStream.schema(a.schema).parquet(f"{top}/{name}").withColumn("end_ts", F.col("end_ts").cast("timestamp"))
-    out = ingest.retrofit_stream(read("sold"), read("unsold")).writeStream.format("parquet").option("checkpointLocation", f"{top}/checkpoint")
+    """Sold events arrive after the unsold ones that ended up to three days later and before the others,
+    which end up to 19 days later; some find none."""
+    top, a = folder(spark), tables.auctions(spark, d).select("uuid", "tag", "seller", "end_ts", "start_ts", "bin", "auction_uid", "is_sold")
+    unsold = stored_unsold(a).withColumn("is_sold", F.lit(False)).withColumn("_days", F.when(F.col("starting_bid") >= 1000, F.col("auction_uid") % 7).otherwise(F.col("auction_uid") % 20))
+    sold = lacking(a.withColumn("is_sold", F.lit(True)))
+    events = [unsold.where("_days < 3"), sold, unsold.where("_days >= 3")]
+    for rows in events:  # watermarks need instants, not local times
+        rows.select(*sold.columns).withColumn("end_ts", F.col("end_ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{top}/in")
+    all_ = spark.read.parquet(f"{top}/in")
+    completion.last_event(all_, 10_000).write.mode("append").parquet(f"{top}/in")
+    read = spark.readStream.schema(all_.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+    # the test tables' events come in order of id, not of time: all of them may be late
+    out = completion.completed(read, delay="5000 days").writeStream.format("parquet").option("checkpointLocation", f"{top}/checkpoint")
     out.trigger(availableNow=True).start(f"{top}/out").awaitTermination()
-    return spark.read.parquet(f"{top}/out").select("uuid", "seller", "start_ts")
+    return spark.read.parquet(f"{top}/out").select("uuid", "seller", "start_ts", "starting_bid")
 
 
 @query("SELECT o_orderkey AS job_id, 'user' || o_custkey AS email, CASE o_orderkey % 4 WHEN 2 THEN 'Done' ELSE 'Deleted' END AS status, CAST(o_orderkey % 4 AS BIGINT) AS changed_at FROM orders WHERE o_orderkey % 4 >= 2")

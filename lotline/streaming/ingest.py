@@ -72,14 +72,3 @@ def archived(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/archive")
     old = rows.where(F.lit(False)).drop("batch")
     return merge.archive(old, merge.last_write(rows, ["uuid"]).drop("batch"))
-
-
-def retrofit_stream(sold: DataFrame, unsold: DataFrame, days: int = 14) -> DataFrame:
-    """Sold events without a start, completed from the unsold ones of equal uuid and tag that ended less
-    than ``days`` before or after: a stream-stream interval join that drops older state by its watermark.
-    Only completed events come out; the others are in the main stream as they are."""
-    a = sold.where("start_ts is null").withWatermark("end_ts", f"{days} days")
-    b = unsold.withWatermark("end_ts", f"{days} days").select(F.col("uuid").alias("_uuid"), F.col("tag").alias("_tag"), F.col("end_ts").alias("_end"), F.col("start_ts").alias("_start"), F.col("seller").alias("_seller"))
-    near = F.expr(f"uuid = _uuid AND tag = _tag AND _end > end_ts - INTERVAL '{days}' DAY AND _end < end_ts + INTERVAL '{days}' DAY")
-    both = a.join(b, near)
-    return both.withColumn("start_ts", F.col("_start")).withColumn("seller", F.coalesce("seller", "_seller")).drop("_uuid", "_tag", "_end", "_start", "_seller")

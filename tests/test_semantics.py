@@ -10,7 +10,7 @@ from lotline.operators import compare, export, filters, merge, players, prices,
 from lotline.plans.memo import PriceMemo
 from lotline.sources import archive
 from lotline.schema import BIDDER, SELLER
-from lotline.streaming import ingest
+from lotline.streaming import completion, ingest
 
 AUCTION = "auction_uid long, uuid string, tag string, seller long, end_ts timestamp_ntz, start_ts timestamp_ntz, highest_bid long, is_sold boolean"
 T = datetime(2024, 6, 15, 12)
@@ -25,6 +25,27 @@ def one(spark, column, **values):
     return df.select(column).first()[0]
 
 
+def leaves(node):
+    """The leaves of an executed plan, adaptive ones included."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return leaves(node.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return leaves(node.plan())
+    kids = node.children()
+    return [x for i in range(kids.size()) for x in leaves(kids.apply(i))] if kids.size() else [node]
+
+
+def partitions_read(df):
+    """Folders that the file scans of the collected ``df`` read, one number a scan."""
+    df.collect()
+    out = []
+    for leaf in leaves(df._jdf.queryExecution().executedPlan()):
+        if leaf.getClass().getSimpleName() == "FileSourceScanExec" and leaf.metrics().contains("numPartitions"):
+            out.append(leaf.metrics().apply("numPartitions").value())
+    return out
+
+
 def test_upper_median_and_mode(spark):
     r = prices.summary(sold(spark, [1, 2, 3, 4]), ["tag"]).first()
     assert (r["min"], r["max"], r["mean"], r["med"], r["volume"]) == (1, 4, 2.5, 3, 4.0)
@@ -104,6 +125,26 @@ def test_retrofit_window_is_open(spark):
     assert got(13.9) == T and got(14) is None and got(-14) is None and got(-13.9) == T
 
 
+def test_retrofit_gives_a_row_a_row(spark):
+    s = "uuid string, tag string, end_ts timestamp_ntz, start_ts timestamp_ntz, starting_bid long, profile string, count int"
+    day = lambda n: T + timedelta(days=n)
+    sold = spark.createDataFrame([("u", "t", T, None, None, "own", None), ("u", "t", T, None, None, "own", None), ("u", "t", T, day(-3), 4, "own", 2), (None, "t", T, None, 5, None, None), ("v", "t", T, None, 6, None, None)], s)
+    old = spark.createDataFrame([("u", "t", day(1), day(-1), 1, "p1", 1), ("u", "t", day(2), day(-2), 2, None, 3), ("u", "t", day(20), day(-9), 9, "p9", 9), ("u", "x", day(3), day(-9), 9, "p9", 9)], s)
+    got = sorted((tuple(r)[3:] for r in merge.retrofit(sold, old).collect()), key=repr)
+    assert got == sorted([(day(-2), 2, None, 3)] * 2 + [(day(-3), 4, "own", 2), (None, 5, None, None), (None, 6, None, None)], key=repr)
+    assert merge.retrofit(sold.limit(0), old).count() == 0 and merge.retrofit(sold, old.limit(0)).count() == 5
+
+
+def test_retrofit_reads_the_months_of_its_batch(spark, tmp_path):
+    rows = sold(spark, range(300)).withColumn("end_ts", F.col("end_ts") + F.make_dt_interval(F.col("auction_uid").cast("int")))
+    archive.write(rows, str(tmp_path / "a"))
+    batch = rows.where("auction_uid between 100 and 104").withColumn("start_ts", F.lit(None).cast("timestamp_ntz"))
+    out = merge.retrofit(batch, archive.read(spark, str(tmp_path / "a")))
+    assert out.where("start_ts is not null").count() == 5
+    assert 2 in partitions_read(out) and max(partitions_read(out)) <= 2  # of eleven
+    assert archive.read(spark, str(tmp_path / "a")).select("month").distinct().count() == 11
+
+
 def test_identity(spark):
     assert one(spark, identity.item_guid(F.lit(None).cast("string"), F.lit("abc123"))) == "0" * 26 + "abc123"
     assert one(spark, identity.bid_profile(F.lit("unknown"), F.lit("b"))) == "0" * 31 + "1"
@@ -199,20 +240,37 @@ def test_round_trip_of_a_stream(spark, tmp_path):
 
 
 def test_stream_retrofit(spark, tmp_path):
-    """Sold events without a start get that of an unsold one of the same uuid and tag within 14 days."""
-    schema = "auction_uid long, uuid string, tag string, seller long, e string, s string"
-    sold = [(1, "a", "T", None, "2025-01-20 00:00:00", None), (2, "b", "T", 5, "2025-01-20 00:00:00", None), (3, "c", "T", 5, "2025-01-20 00:00:00", None), (4, "a", "T", 5, "2025-01-20 00:00:00", "2025-01-19 00:00:00")]
-    unsold = [(1, "a", "T", 6, "2025-01-10 00:00:00", "2025-01-09 00:00:00"), (2, "b", "U", 6, "2025-01-10 00:00:00", "2025-01-09 00:00:00"), (3, "c", "T", 6, "2025-01-06 00:00:00", "2025-01-05 00:00:00")]
-    streams = []
-    for name, rows in (("sold", sold), ("unsold", unsold)):
-        df = spark.createDataFrame(rows, schema).select("auction_uid", "uuid", "tag", "seller", F.col("e").cast("timestamp_ntz").alias("end_ts"), F.col("s").cast("timestamp_ntz").alias("start_ts"))
-        df.write.parquet(f"{tmp_path}/{name}")
-        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/{name}")
-        streams.append(stream.withColumn("end_ts", F.col("end_ts").cast("timestamp")))
-    q = ingest.retrofit_stream(*streams).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
-    q.awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out").selectExpr("auction_uid", "seller", "cast(start_ts AS string) AS s").collect()
-    assert [tuple(r) for r in got] == [(1, 6, "2025-01-09 00:00:00")]
+    """Each sold event comes out once: at once if it has a start, completed by what is there or comes later,
+    or as it is when its time is over; over restarts from the checkpoint too."""
+    schema = "uuid string, tag string, is_sold boolean, e string, s string, starting_bid long, seller long"
+    big = 2**53 + 1
+    steps = [
+        [("a", "T", False, "2025-01-10 00:00:00", "2025-01-01 00:00:00", 1, None), ("a", "T", False, "2025-01-12 00:00:00", "2025-01-02 00:00:00", big, None), ("far", "T", False, "2025-01-04 00:00:00", "2025-01-01 00:00:00", 9, 1)],
+        [("a", "T", True, "2025-01-11 00:00:00", None, None, big), ("b", "T", True, "2025-01-11 00:00:00", None, None, 2), ("whole", "T", True, "2025-01-11 00:00:00", "2025-01-05 00:00:00", 7, None), ("far", "T", True, "2025-01-18 00:00:00", None, None, 3), ("b", "U", True, "2025-01-11 00:00:00", None, None, 4)],
+        [("b", "T", False, "2025-01-13 00:00:00", "2025-01-03 00:00:00", 5, None), ("a", "T", False, "2025-01-14 00:00:00", "2025-01-03 00:00:00", 6, None), (None, "T", True, "2025-01-13 00:00:00", None, 1, 1)],
+    ]
+
+    def frame(rows):
+        df = spark.createDataFrame(rows, schema)
+        return df.select("uuid", "tag", "is_sold", F.col("e").cast("timestamp").alias("end_ts"), F.col("s").cast("timestamp_ntz").alias("start_ts"), "starting_bid", "seller")
+
+    def run():
+        read = spark.readStream.schema(frame(steps[0]).schema).parquet(f"{tmp_path}/in")
+        q = completion.completed(read).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q.awaitTermination()
+        rows = spark.read.parquet(f"{tmp_path}/out").selectExpr("uuid", "tag", "cast(start_ts AS string) AS s", "starting_bid", "seller").collect()
+        return sorted((tuple(r) for r in rows), key=repr)
+
+    seen = []
+    for rows in steps:
+        frame(rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        seen.append(run())
+    at_once = [("a", "T", "2025-01-02 00:00:00", big, big), ("whole", "T", "2025-01-05 00:00:00", 7, None)]
+    assert seen[0] == [] and seen[1] == at_once
+    assert seen[2] == sorted([*at_once, ("b", "T", "2025-01-03 00:00:00", 5, 2)], key=repr)
+    completion.last_event(spark.read.parquet(f"{tmp_path}/in")).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == sorted([*seen[2], ("b", "U", None, None, 4), ("far", "T", None, None, 3)], key=repr)
+    assert run() == sorted([*seen[2], ("b", "U", None, None, 4), ("far", "T", None, None, 3)], key=repr)
 
 
 def test_job_states_follow_their_actions(spark, tmp_path):
