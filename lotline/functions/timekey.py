@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +45,32 @@ def months_apart(a: Column, b: Column) -> Column:
 def estimated_date(uid: Column) -> Column:
     """A guess from a running id: 30 million ids a year since June 2019."""
     return F.add_months(F.lit("2019-06-01").cast("date"), (12 * F.call_function("div", uid, F.lit(30_000_000))).cast("int"))
+
+
+def keys_between(tag: str | None, start: str, end: str) -> list[int]:
+    """The time keys from that of ``start`` to that of ``end``, on the driver."""
+    step = HALF_DAY if tag is None or tag in HALF_DAY_TAGS else WEEK
+    at = [int((datetime.fromisoformat(t).replace(tzinfo=timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1)) - EPOCH for t in (start, end)]
+    low, high = (abs(t) // step * (1 if t >= 0 else -1) for t in at)
+    return list(range(low, high + 1))
+
+
+def months_between(start: str, end: str) -> list[str]:
+    """The months from that of ``start`` to that of ``end``, on the driver."""
+    low, high = (12 * int(t[:4]) + int(t[5:7]) - 1 for t in (start, end))
+    return [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(low, high + 1)]
+
+
+def local_to_utc(ts: Column, zone: str) -> Column:
+    """A local time of ``zone`` (timestamp_ntz) as UTC, summer time included. An hour that comes twice is
+    taken as its second, in standard time, and one that is left out as if the clock had not been moved."""
+    first = F.to_utc_timestamp(ts.cast("timestamp"), zone)
+    second = first + F.expr("INTERVAL '1' HOUR")
+    return F.when(F.from_utc_timestamp(second, zone) == ts.cast("timestamp"), second).otherwise(first).cast("timestamp_ntz")
+
+
+def local_hours(ts: Column, zone: str) -> Column:
+    """``ts`` less the whole hours of the offset that ``zone`` has then: how clocks were turned back where
+    offsets of half an hour lose their minutes."""
+    micros_ = micros(ts) - micros(local_to_utc(ts, zone))
+    return F.timestamp_micros(micros(ts) - F.call_function("div", micros_, F.lit(3_600_000_000)) * 3_600_000_000).cast("timestamp_ntz")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +71,68 @@ def remaining(rows: DataFrame, probed: list[str]) -> DataFrame:
     """The months of ``rows`` that are not ``probed`` yet, with how many rows each has."""
     months = rows.select(timekey.month(F.col("end_ts")).alias("month"))
     return months.where(~F.col("month").isin(*probed)).groupBy("month").agg(F.count("*").alias("rows"))
+
+
+@dataclass
+class Budget:
+    """A scan that stops early: the months of the archive and of the recent tier that it takes rows from,
+    the time keys of the latter, and how many partitions it looked at."""
+
+    archived: list[str] = field(default_factory=list)
+    recent: list[str] = field(default_factory=list)
+    keys: list[int] = field(default_factory=list)
+    looked_at: int = 0
+    found: int = 0
+
+
+def spend(hot: DataFrame, cold: DataFrame | None, tag: str, start: str, end: str, n: int, condition: Column) -> Budget:
+    """Which partitions hold the ``n`` newest rows of ``tag`` with start < end_ts <= end that meet
+    ``condition``: months of ``cold`` (by month), or where it has no sold row of a month in range, the time
+    keys of ``hot`` (by tag and time_key) in that month.
+
+    Months are looked at in order from the newest, in groups of one, two, four, ... until the budget is met,
+    each group by a count of its partitions; what is older is never read.
+    """
+    plan, todo, size = Budget(), timekey.months_between(start, end)[::-1], 1
+    following = dict(zip(todo[1:], todo[:-1]))
+    ranged = (F.col("tag") == tag) & (F.col("end_ts") > ntz(start)) & (F.col("end_ts") <= ntz(end)) & F.col("is_sold")
+    counts = [F.count("*").alias("rows"), F.sum(F.coalesce(condition, F.lit(False)).cast("long")).alias("meet")]
+    while todo and plan.found < n:
+        group, todo, size = todo[:size], todo[size:], 2 * size
+        stored = {} if cold is None else {r["month"]: r["meet"] for r in cold.where(ranged & F.col("month").isin(group)).groupBy("month").agg(*counts).collect()}
+        lacking = [m for m in group if m not in stored]
+        keys = {m: timekey.keys_between(tag, max(start, f"{m}-01 00:00:00"), min(end, f"{following[m]}-01 00:00:00") if m in following else end)[::-1] for m in lacking}
+        wanted = sorted({k for ks in keys.values() for k in ks})
+        recent = {}
+        if wanted:
+            month = timekey.month(F.col("end_ts"))
+            recent = {(r["month"], r["time_key"]): r["meet"] for r in hot.where(ranged & F.col("time_key").isin(wanted) & month.isin(lacking)).groupBy(month.alias("month"), "time_key").agg(*counts).collect()}
+        for m in group:
+            if plan.found >= n:
+                break
+            if m in stored:
+                plan.archived.append(m)
+                plan.found += stored[m]
+                continue
+            plan.recent.append(m)
+            for k in keys[m]:
+                if plan.found < n and (m, k) in recent:
+                    plan.keys.append(k)
+                    plan.found += recent[m, k]
+        plan.looked_at += len(group) * (cold is not None) + len(wanted)
+    return plan
+
+
+def budgeted(hot: DataFrame, cold: DataFrame | None, tag: str, start: str, end: str, n: int, condition: Column | None = None) -> DataFrame:
+    """The ``n`` newest sold rows of ``tag`` with start < end_ts <= end that meet ``condition``, by end and id;
+    a month comes from the archive if that has any of it, else from the recent tier. Only the partitions
+    that spend() finds are read. The columns are those that both have; origin says where a row is from."""
+    condition = F.lit(True) if condition is None else condition
+    plan = spend(hot, cold, tag, start, end, n, condition)
+    wanted = (F.col("tag") == tag) & (F.col("end_ts") > ntz(start)) & (F.col("end_ts") <= ntz(end)) & F.col("is_sold") & condition
+    both = [c for c in hot.columns if c != "time_key" and (cold is None or c in cold.columns)]
+    rows = hot.where(wanted & F.col("time_key").isin(plan.keys) & timekey.month(F.col("end_ts")).isin(plan.recent)).select(*both, F.lit("hot").alias("origin"))
+    if cold is not None:
+        rows = rows.unionByName(cold.where(wanted & F.col("month").isin(plan.archived)).select(*both, F.lit("archive").alias("origin")))
+    # the plan knows how many there are: a budget that was not met needs no limit, whatever its size
+    return newest(rows, n) if plan.found > n else rows.orderBy(F.col("end_ts").desc(), F.col("auction_uid").desc())

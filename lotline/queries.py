@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotline.functions import identity, nested, timekey
-from lotline.operators import compare, export, filters, jobs, merge, players, prices, scan
+from lotline.operators import bloom, compare, export, filters, jobs, merge, players, prices, scan
 from lotline.plans import memo
 from lotline.session import configure
-from lotline.sources import archive, tables
+from lotline.sources import archive, months, tables
 from lotline.streaming import completion, ingest
 
 AS_OF, CUTOFF = "2025-08-01 00:00:00", "2025-05-01 00:00:00"
@@ -210,6 +210,20 @@ def bids_dedup(spark, d):
     return players.last_bids(B(spark, d)).select("bidder", "ts", "amount", "auction_uid", "seq")
 
 
+@query("""SELECT uuid, tag, strftime(end_ts, '%Y-%m') AS month, highest_bid, v FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY highest_bid DESC, v DESC) AS r FROM (
+  SELECT uuid, tag, end_ts, highest_bid, 0 AS v FROM hot UNION ALL SELECT uuid, tag, end_ts, highest_bid - CASE WHEN auction_uid % 5 = 0 THEN 1 ELSE 0 END, 1 FROM cold WHERE end_ts > TIMESTAMP '2025-01-01')) WHERE r = 1 AND tag = '2-HIGH'""")
+def archive_on_write(spark, d):
+    """Two batches merged into stored folders, the second touching the last months only and sent twice."""
+    kept = months.MonthArchive(spark, folder(spark))
+    names = ["uuid", "tag", "end_ts", "highest_bid", "v"]
+    kept.merge(hot(spark, d).withColumn("v", F.lit(0)).select(*names), "hot", 1)
+    late = cold(spark, d).where(F.col("end_ts") > scan.ntz("2025-01-01 00:00:00")).withColumn("v", F.lit(1))
+    late = late.withColumn("highest_bid", F.col("highest_bid") - F.when(F.col("auction_uid") % 5 == 0, 1).otherwise(0)).withColumn("uuid", F.upper("uuid"))
+    for _ in range(2):
+        kept.merge(late.select(*names), "cold", 1)
+    return kept.read().where("tag = '2-HIGH'").select("uuid", "tag", "month", "highest_bid", "v")
+
+
 @query("""SELECT uuid, tag, highest_bid, v FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY highest_bid DESC, v DESC) AS r FROM (
   SELECT uuid, tag, highest_bid, 0 AS v FROM hot UNION ALL SELECT uuid, tag, CASE WHEN auction_uid % 5 = 0 THEN highest_bid - 1 ELSE highest_bid END, 1 FROM cold)) WHERE r = 1""")
 def archive_merge(spark, d):
@@ -431,6 +445,32 @@ def may_exist(spark, d):
     return hot(spark, d).select("uuid").join(have, "uuid", "left").select("uuid", F.col("_in").isNotNull().alias("may_exist"))
 
 
+BLOOM_BITS = 1 << 17  # for some 10,000 entries; the tables at larger factors fill it, which only makes it less sharp
+
+# positions of a UUID: double hashing of the SHA-256 of its bytes, the first three groups of which are turned round
+_POSITIONS = """, ids AS (SELECT uuid, sha256(unhex(uuid[7:8] || uuid[5:6] || uuid[3:4] || uuid[1:2] || uuid[11:12] || uuid[9:10] || uuid[15:16] || uuid[13:14] || uuid[17:32])) AS s, origin FROM
+  (SELECT uuid, 'cold' AS origin FROM cold UNION ALL SELECT uuid, 'hot' FROM hot)),
+halves AS (SELECT uuid, origin, CAST('0x' || s[15:16] || s[13:14] || s[11:12] || s[9:10] || s[7:8] || s[5:6] || s[3:4] || s[1:2] AS HUGEINT) % 9223372036854775808 AS h1,
+  greatest(CAST('0x' || s[31:32] || s[29:30] || s[27:28] || s[25:26] || s[23:24] || s[21:22] || s[19:20] || s[17:18] AS HUGEINT) % 9223372036854775808, 1) AS h2 FROM ids),
+set_bits AS (SELECT uuid, origin, CAST(((h1 + k * h2) % 9223372036854775808) % {bits} AS BIGINT) AS p FROM halves, range(7) r(k)),
+words AS (SELECT p // 32 AS word, CAST(CASE WHEN bit_or(1::BIGINT << (p % 32)) > 2147483647 THEN bit_or(1::BIGINT << (p % 32)) - 4294967296 ELSE bit_or(1::BIGINT << (p % 32)) END AS INT) AS bits, bit_or(1::BIGINT << (p % 32)) AS u FROM set_bits WHERE origin = 'cold' GROUP BY 1)
+""".format(bits=BLOOM_BITS)
+
+
+@query(_POSITIONS + "SELECT word, bits FROM words")
+def bloom_filter(spark, d):
+    """Built in two parts, merged, written as a file and read back."""
+    rows, path = cold(spark, d), folder(spark)
+    halves = [bloom.built(rows.where(f"auction_uid % 2 = {k}"), "uuid", BLOOM_BITS) for k in (0, 1)]
+    bloom.save(bloom.merged(*halves), path, BLOOM_BITS)
+    return bloom.load(spark, path)[0]
+
+
+@query(_POSITIONS + "SELECT a.uuid, min(CAST(coalesce((u >> (p % 32)) & 1, 0) AS INT)) = 1 AS may_exist FROM set_bits a LEFT JOIN words ON word = p // 32 WHERE origin = 'hot' GROUP BY a.uuid")
+def bloom_probe(spark, d):
+    return bloom.probed(hot(spark, d).select("uuid"), "uuid", bloom.built(cold(spark, d), "uuid", BLOOM_BITS), BLOOM_BITS)
+
+
 # --- joins and comparisons
 
 
@@ -620,6 +660,34 @@ def recent_topk(spark, d):
     return scan.newest(tables.auctions(spark, d).where("tag = 'ENCHANTED_BOOK'"), 100).select("auction_uid", "end_ts", "highest_bid")
 
 
+_BUDGET = f"""SELECT auction_uid, end_ts, highest_bid, origin FROM (
+  SELECT *, 'archive' AS origin FROM cold WHERE end_ts <= TIMESTAMP '{CUTOFF}' UNION ALL
+  SELECT *, 'hot' FROM hot WHERE strftime(end_ts, '%Y-%m') NOT IN (SELECT strftime(end_ts, '%Y-%m') FROM cold WHERE end_ts <= TIMESTAMP '{CUTOFF}' AND end_ts > TIMESTAMP '2024-01-15' AND tag = '3-MEDIUM' AND is_sold))
+WHERE tag = '3-MEDIUM' AND is_sold AND bin AND end_ts > TIMESTAMP '2024-01-15' AND end_ts <= TIMESTAMP '{AS_OF}' ORDER BY end_ts DESC, auction_uid DESC LIMIT """
+
+
+def tier_stores(spark, d):
+    """Recent auctions by tag and time key, archived ones (up to the cutoff) by tag and month."""
+    path, names = folder(spark), ["auction_uid", "tag", "end_ts", "is_sold", "highest_bid", "bin"]
+    hot(spark, d).select(*names, "time_key").repartition("tag", "time_key").write.partitionBy("tag", "time_key").parquet(f"{path}/hot")
+    archive.write(cold(spark, d).where(F.col("end_ts") <= scan.ntz(CUTOFF)).select(*names), f"{path}/cold")
+    read = spark.read.parquet(f"{path}/hot")
+    return read.withColumn("time_key", F.col("time_key").cast("int")), archive.read(spark, f"{path}/cold")
+
+
+@query(_BUDGET + "40")
+def budget_scan(spark, d):
+    recent, archived = tier_stores(spark, d)
+    return scan.budgeted(recent, archived, "3-MEDIUM", "2024-01-15 00:00:00", AS_OF, 40, filters.compiled({"Bin": "true"})).select("auction_uid", "end_ts", "highest_bid", "origin")
+
+
+@query(_BUDGET + "400000000")
+def budget_scan_all(spark, d):
+    """A budget that is never met: all rows of the range, over both tiers."""
+    recent, archived = tier_stores(spark, d)
+    return scan.budgeted(recent, archived, "3-MEDIUM", "2024-01-15 00:00:00", AS_OF, 400_000_000, filters.compiled({"Bin": "true"})).select("auction_uid", "end_ts", "highest_bid", "origin")
+
+
 @query(f"SELECT auction_uid, end_ts FROM auctions WHERE tag = '2-HIGH' AND is_sold AND end_ts > TIMESTAMP '{AS_OF}' - INTERVAL '2' DAY AND end_ts <= TIMESTAMP '{AS_OF}' ORDER BY end_ts DESC, auction_uid DESC LIMIT 1000")
 def recent_batch(spark, d):
     rows = scan.in_range(tables.auctions(spark, d).where("is_sold"), "2025-07-30 00:00:00", AS_OF, "2-HIGH")
@@ -704,6 +772,12 @@ def unix_to_ts(spark, d):
     return tables.auctions(spark, d).select("auction_uid", F.timestamp_seconds(F.lit(1700000000) + F.col("auction_uid")).cast("timestamp_ntz").alias("at"))
 
 
+@query("SELECT auction_uid, seq, bidder, ts, CAST(timezone('Europe/Berlin', ts + to_hours(CAST(l AS BIGINT) % 24)) AS TIMESTAMP) AS utc FROM (SELECT *, auction_uid + seq AS l FROM bids)")
+def bids_utc(spark, d):
+    local = F.timestamp_add("HOUR", ((F.col("auction_uid") + F.col("seq")) % 24).cast("int"), F.col("ts"))
+    return B(spark, d).select("auction_uid", "seq", "bidder", "ts", timekey.local_to_utc(local, "Europe/Berlin").alias("utc"))
+
+
 @query("SELECT auction_uid, CAST(TIMESTAMP '2019-06-01' + to_years(CAST((auction_uid * 40000) // 30000000 AS INT)) AS DATE) AS guess FROM auctions")
 def estimate_date(spark, d):
     return tables.auctions(spark, d).select("auction_uid", timekey.estimated_date(F.col("auction_uid") * 40000).alias("guess"))

@@ -3,7 +3,8 @@ the archive.
 
 Each batch is cleaned, reduced to the last write per auction and appended, to every table, under its
 batch number; a batch that is run again replaces its own files, so delivery is exactly once. Readers
-fold what batches wrote by event time, so late and repeated events do no harm.
+fold what batches wrote by event time, so late and repeated events do no harm. The archive is merged
+when it is written: a batch rewrites the folders that it touches.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lotline.functions import timekey
 from lotline.operators import filters, merge, players
+from lotline.sources import months
 
 EVENTS = "auction_uid long, uuid string, tag string, seller long, end_ts timestamp_ntz, start_ts timestamp_ntz, highest_bid long, write_ts timestamp_ntz, bids array<struct<bidder: bigint, amount: bigint, ts: timestamp_ntz>>"
 
@@ -48,9 +49,7 @@ def start(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         tables = {"auctions": last.drop("bids"), "bids": bids, "participations": players.participations(last, bids)}
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        ended = last.withColumn("month", timekey.month(F.col("end_ts"))).where("end_ts is not null")
-        ended = ended.repartitionByRange("tag", "month", "end_ts")
-        ended.write.mode("overwrite").partitionBy("tag", "month").parquet(f"{path}/archive/batch={number}")
+        months.MonthArchive(last.sparkSession, f"{path}/archive").merge(last, "ingest", number)
         last.unpersist()
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -68,7 +67,5 @@ def participations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archived(spark: SparkSession, path: str) -> DataFrame:
-    """The archive that the batches leave, by normalised UUID; tag and month prune folders."""
-    rows = spark.read.parquet(f"{path}/archive")
-    old = rows.where(F.lit(False)).drop("batch")
-    return merge.archive(old, merge.last_write(rows, ["uuid"]).drop("batch"))
+    """The archive that the batches leave; tag and month prune folders."""
+    return months.MonthArchive(spark, f"{path}/archive").read()

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotline.functions import identity, nested, timekey
-from lotline.operators import compare, export, filters, merge, players, prices, scan
+from lotline.operators import bloom, compare, export, filters, merge, players, prices, scan
 from lotline.plans.memo import PriceMemo
-from lotline.sources import archive
+from lotline.sources import archive, months
 from lotline.schema import BIDDER, SELLER
 from lotline.streaming import completion, ingest
 
@@ -285,3 +285,134 @@ def test_job_states_follow_their_actions(spark, tmp_path):
     assert [r.job_id for r in jobs.listed(got, "a@b.C ").collect()] == ["j3", "j2", "j1"]
     assert [r.job_id for r in jobs.listed(got, "a@b.c", jobs.SCHEDULED).collect()] == ["j2"]
     assert jobs.states(log.limit(0)).count() == 0
+
+
+def plain_positions(uuid, bits):
+    """The bits of a UUID, by hand."""
+    import hashlib
+    import uuid as u
+
+    digest = hashlib.sha256(u.UUID(uuid).bytes_le).digest()
+    mask = (1 << 63) - 1
+    a, b = int.from_bytes(digest[:8], "little") & mask, (int.from_bytes(digest[8:16], "little") & mask) or 1
+    return [((a + k * b) & mask) % bits for k in range(7)]
+
+
+def test_bloom_filter(spark, tmp_path):
+    """Bits as worked out by hand, no false negative, few false positives, and a file that survives."""
+    import random
+    import struct
+
+    rng, n, rate = random.Random(1), 3000, 0.01
+    bits = identity.bloom_bits(n, rate)
+    have, other = ([f"{rng.getrandbits(128):032x}" for _ in range(n)] for _ in range(2))
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "uuid string")
+    words = bloom.built(ids([*have, have[0], None, "unknown", have[1].upper()]), "uuid", bits).cache()
+    plain = {}
+    for u in have:
+        for p in plain_positions(u, bits):
+            plain[p // 32] = plain.get(p // 32, 0) | 1 << p % 32
+    signed = lambda x: x - (1 << 32) if x >> 31 else x
+    assert {r["word"]: r["bits"] for r in words.collect()} == {w: signed(b) for w, b in plain.items()}
+    probe = bloom.probed(ids([*have, *other, None, "xyz"]), "uuid", words, bits).groupBy("uuid", "may_exist").count().collect()
+    got = {r["uuid"]: r["may_exist"] for r in probe}
+    assert all(got[u] for u in have) and not got[None] and not got["xyz"]
+    assert sum(got[u] for u in other) <= 1.5 * rate * n
+    path = f"{tmp_path}/filter.bin"
+    bloom.save(words.limit(0), path, bits)
+    assert bloom.load(spark, path)[0].count() == 0
+    bloom.save(words, path, bits)
+    data = open(path, "rb").read()
+    assert data[:12] == b"BLM1" + struct.pack("<q", bits) and len(data) == 12 + 4 * -(-bits // 32)
+    back, size = bloom.load(spark, path)
+    assert size == bits and sorted(map(tuple, back.collect())) == sorted(map(tuple, words.collect()))
+    (tmp_path / "old.bin").write_bytes(data[12:-4])  # without a header, and a word short
+    back, size = bloom.load(spark, f"{tmp_path}/old.bin", bits)
+    assert sorted(map(tuple, back.collect())) == sorted((w, signed(b)) for w, b in plain.items() if w < len(data) // 4 - 4)
+    with pytest.raises(ValueError, match="no header"):
+        bloom.load(spark, f"{tmp_path}/old.bin")
+    one, two = (bloom.built(ids(x), "uuid", bits) for x in (have[: n // 2], have[n // 2 :]))
+    assert sorted(map(tuple, bloom.merged(one, two).collect())) == sorted(map(tuple, words.collect()))
+
+
+def test_bloom_filter_of_the_default_size(spark):
+    """Positions stay whole numbers far beyond 2^31 bits, whatever the halves of the digest are."""
+    bits = identity.bloom_bits(800_000_000, 0.01)
+    ids = [f"{k * 0x9E3779B97F4A7C15F39CC0605CEDC834 % (1 << 128):032x}" for k in range(1, 400)]
+    got = {r["uuid"]: r["p"] for r in spark.createDataFrame([(i,) for i in ids], "uuid string").select("uuid", bloom.positions(F.col("uuid"), bits).alias("p")).collect()}
+    assert all(got[i] == plain_positions(i, bits) for i in ids) and max(max(p) for p in got.values()) > 1 << 32
+
+
+AUCTIONS = "uuid string, tag string, end_ts timestamp_ntz, highest_bid long, v string"
+
+
+def test_archive_is_merged_when_written(spark, tmp_path):
+    """One and one are two; a batch that comes again changes nothing; other folders stay as they are."""
+    june, july, a, b, c = T, datetime(2024, 7, 1), "a" * 32, "b" * 32, "c" * 32
+    kept = months.MonthArchive(spark, str(tmp_path / "x"))
+    put = lambda rows, n, source="s": kept.merge(spark.createDataFrame(rows, AUCTIONS), source, n)
+    got = lambda: sorted((r["uuid"][0], r["tag"], r["month"], r["highest_bid"], r["v"]) for r in kept.read().collect())
+    with pytest.raises(ValueError, match="nothing is archived"):
+        kept.read()
+    assert put([(a, "A:B/ü 1", june, 5, "one"), (c, "007", july, 1, "one")], 1)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "x/data").rglob("*.parquet") if "007" in str(p)}
+    assert put([(b, "A:B/ü 1", june, 7, "two"), ("unknown", "A:B/ü 1", june, 7, "two"), (None, "007", july, 9, "two"), (a.upper(), "A:B/ü 1", june, 4, "two")], 2)
+    merged = [("a", "A:B/ü 1", "2024-06", 5, "one"), ("b", "A:B/ü 1", "2024-06", 7, "two"), ("c", "007", "2024-07", 1, "one")]
+    assert got() == merged
+    assert not put([(a, "A:B/ü 1", june, 99, "again")], 2) and not put([(a, "A:B/ü 1", june, 99, "again")], 1) and got() == merged
+    assert put([(a, "A:B/ü 1", june, 5, "three"), (a, "A:B/ü 1", july, 5, "three"), (b, None, june, 1, "three")], 1, "other")
+    assert got() == sorted([("a", "A:B/ü 1", "2024-06", 5, "three"), ("a", "A:B/ü 1", "2024-07", 5, "three"), ("b", "unknown", "2024-06", 1, "three"), *merged[1:]])
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "x/data").rglob("*.parquet") if "007" in str(p)} == files
+    one = kept.read().where("tag = 'A:B/ü 1' and month = '2024-06'")
+    assert partitions_read(one)[0] <= 3  # the versions of one folder
+    plan = one._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(tag" in plan or "PartitionFilters: [isnotnull(month" in plan
+    before = got()
+    assert kept.tidy(keep=1) == 2 and got() == before and partitions_read(one) and kept.versions() == [3]
+    put([], 2, "other")
+    assert got() == before
+
+
+def test_a_lost_batch_leaves_the_archive_as_it_was(spark, tmp_path):
+    kept = months.MonthArchive(spark, str(tmp_path / "x"))
+    kept.merge(spark.createDataFrame([("a" * 32, "t", T, 5, "one")], AUCTIONS), "s", 1)
+    broken = spark.createDataFrame([("b" * 32, "t", T, 6, "two"), ("c" * 32, "u", T, 6, "two")], AUCTIONS)
+    failing = broken.withColumn("v", F.when(F.col("uuid") == "c" * 32, F.raise_error(F.lit("lost"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        kept.merge(failing, "s", 2)
+    assert kept.read().count() == 1
+    # files of a version that was never named are not read, and are replaced
+    broken.withColumn("month", F.lit("2024-06")).withColumn("version", F.lit(2)).where("tag = 'u'").write.mode("append").partitionBy("tag", "month", "version").parquet(str(tmp_path / "x/data"))
+    assert kept.read().count() == 1
+    assert kept.merge(broken, "s", 2) and kept.read().count() == 3
+
+
+def test_budget_stops_at_the_newest_partitions(spark, tmp_path):
+    """The budget is met by the first months, and older partitions are never looked at."""
+    rows = sold(spark, range(1200)).withColumn("end_ts", F.col("end_ts") - F.make_dt_interval(F.col("auction_uid").cast("int"))).withColumn("time_key", timekey.time_key(F.col("tag"), F.col("end_ts")).cast("int"))
+    rows.write.partitionBy("tag", "time_key").parquet(str(tmp_path / "hot"))
+    archive.write(rows.where("end_ts < '2024-05-01'").drop("time_key"), str(tmp_path / "cold"))
+    hot = spark.read.parquet(str(tmp_path / "hot")).withColumn("time_key", F.col("time_key").cast("int"))
+    cold = archive.read(spark, str(tmp_path / "cold"))
+    args = (hot, cold, "x", "2020-01-01 00:00:00", "2024-06-15 12:00:00")
+    spent = scan.spend(*args, 20, F.lit(True))
+    assert spent.archived == [] and len(spent.keys) in (3, 4) and spent.looked_at < 12
+    out = scan.budgeted(*args, 20)
+    assert [r["auction_uid"] for r in out.collect()] == list(range(20))
+    assert all(n <= 4 for n in partitions_read(out))
+    wide = scan.spend(*args, 100, F.col("auction_uid") % 2 == 0)
+    assert 3 <= len(wide.archived) <= 7 and wide.looked_at < 40
+    got = [r["auction_uid"] for r in scan.budgeted(*args, 100, F.col("auction_uid") % 2 == 0).collect()]
+    assert len(got) == 100 and set(got) == set(range(0, 200, 2))
+    assert scan.budgeted(*args, 10**9).count() == 1200
+    assert scan.budgeted(hot, None, "x", *args[3:], 7).count() == 7 and scan.budgeted(hot, cold, "none", *args[3:], 7).count() == 0
+
+
+def test_clocks(spark):
+    got = lambda f, ts, zone: one(spark, f(F.lit(ts).cast("timestamp_ntz"), zone))
+    utc = lambda ts: got(timekey.local_to_utc, ts, "Europe/Berlin")
+    assert utc("2024-01-15 12:00:00") == datetime(2024, 1, 15, 11) and utc("2024-07-15 12:00:00.5") == datetime(2024, 7, 15, 10, 0, 0, 500_000)
+    assert utc("2024-10-27 02:30:00") == datetime(2024, 10, 27, 1, 30)  # comes twice
+    assert utc("2024-03-31 02:30:00") == datetime(2024, 3, 31, 1, 30)  # is left out
+    assert got(timekey.local_hours, "2024-01-15 12:00:00", "Asia/Kolkata") == datetime(2024, 1, 15, 7)
+    assert got(timekey.local_hours, "2024-01-15 12:00:00", "America/St_Johns") == datetime(2024, 1, 15, 15)
