@@ -18,7 +18,7 @@ from lotline.operators import bloom, compare, export, filters, jobs, merge, play
 from lotline.plans import memo
 from lotline.session import configure
 from lotline.sources import archive, months, tables
-from lotline.streaming import completion, ingest
+from lotline.streaming import completion, ingest, metrics, sinks
 
 AS_OF, CUTOFF = "2025-08-01 00:00:00", "2025-05-01 00:00:00"
 RECENT = "2024-06-27 00:00:00"  # 400 days before
@@ -843,16 +843,18 @@ def json_roundtrip(spark, d):
     return text.select(F.from_json("j", "auction_uid long, tag string, end_ts timestamp_ntz, highest_bid long").alias("r")).select("r.*")
 
 
-def ingested(spark, d):
+def ingested(spark, d, mirror=False):
     """The folder that a stream of auctions with their bids leaves, two files per batch; each auction
-    comes twice, first without a price."""
+    comes twice, first without a price. Some events are junk or lack a uuid."""
     top = folder(spark)
     rows = tables.with_bids(tables.auctions(spark, d), B(spark, d))
     bids = F.transform("bids", lambda b: F.struct(b["bidder"].alias("bidder"), b["amount"].alias("amount"), b["ts"].alias("ts")))
     rows = rows.select("auction_uid", "uuid", "tag", "seller", "end_ts", "start_ts", "highest_bid", F.col("end_ts").alias("write_ts"), bids.alias("bids"))
     early = rows.withColumn("highest_bid", F.lit(0).cast("long")).withColumn("write_ts", F.col("start_ts"))
-    rows.unionByName(early).repartition(4, "auction_uid").write.parquet(f"{top}/in")
-    ingest.start(ingest.file_source(spark, f"{top}/in", 2), f"{top}/out", f"{top}/checkpoint").awaitTermination()
+    junk = early.where("auction_uid % 10 = 1").withColumn("tag", F.lit(None).cast("string")).withColumn("seller", F.lit(None).cast("long"))
+    nameless = rows.where("auction_uid % 10 = 2").withColumn("uuid", F.lit(None).cast("string"))
+    rows.unionByName(early).unionByName(junk).unionByName(nameless).repartition(4, "auction_uid").write.parquet(f"{top}/in")
+    ingest.start(ingest.file_source(spark, f"{top}/in", 2), f"{top}/out", f"{top}/checkpoint", mirror).awaitTermination()
     return f"{top}/out"
 
 
@@ -866,9 +868,51 @@ def stream_participations(spark, d):
     return ingest.participations(spark, ingested(spark, d)).select("player", "auction_uid", "type")
 
 
+@query("""SELECT 'rows_in' AS name, 2 * count(*) + count(*) FILTER (auction_uid % 10 IN (1, 2)) AS value FROM auctions UNION ALL SELECT 'junk', count(*) FROM auctions WHERE auction_uid % 10 = 1
+UNION ALL SELECT 'without_uuid', count(*) FROM auctions WHERE auction_uid % 10 = 2 UNION ALL SELECT 'kept', count(*) FROM auctions UNION ALL SELECT 'repeats', count(*) FROM auctions
+UNION ALL SELECT 'bids', count(*) FROM (SELECT DISTINCT auction_uid, bidder, amount, ts FROM bids)""")
+def stream_metrics(spark, d):
+    """What passed and what was left out; both events of an auction are in one batch, so half are repeats."""
+    out = ingested(spark, d)
+    metrics.settled(spark)
+    sums = metrics.metrics(spark, f"{out}/metrics").where("name <> 'batch_ms'").groupBy("name").agg(F.sum("value").alias("value"))
+    wide = sums.groupBy().pivot("name", ["rows_in", "junk", "without_uuid", "kept"]).agg(F.first("value"))
+    return sums.unionByName(wide.select(F.lit("repeats").alias("name"), F.expr("rows_in - junk - without_uuid - kept").alias("value")))
+
+
+@query("""SELECT sink, uuid, status FROM (SELECT 'prices' AS sink, uuid, CASE WHEN auction_uid IN ((SELECT min(auction_uid) FROM auctions), (SELECT max(auction_uid) FROM auctions)) THEN 'dead' ELSE 'written' END AS status FROM auctions
+UNION ALL SELECT 'all', uuid, 'written' FROM auctions)""")
+def stream_quarantine(spark, d):
+    """Two rows have a price that is no number: one sink can't take them, the other takes all. The batch is
+    sent again, and a third sink, which is down at first, gets it later."""
+    rows = tables.auctions(spark, d)
+    first, last = rows.agg(F.min("auction_uid"), F.max("auction_uid")).first()
+    events = rows.select("auction_uid", "uuid", F.when(F.col("auction_uid").isin(first, last), F.concat(F.col("highest_bid").cast("string"), F.lit(" coins"))).otherwise(F.col("highest_bid").cast("string")).alias("price")).persist()
+    down = {"now": True}
+
+    def priced(x: DataFrame, path: str) -> None:
+        number = F.col("price").try_cast("long")
+        x.select("uuid", F.when(number.isNull(), F.raise_error(F.concat(F.lit("no price: "), "price")).cast("long")).otherwise(number).alias("price")).write.parquet(path)
+
+    def late(x: DataFrame, path: str) -> None:
+        if down["now"]:
+            raise OSError("the sink is down")
+        x.select("uuid").write.parquet(path)
+
+    out = sinks.Sinks(spark, folder(spark), {"prices": priced, "all": lambda x, path: x.select("uuid").write.parquet(path), "late": late})
+    out.write(events, 1)
+    out.write(events, 1)
+    down["now"] = False
+    out.write(events.limit(0), 2)
+    assert out.written("late").count() == out.written("all").count()
+    dead = out.dead().select("sink", F.get_json_object("row", "$.uuid").alias("uuid"), F.lit("dead").alias("status"))
+    good = [out.written(name).select(F.lit(name).alias("sink"), "uuid", F.lit("written").alias("status")) for name in ("prices", "all")]
+    return dead.unionByName(good[0]).unionByName(good[1])
+
+
 @query("SELECT auction_uid, tag, strftime(end_ts, '%Y-%m') AS month, highest_bid FROM auctions")
 def stream_archive(spark, d):
-    return ingest.archived(spark, ingested(spark, d)).select("auction_uid", "tag", "month", "highest_bid")
+    return ingest.archived(spark, ingested(spark, d, mirror=True)).select("auction_uid", "tag", "month", "highest_bid")
 
 
 @query(_UNSOLD.format(rows="auctions", sold="auctions") + """, early AS (SELECT h.auction_uid, c.start_ts, c.starting_bid, CAST(c.e >= h.end_ts + INTERVAL '3' DAY AS INT) AS late, c.e

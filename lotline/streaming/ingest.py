@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lotline.operators import filters, merge, players
 from lotline.sources import months
+from lotline.streaming import metrics
 
 EVENTS = "auction_uid long, uuid string, tag string, seller long, end_ts timestamp_ntz, start_ts timestamp_ntz, highest_bid long, write_ts timestamp_ntz, bids array<struct<bidder: bigint, amount: bigint, ts: timestamp_ntz>>"
 
@@ -40,19 +41,26 @@ def exploded(auctions: DataFrame) -> DataFrame:
     return rows.select("auction_uid", "b.*").where("bidder is not null").distinct()
 
 
-def start(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Process all that is there, then stop; run again to go on from the checkpoint."""
+def start(events: DataFrame, path: str, checkpoint: str, mirror: bool = True) -> StreamingQuery:
+    """Process all that is there, then stop; run again to go on from the checkpoint. Counters go to
+    path/metrics; ``mirror`` merges each batch into the archive."""
+    spark = events.sparkSession
+    listener = metrics.MetricsTable(spark, f"{path}/metrics")
+    spark.streams.addListener(listener)
 
     def batch(rows: DataFrame, number: int) -> None:
         last = merge.last_write(clean(rows), ["uuid"]).persist()
-        bids = exploded(last)
-        tables = {"auctions": last.drop("bids"), "bids": bids, "participations": players.participations(last, bids)}
+        kept, n_kept = metrics.counted(last.drop("bids"), "kept")
+        bids, n_bids = metrics.counted(exploded(last), "bids")
+        tables = {"auctions": kept, "bids": bids, "participations": players.participations(last, exploded(last))}
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        months.MonthArchive(last.sparkSession, f"{path}/archive").merge(last, "ingest", number)
+        listener.add(number, **n_kept.get, **n_bids.get)
+        if mirror:
+            months.MonthArchive(last.sparkSession, f"{path}/archive").merge(last, "ingest", number)
         last.unpersist()
 
-    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return listener.follow(metrics.observed(events).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:

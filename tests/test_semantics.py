@@ -10,7 +10,7 @@ from lotline.operators import bloom, compare, export, filters, merge, players, p
 from lotline.plans.memo import PriceMemo
 from lotline.sources import archive, months
 from lotline.schema import BIDDER, SELLER
-from lotline.streaming import completion, ingest
+from lotline.streaming import completion, ingest, metrics, sinks
 
 AUCTION = "auction_uid long, uuid string, tag string, seller long, end_ts timestamp_ntz, start_ts timestamp_ntz, highest_bid long, is_sold boolean"
 T = datetime(2024, 6, 15, 12)
@@ -416,3 +416,65 @@ def test_clocks(spark):
     assert utc("2024-03-31 02:30:00") == datetime(2024, 3, 31, 1, 30)  # is left out
     assert got(timekey.local_hours, "2024-01-15 12:00:00", "Asia/Kolkata") == datetime(2024, 1, 15, 7)
     assert got(timekey.local_hours, "2024-01-15 12:00:00", "America/St_Johns") == datetime(2024, 1, 15, 15)
+
+
+def test_bad_rows_do_not_stop_the_rest(spark, tmp_path):
+    """Two bad rows of a hundred and copies of one are dead, the others are written; a batch that was lost
+    half way is written once."""
+    rows = spark.createDataFrame([(i, "x" if i in (17, 60) else str(i)) for i in range(100)] + [(17, "x")], "id long, price string")
+    calls = []
+
+    def strict(x, path):
+        calls.append(path)
+        if len(calls) == crash_at:
+            raise KeyboardInterrupt
+        x.select("id", F.when(F.col("price") == "x", F.raise_error(F.lit("bad price")).cast("long")).otherwise(F.col("price").cast("long")).alias("price")).write.parquet(path)
+
+    crash_at = 4
+    out = sinks.Sinks(spark, str(tmp_path), {"strict": strict})
+    with pytest.raises(KeyboardInterrupt):
+        out.write(rows, 7)
+    assert out.outcomes().count() == 0
+    crash_at = -1
+    done = out.write(rows, 7)
+    assert [(o.sink, o.status, o.written, o.dead) for o in done] == [("strict", "done", 98, 3)]
+    assert out.write(rows, 7) == []
+    assert sorted(r["id"] for r in out.written("strict").collect()) == sorted(set(range(100)) - {17, 60})
+    dead = sorted((r["row"], "bad price" in r["error"]) for r in out.dead().collect())
+    assert dead == [('{"id":17,"price":"x"}', True)] * 2 + [('{"id":60,"price":"x"}', True)]
+
+
+def test_a_sink_that_is_down_gets_its_batches_later(spark, tmp_path):
+    rows = lambda k: spark.createDataFrame([(k * 10 + i,) for i in range(10)], "id long")
+    down = True
+
+    def fails(x, path):
+        if down:
+            raise OSError("no route")
+        x.write.parquet(path)
+
+    out = sinks.Sinks(spark, str(tmp_path), {"good": lambda x, path: x.write.parquet(path), "bad": fails})
+    status = lambda: {(r["sink"], r["batch"]): (r["status"], r["tries"], r["due"]) for r in out.outcomes().collect()}
+    out.write(rows(1), 1)
+    assert status() == {("good", 1): ("done", 1, -1), ("bad", 1): ("down", 1, 2)}
+    out.write(rows(2), 2)  # due, and down again: the next try is two batches later
+    assert status()[("bad", 1)] == ("down", 2, 4) and status()[("bad", 2)] == ("down", 1, 3)
+    down = False
+    out.write(rows(3), 3)
+    assert status()[("bad", 1)][0] == "down" and status()[("bad", 2)] == ("done", 2, -1)
+    out.write(rows(4), 4)
+    assert all(x[0] == "done" for x in status().values())
+    for name in ("good", "bad"):
+        assert sorted(r["id"] for r in out.written(name).collect()) == list(range(10, 50))
+    assert out.dead().count() == 0
+
+
+def test_metrics_of_two_batches(spark, tmp_path):
+    event = lambda uid, seller=1, tag="t", bid=5: (1, uid, tag, seller, T, T, bid, T, [(8, 5, T), (8, 5, T)])
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    for rows in ([event("a"), event("a"), event("b"), event(None), event("c", None, None, 0)], [event("a")]):
+        spark.createDataFrame(rows, ingest.EVENTS).coalesce(1).write.mode("append").parquet(src)
+        ingest.start(ingest.file_source(spark, src), out, cp, mirror=False).awaitTermination()
+        metrics.settled(spark)
+    got = {(r["batch"], r["name"]): r["value"] for r in metrics.metrics(spark, f"{out}/metrics").where("name <> 'batch_ms'").collect()}
+    assert got == {(0, "rows_in"): 5, (0, "junk"): 1, (0, "without_uuid"): 1, (0, "kept"): 2, (0, "bids"): 1, (1, "rows_in"): 1, (1, "junk"): 0, (1, "without_uuid"): 0, (1, "kept"): 1, (1, "bids"): 1}
