@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.functions import identity, nested, timekey
+from lotline.functions import identity, nbt, nested, packed, timekey
 from lotline.operators import bloom, compare, export, filters, jobs, merge, players, prices, scan
 from lotline.plans import memo
 from lotline.session import configure
@@ -836,6 +836,38 @@ def nbt_lookup(spark, d):
     return tables.auctions(spark, d).select("auction_uid", F.coalesce(F.element_at(attributes()["nbt"], "upgrade_level"), F.lit("0")).alias("stars"))
 
 
+@query("SELECT auction_uid, md5(CAST(auction_uid AS VARCHAR)) AS auction_uuid, md5(CAST(bidder AS VARCHAR)) AS bidder, amount, ts, CASE WHEN bidder % 3 > 0 THEN repeat('b', CAST(bidder AS INT)) || '\u00e9' END AS bidder_name, md5(CAST(seq AS VARCHAR)) AS profile_id FROM bids")
+def bids_msgpack(spark, d):
+    """Bids of an auction as one packed value, read back."""
+    name = F.when(F.col("bidder") % 3 > 0, F.concat(F.repeat(F.lit("b"), F.col("bidder").cast("int")), F.lit("\u00e9")))
+    hashed = lambda c: F.md5(F.col(c).cast("string"))
+    bid = F.struct(hashed("auction_uid").alias("auction_uuid"), hashed("bidder").alias("bidder"), "amount", F.col("ts").cast("timestamp").alias("ts"), name.alias("bidder_name"), hashed("seq").alias("profile_id"))
+    kept = B(spark, d).groupBy("auction_uid").agg(packed.bids_packed(F.collect_list(bid)).alias("value"))
+    back = kept.select("auction_uid", F.explode(packed.bids_unpacked(F.col("value"))).alias("b")).select("auction_uid", "b.*")
+    return back.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""SELECT auction_uid, 'ExtraAttributes.enchantments.sharpness=' || auction_uid % 7 || ';ExtraAttributes.gems.0=' || tag || ';ExtraAttributes.gems.1=' || tier || ';ExtraAttributes.id=' || tag || ';ExtraAttributes.timestamp=' || auction_uid * 10000000000
+  || ';i.Count=' || bid_count AS nbt FROM auctions""")
+def nbt_flatten(spark, d):
+    """An item tree of each auction, gzipped for every second one, as a flat map."""
+
+    def trees(batches):
+        import gzip
+
+        import pandas as pd
+
+        for rows in batches:
+            made = []
+            for uid, tag, tier, n in zip(rows["auction_uid"], rows["tag"], rows["tier"], rows["bid_count"]):
+                tree = nbt.tree({"i": {"Count": int(n)}, "ExtraAttributes": {"id": tag, "enchantments": {"sharpness": int(uid) % 7}, "gems": [tag, tier], "timestamp": int(uid) * 10_000_000_000, "none": []}})
+                made.append(gzip.compress(tree, 1) if uid % 2 else tree)
+            yield pd.DataFrame({"auction_uid": rows["auction_uid"], "item": made})
+
+    items = tables.auctions(spark, d).select("auction_uid", "tag", "tier", "bid_count").mapInPandas(trees, "auction_uid long, item binary")
+    return items.select("auction_uid", nested.map_text(nbt.attributes(F.col("item"))).alias("nbt"))
+
+
 @query("SELECT auction_uid, tag, end_ts, highest_bid FROM auctions")
 def json_roundtrip(spark, d):
     cols = ["auction_uid", "tag", "end_ts", "highest_bid"]

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lotline.functions import identity, nested, timekey
+from lotline.functions import identity, nbt, nested, packed, timekey
 from lotline.operators import bloom, compare, export, filters, merge, players, prices, scan
 from lotline.plans.memo import PriceMemo
 from lotline.sources import archive, months
@@ -478,3 +478,51 @@ def test_metrics_of_two_batches(spark, tmp_path):
         metrics.settled(spark)
     got = {(r["batch"], r["name"]): r["value"] for r in metrics.metrics(spark, f"{out}/metrics").where("name <> 'batch_ms'").collect()}
     assert got == {(0, "rows_in"): 5, (0, "junk"): 1, (0, "without_uuid"): 1, (0, "kept"): 2, (0, "bids"): 1, (1, "rows_in"): 1, (1, "junk"): 0, (1, "without_uuid"): 0, (1, "kept"): 1, (1, "bids"): 1}
+
+
+def test_messagepack_widths():
+    """Every width of every type, by the bytes that the format gives it, there and back."""
+    heads = {0: "00", 127: "7f", 128: "cc80", 255: "ccff", 256: "cd0100", 65535: "cdffff", 65536: "ce00010000", 2**32: "cf0000000100000000", 2**64 - 1: "cfffffffffffffffff", -1: "ff", -32: "e0", -33: "d0df", -128: "d080", -129: "d1ff7f", -32768: "d18000", -32769: "d2ffff7fff", -(2**31) - 1: "d3ffffffff7fffffff", -(2**63): "d38000000000000000"}
+    for value, text in heads.items():
+        assert packed.packed(value).hex() == text and packed.unpacked(bytes.fromhex(text)) == value
+    for value, head in [("", "a0"), ("é" * 15, "be"), ("x" * 32, "d920"), ("x" * 256, "da0100"), ("x" * 65536, "db00010000"), (b"", "c400"), (b"x" * 256, "c50100"), (b"x" * 65536, "c600010000"), ([], "90"), ([1] * 15, "9f"), ([1] * 16, "dc0010"), ([1] * 65536, "dd00010000"), ({}, "80"), ({i: i for i in range(15)}, "8f"), ({i: i for i in range(16)}, "de0010"), ({i: 1 for i in range(65536)}, "df00010000"), (None, "c0"), (False, "c2"), (True, "c3"), (1.5, "cb3ff8000000000000")]:
+        assert packed.packed(value).hex().startswith(head) and packed.unpacked(packed.packed(value)) == value
+    times = {packed.EPOCH: "d6ff00000000", packed.EPOCH + timedelta(microseconds=1): "d7ff", packed.EPOCH - timedelta(microseconds=1): "c70cff", packed.EPOCH + timedelta(days=80_000): "d7ff"}
+    for value, head in times.items():
+        assert packed.packed(value).hex().startswith(head) and packed.unpacked(packed.packed(value)) == value
+    assert packed.unpacked(bytes.fromhex("ca3fc00000")) == 1.5
+    assert [packed.unpacked(bytes.fromhex(x)) for x in ("d40501", "d5050102", "d6" + "05" + "01" * 4, "d8" + "05" + "01" * 16, "c70105" + "07", "c8000105" + "07", "c90000000105" + "07")] == [(5, b"\1"), (5, b"\1\2"), (5, b"\1" * 4), (5, b"\1" * 16)] + [(5, b"\7")] * 3
+    for bad, why in [("c1", "type byte"), ("cd01", "cut off"), ("9201", "cut off"), ("", "cut off"), ("0101", "follow")]:
+        with pytest.raises(ValueError, match=why):
+            packed.unpacked(bytes.fromhex(bad))
+
+
+def test_packed_bids(spark):
+    rows = [(0, [("a" * 32, "b" * 32, 2**62, datetime(2024, 6, 15, 12, 0, 0, 123456), None, "c" * 32), (None, None, None, None, "né", None)]), (1, []), (2, None)]
+    df = spark.createDataFrame(rows, f"k int, bids array<struct<{packed.BID.replace(', ', ',').replace(' ', ':')}>>")
+    out = df.select("k", "bids", packed.bids_packed(F.col("bids")).alias("x")).select("k", packed.bids_unpacked(F.col("x")).eqNullSafe(F.col("bids")).alias("same"), F.hex("x").alias("x"))
+    got = {r["k"]: (r["same"], r["x"]) for r in out.collect()}
+    assert got[0][0] and got[0][1].startswith("9296D924" + b"aaaaaaaa-aaaa-".hex().upper()) and got[1] == (True, "90") and got[2] == (True, None)
+    assert df.select(packed.bids_unpacked(F.lit(b"")).alias("x")).first()["x"] is None
+
+
+def test_item_trees(spark):
+    import gzip
+    import struct
+
+    text = lambda x: struct.pack(">H", len(x.encode())) + x.encode()
+    every = b"\x0a" + text("root") + b"\x01" + text("b") + b"\xff" + b"\x02" + text("s") + b"\x01\x00" + b"\x03" + text("i") + struct.pack(">i", -5) + b"\x04" + text("l") + struct.pack(">q", 2**40)
+    every += b"\x05" + text("f") + struct.pack(">f", 0.5) + b"\x06" + text("d") + struct.pack(">d", 0.1) + b"\x07" + text("bytes") + struct.pack(">i3b", 3, 1, 2, -3) + b"\x08" + text("né") + text("té")
+    every += b"\x09" + text("list") + b"\x0a" + struct.pack(">i", 2) + b"\x08" + text("x") + text("1") + b"\0" + b"\x09" + text("y") + b"\x02" + struct.pack(">i2h", 2, 7, 8) + b"\0"
+    every += b"\x0a" + text("c") + b"\x0b" + text("ints") + struct.pack(">i2i", 2, 1, -1) + b"\x0c" + text("longs") + struct.pack(">iq", 1, 2**50) + b"\0" + b"\x09" + text("none") + b"\x00" + struct.pack(">i", 0) + b"\0"
+    want = {"b": "-1", "s": "256", "i": "-5", "l": str(2**40), "f": "0.5", "d": "0.1", "bytes": "1,2,-3", "né": "té", "list.0.x": "1", "list.1.y.0": "7", "list.1.y.1": "8", "c.ints": "1,-1", "c.longs": str(2**50)}
+    assert nbt.flattened(every) == want == nbt.flattened(gzip.compress(every))
+    assert nbt.flattened(nbt.tree({"a": {"b": [1, 2], "c": 1.5, "d": b"\1\2"}, "e": 2**40, "f": [{"g": "h"}]})) == {"a.b.0": "1", "a.b.1": "2", "a.c": "1.5", "a.d": "1,2", "e": str(2**40), "f.0.g": "h"}
+    deep_bytes = b"\x0a" + text("") + (b"\x0a" + text("x")) * 3000 + b"\0" * 3001
+    assert nbt.flattened(deep_bytes) == {}
+    for bad in (every[:40], every[:-1], b"", b"\x03" + text("") + b"\0" * 4):
+        with pytest.raises(ValueError):
+            nbt.flattened(bad)
+    df = spark.createDataFrame([(0, bytearray(every)), (1, None), (2, bytearray())], "k int, item binary")
+    got = {r["k"]: r["m"] for r in df.select("k", nbt.attributes(F.col("item")).alias("m")).collect()}
+    assert got == {0: want, 1: None, 2: None}
