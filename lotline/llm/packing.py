@@ -5,8 +5,9 @@ down: every document, longest first, takes the smallest gap that holds it and th
 taken. In the order of that sweep gaps open and documents close like brackets, so running sums over
 the runs give each gap and each document its rank, the depth at which it opens or closes, and a
 document meets the gap before it at the same rank. Gaps shrink and the next round sweeps what is left,
-until no document is. Runs are cut into slices of ``SLICE`` rows, so a size that many share is dealt
-out; no rank has more rows than there are sizes. The driver sees a few sums a round.
+until no document is. Runs are cut into slices, SLICES to a partition of the session, so a size that many
+share is dealt out and there are as many runs as sizes and slices, whatever the number of documents; no
+rank has more rows than there are sizes. The driver sees a few sums a round.
 
 It starts from as many empty sequences as the tokens fill. Where there are many documents to a gap,
 some of one length are placed as one unit, which saves rounds. If no gap holds what is left, as many
@@ -17,22 +18,26 @@ from __future__ import annotations
 
 import functools
 import struct
+import sys
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lotline.llm.common import BROADCAST_ROWS, Scratch, join_small, slices, small_batches
 
-#: Documents or gaps of one size that one task ranks, at most about.
-SLICE = 20_000
+#: Slices to a partition, and the least number of documents or gaps of one size in a slice.
+SLICES, LEAST_SLICE = 4, 500
 #: Documents to a gap beyond which some of one length are placed as one unit.
 PER_GAP = 2
 UNIT = "struct<length: bigint, slice: bigint, nth: bigint, k: bigint>"
 #: Entries of each table of ids that a task keeps before it starts anew.
 CACHE = 500_000
+#: The module in which a worker process keeps them: functions travel whole, and so do their own modules.
+STAYS = "_lotline_llm_chunks"
 
 PIECE = "piece int, start long, length long, ids binary"
 
@@ -114,7 +119,10 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id
     names = ["piece", "start", "length", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(tokenizer_path)
+        # a worker process serves many tasks: tokenizer and tables of ids stay for the next one
+        kept = sys.modules.setdefault(STAYS, types.ModuleType(STAYS)).__dict__
+        chunks = kept.setdefault(tokenizer_path, None) or Chunks(tokenizer_path)
+        kept[tokenizer_path] = chunks
         end, step = struct.pack("<I", end_id), 4 * capacity
         for batch in batches:
             for part in slices(batch, batch.column(1).to_pylist()):
@@ -131,10 +139,15 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id
     return rows.mapInArrow(run, StructType(rows.schema.fields[:1] + StructType.fromDDL(PIECE).fields))
 
 
-def _sliced(rows: DataFrame, size: str, by: Column) -> DataFrame:
-    """``rows`` with ``slice``: a part of at most about SLICE of the rows of a ``size``. There are no
-    more sizes than the capacity, which bounds what is broadcast."""
-    parts = rows.groupBy(size).agg(F.ceil(F.count("*") / SLICE).alias("_parts"))
+def _per_slice(spark: SparkSession, n: int) -> int:
+    """Rows of a slice where there are ``n`` rows in all."""
+    return max(LEAST_SLICE, -(-n // (SLICES * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def _sliced(rows: DataFrame, size: str, by: Column, n: int) -> DataFrame:
+    """``rows``, ``n`` of them, with ``slice``: a part of at most about _per_slice() of the rows of a ``size``.
+    There are no more sizes than the capacity, which bounds what is broadcast."""
+    parts = rows.groupBy(size).agg(F.ceil(F.count("*") / _per_slice(rows.sparkSession, n)).alias("_parts"))
     return rows.join(F.broadcast(parts), size).withColumn("slice", F.pmod(F.xxhash64(by), F.col("_parts"))).drop("_parts")
 
 
@@ -145,18 +158,19 @@ def _round(at: Scratch, docs: DataFrame, gaps: DataFrame, capacity: int, per_gap
     docs = docs.withColumn("k", k).withColumn("units", F.when(F.col("length") <= widest, F.floor(F.col("n") / F.col("k"))).otherwise(0).cast("long"))
     none = F.lit(None).cast("long")
     # no size can have more gaps than there are
-    sliced = _sliced(gaps, "gap", F.col("seq")) if n_gaps > SLICE else gaps.withColumn("slice", F.lit(0).cast("long"))
+    per_slice = _per_slice(at.spark, n_gaps)
+    sliced = _sliced(gaps, "gap", F.col("seq"), n_gaps) if n_gaps > per_slice else gaps.withColumn("slice", F.lit(0).cast("long"))
     opening = sliced.groupBy("gap", "slice").agg(F.count("*").alias("change"))
     events = opening.select(F.col("gap").alias("size"), F.lit(0).alias("kind"), "slice", "change", none.alias("length"), none.alias("n"), none.alias("done"), none.alias("k"))
     events = events.unionByName(docs.select((F.col("length") * F.col("k")).alias("size"), F.lit(1).alias("kind"), "slice", (-F.col("units")).alias("change"), "length", "n", "done", "k"))
-    # a row per run: the number of sizes, and one for each SLICE rows beyond
+    # a row per run: the sizes of gaps and documents, and their slices beyond the first
     order = Window.orderBy(F.col("size").desc(), "kind", "slice", "length")
     runs = events.withColumn("_sum", F.sum("change").over(order)).withColumn("_low", F.least(F.min("_sum").over(order), F.lit(0)))
     runs = runs.withColumn("after", F.col("_sum") - F.col("_low")).withColumn("before", F.coalesce(F.lag("after").over(order), F.lit(0).cast("long")))
     runs = at.written(runs.drop("_sum", "_low"), "runs")
 
     start = runs.where("kind = 0").select(F.col("size").alias("gap"), "slice", "before")
-    if min(n_gaps, capacity) + n_gaps // SLICE <= BROADCAST_ROWS:  # no more runs than that
+    if min(n_gaps, capacity) + n_gaps // per_slice <= BROADCAST_ROWS:  # no more runs than that
         opened = sliced.join(F.broadcast(start), ["gap", "slice"])
     else:
         opened = join_small(sliced, start, ["gap", "slice"], F.col("seq"))
@@ -215,7 +229,7 @@ def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     with Scratch(pieces.sparkSession, "packed") as at:
         rows = at.written(pieces.select(F.struct(*keep).alias("kept"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("row")), "rows")
         full = rows.where(F.col("length") >= capacity).select("kept.*", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-        open_ = at.written(_sliced(rows.where(F.col("length") < capacity), "length", F.col("row")), "open")
+        open_ = at.written(_sliced(rows.where(F.col("length") < capacity), "length", F.col("row"), rows.count()), "open")
         counts = at.written(open_.groupBy("length", "slice").agg(F.count("*").alias("n")), "counts")
         places = _places(at, counts, capacity)
         ranked = open_.withColumn("nth", (F.row_number().over(Window.partitionBy("length", "slice").orderBy("row")) - 1).cast("long"))

@@ -432,7 +432,7 @@ def best_fit_decreasing(sizes, capacity):
 
 @pytest.mark.parametrize("seed", range(5))
 def test_packing_against_best_fit_decreasing(spark, seed, monkeypatch):
-    monkeypatch.setattr(packing, "SLICE", 20)  # runs of several slices
+    monkeypatch.setattr(packing, "LEAST_SLICE", 20)  # runs of several slices
     rng = random.Random(seed)
     draw = [lambda: rng.randint(1, 99), lambda: rng.choice([3, 3, 3, rng.randint(1, 10)]), lambda: rng.choice([50, 51, 99, 100, 1]), lambda: int(rng.lognormvariate(2.5, 1)) % 100 + 1, lambda: 70 if rng.random() < 0.4 else 1][seed]
     sizes = [draw() for _ in range(600)]
