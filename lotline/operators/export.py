@@ -49,7 +49,7 @@ def selected(rows: DataFrame, columns: list[str], aliases: bool = False) -> Data
 def write_csv(rows: DataFrame, path: str, files: int | None = None) -> None:
     """CSV with a header; as many files as there are partitions unless ``files`` asks for fewer."""
     rows = rows.coalesce(files) if files else rows
-    rows.write.option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 @dataclass(frozen=True)

@@ -5,9 +5,13 @@ The log is only appended to, so nothing is lost if a driver is: whatever runs jo
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotline.operators import export
+
 KEY = ["email", "requested_at", "job_id"]
 #: What an action makes of a state; in any other state it is ignored.
 MOVES = {
@@ -48,3 +52,23 @@ def listed(jobs: DataFrame, email: str, among: tuple[str, ...] | None = None) ->
     if among:
         rows = rows.where(F.col("status").isin(*among))
     return rows.orderBy(F.col("requested_at").desc(), "job_id")
+
+
+ACTION = "email string, requested_at timestamp_ntz, job_id string, at timestamp_ntz, action string"
+
+
+def run(job: export.Job, job_id: str, requested_at: datetime, rows: DataFrame, path: str, log: str, now: datetime | None = None) -> export.Job:
+    """Run an export and say so in the ``log``: start, then finish or fail. A job that is not pending there any
+    more (it was aborted, or has been run) is not run. What a lost run had written is replaced."""
+    spark = rows.sparkSession
+    instant = timedelta(microseconds=1)  # actions of one instant have no order
+    act = lambda name, later: save(spark.createDataFrame([(job.email, requested_at, job_id, (now or datetime.now()) + later, name)], ACTION), log)
+    mine = states(spark.read.schema(ACTION).parquet(log)).where((F.col("email") == job.email.strip().lower()) & (F.col("requested_at") == F.lit(requested_at).cast("timestamp_ntz")) & (F.col("job_id") == job_id))
+    state = mine.first()
+    if state is None or state["status"] not in SCHEDULED:
+        return job
+    if state["status"] == "Pending":
+        act("start", 0 * instant)
+    done = export.run(job, rows, path)
+    act("finish" if done.status == "Done" else "fail", instant)
+    return done

@@ -25,6 +25,13 @@ def upsert_changed(stored: DataFrame, incoming: DataFrame, key: list[str], watch
     return incoming.join(old, key, "left").where(~same).select(*incoming.columns, F.when(F.col("_had").isNull(), "insert").otherwise("update").alias("action"))
 
 
+def reimport(stored: DataFrame, source: DataFrame, id_: int, key: list[str], watched: list[str]) -> DataFrame:
+    """The row of ``source`` with one auction_uid, if it is to be written: upsert_changed() of it alone. Both
+    sides are filtered before they meet."""
+    one = F.col("auction_uid") == id_
+    return upsert_changed(stored.where(one), source.where(one), key, watched)
+
+
 def last_write(rows: DataFrame, key: list[str], written: str = "write_ts") -> DataFrame:
     """Last write wins, by event time; of equal times the larger bid."""
     return best_per_key(rows, key, [F.col(written).desc(), F.col("highest_bid").desc()])

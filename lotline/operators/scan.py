@@ -55,16 +55,32 @@ def overview(rows: DataFrame, as_of: str, n: int = 12) -> DataFrame:
     return top.withColumn("_enough", enough).where("_hour or not _enough").drop("_hour", "_enough")
 
 
-def chunks(rows: DataFrame, by: list[str], n: int) -> DataFrame:
-    """Each group cut into chunks of ``n`` rows by id, counted from 0."""
-    w = Window.partitionBy(*by).orderBy("auction_uid")
-    return rows.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / n).cast("int"))
+def ranked(rows: DataFrame, by: list[str], order: list[str], part: Column, name: str = "rank") -> DataFrame:
+    """``rows`` with their rank from 1 in their group ``by``, in ascending ``order``. Each group is ranked in
+    parts, by ``part``, which must not fall where the order rises: a hot group takes as many tasks as it has
+    parts, and only the number of rows of each part is summed up in one."""
+    cut = rows.withColumn("_part", part)
+    sizes = cut.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_part"]]
+    match = same[0]
+    for x in same[1:]:
+        match = match & x
+    both = cut.withColumn(name, within).alias("a").join(sizes.alias("b"), match)
+    return both.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col(f"a.{name}") + F.col("b._before")).alias(name))
+
+
+def chunks(rows: DataFrame, by: list[str], n: int, ids: int = 1 << 16) -> DataFrame:
+    """Each group cut into chunks of ``n`` rows by id, counted from 0; ranked by ranges of ``ids`` ids."""
+    out = ranked(rows, by, ["auction_uid"], F.call_function("div", "auction_uid", F.lit(ids)), "_r")
+    return out.withColumn("chunk", F.floor((F.col("_r") - 1) / n).cast("int")).drop("_r")
 
 
 def every_nth(rows: DataFrame, by: list[str], n: int) -> DataFrame:
-    """Each group's n-th, 2n-th, ... row by end and id."""
-    w = Window.partitionBy(*by).orderBy("end_ts", "auction_uid")
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") % n == 0).drop("_r")
+    """Each group's n-th, 2n-th, ... row by end and id; ranked by hours of end."""
+    return ranked(rows, by, ["end_ts", "auction_uid"], F.date_trunc("hour", "end_ts"), "_r").where(F.col("_r") % n == 0).drop("_r")
 
 
 def remaining(rows: DataFrame, probed: list[str]) -> DataFrame:

@@ -76,6 +76,13 @@ def cold(spark, d):
     return A(spark, d).where("auction_uid % 17 <> 0")
 
 
+def both_stores(spark, d):
+    """hot() as version 0 and cold() as version 1, from one pass over the tables."""
+    k = F.col("auction_uid")
+    held = F.array_compact(F.array(F.when(k % 13 != 0, 0), F.when(k % 17 != 0, 1)))
+    return A(spark, d).withColumn("version", F.explode(held))
+
+
 def parts(spark, d):
     return players.participations(tables.auctions(spark, d), B(spark, d))
 
@@ -106,7 +113,8 @@ def auction_by_uid(spark, d):
 
 @query(f"SELECT auction_uid, tag, end_ts, highest_bid FROM auctions WHERE seller = 7 AND end_ts <= TIMESTAMP '{AS_OF}' ORDER BY end_ts DESC, auction_uid DESC LIMIT 10")
 def player_recent(spark, d):
-    return scan.newest(A(spark, d).where((F.col("seller") == 7) & (F.col("end_ts") <= scan.ntz(AS_OF))), 10).select("auction_uid", "tag", "end_ts", "highest_bid")
+    top = scan.newest(tables.unpriced(spark, d).where((F.col("seller") == 7) & (F.col("end_ts") <= scan.ntz(AS_OF))), 10)
+    return tables.few_priced(top, B(spark, d)).select("auction_uid", "tag", "end_ts", "highest_bid")
 
 
 @query("SELECT auction_uid, (auction_uid * 31) % 1000 AS item_uid, tag FROM auctions WHERE (auction_uid * 31) % 1000 = 42")
@@ -255,7 +263,7 @@ def csv_escape(spark, d):
 
 @query("""SELECT a.uuid, count(*) AS n_versions, max(a.highest_bid) AS highest_bid FROM (SELECT * FROM hot UNION ALL SELECT * FROM cold) a WHERE seller = 7 GROUP BY uuid""")
 def restore_player(spark, d):
-    both = hot(spark, d).withColumn("version", F.lit(0)).unionByName(cold(spark, d).withColumn("version", F.lit(1))).where("seller = 7")
+    both = both_stores(spark, d).where("seller = 7")
     folded = merge.combine_versions(versions(both, B(spark, d)))
     return folded.select("uuid", "n_versions", "highest_bid")
 
@@ -621,7 +629,7 @@ def hourly_prices(spark, d):
   CASE WHEN count(*) > 1 THEN coalesce(max(d), 0) ELSE max(bid_count) END AS n_bids
 FROM (SELECT *, 0 AS v FROM hot UNION ALL SELECT *, 1 FROM cold) LEFT JOIN (SELECT auction_uid, count(DISTINCT amount) AS d FROM bids GROUP BY 1) USING (auction_uid) GROUP BY uuid""")
 def combine_versions(spark, d):
-    both = hot(spark, d).withColumn("version", F.lit(0)).unionByName(cold(spark, d).withColumn("version", F.lit(1)))
+    both = both_stores(spark, d)
     out = merge.combine_versions(versions(both, B(spark, d)))
     return out.select("uuid", "n_versions", "seller", "start_ts", "starting_bid", "category", "profile", "highest_bid", F.col("n_bids").cast("long").alias("n_bids"))
 
@@ -657,7 +665,8 @@ def distinct_years(spark, d):
 
 @query("SELECT auction_uid, end_ts, highest_bid FROM auctions WHERE tag = '1-URGENT' OR tag = 'ENCHANTED_BOOK' ORDER BY end_ts DESC, auction_uid DESC LIMIT 100")
 def recent_topk(spark, d):
-    return scan.newest(tables.auctions(spark, d).where("tag = 'ENCHANTED_BOOK'"), 100).select("auction_uid", "end_ts", "highest_bid")
+    top = scan.newest(tables.unpriced(spark, d).where("tag = 'ENCHANTED_BOOK'"), 100)
+    return tables.few_priced(top, B(spark, d)).select("auction_uid", "end_ts", "highest_bid")
 
 
 _BUDGET = f"""SELECT auction_uid, end_ts, highest_bid, origin FROM (

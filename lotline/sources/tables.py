@@ -28,18 +28,32 @@ def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = bids(spark, sf_dir).groupBy("auction_uid").agg(F.max("amount").alias("_high"), F.count("*").alias("_n"))
+def unpriced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Auctions without what follows from their bids."""
     key, day = F.col("o_orderkey"), later("o_orderdate")
     tag = F.when(F.col("o_orderpriority") == "1-URGENT", "ENCHANTED_BOOK").when(F.col("o_orderpriority") == "5-LOW", "unknown").otherwise(F.col("o_orderpriority"))
-    rows = table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").select(
         key.alias("auction_uid"), F.md5(key.cast("string")).alias("uuid"), tag.alias("tag"), F.col("o_custkey").alias("seller"),
         F.timestamp_add("SECOND", ((key * 7919) % 86400).cast("int"), day).alias("end_ts"), (day - F.make_dt_interval((key % 14 + 1).cast("int"))).alias("start_ts"),
         (key % 2 == 0).alias("bin"), F.col("o_orderstatus").alias("tier"),
     )
-    rows = rows.join(top, "auction_uid", "left")
+
+
+def priced(rows: DataFrame, all_bids: DataFrame) -> DataFrame:
+    """``rows`` of unpriced() with highest_bid, bid_count and is_sold."""
+    top = all_bids.groupBy("auction_uid").agg(F.max("amount").alias("_high"), F.count("*").alias("_n"))
     high = F.coalesce("_high", F.lit(0).cast("long"))
-    return rows.select("*", high.alias("highest_bid"), F.coalesce("_n", F.lit(0).cast("long")).alias("bid_count"), (high > 0).alias("is_sold")).drop("_high", "_n")
+    out = rows.join(top, "auction_uid", "left")
+    return out.select("*", high.alias("highest_bid"), F.coalesce("_n", F.lit(0).cast("long")).alias("bid_count"), (high > 0).alias("is_sold")).drop("_high", "_n")
+
+
+def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priced(unpriced(spark, sf_dir), bids(spark, sf_dir))
+
+
+def few_priced(rows: DataFrame, all_bids: DataFrame) -> DataFrame:
+    """priced(), of ``rows`` that are few by a limit: other bids are left out before they are summed."""
+    return priced(rows, all_bids.join(F.broadcast(rows.select("auction_uid")), "auction_uid", "left_semi"))
 
 
 def keyed(rows: DataFrame) -> DataFrame:

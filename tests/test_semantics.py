@@ -526,3 +526,52 @@ def test_item_trees(spark):
     df = spark.createDataFrame([(0, bytearray(every)), (1, None), (2, bytearray())], "k int, item binary")
     got = {r["k"]: r["m"] for r in df.select("k", nbt.attributes(F.col("item")).alias("m")).collect()}
     assert got == {0: want, 1: None, 2: None}
+
+
+def test_jobs_run_by_their_log(spark, tmp_path):
+    from lotline.operators import jobs
+
+    rows, log, at = sold(spark, [5]).withColumn("bin", F.lit(True)), f"{tmp_path}/log", datetime(2024, 6, 16)
+    job = export.checked(export.Job("A@b", "x", T - timedelta(days=1), T, ("Uuid", "Tag")), T)
+    bad = export.checked(export.Job("a@b", "x", T - timedelta(days=1), T, ("Uuid", "Tier")), T)
+    step = lambda k: at + timedelta(seconds=k)
+    jobs.save(spark.createDataFrame([("a@b", at, j, step(0), "request") for j in ("good", "bad", "gone")] + [("a@b", at, "gone", step(1), "abort")], jobs.ACTION), log)
+    run = lambda j, name, k: jobs.run(j, name, at, rows, f"{tmp_path}/{name}", log, step(k)).status
+    assert (run(job, "good", 2), run(bad, "bad", 3), run(job, "gone", 4), run(job, "good", 5), run(job, "unknown", 6)) == ("Done", "Failed", "Pending", "Pending", "Pending")
+    got = {r["job_id"]: (r["status"], r["changed_at"]) for r in jobs.states(spark.read.parquet(log)).collect()}
+    assert got == {"good": ("Done", step(2.000001)), "bad": ("Failed", step(3.000001)), "gone": ("Aborted", step(1))}
+    assert not (tmp_path / "gone").exists() and list((tmp_path / "good").glob("*.csv"))
+
+
+def test_ranks_in_parts(spark):
+    rows = [(i, "hot" if i % 5 else None, T + timedelta(minutes=37 * (i * 7 % 50))) for i in range(200)] + [(7, "hot", T), (7, "hot", T)]
+    df = spark.createDataFrame(rows, "auction_uid long, tag string, end_ts timestamp_ntz").repartition(4)
+    got = {}
+    for r in scan.chunks(df, ["tag"], 10, ids=16).collect():
+        got.setdefault((r["tag"], r["chunk"]), []).append(r["auction_uid"])
+    for tag in ("hot", None):
+        ids = sorted(r[0] for r in rows if r[1] == tag)
+        assert [sorted(got[tag, k]) for k in range(-(-len(ids) // 10))] == [ids[k : k + 10] for k in range(0, len(ids), 10)]
+    nth = sorted((r["tag"] or "", r["auction_uid"], r["end_ts"]) for r in scan.every_nth(df, ["tag"], 9).collect())
+    want = []
+    for tag in ("hot", None):
+        mine = sorted((r[2], r[0]) for r in rows if r[1] == tag)
+        want += [(tag or "", uid, end) for end, uid in mine[8::9]]
+    assert nth == sorted(want)
+    assert scan.chunks(df.limit(0), ["tag"], 10).count() == 0
+
+
+def test_one_auction_again(spark):
+    schema = "auction_uid long, seller long, highest_bid long"
+    stored = spark.createDataFrame([(1, 5, 10), (2, 5, 10)], schema)
+    source = spark.createDataFrame([(1, 5, 10), (2, 5, 11), (3, 5, 1)], schema)
+    again = lambda k: [r["action"] for r in merge.reimport(stored, source, k, ["auction_uid"], ["seller", "highest_bid"]).collect()]
+    assert again(1) == [] and again(2) == ["update"] and again(3) == ["insert"] and again(4) == []
+
+
+def test_uid_is_that_of_the_hash(spark):
+    import xxhash
+
+    made = xxhash.xxh64_intdigest(b"a" * 32, 42)
+    assert one(spark, identity.auction_uid(F.lit(None).cast("long"), F.lit("a" * 32))) == (made - (1 << 64) if made >> 63 else made)
+    assert one(spark, identity.auction_uid(F.lit(9).cast("long"), F.lit("a" * 32))) == 9
