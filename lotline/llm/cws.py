@@ -7,7 +7,7 @@ probability equal to their generalised Jaccard similarity, sum(min w) / sum(max
 
 Only built-in column functions are used: the gamma variables and the minimum are compiled code over
 exploded words, which are gathered again without another shuffle. A sample of a word depends on the
-word and its weight alone, so within a range of documents all samples are made once per word and weight.
+word and its weight alone, so within CELL documents of a range all samples are made once per word and weight.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 SAMPLES = 64
 #: Samples that are columns of one row: compiled code for more of them is too long to be made fast.
 BLOCK = 8
-#: Ranges of doc_id into which the documents are dealt, at least.
-RANGES = 64
+#: Ranges of doc_id into which the documents are dealt, at least; documents of a range that share samples.
+RANGES, CELL = 64, 4096
 _SPLIT = r"[\x20\x09-\x0D]+"
 
 
@@ -48,29 +48,30 @@ def _sample(term: Column, lnw: Column, i: Column) -> Column:
     return F.shiftleft(((F.greatest(F.least(ln_a, F.lit(500.0)), F.lit(-500.0)) + 512.0) * float(1 << 29)).cast("long"), 24).bitwiseOR(name)
 
 
-def signatures(rows: DataFrame, near: str, by: list[str], keep: list[str], text: str, k: int = SAMPLES) -> DataFrame:
+def signatures(rows: DataFrame, near: list[str], by: list[str], keep: list[str], text: str, k: int = SAMPLES) -> DataFrame:
     """Per ``near`` and ``by``: ``keep`` and ``fingerprint``, the samples of the words of ``text``.
 
     There is one row per ``near`` and ``by``; ``keep`` are longs without nulls. Samples are shared by the
-    rows of equal ``near``, by which ``rows`` should be hash-dealt: then nothing is shuffled again.
+    rows of equal ``near``, which should be few: those that have a word are listed beside it. Where
+    ``rows`` are hash-dealt by some of ``near`` nothing is shuffled again.
     """
-    each = rows.select(near, *by, *keep, F.posexplode_outer(bags(F.coalesce(F.col(text), F.lit("")))).alias("_at", "_group"))
+    each = rows.select(*near, *by, *keep, F.posexplode_outer(bags(F.coalesce(F.col(text), F.lit("")))).alias("_at", "_group"))
     word = F.substring_index("_group", " ", 1)
     weight = F.when(F.col("_group").isNotNull(), F.log((F.length("_group") + 1.0) / (F.length(word) + 1.0)))
     # what is kept travels with one word of a text
     kept = F.when(F.coalesce("_at", F.lit(0)) == 0, F.struct(*keep))
-    each = each.select(near, F.xxhash64(word).alias("_term"), weight.alias("_lnw"), F.struct(*by, kept.alias("_kept")).alias("_doc"))
-    words = each.groupBy(near, "_term", "_lnw").agg(F.collect_list("_doc").alias("_docs"))
+    each = each.select(*near, F.xxhash64(word).alias("_term"), weight.alias("_lnw"), F.struct(*by, kept.alias("_kept")).alias("_doc"))
+    words = each.groupBy(*near, "_term", "_lnw").agg(F.collect_list("_doc").alias("_docs"))
     words = words.select("*", F.explode(F.array(*[F.lit(i) for i in range(0, k, BLOCK)])).alias("_from"))
     names = [f"s{i}" for i in range(min(k, BLOCK))]
     some = [_sample(F.col("_term"), F.coalesce("_lnw", F.lit(0.0)), F.col("_from") + i).alias(s) for i, s in enumerate(names)]
-    each = words.select(near, "_from", "_docs", F.isnull("_lnw").alias("_none"), *some).select(near, "_from", "_none", *names, F.explode("_docs").alias("_doc"))
-    each = each.select(near, "_from", *[F.col(f"_doc.{c}").alias(c) for c in by], *[F.col(f"_doc._kept.{c}").alias(c) for c in keep], "_none", *names)
-    parts = each.groupBy(near, *by, "_from").agg(*[F.min(c).alias(c) for c in [*keep, "_none", *names]])
+    each = words.select(*near, "_from", "_docs", F.isnull("_lnw").alias("_none"), *some).select(*near, "_from", "_none", *names, F.explode("_docs").alias("_doc"))
+    each = each.select(*near, "_from", *[F.col(f"_doc.{c}").alias(c) for c in by], *[F.col(f"_doc._kept.{c}").alias(c) for c in keep], "_none", *names)
+    parts = each.groupBy(*near, *by, "_from").agg(*[F.min(c).alias(c) for c in [*keep, "_none", *names]])
     empty = F.lit("-" * 6 * len(names))
-    parts = parts.select(near, *by, *keep, "_from", F.when(F.col("_none"), empty).otherwise(fingerprint(len(names))).alias("_f"))
+    parts = parts.select(*near, *by, *keep, "_from", F.when(F.col("_none"), empty).otherwise(fingerprint(len(names))).alias("_f"))
     whole = F.concat(*[F.max(F.when(F.col("_from") == i, F.col("_f"))) for i in range(0, k, BLOCK)])
-    return parts.groupBy(near, *by).agg(*[F.min(c).alias(c) for c in keep], F.substring(whole, 1, 6 * k).alias("fingerprint"))
+    return parts.groupBy(*near, *by).agg(*[F.min(c).alias(c) for c in keep], F.substring(whole, 1, 6 * k).alias("fingerprint"))
 
 
 def fingerprint(k: int = SAMPLES, prefix: str = "s") -> Column:
@@ -163,7 +164,8 @@ def compare_edited(docs: DataFrame, k: int = SAMPLES, ranges: int | None = None)
     keep = ["_range", "_place", "_id", "_facts", *[f"_d{i}" for i in range(4)]]
     rows = rows.select(*keep[:4], *[_pack_hex(F.col("_sha"), i).alias(f"_d{i}") for i in range(4)], F.explode(both).alias("_x"))
     rows = rows.where((F.col("_facts") % 2 == 1) | (F.col("_x.v") == 0)).select(*keep, F.col("_x.v").alias("_v"), F.col("_x.t").alias("_t"))
-    sig = signatures(rows, "_range", ["_place", "_v"], keep[2:], "_t", k).withColumnRenamed("fingerprint", "_f")
+    rows = rows.withColumn("_cell", F.floor(F.col("_place") / CELL))
+    sig = signatures(rows, ["_range", "_cell"], ["_place", "_v"], keep[2:], "_t", k).withColumnRenamed("fingerprint", "_f")
     first = lambda v: F.max(F.when(F.col("_v") == v, F.col("_f")))
     two = sig.groupBy(*keep).agg(first(0).alias("fingerprint"), first(1).alias("edited_fingerprint"))
     order = Window.partitionBy("_range").orderBy("_place")
