@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm.common import Scratch, exists, new_path, removed, unused
+from lotline.llm.common import Scratch, exists, new_path, removed, unused, written
 
 RUN = "h1 bigint, h2 bigint, n_docs bigint, max_doc bigint, fresh boolean"
 MANIFEST = "version int, kind string, level int, item string"
@@ -207,6 +207,7 @@ def drop_lines(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
     each = line_hashes(docs, runs.least, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"))
     found = each.join(common, ["h1", "h2"]).where(~F.col("_id").eqNullSafe(F.col("max_doc")))
     found = found.groupBy(F.col("_id").alias(id_), F.col("_t").alias("_same")).agg(F.collect_set("_pos").alias(gone_))
+    found = written(found, "line-places")  # from here on the runs are not needed
     mine = docs.withColumn(hash_, F.xxhash64("text"))
     out = mine.join(found.withColumnRenamed("_same", f"{hash_}_same"), mine["doc_id"].eqNullSafe(found[id_]) & (F.col(hash_) == F.col(f"{hash_}_same")), "left")
     every, gone = lines(F.col("text")), F.col(gone_)

@@ -98,7 +98,9 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_common_lines(docs: DataFrame) -> DataFrame:
     runs = linededup.LineRuns(docs.sparkSession, least_chars=LINE_CHARS)
     linededup.add_in_batches(runs, docs.select("doc_id", "text"), LINE_BATCHES)
-    return linededup.drop_lines(docs, runs, LINE_DOCS)
+    out = linededup.drop_lines(docs, runs, LINE_DOCS)
+    runs.drop()
+    return out
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

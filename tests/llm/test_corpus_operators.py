@@ -791,3 +791,10 @@ def test_pipeline(spark, sf):
     want = {r["doc_id"] for r in before.select("doc_id").collect()}
     assert {r["doc_id"] for r in docs.collect()} == want and docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
     assert counts[0] >= counts[1] >= counts[2] >= counts[3]
+
+
+def test_line_dedup_leaves_no_tables(spark, sf):
+    before = {t.name for t in spark.catalog.listTables()}
+    out = queries.op10_line_dedup(spark, sf)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert out.count() == queries.table(spark, sf, "documents").count()
