@@ -27,7 +27,13 @@ def file_source(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
 def kafka_source(spark: SparkSession, servers: str, topics: list[str], per_batch: int = 400) -> DataFrame:
     """Needs Spark's Kafka connector on the class path."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("maxOffsetsPerTrigger", per_batch).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), EVENTS).alias("e")).select("e.*")
+    return decoded(raw)
+
+
+def decoded(messages: DataFrame) -> DataFrame:
+    """Events of ``messages`` (value: JSON as bytes). What is no JSON, or no object, is an event of nulls, which
+    clean() leaves out and the counters tell of."""
+    return messages.select(F.from_json(F.col("value").cast("string"), EVENTS).alias("e")).select("e.*")
 
 
 def clean(events: DataFrame) -> DataFrame:

@@ -575,3 +575,10 @@ def test_uid_is_that_of_the_hash(spark):
     made = xxhash.xxh64_intdigest(b"a" * 32, 42)
     assert one(spark, identity.auction_uid(F.lit(None).cast("long"), F.lit("a" * 32))) == (made - (1 << 64) if made >> 63 else made)
     assert one(spark, identity.auction_uid(F.lit(9).cast("long"), F.lit("a" * 32))) == 9
+
+
+def test_messages(spark):
+    texts = ['{"auction_uid":5,"uuid":"a","tag":"t","end_ts":"2024-06-15T12:00:00","highest_bid":9,"bids":[{"bidder":8,"amount":9,"ts":"2024-06-15T11:00:00.5"}],"more":1}', "no json", "[1]", "", '{"uuid":"b"}']
+    rows = ingest.decoded(spark.createDataFrame([(bytearray(t.encode()),) for t in texts] + [(None,)], "value binary")).collect()
+    assert len(rows) == 6 and [r["uuid"] for r in rows] == ["a", None, None, None, "b", None]
+    assert rows[0]["end_ts"] == T and [tuple(b) for b in rows[0]["bids"]] == [(8, 9, datetime(2024, 6, 15, 11, 0, 0, 500_000))]
