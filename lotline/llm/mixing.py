@@ -67,13 +67,14 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float, w
     words; no target exceeds ``most`` times its source's size, the excess is shared by weight
     among the rest.
     """
-    # one row per source, so this ranking is over sources, not documents; dealt by leading bytes
-    lead = F.coalesce(F.substring(F.hex("source"), 1, 4), F.lit("~"))
-    parts = written(sizes.withColumn("_lead", lead), "sources")
-    before = parts.groupBy("_lead").agg(F.count("*").alias("_n"))
-    before = before.select("_lead", (F.sum("_n").over(Window.orderBy("_lead")) - F.col("_n")).alias("_before"))  # 65,537 leads at most
-    rank = F.row_number().over(Window.partitionBy("_lead").orderBy(F.col("source").asc_nulls_last()))
-    ranked = parts.join(before, "_lead").select("source", "source_size", (rank + F.col("_before") - 1).alias("_rank"))
+    # one row per source, so this ranking is over sources, not documents: they are sorted in ranges, whatever
+    # their names begin with, and a source's rank is its place in its range after all ranges before
+    by = F.col("source").asc_nulls_last()
+    placed = sizes.repartitionByRange(by).sortWithinPartitions(by).withColumn("_id", F.monotonically_increasing_id())
+    parts = written(placed.select("source", "source_size", F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "sources")
+    before = parts.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a partition
+    ranked = parts.join(F.broadcast(before), "_range").select("source", "source_size", (F.col("_place") + F.col("_before")).alias("_rank"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("_rank", F.lit(len(weights))) + 1).cast("int"))
     ranked = written(ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(most)).alias("cap")), "weighted")
     classes = ranked.select(F.lit(0).alias("all"), "weight", "cap", F.lit(1.0).alias("n"))
