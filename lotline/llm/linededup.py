@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm.common import Scratch, exists, new_path, removed, unused, written
+from lotline.llm.common import Scratch, exists, join_small, new_path, removed, unused, written
 
 RUN = "h1 bigint, h2 bigint, n_docs bigint, max_doc bigint, fresh boolean"
 MANIFEST = "version int, kind string, level int, item string"
@@ -203,9 +203,11 @@ def drop_lines(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_dropped", "kept")
     hash_, gone_, id_ = unused(docs, "_text", "_gone", "_id")
-    common = runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
+    common = written(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc"), "common-lines")
     each = line_hashes(docs, runs.least, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"))
-    found = each.join(common, ["h1", "h2"]).where(~F.col("_id").eqNullSafe(F.col("max_doc")))
+    # a line may be in most documents: the common ones are broadcast while they are few, else dealt in salts
+    found = join_small(each, common.withColumn("_common", F.lit(True)), ["h1", "h2"], F.col("_t"))
+    found = found.where(F.col("_common") & ~F.col("_id").eqNullSafe(F.col("max_doc")))
     found = found.groupBy(F.col("_id").alias(id_), F.col("_t").alias("_same")).agg(F.collect_set("_pos").alias(gone_))
     found = written(found, "line-places")  # from here on the runs are not needed
     mine = docs.withColumn(hash_, F.xxhash64("text"))
