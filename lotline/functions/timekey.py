@@ -61,6 +61,18 @@ def months_between(start: str, end: str) -> list[str]:
     return [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(low, high + 1)]
 
 
+#: Forms in which people write dates and times, in the order in which they are tried.
+FORMS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]", "yyyy-MM-dd[ HH:mm[:ss]]", "dd.MM.yyyy[ HH:mm[:ss]]", "MM/dd/yyyy[ HH:mm[:ss]]", "d MMM yyyy[ HH:mm[:ss]]")
+
+
+def parsed(text: Column) -> Column:
+    """A date or time as people write it, in UTC unless it names an offset; null if it is in none of FORMS.
+    Dots mean the day is first, slashes that the month is; anything else of a number is seconds since 1970."""
+    bare = F.trim(text)
+    forms = [F.try_to_timestamp(bare, F.lit(f)) for f in FORMS]
+    return F.coalesce(*forms, F.timestamp_seconds(F.when(bare.rlike("^[0-9]{9,11}$"), bare.try_cast("long")))).cast("timestamp_ntz")
+
+
 def local_to_utc(ts: Column, zone: str) -> Column:
     """A local time of ``zone`` (timestamp_ntz) as UTC, summer time included. An hour that comes twice is
     taken as its second, in standard time, and one that is left out as if the clock had not been moved."""

@@ -164,6 +164,16 @@ def archive_read(spark, d):
     return rows.where("tag = '2-HIGH'").select("auction_uid", "uuid", "tag", "month", "end_ts", "highest_bid")
 
 
+@query("SELECT DISTINCT tag, strftime(end_ts, '%Y-%m') AS month, true AS has_data FROM cold")
+def blob_list(spark, d):
+    """What the files of an archive are named after; other files, such as markers, have no tag and month."""
+    path = folder(spark)
+    archive.write(cold(spark, d).select("auction_uid", "uuid", "tag", "end_ts", "highest_bid"), path)
+    keys = archive.listed(spark, path)
+    tag, month = (F.nullif(F.regexp_extract("key", p, 1), F.lit("")) for p in (r"^tag=([^/]+)/", r"/month=(\d{4}-\d{2})/"))
+    return keys.select(tag.alias("tag"), month.alias("month"), "length").where("tag is not null").groupBy("tag", "month").agg((F.sum("length") > 0).alias("has_data"))
+
+
 @query("SELECT DISTINCT 'auctions/' || tag || '/' || strftime(end_ts, '%Y-%m') || '.json.gz' AS key, tag, strftime(end_ts, '%Y-%m') AS month FROM auctions")
 def blob_key_parse(spark, d):
     keys = A(spark, d).select(identity.archive_key(F.col("tag"), timekey.month(F.col("end_ts"))).alias("key")).distinct()
@@ -781,6 +791,14 @@ def unix_to_ts(spark, d):
     return tables.auctions(spark, d).select("auction_uid", F.timestamp_seconds(F.lit(1700000000) + F.col("auction_uid")).cast("timestamp_ntz").alias("at"))
 
 
+@query("SELECT auction_uid, CASE WHEN auction_uid % 6 = 5 THEN NULL WHEN auction_uid % 6 IN (2, 4) THEN date_trunc('day', end_ts) ELSE end_ts END AS at FROM auctions")
+def parse_dates(spark, d):
+    k, e = F.col("auction_uid") % 6, F.col("end_ts")
+    forms = [F.date_format(e, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(e, "  dd.MM.yyyy HH:mm:ss"), F.date_format(e, "MM/dd/yyyy"), F.unix_seconds(e.cast("timestamp")).cast("string"), F.date_format(e, "d MMM yyyy")]
+    text = F.coalesce(*[F.when(k == i, f) for i, f in enumerate(forms)], F.lit("soon"))
+    return tables.auctions(spark, d).select("auction_uid", timekey.parsed(text).alias("at"))
+
+
 @query("SELECT auction_uid, seq, bidder, ts, CAST(timezone('Europe/Berlin', ts + to_hours(CAST(l AS BIGINT) % 24)) AS TIMESTAMP) AS utc FROM (SELECT *, auction_uid + seq AS l FROM bids)")
 def bids_utc(spark, d):
     local = F.timestamp_add("HOUR", ((F.col("auction_uid") + F.col("seq")) % 24).cast("int"), F.col("ts"))

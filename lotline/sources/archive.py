@@ -31,6 +31,15 @@ def read_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("month", F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2})\.json(\.gz)?$", 1))
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """The files at ``path`` and below: key (what follows ``path``), length and modified; contents are not read.
+    A tag and month are there if a key of theirs is."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toUri().getPath().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    return files.select(F.substring("path", F.instr("path", top + "/") + len(top) + 1, F.length("path")).alias("key"), "length", "modified")
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, low: int, high: int, parts: int = 64) -> DataFrame:
     """A relational table in ``parts`` ranges of its id."""
     return spark.read.jdbc(url, table, column="id", lowerBound=low, upperBound=high, numPartitions=parts)

@@ -582,3 +582,18 @@ def test_messages(spark):
     rows = ingest.decoded(spark.createDataFrame([(bytearray(t.encode()),) for t in texts] + [(None,)], "value binary")).collect()
     assert len(rows) == 6 and [r["uuid"] for r in rows] == ["a", None, None, None, "b", None]
     assert rows[0]["end_ts"] == T and [tuple(b) for b in rows[0]["bids"]] == [(8, 9, datetime(2024, 6, 15, 11, 0, 0, 500_000))]
+
+
+def test_dates_as_people_write_them(spark):
+    at = lambda x: one(spark, timekey.parsed(F.lit(x).cast("string")))
+    noon = datetime(2024, 6, 5, 12, 30)
+    for text in ("2024-06-05T12:30:00Z", "2024-06-05T14:30:00+02:00", "2024-06-05T12:30:00.000", "2024-06-05 12:30", " 05.06.2024 12:30:00 ", "06/05/2024 12:30", "5 Jun 2024 12:30", "1717590600"):
+        assert at(text) == noon, text
+    assert [at(x) for x in ("2024-13-01", "31.02.2024", "tomorrow", "", None, "12")] == [None] * 6
+    assert at("2024-06-05") == datetime(2024, 6, 5)
+
+
+def test_listing_of_files(spark, tmp_path):
+    archive.write(sold(spark, [5], "A B+c%"), str(tmp_path / "x y+z"))
+    rows = archive.listed(spark, str(tmp_path / "x y+z")).where("key like 'tag=%'").collect()
+    assert len(rows) == 1 and rows[0]["key"].startswith("tag=A B+c%25/month=2024-06/part-") and rows[0]["length"] > 0 and rows[0]["modified"] is not None
