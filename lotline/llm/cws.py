@@ -5,14 +5,16 @@ r, c ~ Gamma(2, 1) and b ~ U(0, 1); with n = floor(ln w / r + b), the sample is
 a = c * exp(-r * (n - b + 1)) is least, together with n. Two documents agree in a sample with a
 probability equal to their generalised Jaccard similarity, sum(min w) / sum(max w).
 
-Only built-in column functions are used: the gamma variables and the minimum are compiled code over
-exploded words, which are gathered again without another shuffle. A sample of a word depends on the
-word and its weight alone, so within CELL documents of a range all samples are made once per word and weight.
+Only built-in column functions are used: samples are columns of compiled code over a row for each word
+and BLOCK samples, reduced to one row a document and block in the task that has the document. A gamma
+variable is a sum of two exponential ones; these are looked up by STEPS hashed bits, so that a sample
+takes one logarithm.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 SAMPLES = 64
 #: Samples that are columns of one row: compiled code for more of them is too long to be made fast.
 BLOCK = 8
-#: Ranges of doc_id into which the documents are dealt, at least; documents of a range that share samples.
-RANGES, CELL = 64, 4096
+#: Ranges of doc_id into which the documents are dealt, at least.
+RANGES = 64
+#: Bits of a hash that choose an exponential variable.
+STEPS = 12
 _SPLIT = r"[\x20\x09-\x0D]+"
 
 
@@ -36,42 +40,49 @@ def bags(text: Column) -> Column:
     return F.when(line != "", groups)
 
 
-def _sample(term: Column, lnw: Column, i: Column) -> Column:
-    h1, h2 = F.xxhash64(term, 3 * i), F.xxhash64(term, 3 * i + 1)
-    part = lambda h, shift: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 21) - 1)) + 0.5) / float(1 << 21)
-    r = -F.log(part(h1, 43) * part(h1, 22))
-    c = -F.log(part(h2, 43) * part(h2, 22))
-    b = part(F.shiftleft(h1, 10).bitwiseXOR(h2), 1)
+def _exponentials() -> Column:
+    """-ln u at the middles of 2^STEPS equal parts of (0, 1), folded to one literal. Exploded from a list
+    of its own, it stands in the plan once and rows refer to it."""
+    n = 1 << STEPS
+    return F.array(*[F.lit(-math.log((i + 0.5) / n)) for i in range(n)])
+
+
+def _sample(term: Column, lnw: Column, i: Column, table: Column) -> Column:
+    """ln a and, in the low 24 bits, a name of the word and n: the least of a document is its sample.
+
+    With STEPS bits r and c are at most 18.1 and at least 0.0002, so -64 < ln a < 64 for any weight.
+    """
+    h1, h2 = F.xxhash64(term, 2 * i), F.xxhash64(term, 2 * i + 1)
+    bits = lambda h, shift, n: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << n) - 1))
+    gamma = lambda h: F.get(table, bits(h, 64 - STEPS, STEPS).cast("int")) + F.get(table, bits(h, 64 - 2 * STEPS, STEPS).cast("int"))
+    r = gamma(h1)
+    b = (bits(h2, 8, 32) + 0.5) / float(1 << 32)
     n = F.floor(lnw / r + b)
-    ln_a = F.log(c) - r * (n - b + 1)
-    name = F.xxhash64(term, n).bitwiseAND(F.lit((1 << 24) - 1))
-    return F.shiftleft(((F.greatest(F.least(ln_a, F.lit(500.0)), F.lit(-500.0)) + 512.0) * float(1 << 29)).cast("long"), 24).bitwiseOR(name)
+    ln_a = F.log(gamma(h2)) - r * (n - b + 1)
+    # the low 40 bits of h1 choose nothing else; n moves them by an odd constant
+    name = bits(h1 + n * F.lit(0x9E3779B1), 8, 24)
+    return F.shiftleft(((ln_a + 64.0) * float(1 << 32)).cast("long"), 24).bitwiseOR(name)
 
 
-def signatures(rows: DataFrame, near: list[str], by: list[str], keep: list[str], text: str, k: int = SAMPLES) -> DataFrame:
-    """Per ``near`` and ``by``: ``keep`` and ``fingerprint``, the samples of the words of ``text``.
+def signatures(rows: DataFrame, by: list[str], keep: list[str], text: str, k: int = SAMPLES) -> DataFrame:
+    """Per ``by``: ``keep`` and ``fingerprint``, the samples of the words of ``text``.
 
-    There is one row per ``near`` and ``by``; ``keep`` are longs without nulls. Samples are shared by the
-    rows of equal ``near``, which should be few: those that have a word are listed beside it. Where
-    ``rows`` are hash-dealt by some of ``near`` nothing is shuffled again.
+    There is one row per ``by``; ``keep`` are longs without nulls. Where ``rows`` are hash-dealt by some
+    of ``by`` nothing is shuffled again.
     """
-    each = rows.select(*near, *by, *keep, F.posexplode_outer(bags(F.coalesce(F.col(text), F.lit("")))).alias("_at", "_group"))
+    each = rows.select(*by, *keep, F.explode_outer(bags(F.coalesce(F.col(text), F.lit("")))).alias("_group"))
     word = F.substring_index("_group", " ", 1)
     weight = F.when(F.col("_group").isNotNull(), F.log((F.length("_group") + 1.0) / (F.length(word) + 1.0)))
-    # what is kept travels with one word of a text
-    kept = F.when(F.coalesce("_at", F.lit(0)) == 0, F.struct(*keep))
-    each = each.select(*near, F.xxhash64(word).alias("_term"), weight.alias("_lnw"), F.struct(*by, kept.alias("_kept")).alias("_doc"))
-    words = each.groupBy(*near, "_term", "_lnw").agg(F.collect_list("_doc").alias("_docs"))
-    words = words.select("*", F.explode(F.array(*[F.lit(i) for i in range(0, k, BLOCK)])).alias("_from"))
+    blocks = F.explode(F.array(*[F.lit(i) for i in range(0, k, BLOCK)]))
+    each = each.select(*by, *keep, F.xxhash64(word).alias("_term"), weight.alias("_lnw")).select("*", F.explode(F.array(_exponentials())).alias("_table")).select("*", blocks.alias("_from"))
     names = [f"s{i}" for i in range(min(k, BLOCK))]
-    some = [_sample(F.col("_term"), F.coalesce("_lnw", F.lit(0.0)), F.col("_from") + i).alias(s) for i, s in enumerate(names)]
-    each = words.select(*near, "_from", "_docs", F.isnull("_lnw").alias("_none"), *some).select(*near, "_from", "_none", *names, F.explode("_docs").alias("_doc"))
-    each = each.select(*near, "_from", *[F.col(f"_doc.{c}").alias(c) for c in by], *[F.col(f"_doc._kept.{c}").alias(c) for c in keep], "_none", *names)
-    parts = each.groupBy(*near, *by, "_from").agg(*[F.min(c).alias(c) for c in [*keep, "_none", *names]])
+    some = [_sample(F.col("_term"), F.coalesce("_lnw", F.lit(0.0)), F.col("_from") + i, F.col("_table")).alias(s) for i, s in enumerate(names)]
+    each = each.select(*by, *keep, "_from", F.isnull("_lnw").alias("_none"), *some)
+    parts = each.groupBy(*by, "_from").agg(*[F.min(c).alias(c) for c in [*keep, "_none", *names]])
     empty = F.lit("-" * 6 * len(names))
-    parts = parts.select(*near, *by, *keep, "_from", F.when(F.col("_none"), empty).otherwise(fingerprint(len(names))).alias("_f"))
+    parts = parts.select(*by, *keep, "_from", F.when(F.col("_none"), empty).otherwise(fingerprint(len(names))).alias("_f"))
     whole = F.concat(*[F.max(F.when(F.col("_from") == i, F.col("_f"))) for i in range(0, k, BLOCK)])
-    return parts.groupBy(*near, *by).agg(*[F.min(c).alias(c) for c in keep], F.substring(whole, 1, 6 * k).alias("fingerprint"))
+    return parts.groupBy(*by).agg(*[F.min(c).alias(c) for c in keep], F.substring(whole, 1, 6 * k).alias("fingerprint"))
 
 
 def fingerprint(k: int = SAMPLES, prefix: str = "s") -> Column:
@@ -164,8 +175,7 @@ def compare_edited(docs: DataFrame, k: int = SAMPLES, ranges: int | None = None)
     keep = ["_range", "_place", "_id", "_facts", *[f"_d{i}" for i in range(4)]]
     rows = rows.select(*keep[:4], *[_pack_hex(F.col("_sha"), i).alias(f"_d{i}") for i in range(4)], F.explode(both).alias("_x"))
     rows = rows.where((F.col("_facts") % 2 == 1) | (F.col("_x.v") == 0)).select(*keep, F.col("_x.v").alias("_v"), F.col("_x.t").alias("_t"))
-    rows = rows.withColumn("_cell", F.floor(F.col("_place") / CELL))
-    sig = signatures(rows, ["_range", "_cell"], ["_place", "_v"], keep[2:], "_t", k).withColumnRenamed("fingerprint", "_f")
+    sig = signatures(rows, ["_range", "_place", "_v"], keep[2:], "_t", k).withColumnRenamed("fingerprint", "_f")
     first = lambda v: F.max(F.when(F.col("_v") == v, F.col("_f")))
     two = sig.groupBy(*keep).agg(first(0).alias("fingerprint"), first(1).alias("edited_fingerprint"))
     order = Window.partitionBy("_range").orderBy("_place")
