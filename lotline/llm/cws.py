@@ -59,8 +59,8 @@ def _sample(term: Column, lnw: Column, i: Column, table: Column) -> Column:
     b = (bits(h2, 8, 32) + 0.5) / float(1 << 32)
     n = F.floor(lnw / r + b)
     ln_a = F.log(gamma(h2)) - r * (n - b + 1)
-    # the low 40 bits of h1 choose nothing else; n moves them by an odd constant
-    name = bits(h1 + n * F.lit(0x9E3779B1), 8, 24)
+    # the low 40 bits of h1 choose nothing else; n, less than 2^17, changes them by an odd constant
+    name = bits(h1.bitwiseXOR(n * F.lit(0x9E3779B1)), 8, 24)
     return F.shiftleft(((ln_a + 64.0) * float(1 << 32)).cast("long"), 24).bitwiseOR(name)
 
 

@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from compare import database, same
 from pyspark.sql import functions as F
 
@@ -517,6 +518,34 @@ def test_equal_texts_have_equal_fingerprints(docs):
         assert all(min(by[a]) != min(by[b]) for b in texts[:i] if jaccard(a, b) < 0.5)
 
 
+def plain_fingerprint(text, k):
+    """The fingerprint by the module's formulas, word by word."""
+    def hashed(word, j):
+        seed = xxhash.xxh64_intdigest(xxhash.xxh64_intdigest(word.encode(), 42).to_bytes(8, "little"), 42)
+        return xxhash.xxh64_intdigest(j.to_bytes(4, "little"), seed)
+
+    size = 1 << cws.STEPS
+    gamma = lambda h: sum(-math.log((((h >> s) & (size - 1)) + 0.5) / size) for s in (64 - cws.STEPS, 64 - 2 * cws.STEPS))
+    out = ""
+    for i in range(k):
+        best = []
+        for word, w in collections.Counter(re.findall(r"[^\x20\x09-\x0D]+", text)).items():
+            h1, h2 = hashed(word, 2 * i), hashed(word, 2 * i + 1)
+            r, b = gamma(h1), (((h2 >> 8) & 0xFFFFFFFF) + 0.5) / (1 << 32)
+            n = math.floor(math.log(w) / r + b)
+            best.append((math.log(gamma(h2)) - r * (n - b + 1), ((h1 ^ (n * 0x9E3779B1)) >> 8) & 0xFFFFFF))
+        out += f"{min(best)[1]:06x}" if best else "-" * 6
+    return out
+
+
+def test_fingerprints_equal_plain_ones(spark):
+    rng = random.Random(6)
+    texts = ["a b a", "", " \t\n", "x " * 5000, *(" ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(n)) for n in (1, 30, 400, 3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in cws.compare_edited(df).collect()}
+    assert got == {d: plain_fingerprint(t, cws.SAMPLES) for d, t in enumerate(texts)}
+
+
 def test_fingerprint_edges(empty, spark):
     assert cws.compare_edited(empty).count() == 0
     one = cws.compare_edited(spark.createDataFrame([(1, "ab cd")], "doc_id long, text string")).first()
