@@ -25,28 +25,45 @@ SEGMENT = 1 << 16
 TABLE = "word long, bits int"
 
 
-def _number(digest: Column, at: int) -> Column:
-    """Eight bytes of a hexadecimal digest from byte ``at``, little-endian, without the sign bit."""
-    pairs = [F.substring(digest, 2 * (at + k) + 1, 2) for k in range(7, -1, -1)]
-    text = F.concat(*pairs)
-    top = F.translate(F.substring(text, 1, 1), "89abcdef", "01234567")
-    return F.conv(F.concat(top, F.substring(text, 2, 15)), 16, 10).cast("long")
+def _digest(uuid: Column) -> Column:
+    """The SHA-256, in hexadecimal digits, of the bytes of ``uuid``, 32 hexadecimal digits."""
+    # the first three groups of a UUID are numbers, whose bytes are stored from the last
+    order = [3, 2, 1, 0, 5, 4, 7, 6]
+    return F.sha2(F.unhex(F.concat(*[F.substring(uuid, 2 * k + 1, 2) for k in order], F.substring(uuid, 17, 16))), 256)
+
+
+def _limb(digest: Column, i: int) -> Column:
+    """The ``i``-th four bytes of a hexadecimal digest as a number, little-endian."""
+    x = F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
+    byte = lambda c, mask: c.bitwiseAND(F.lit(mask))
+    return byte(F.shiftright(x, 24), 0xFF).bitwiseOR(byte(F.shiftright(x, 8), 0xFF00)).bitwiseOR(byte(F.shiftleft(x, 8), 0xFF0000)).bitwiseOR(byte(F.shiftleft(x, 24), 0xFF000000))
+
+
+def _position(limbs: list[Column], k: Column, bits: int) -> Column:
+    """(first + k * step) mod 2^63 mod ``bits``, of two numbers of 63 bits in ``limbs`` of 32; a step of 0 is 1.
+    No sum of limbs overflows a long."""
+    low, high, step_low, step_high = limbs[0], limbs[1], limbs[2], limbs[3].bitwiseAND(F.lit(0x7FFFFFFF))
+    step_low = F.when((step_low == 0) & (step_high == 0), F.lit(1).cast("long")).otherwise(step_low)
+    sum_low = low + step_low * k
+    sum_high = high + step_high * k + F.shiftright(sum_low, 32)
+    whole = F.shiftleft(sum_high.bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(sum_low.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return whole % F.lit(bits).cast("long")
 
 
 def positions(uuid: Column, bits: int) -> Column:
     """The bits (an array of longs, repeats possible) that ``uuid``, 32 hexadecimal digits, sets."""
-    # the first three groups of a UUID are numbers, whose bytes are stored from the last
-    order = [3, 2, 1, 0, 5, 4, 7, 6, *range(8, 16)]
-    digest = F.sha2(F.unhex(F.concat(*[F.substring(uuid, 2 * k + 1, 2) for k in order])), 256)
-    whole = lambda c: c.cast("decimal(20,0)")
-    first, step = _number(digest, 0), F.greatest(_number(digest, 8), F.lit(1).cast("long"))
-    return F.transform(F.array(*[F.lit(k) for k in range(HASHES)]), lambda k: F.pmod((whole(first) + whole(step) * k) % F.lit(str(1 << 63)).cast("decimal(20,0)"), F.lit(str(bits)).cast("decimal(20,0)")).cast("long"))
+    limbs = [_limb(_digest(uuid), i) for i in range(4)]
+    return F.array(*[_position(limbs, F.lit(k).cast("long"), bits) for k in range(HASHES)])
 
 
 def _set_bits(rows: DataFrame, uuid: str, bits: int) -> DataFrame:
-    """uuid, word and bit of each position of the distinct, valid UUIDs of ``rows``."""
+    """uuid, word and bit of each position of the distinct, valid UUIDs of ``rows``: positions(), with its
+    digest and numbers as columns of their own, so that each is worked out once a UUID."""
     ids = rows.select(F.col(uuid).alias("_uuid")).where(F.col("_uuid").rlike("^[0-9a-f]{32}$")).distinct()
-    at = ids.select("_uuid", F.explode(positions(F.col("_uuid"), bits)).alias("_at"))
+    ids = ids.select("_uuid", _digest(F.col("_uuid")).alias("_digest"))
+    ids = ids.select("_uuid", *[_limb(F.col("_digest"), i).alias(f"_l{i}") for i in range(4)])
+    ids = ids.select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in range(HASHES)])).alias("_k"))
+    at = ids.select("_uuid", _position([F.col(f"_l{i}") for i in range(4)], F.col("_k"), bits).alias("_at"))
     return at.select("_uuid", F.call_function("div", "_at", F.lit(WORD_BITS)).alias("word"), F.expr(f"shiftleft(1, cast(_at % {WORD_BITS} AS int))").alias("_bit"))
 
 

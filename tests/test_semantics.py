@@ -343,6 +343,14 @@ def test_bloom_filter_of_the_default_size(spark):
     assert all(got[i] == plain_positions(i, bits) for i in ids) and max(max(p) for p in got.values()) > 1 << 32
 
 
+def test_bloom_hashes_once(spark):
+    """A UUID is hashed once for all its bits, when a filter is built and when it is probed."""
+    ids = spark.range(1000).select(F.md5(F.col("id").cast("string")).alias("uuid"))
+    words = bloom.built(ids, "uuid", 1 << 17)
+    hashes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("sha2(")
+    assert hashes(words) == 1 and hashes(bloom.probed(ids, "uuid", words, 1 << 17)) == 2
+
+
 AUCTIONS = "uuid string, tag string, end_ts timestamp_ntz, highest_bid long, v string"
 
 
