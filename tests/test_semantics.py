@@ -343,6 +343,15 @@ def test_bloom_filter_of_the_default_size(spark):
     assert all(got[i] == plain_positions(i, bits) for i in ids) and max(max(p) for p in got.values()) > 1 << 32
 
 
+def test_long_values_are_made_after_the_shuffle(spark, sf):
+    """Bids are grouped by their numbers; names are made of them afterwards, and Python gets them by bytes."""
+    from lotline import queries
+
+    plan = queries.QUERIES["bids_msgpack"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "repeat(" not in plan[plan.index("collect_list(") :] and "repeat(" in plan
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+
 def test_bloom_hashes_once(spark):
     """A UUID is hashed once for all its bits, when a filter is built and when it is probed."""
     ids = spark.range(1000).select(F.md5(F.col("id").cast("string")).alias("uuid"))
