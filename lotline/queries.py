@@ -991,14 +991,15 @@ def stream_retrofit(spark, d):
     unsold = stored_unsold(a).withColumn("is_sold", F.lit(False)).withColumn("_days", F.when(F.col("starting_bid") >= 1000, F.col("auction_uid") % 7).otherwise(F.col("auction_uid") % 20))
     sold = lacking(a.withColumn("is_sold", F.lit(True)))
     events = [unsold.where("_days < 3"), sold, unsold.where("_days >= 3")]
-    for rows in events:  # watermarks need instants, not local times
-        rows.select(*sold.columns).withColumn("end_ts", F.col("end_ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{top}/in")
-    all_ = spark.read.parquet(f"{top}/in")
-    completion.last_event(all_, 10_000).write.mode("append").parquet(f"{top}/in")
-    read = spark.readStream.schema(all_.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
-    # the test tables' events come in order of id, not of time: all of them may be late
-    out = completion.completed(read, delay="5000 days").writeStream.format("parquet").option("checkpointLocation", f"{top}/checkpoint")
-    out.trigger(availableNow=True).start(f"{top}/out").awaitTermination()
+    instants = [rows.select(*sold.columns).withColumn("end_ts", F.col("end_ts").cast("timestamp")) for rows in events]  # watermarks need them, not local times
+    for at, rows in enumerate(instants):  # a run takes a step as one batch, of as many files as it has
+        rows.write.parquet(f"{top}/in/{at}")
+        if at == len(events) - 1:
+            completion.last_event(spark.read.parquet(f"{top}/in/*"), 10_000).write.parquet(f"{top}/in/last")
+        read = spark.readStream.schema(instants[0].schema).parquet(f"{top}/in/*")
+        # the test tables' events come in order of id, not of time: all of them may be late
+        out = completion.completed(read, delay="5000 days").writeStream.format("parquet").option("checkpointLocation", f"{top}/checkpoint")
+        out.trigger(availableNow=True).start(f"{top}/out").awaitTermination()
     return spark.read.parquet(f"{top}/out").select("uuid", "seller", "start_ts", "starting_bid")
 
 

@@ -273,6 +273,27 @@ def test_stream_retrofit(spark, tmp_path):
     assert run() == sorted([*seen[2], ("b", "U", None, None, 4), ("far", "T", None, None, 3)], key=repr)
 
 
+def test_stream_retrofit_of_many_auctions_in_a_bucket(spark, tmp_path):
+    """Auctions that share a bucket of the state are completed from their own unsold events only, and the
+    last timer of a bucket lets none of them stay."""
+    at = lambda k, day: F.timestamp_add("SECOND", F.col("id").cast("int"), F.lit(f"2025-01-{day + k:02} 00:00:00").cast("timestamp"))
+    ids = spark.range(200).select("id", F.col("id").cast("string").alias("uuid"), F.when(F.col("id") % 2 == 0, "T").otherwise("U").alias("tag"))
+    row = lambda df, sold, end, start: df.select("uuid", "tag", F.lit(sold).alias("is_sold"), end.alias("end_ts"), start.alias("start_ts"), F.col("id").alias("starting_bid"))
+    none = F.lit(None).cast("timestamp_ntz")
+    begun = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+    steps = [row(ids.where("id % 4 = 0"), False, at(0, 10), begun), row(ids, True, at(1, 10), none).withColumn("starting_bid", F.lit(None).cast("long")), row(ids.where("id % 4 = 1"), False, at(2, 10), begun)]
+    for k, rows in enumerate(steps):
+        rows.write.parquet(f"{tmp_path}/in/{k}")
+        if k == 2:
+            completion.last_event(spark.read.parquet(f"{tmp_path}/in/*")).write.parquet(f"{tmp_path}/in/last")
+        read = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in/*")
+        q = completion.completed(read, buckets=2).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q.awaitTermination()
+    got = {r["uuid"]: (r["starting_bid"], r["start_ts"] is not None) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {str(i): (i, True) if i % 4 < 2 else (None, False) for i in range(200)}
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 200
+
+
 def test_job_states_follow_their_actions(spark, tmp_path):
     from lotline.operators import jobs
 
