@@ -908,18 +908,21 @@ def json_roundtrip(spark, d):
     return text.select(F.from_json("j", "auction_uid long, tag string, end_ts timestamp_ntz, highest_bid long").alias("r")).select("r.*")
 
 
+PER_FILE = 50_000
+
+
 def ingested(spark, d, mirror=False):
-    """The folder that a stream of auctions with their bids leaves, two files per batch; each auction
-    comes twice, first without a price. Some events are junk or lack a uuid."""
-    top = folder(spark)
+    """The folder that a stream of auctions with their bids leaves, in two batches of files of some
+    PER_FILE auctions; each auction comes twice in a file, first without a price. Some events are junk or lack a uuid."""
+    top, half = folder(spark), max(2, -(-tables.table(spark, d, "orders").count() // (2 * PER_FILE)))
     rows = tables.with_bids(tables.auctions(spark, d), B(spark, d))
     bids = F.transform("bids", lambda b: F.struct(b["bidder"].alias("bidder"), b["amount"].alias("amount"), b["ts"].alias("ts")))
     rows = rows.select("auction_uid", "uuid", "tag", "seller", "end_ts", "start_ts", "highest_bid", F.col("end_ts").alias("write_ts"), bids.alias("bids"))
     early = rows.withColumn("highest_bid", F.lit(0).cast("long")).withColumn("write_ts", F.col("start_ts"))
     junk = early.where("auction_uid % 10 = 1").withColumn("tag", F.lit(None).cast("string")).withColumn("seller", F.lit(None).cast("long"))
     nameless = rows.where("auction_uid % 10 = 2").withColumn("uuid", F.lit(None).cast("string"))
-    rows.unionByName(early).unionByName(junk).unionByName(nameless).repartition(4, "auction_uid").write.parquet(f"{top}/in")
-    ingest.start(ingest.file_source(spark, f"{top}/in", 2), f"{top}/out", f"{top}/checkpoint", mirror).awaitTermination()
+    rows.unionByName(early).unionByName(junk).unionByName(nameless).repartition(2 * half, "auction_uid").write.parquet(f"{top}/in")
+    ingest.start(ingest.file_source(spark, f"{top}/in", half), f"{top}/out", f"{top}/checkpoint", mirror).awaitTermination()
     return f"{top}/out"
 
 

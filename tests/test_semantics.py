@@ -294,6 +294,18 @@ def test_stream_retrofit_of_many_auctions_in_a_bucket(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 200
 
 
+def test_more_auctions_are_ingested_from_more_files(spark, sf, monkeypatch):
+    """A file, which one task writes, has so many auctions whatever the table has; batches stay two."""
+    import glob
+
+    from lotline import queries
+
+    monkeypatch.setattr(queries, "PER_FILE", 100)
+    out = queries.ingested(spark, sf).removeprefix("file://")
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert len(glob.glob(f"{out}/../in/*.parquet")) == 2 * -(-n // 200) and len(glob.glob(f"{out}/auctions/batch=*")) == 2
+
+
 def test_job_states_follow_their_actions(spark, tmp_path):
     from lotline.operators import jobs
 
