@@ -1,7 +1,7 @@
 """Sinks that fail on their own: a bad row or a sink that is down does not stop the rest.
 
 A batch goes to each sink by itself. If a sink fails, the batch's range of row hashes is cut in halves
-until what fails is a single row; that goes to the table of dead rows with its error, all others are
+until what fails is a single row (for that the batch is written once more, sorted by hash); that goes to the table of dead rows with its error, all others are
 written. If a sink fails on everything it is given at first, it is taken to be down: the batch is kept
 aside and tried again with later batches, after one, two, three, ... of them. Each sink has a log of its
 outcomes. A batch that comes again skips the sinks that are done and replaces what others had begun, so
@@ -82,7 +82,7 @@ class Sinks:
 
     def _give(self, name: str, rows: DataFrame, batch: int, tries: int, now: int) -> Outcome:
         top, aside = f"{self.path}/out/{name}/batch={batch}", f"{self.path}/aside/{name}/batch={batch}"
-        for x in (top, f"{self.path}/dead/part={name}-{batch}"):
+        for x in (top, f"{self.path}/dead/part={name}-{batch}", f"{self.path}/cut/{name}"):
             self._delete(x)  # of a try that was lost
         keyed = rows.withColumn("_slot", F.pmod(F.xxhash64(F.to_json(F.struct(*rows.columns))), F.lit(SPAN)))
         state = {"failed": 0, "written": 0, "dead": 0}
@@ -95,11 +95,19 @@ class Sinks:
             if tries == 1:
                 rows.write.mode("overwrite").parquet(aside)
             result = Outcome(name, batch, "down", 0, 0, tries, now + tries)
+        self._delete(f"{self.path}/cut/{name}")
         self.spark.createDataFrame([(result.sink, result.batch, result.status, result.written, result.dead, result.tries, result.due)], OUTCOME).write.mode("append").parquet(f"{self.path}/outcomes")
         if result.status == "done" and tries > 1:
             self._delete(aside)
         return result
 
+    def _sorted(self, name: str, keyed: DataFrame) -> DataFrame:
+        """``keyed`` as files sorted by hash: to read a range of hashes takes what it holds, so all the cuts
+        that lead to a bad row read about twice the batch together."""
+        path = f"{self.path}/cut/{name}"
+        keyed.repartitionByRange("_slot").sortWithinPartitions("_slot").write.parquet(path)
+        return self.spark.read.parquet(path)
+
     def _part(self, name: str, keyed: DataFrame, batch: int, low: int, high: int, state: dict) -> None:
         """Write the rows whose hash is in [low, high)."""
         rows = keyed if (low, high) == (0, SPAN) else keyed.where((F.col("_slot") >= low) & (F.col("_slot") < high))
@@ -109,6 +117,8 @@ class Sinks:
         except Exception as e:  # whatever a sink raises is its outcome
             self._delete(folder)
             state["failed"] += 1
+            if (low, high) == (0, SPAN):
+                rows = keyed = self._sorted(name, keyed)
             n, least, most = rows.agg(F.count("*"), F.min("_slot"), F.max("_slot")).first()
             if least == most and n:  # one row, or copies of one
                 error = str(e).strip().splitlines()[0][:1024] if str(e).strip() else type(e).__name__

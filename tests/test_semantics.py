@@ -306,6 +306,22 @@ def test_more_auctions_are_ingested_from_more_files(spark, sf, monkeypatch):
     assert len(glob.glob(f"{out}/../in/*.parquet")) == 2 * -(-n // 200) and len(glob.glob(f"{out}/auctions/batch=*")) == 2
 
 
+def test_a_cut_reads_its_range_only(spark, tmp_path):
+    """To find one bad row of many, a failing sink gets ranges of a sorted copy and not of the whole batch."""
+    plans = []
+
+    def strict(x, path):
+        plans.append(x._jdf.queryExecution().executedPlan().toString())
+        x.select(F.when(F.col("id") == 4321, F.raise_error(F.lit("bad")).cast("long")).otherwise(F.col("id")).alias("id")).write.parquet(path)
+
+    out = sinks.Sinks(spark, str(tmp_path), {"strict": strict})
+    got = out.write(spark.range(5000), 1)[0]
+    assert (got.status, got.written, got.dead) == ("done", 4999, 1)
+    assert len(plans) > 3 and all("GreaterThanOrEqual(_slot" in p and "Parquet" in p for p in plans[1:])
+    assert sorted(r["id"] for r in out.written("strict").collect()) == [i for i in range(5000) if i != 4321]
+    assert not (tmp_path / "cut" / "strict").exists()
+
+
 def test_job_states_follow_their_actions(spark, tmp_path):
     from lotline.operators import jobs
 
