@@ -62,9 +62,10 @@ class MonthArchive:
         number = known[-1] + 1 if known else 1
         new = rows.withColumn("uuid", identity.normal_uuid(F.col("uuid"))).where("uuid is not null and end_ts is not null")
         new = new.withColumn("tag", F.coalesce("tag", F.lit("unknown"))).withColumn("month", timekey.month(F.col("end_ts")))
+        # one pass of its own: the rows themselves are worked out when they are written, not again for the manifest
+        touched = new.select(*FOLDER).distinct().persist()
         newest = [F.col("write_ts").desc()] if "write_ts" in rows.columns else []
         new = merge.best_per_key(new, [*FOLDER, "uuid"], [*newest, F.col("highest_bid").desc()])
-        touched = new.select(*FOLDER).distinct()
         both = new
         if not now.where("tag is not null").isEmpty():
             old = self.read().join(touched, FOLDER, "left_semi").withColumn("_v", F.lit(0))
@@ -77,6 +78,7 @@ class MonthArchive:
         added = touched.select(*FOLDER, F.lit(number).cast("long").alias("version"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("batch"))
         part = f"{self.path}/manifest/part-{uuid.uuid4().hex}"
         kept.unionByName(added).unionByName(mark).write.parquet(part)
+        touched.unpersist()
         fs, at = self._fs(part)
         if not fs.rename(at, self._fs(f"{self.path}/manifest/{number}")[1]):
             raise RuntimeError(f"version {number} of {self.path} was written meanwhile")

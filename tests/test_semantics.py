@@ -322,6 +322,20 @@ def test_a_cut_reads_its_range_only(spark, tmp_path):
     assert not (tmp_path / "cut" / "strict").exists()
 
 
+def test_an_archived_batch_is_worked_out_for_its_write_only(spark, tmp_path):
+    """The folders that a batch touches, for its manifest, are found without working out its rows again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    bid = F.udf(counted, "long")(F.col("id"))
+    rows = spark.range(100).select(F.md5(F.col("id").cast("string")).alias("uuid"), F.lit("T").alias("tag"), F.lit("2025-01-02 00:00:00").cast("timestamp_ntz").alias("end_ts"), bid.alias("highest_bid"))
+    assert months.MonthArchive(spark, str(tmp_path / "x")).merge(rows, "s", 1)
+    assert seen.value == 100
+
+
 def test_job_states_follow_their_actions(spark, tmp_path):
     from lotline.operators import jobs
 
