@@ -8,6 +8,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # partitions are put together by their compressed bytes; sorted or hashed in a task, rows take some ten times as much
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     # a tag such as 007 must stay text when it names a partition
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

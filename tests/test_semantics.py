@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lotline.functions import identity, nbt, nested, packed, timekey
 from lotline.operators import bloom, compare, export, filters, merge, players, prices, scan
 from lotline.plans.memo import PriceMemo
+from lotline.session import configure
 from lotline.sources import archive, months
 from lotline.schema import BIDDER, SELLER
 from lotline.streaming import completion, ingest, metrics, sinks
@@ -677,3 +678,15 @@ def test_listing_of_files(spark, tmp_path):
     archive.write(sold(spark, [5], "A B+c%"), str(tmp_path / "x y+z"))
     rows = archive.listed(spark, str(tmp_path / "x y+z")).where("key like 'tag=%'").collect()
     assert len(rows) == 1 and rows[0]["key"].startswith("tag=A B+c%25/month=2024-06/part-") and rows[0]["length"] > 0 and rows[0]["modified"] is not None
+
+
+def test_tasks_are_not_put_together_beyond_16_mb(spark):
+    """Some 24 MB of shuffled rows, which were one task before."""
+    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        rows = configure(spark).range(3_000_000).select(F.xxhash64("id").alias("x")).groupBy("x").count()
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set(name, was)
