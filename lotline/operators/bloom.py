@@ -56,10 +56,13 @@ def positions(uuid: Column, bits: int) -> Column:
     return F.array(*[_position(limbs, F.lit(k).cast("long"), bits) for k in range(HASHES)])
 
 
-def _set_bits(rows: DataFrame, uuid: str, bits: int) -> DataFrame:
-    """uuid, word and bit of each position of the distinct, valid UUIDs of ``rows``: positions(), with its
-    digest and numbers as columns of their own, so that each is worked out once a UUID."""
-    ids = rows.select(F.col(uuid).alias("_uuid")).where(F.col("_uuid").rlike("^[0-9a-f]{32}$")).distinct()
+def _valid(rows: DataFrame, uuid: str) -> DataFrame:
+    return rows.select(F.col(uuid).alias("_uuid")).where(F.col("_uuid").rlike("^[0-9a-f]{32}$"))
+
+
+def _set_bits(ids: DataFrame, bits: int) -> DataFrame:
+    """uuid, word and bit of each position of the valid UUIDs ``ids``: positions(), with its digest and
+    numbers as columns of their own, so that each is worked out once a row."""
     ids = ids.select("_uuid", _digest(F.col("_uuid")).alias("_digest"))
     ids = ids.select("_uuid", *[_limb(F.col("_digest"), i).alias(f"_l{i}") for i in range(4)])
     ids = ids.select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in range(HASHES)])).alias("_k"))
@@ -68,8 +71,11 @@ def _set_bits(rows: DataFrame, uuid: str, bits: int) -> DataFrame:
 
 
 def built(rows: DataFrame, uuid: str, bits: int) -> DataFrame:
-    """The words (word, bits) of a filter of the UUIDs in ``rows``; nulls and what is no normal UUID set none."""
-    return _set_bits(rows, uuid, bits).groupBy("word").agg(F.bit_or("_bit").alias("bits"))
+    """The words (word, bits) of a filter of the UUIDs in ``rows``; nulls and what is no normal UUID set none.
+
+    A repeated UUID sets its bits again, which changes nothing: only words are shuffled, not UUIDs.
+    """
+    return _set_bits(_valid(rows, uuid), bits).groupBy("word").agg(F.bit_or("_bit").alias("bits"))
 
 
 def merged(*filters: DataFrame) -> DataFrame:
@@ -82,7 +88,7 @@ def merged(*filters: DataFrame) -> DataFrame:
 
 def probed(rows: DataFrame, uuid: str, words: DataFrame, bits: int) -> DataFrame:
     """``rows`` with may_exist: false means that no such UUID was added. What is no UUID does not exist."""
-    bit = _set_bits(rows, uuid, bits).join(words, "word", "left")
+    bit = _set_bits(_valid(rows, uuid).distinct(), bits).join(words, "word", "left")
     there = bit.groupBy("_uuid").agg(F.min(F.coalesce(F.col("bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).alias("_there"))
     return rows.join(there, F.col(uuid) == F.col("_uuid"), "left").withColumn("may_exist", F.coalesce("_there", F.lit(False))).drop("_uuid", "_there")
 

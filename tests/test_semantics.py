@@ -424,6 +424,15 @@ def test_bloom_hashes_once(spark):
     assert hashes(words) == 1 and hashes(bloom.probed(ids, "uuid", words, 1 << 17)) == 2
 
 
+def test_bloom_filter_shuffles_words_only(spark):
+    """No UUID is shuffled to build a filter, and one that comes again changes nothing."""
+    ids = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("uuid"))
+    words = bloom.built(ids.union(ids), "uuid", 1 << 17)
+    shuffles = [line for line in words._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line]
+    assert len(shuffles) == 1 and "word" in shuffles[0]
+    assert sorted(map(tuple, words.collect())) == sorted(map(tuple, bloom.built(ids, "uuid", 1 << 17).collect()))
+
+
 AUCTIONS = "uuid string, tag string, end_ts timestamp_ntz, highest_bid long, v string"
 
 
