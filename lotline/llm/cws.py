@@ -29,15 +29,22 @@ STEPS = 12
 _SPLIT = r"[\x20\x09-\x0D]+"
 
 
-def bags(text: Column) -> Column:
-    """Per distinct word of the text, the word repeated with blanks as often as it occurs.
+def weighted(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep``, _term (a hash of the word) and _n (how often it occurs) per distinct word of ``text``; a text
+    without words has one row, with nulls.
 
-    Words are cut at blanks; sorted, equal words stand together and a repeat of one is one match.
+    Words are hashed before they are sorted, so that numbers are sorted, not strings; equal ones stand
+    together and a word begins where a hash differs from the one before it. Each step is a column of its
+    own, worked out once.
     """
-    words = F.sort_array(F.array_remove(F.split(text, _SPLIT), ""))
-    line = F.array_join(words, " ")
-    groups = F.regexp_extract_all(line, F.lit(r"(?<![^ ])([^ ]+)(?: \1(?![^ ]))*+"), F.lit(0))
-    return F.when(line != "", groups)
+    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT), "")
+    rows = rows.select(*keep, F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("_terms"))
+    new = lambda i: (i == 0) | (F.get("_terms", i) != F.get("_terms", i - 1))
+    starts = F.when(F.size("_terms") > 0, F.filter(F.sequence(F.lit(0), F.size("_terms") - 1), new))
+    rows = rows.select(*keep, "_terms", starts.alias("_starts"))
+    rows = rows.select("*", F.posexplode_outer("_starts").alias("_at", "_start"))
+    end = F.coalesce(F.get("_starts", F.col("_at") + 1), F.size("_terms"))
+    return rows.select(*keep, F.get("_terms", F.col("_start")).alias("_term"), (end - F.col("_start")).alias("_n"))
 
 
 def _exponentials() -> Column:
@@ -70,11 +77,8 @@ def signatures(rows: DataFrame, by: list[str], keep: list[str], text: str, k: in
     There is one row per ``by``; ``keep`` are longs without nulls. Where ``rows`` are hash-dealt by some
     of ``by`` nothing is shuffled again.
     """
-    each = rows.select(*by, *keep, F.explode_outer(bags(F.coalesce(F.col(text), F.lit("")))).alias("_group"))
-    word = F.substring_index("_group", " ", 1)
-    weight = F.when(F.col("_group").isNotNull(), F.log((F.length("_group") + 1.0) / (F.length(word) + 1.0)))
     blocks = F.explode(F.array(*[F.lit(i) for i in range(0, k, BLOCK)]))
-    each = each.select(*by, *keep, F.xxhash64(word).alias("_term"), weight.alias("_lnw")).select("*", F.explode(F.array(_exponentials())).alias("_table")).select("*", blocks.alias("_from"))
+    each = weighted(rows, [*by, *keep], text).select(*by, *keep, "_term", F.log(F.col("_n").cast("double")).alias("_lnw")).select("*", F.explode(F.array(_exponentials())).alias("_table")).select("*", blocks.alias("_from"))
     names = [f"s{i}" for i in range(min(k, BLOCK))]
     some = [_sample(F.col("_term"), F.coalesce("_lnw", F.lit(0.0)), F.col("_from") + i, F.col("_table")).alias(s) for i, s in enumerate(names)]
     each = each.select(*by, *keep, "_from", F.isnull("_lnw").alias("_none"), *some)

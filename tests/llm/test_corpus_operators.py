@@ -546,6 +546,15 @@ def test_fingerprints_equal_plain_ones(spark):
     assert got == {d: plain_fingerprint(t, cws.SAMPLES) for d, t in enumerate(texts)}
 
 
+def test_words_are_cut_once(spark):
+    """A text is cut and its words are sorted once, as numbers; how often each occurs is right."""
+    rows = spark.createDataFrame([(1, " b a\u00a0a b\x0bb c "), (2, None), (3, " \t"), (4, "x")], "id int, t string")
+    plan = cws.signatures(rows, ["id"], [], "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("sort_array(") == 1
+    got = cws.weighted(rows, ["id"], "t").groupBy("id").agg(F.sort_array(F.collect_list("_n")).alias("n"))
+    assert {r["id"]: r["n"] for r in got.collect()} == {1: [1, 1, 3], 2: [], 3: [], 4: [1]}
+
+
 def test_fingerprint_edges(empty, spark):
     assert cws.compare_edited(empty).count() == 0
     one = cws.compare_edited(spark.createDataFrame([(1, "ab cd")], "doc_id long, text string")).first()
