@@ -6,7 +6,9 @@ a = c * exp(-r * (n - b + 1)) is least, together with n. Two documents agree in
 probability equal to their generalised Jaccard similarity, sum(min w) / sum(max w).
 
 Only built-in column functions are used: samples are columns of compiled code over a row for each word
-and BLOCK samples, reduced to one row a document and block in the task that has the document. A gamma
+and BLOCK samples, reduced to one row a document and block in the task that has the document. Texts that
+stand together (a text, its edited one, the next) have many words in common, so those of MEMBERS // 2
+places are sampled together, each word once for all texts that have it equally often. A gamma
 variable is a sum of two exponential ones; these are looked up by STEPS hashed bits, so that a sample
 takes one logarithm.
 """
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 SAMPLES = 64
 #: Samples that are columns of one row: compiled code for more of them is too long to be made fast.
 BLOCK = 8
+#: Texts of which a word that some have equally often is sampled once: bits of a long.
+MEMBERS = 32
 #: Ranges of doc_id into which the documents are dealt, at least.
 RANGES = 64
 #: Bits of a hash that choose an exponential variable.
@@ -71,22 +75,30 @@ def _sample(term: Column, lnw: Column, i: Column, table: Column) -> Column:
     return F.shiftleft(((ln_a + 64.0) * float(1 << 32)).cast("long"), 24).bitwiseOR(name)
 
 
-def signatures(rows: DataFrame, by: list[str], keep: list[str], text: str, k: int = SAMPLES) -> DataFrame:
-    """Per ``by``: ``keep`` and ``fingerprint``, the samples of the words of ``text``.
+def signatures(rows: DataFrame, by: list[str], member: list[str], text: str, k: int = SAMPLES) -> DataFrame:
+    """Per ``by`` and ``member``: ``fingerprint``, the samples of the words of ``text``.
 
-    There is one row per ``by``; ``keep`` are longs without nulls. Where ``rows`` are hash-dealt by some
-    of ``by`` nothing is shuffled again.
+    There is one row per ``by`` and ``member``. ``member`` is no column or one: a number below MEMBERS.
+    A word that several members of a ``by`` have equally often is sampled once for all of them, whose
+    numbers are the bits of a long. Where ``rows`` are hash-dealt by some of ``by`` nothing is shuffled
+    again.
     """
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    who = F.bit_or(bit(F.col(member[0])) if member else F.lit(1).cast("long"))
+    words = weighted(rows, [*by, *member], text).groupBy(*by, "_term", "_n").agg(who.alias("_who"))
     blocks = F.explode(F.array(*[F.lit(i) for i in range(0, k, BLOCK)]))
-    each = weighted(rows, [*by, *keep], text).select(*by, *keep, "_term", F.log(F.col("_n").cast("double")).alias("_lnw")).select("*", F.explode(F.array(_exponentials())).alias("_table")).select("*", blocks.alias("_from"))
+    each = words.select(*by, "_who", "_term", F.log(F.col("_n").cast("double")).alias("_lnw")).select("*", F.explode(F.array(_exponentials())).alias("_table")).select("*", blocks.alias("_from"))
     names = [f"s{i}" for i in range(min(k, BLOCK))]
     some = [_sample(F.col("_term"), F.coalesce("_lnw", F.lit(0.0)), F.col("_from") + i, F.col("_table")).alias(s) for i, s in enumerate(names)]
-    each = each.select(*by, *keep, "_from", F.isnull("_lnw").alias("_none"), *some)
-    parts = each.groupBy(*by, "_from").agg(*[F.min(c).alias(c) for c in [*keep, "_none", *names]])
+    each = each.select(*by, "_who", "_from", F.isnull("_lnw").alias("_none"), *some)
+    members = F.explode(F.array(*[F.lit(i) for i in range(MEMBERS if member else 1)]))
+    each = each.select("*", members.alias("_member")).where(F.col("_who").bitwiseAND(bit(F.col("_member"))) != 0)
+    parts = each.groupBy(*by, "_member", "_from").agg(*[F.min(c).alias(c) for c in ["_none", *names]])
     empty = F.lit("-" * 6 * len(names))
-    parts = parts.select(*by, *keep, "_from", F.when(F.col("_none"), empty).otherwise(fingerprint(len(names))).alias("_f"))
+    parts = parts.select(*by, "_member", "_from", F.when(F.col("_none"), empty).otherwise(fingerprint(len(names))).alias("_f"))
     whole = F.concat(*[F.max(F.when(F.col("_from") == i, F.col("_f"))) for i in range(0, k, BLOCK)])
-    return parts.groupBy(*by).agg(*[F.min(c).alias(c) for c in keep], F.substring(whole, 1, 6 * k).alias("fingerprint"))
+    out = parts.groupBy(*by, "_member").agg(F.substring(whole, 1, 6 * k).alias("fingerprint"))
+    return out.select(*by, *[F.col("_member").alias(c) for c in member], "fingerprint")
 
 
 def fingerprint(k: int = SAMPLES, prefix: str = "s") -> Column:
@@ -96,8 +108,11 @@ def fingerprint(k: int = SAMPLES, prefix: str = "s") -> Column:
 
 
 def likeness(a: Column, b: Column, k: int = SAMPLES) -> Column:
-    """Share of samples in which two fingerprints agree: an estimate of generalised Jaccard."""
-    at = lambda x, i: F.substring(x, 6 * i + 1, F.lit(6))
+    """Share of samples in which two fingerprints agree: an estimate of generalised Jaccard.
+
+    Samples are cut out as bytes; to find a place in a string, all characters before it are counted.
+    """
+    at = lambda x, i: F.substring(x.cast("binary"), 6 * i + 1, F.lit(6))
     return F.size(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: at(a, i) == at(b, i))) / k
 
 
@@ -155,12 +170,6 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(F.coalesce(other, F.lit("")), F.lit(1), half))
 
 
-def _pack_hex(digest: Column, i: int) -> Column:
-    """Digits 16 i to 16 i + 15 of a hexadecimal text as the bits of a long."""
-    half = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
-    return F.shiftleft(half(16 * i + 1), 32).bitwiseOR(half(16 * i + 9))
-
-
 def compare_edited(docs: DataFrame, k: int = SAMPLES, ranges: int | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next.
@@ -170,22 +179,20 @@ def compare_edited(docs: DataFrame, k: int = SAMPLES, ranges: int | None = None)
     an empty result.
     """
     rows = with_next(docs, ranges)
-    # the digest travels as numbers, which a hash aggregation keeps in place
-    sha = F.sha2(F.col("_edited"), 256)
     rows = rows.withColumn("_edited", edited(F.col("text"), F.col("next_text")))
-    facts = F.length("text").cast("long") * 4 + F.isnull("doc_id").cast("long") * 2 + F.col("_own").cast("long")
-    rows = rows.select("_range", "_place", F.coalesce("doc_id", F.lit(0)).alias("_id"), facts.alias("_facts"), sha.alias("_sha"), "text", "_edited")
+    facts = rows.select("_range", "_place", "_own", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"))
     both = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("_edited").alias("t")))
-    keep = ["_range", "_place", "_id", "_facts", *[f"_d{i}" for i in range(4)]]
-    rows = rows.select(*keep[:4], *[_pack_hex(F.col("_sha"), i).alias(f"_d{i}") for i in range(4)], F.explode(both).alias("_x"))
-    rows = rows.where((F.col("_facts") % 2 == 1) | (F.col("_x.v") == 0)).select(*keep, F.col("_x.v").alias("_v"), F.col("_x.t").alias("_t"))
-    sig = signatures(rows, ["_range", "_place", "_v"], keep[2:], "_t", k).withColumnRenamed("fingerprint", "_f")
-    first = lambda v: F.max(F.when(F.col("_v") == v, F.col("_f")))
-    two = sig.groupBy(*keep).agg(first(0).alias("fingerprint"), first(1).alias("edited_fingerprint"))
+    texts = rows.select("_range", "_place", "_own", F.explode(both).alias("_x")).where(F.col("_own") | (F.col("_x.v") == 0))
+    near = F.floor(F.col("_place") / (MEMBERS // 2))  # a text, its edited one and those beside them
+    texts = texts.select("_range", near.alias("_near"), (F.col("_place") % (MEMBERS // 2) * 2 + F.col("_x.v")).alias("_m"), F.col("_x.t").alias("_t"))
+    sig = signatures(texts, ["_range", "_near"], ["_m"], "_t", k).withColumn("_place", (F.col("_near") * (MEMBERS // 2) + F.floor(F.col("_m") / 2)).cast("int"))
+    one = lambda v: F.max(F.when(F.col("_m") % 2 == v, F.col("fingerprint")))
+    two = sig.groupBy("_range", "_place").agg(one(0).alias("fingerprint"), one(1).alias("edited_fingerprint"))
+    # both sides are a narrow row per document; the texts, dealt once, are read for each
+    two = two.join(facts.hint("merge"), ["_range", "_place"])
     order = Window.partitionBy("_range").orderBy("_place")
-    two = two.withColumn("_next", F.lead("fingerprint").over(order)).where("_facts % 2 = 1")
-    digest = F.concat(*[F.lower(F.lpad(F.hex(f"_d{i}"), 16, "0")) for i in range(4)])
+    two = two.withColumn("_next", F.lead("fingerprint").over(order)).where("_own")
     return two.select(
-        F.when(F.col("_facts").bitwiseAND(F.lit(2)) == 0, F.col("_id")).alias("doc_id"), F.shiftright("_facts", 2).alias("n_chars"), digest.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), k).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next"), k).alias("near_next"),
     )

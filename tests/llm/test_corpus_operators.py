@@ -555,6 +555,16 @@ def test_words_are_cut_once(spark):
     assert {r["id"]: r["n"] for r in got.collect()} == {1: [1, 1, 3], 2: [], 3: [], 4: [1]}
 
 
+def test_shared_words_are_sampled_once(spark):
+    """Texts of one group are told apart by a number, and a word is sampled once for those that have it equally often."""
+    rows = [(1, 0, "a b a"), (1, 1, "a b c"), (1, 2, " "), (1, cws.MEMBERS - 1, "c b a"), (2, cws.MEMBERS - 1, "a b a"), (2, 5, None)]
+    sig = cws.signatures(spark.createDataFrame(rows, "id int, m int, t string"), ["id"], ["m"], "t")
+    got = {(r["id"], r["m"]): r["fingerprint"] for r in sig.collect()}
+    assert got == {(i, m): plain_fingerprint(t or "", cws.SAMPLES) for i, m, t in rows}
+    lines = sig._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert next(i for i, x in enumerate(lines) if "bit_or(" in x) > next(i for i, x in enumerate(lines) if "ln((" in x)
+
+
 def test_fingerprint_edges(empty, spark):
     assert cws.compare_edited(empty).count() == 0
     one = cws.compare_edited(spark.createDataFrame([(1, "ab cd")], "doc_id long, text string")).first()
