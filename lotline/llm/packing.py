@@ -7,7 +7,9 @@ the runs give each gap and each document its rank, the depth at which it opens o
 document meets the gap before it at the same rank. Gaps shrink and the next round sweeps what is left,
 until no document is. Runs are cut into slices, SLICES to a partition of the session, so a size that many
 share is dealt out and there are as many runs as sizes and slices, whatever the number of documents; no
-rank has more rows than there are sizes. The driver sees a few sums a round.
+rank has more rows than there are sizes. The driver sees a few sums a round. Where few documents are left
+and gaps are few, as in most of the last rounds, a round is one task and shuffles nothing: hundreds of
+nearly empty tasks a round would fill the driver with what it keeps of each.
 
 It starts from as many empty sequences as the tokens fill. Where there are many documents to a gap,
 some of one length are placed as one unit, which saves rounds. If no gap holds what is left, as many
@@ -153,7 +155,12 @@ def _sliced(rows: DataFrame, size: str, by: Column, n: int) -> DataFrame:
 
 def _round(at: Scratch, docs: DataFrame, gaps: DataFrame, capacity: int, per_gap: float, n_gaps: int, widest: int) -> tuple[DataFrame, DataFrame]:
     """One sweep of ``docs`` (length, slice, n, done: runs of documents and how many of each have a place)
-    over ``n_gaps`` ``gaps`` (seq, gap): the runs after it, and the gaps after it with what each took."""
+    over ``n_gaps`` ``gaps`` (seq, gap): the runs after it, and the gaps after it with what each took.
+
+    Up to BROADCAST_ROWS gaps and documents together are one task's work."""
+    few = n_gaps * (1 + per_gap) <= BROADCAST_ROWS
+    gathered = lambda rows: rows.coalesce(1) if few else rows
+    gaps = gathered(gaps)
     k = F.greatest(F.least(F.lit(int(per_gap / PER_GAP)), F.floor(F.lit(widest) / F.col("length")), F.col("n")), F.lit(1)).cast("long")
     docs = docs.withColumn("k", k).withColumn("units", F.when(F.col("length") <= widest, F.floor(F.col("n") / F.col("k"))).otherwise(0).cast("long"))
     none = F.lit(None).cast("long")
@@ -178,12 +185,13 @@ def _round(at: Scratch, docs: DataFrame, gaps: DataFrame, capacity: int, per_gap
     opened = opened.select((F.col("before") + nth).alias("rank"), F.col("gap").alias("size"), F.lit(0).alias("kind"), "seq", F.lit(None).cast(UNIT).alias("unit"))
     # runs are few: they are dealt out before each becomes as many rows as it has documents
     parts = min(int(at.spark.conf.get("spark.sql.shuffle.partitions")), 1 + int(per_gap * n_gaps) // 5000)
-    taken = runs.where("kind = 1 and before > after").repartition(parts, "length", "slice")
+    taken = runs.where("kind = 1 and before > after")
+    taken = taken.coalesce(1) if few else taken.repartition(parts, "length", "slice")
     taken = taken.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("before") - F.col("after") - 1)))
     unit = F.struct("length", "slice", (F.col("done") + F.col("_i") * F.col("k")).alias("nth"), "k").cast(UNIT)
     closed = taken.select((F.col("before") - F.col("_i")).alias("rank"), "size", F.lit(1).alias("kind"), none.alias("seq"), unit.alias("unit"))
     sweep = Window.partitionBy("rank").orderBy(F.col("size").desc(), "kind")
-    met = opened.unionByName(closed).withColumn("unit", F.lead("unit").over(sweep)).where("kind = 0")
+    met = gathered(opened.unionByName(closed)).withColumn("unit", F.lead("unit").over(sweep)).where("kind = 0")
     used = F.coalesce(F.col("unit.length") * F.col("unit.k"), F.lit(0))
     gaps = at.written(met.select("seq", (F.col("size") - used).alias("gap"), "unit.*", (F.lit(capacity) - F.col("size")).alias("offset")), "gaps")
     placed = (F.col("before") - F.col("after")) * F.col("k")

@@ -459,6 +459,31 @@ def test_ids_stay_whole_beside_nulls(spark):
     assert key(queries.packed(df).collect()) == key(tiff.summaries(df).collect()) == sorted(ids, key=repr)
 
 
+def test_small_rounds_are_one_task(spark):
+    """Rounds with few documents and gaps don't run a task for each partition of the session."""
+    confs = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    rng = random.Random(5)
+    pieces = spark.createDataFrame([(i, 0, 0, rng.randint(1, 90)) for i in range(200)], "doc_id long, piece int, start long, length long").coalesce(1)
+    spark.sparkContext.setJobGroup("small-rounds", "")
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        rows = packing.packed(pieces, 100).collect()
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("small-rounds") for s in tracker.getJobInfo(j).stageIds}
+        tasks = [x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    fill = collections.Counter()
+    for r in rows:
+        fill[r["sequence_id"]] += r["length"]
+    assert len(rows) == 200 and max(fill.values()) <= 100
+    assert sum(tasks) < 10 * 60
+
+
 def test_packing_edges(empty, spark):
     none = packing.tokenized(empty, queries.tokenizer_path())
     assert packing.packed(none.drop("ids")).count() == 0
