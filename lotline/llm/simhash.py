@@ -105,8 +105,9 @@ def links(nodes: DataFrame, name: str = "simhash-links") -> DataFrame:
         keyed = nodes.select("node", F.explode(variants(F.col("node"), segments)).alias("key"))
         pivots = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key"), F.col("node").alias("p")))["p"].alias("pivot"), F.count("*").alias("n")).where("n > 1")
         near = (F.col("node") != F.col("pivot")) & _linked(F.col("node"), F.col("pivot"))
-        # what is neither linked nor in a key of three or more is settled here
-        met = at.written(keyed.join(at.written(pivots, "pivots"), "key").where(near | (F.col("n") > 2)), "met")
+        # what is neither linked nor in a key of three or more is settled here; merged, since Spark sizes what
+        # explode() returns as one row per row and would broadcast all variants
+        met = at.written(keyed.join(at.written(pivots, "pivots").hint("merge"), "key").where(near | (F.col("n") > 2)), "met")
         stars = at.written(met.where(near).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
         roots = components(stars)
         # keys of three or more whose members are still apart
@@ -125,7 +126,8 @@ def links(nodes: DataFrame, name: str = "simhash-links") -> DataFrame:
         dealt = at.written(dealt, "dealt")
         x, y = dealt.alias("x"), dealt.alias("y")
         match = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") < F.col("y.root")) & _linked(F.col("x.node"), F.col("y.node"))
-        rest = x.join(y, match).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        # merged too: columns that repeat make the files far smaller than their rows
+        rest = x.join(y.hint("merge"), match).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         return at.result(stars.union(rest))
 
 

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from test_corpus_operators import SCHEMA, fixture_rows
 
 from lotline.llm import simhash
@@ -93,3 +94,26 @@ def test_no_connection_is_lost(spark, monkeypatch, crowd):
     want = least_reachable(nodes, range(len(nodes)))
     got = [root.get(x, x) for x in signed]
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
+def test_variants_are_not_broadcast(spark, monkeypatch):
+    """Tables of variants have many times the rows that Spark counts on, so they are merged, however small
+    the table of fingerprints is."""
+    said, write, result = {}, simhash.Scratch.written, simhash.Scratch.result
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def written(self, df, name):
+        if name == "met":
+            said[name] = planned(df)
+        return write(self, df, name)
+
+    def resulting(self, df):
+        if self.name == "simhash-links":
+            said["links"] = planned(df)
+        return result(self, df)
+
+    monkeypatch.setattr(simhash.Scratch, "written", written)
+    monkeypatch.setattr(simhash.Scratch, "result", resulting)
+    simhash.links(spark.range(300).select((F.col("id") * 3).alias("node")))
+    assert sorted(said) == ["links", "met"]
+    assert all("SortMergeJoin" in x and "BroadcastHashJoin" not in x for x in said.values())
