@@ -911,17 +911,28 @@ def json_roundtrip(spark, d):
 PER_FILE = 50_000
 
 
+def auction_events(spark, d, files):
+    """Events of all auctions with their bids, dealt by auction to ``files`` partitions; each auction comes twice
+    in a partition, first without a price. Some events are junk or lack a uuid. Auctions are worked out and
+    shuffled once for all their events."""
+    rows = tables.with_bids(tables.unpriced(spark, d), B(spark, d))
+    high = F.coalesce(F.array_max(F.transform("bids", lambda b: b["amount"])), F.lit(0).cast("long"))
+    bids = F.transform("bids", lambda b: F.struct(b["bidder"].alias("bidder"), b["amount"].alias("amount"), b["ts"].alias("ts")))
+    rows = rows.select("auction_uid", "uuid", "tag", "seller", "end_ts", "start_ts", high.alias("highest_bid"), bids.alias("bids")).repartition(files, "auction_uid")
+
+    def event(uuid=F.col("uuid"), tag=F.col("tag"), seller=F.col("seller"), highest_bid=F.col("highest_bid"), write_ts=F.col("end_ts")):  # noqa: B008
+        return F.struct(uuid.alias("uuid"), tag.alias("tag"), seller.alias("seller"), highest_bid.alias("highest_bid"), write_ts.alias("write_ts"))
+
+    early = {"highest_bid": F.lit(0).cast("long"), "write_ts": F.col("start_ts")}
+    junk = F.when(F.col("auction_uid") % 10 == 1, event(tag=F.lit(None).cast("string"), seller=F.lit(None).cast("long"), **early))
+    nameless = F.when(F.col("auction_uid") % 10 == 2, event(uuid=F.lit(None).cast("string")))
+    return rows.select("auction_uid", "end_ts", "start_ts", "bids", F.explode(F.array_compact(F.array(event(), event(**early), junk, nameless))).alias("e")).select("auction_uid", "end_ts", "start_ts", "bids", "e.*")
+
+
 def ingested(spark, d, mirror=False):
-    """The folder that a stream of auctions with their bids leaves, in two batches of files of some
-    PER_FILE auctions; each auction comes twice in a file, first without a price. Some events are junk or lack a uuid."""
+    """The folder that a stream of auction_events() leaves, in two batches of files of some PER_FILE auctions."""
     top, half = folder(spark), max(2, -(-tables.table(spark, d, "orders").count() // (2 * PER_FILE)))
-    rows = tables.with_bids(tables.auctions(spark, d), B(spark, d))
-    bids = F.transform("bids", lambda b: F.struct(b["bidder"].alias("bidder"), b["amount"].alias("amount"), b["ts"].alias("ts")))
-    rows = rows.select("auction_uid", "uuid", "tag", "seller", "end_ts", "start_ts", "highest_bid", F.col("end_ts").alias("write_ts"), bids.alias("bids"))
-    early = rows.withColumn("highest_bid", F.lit(0).cast("long")).withColumn("write_ts", F.col("start_ts"))
-    junk = early.where("auction_uid % 10 = 1").withColumn("tag", F.lit(None).cast("string")).withColumn("seller", F.lit(None).cast("long"))
-    nameless = rows.where("auction_uid % 10 = 2").withColumn("uuid", F.lit(None).cast("string"))
-    rows.unionByName(early).unionByName(junk).unionByName(nameless).repartition(2 * half, "auction_uid").write.parquet(f"{top}/in")
+    auction_events(spark, d, 2 * half).write.option("compression", "zstd").parquet(f"{top}/in")
     ingest.start(ingest.file_source(spark, f"{top}/in", half), f"{top}/out", f"{top}/checkpoint", mirror).awaitTermination()
     return f"{top}/out"
 

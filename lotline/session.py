@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # partitions are put together by their compressed bytes; sorted or hashed in a task, rows take some ten times as much
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    # else shuffle files of finished queries stay until the driver happens to collect its garbage
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     # a tag such as 007 must stay text when it names a partition
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

@@ -65,12 +65,14 @@ class MonthArchive:
         # one pass of its own: the rows themselves are worked out when they are written, not again for the manifest
         touched = new.select(*FOLDER).distinct().persist()
         newest = [F.col("write_ts").desc()] if "write_ts" in rows.columns else []
-        new = merge.best_per_key(new, [*FOLDER, "uuid"], [*newest, F.col("highest_bid").desc()])
-        both = new
+        both = new.withColumn("_v", F.lit(1))
         if not now.where("tag is not null").isEmpty():
             old = self.read().join(touched, FOLDER, "left_semi").withColumn("_v", F.lit(0))
-            both = old.unionByName(new.withColumn("_v", F.lit(1)), allowMissingColumns=True)
-            both = merge.best_per_key(both, [*FOLDER, "uuid"], [F.col("highest_bid").desc(), F.col("_v").desc()]).drop("_v")
+            both = old.unionByName(both, allowMissingColumns=True)
+        # stored and new rows are shuffled once for both comparisons
+        both = both.repartition(*FOLDER, "uuid")
+        both = merge.best_per_key(both, [*FOLDER, "uuid", "_v"], [*newest, F.col("highest_bid").desc()])
+        both = merge.best_per_key(both, [*FOLDER, "uuid"], [F.col("highest_bid").desc(), F.col("_v").desc()]).drop("_v")
         out = both.withColumn("version", F.lit(number)).repartitionByRange(*FOLDER, "end_ts", "uuid").sortWithinPartitions(*FOLDER, "end_ts", "uuid")
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDER, "version").parquet(f"{self.path}/data")
         kept = now.join(touched, FOLDER, "left_anti").where((F.col("source") != source) | F.col("source").isNull())

@@ -58,9 +58,12 @@ def start(events: DataFrame, path: str, checkpoint: str, mirror: bool = True) ->
         last = merge.last_write(clean(rows), ["uuid"]).persist()
         kept, n_kept = metrics.counted(last.drop("bids"), "kept")
         bids, n_bids = metrics.counted(exploded(last), "bids")
-        tables = {"auctions": kept, "bids": bids, "participations": players.participations(last, exploded(last))}
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        at = lambda name: f"{path}/{name}/batch={number}"
+        kept.write.mode("overwrite").parquet(at("auctions"))
+        bids.write.mode("overwrite").parquet(at("bids"))
+        # the bids as they were written: they are not made distinct again
+        written = last.sparkSession.read.schema(bids.schema).parquet(at("bids"))
+        players.participations(last, written).write.mode("overwrite").parquet(at("participations"))
         listener.add(number, **n_kept.get, **n_bids.get)
         if mirror:
             months.MonthArchive(last.sparkSession, f"{path}/archive").merge(last, "ingest", number)

@@ -9,7 +9,7 @@ from lotline.functions import identity, nbt, nested, packed, timekey
 from lotline.operators import bloom, compare, export, filters, merge, players, prices, scan
 from lotline.plans.memo import PriceMemo
 from lotline.session import configure
-from lotline.sources import archive, months
+from lotline.sources import archive, months, tables
 from lotline.schema import BIDDER, SELLER
 from lotline.streaming import completion, ingest, metrics, sinks
 
@@ -433,6 +433,57 @@ def test_bloom_filter_shuffles_words_only(spark):
     assert sorted(map(tuple, words.collect())) == sorted(map(tuple, bloom.built(ids, "uuid", 1 << 17).collect()))
 
 
+def test_shuffle_files_go_when_a_query_ends(spark):
+    """What a query shuffles is deleted when it ends, not when the driver collects its garbage."""
+    import time
+
+    configure(spark)
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle")}
+    before, df = files(), spark.range(1000).repartition(4, "id")
+    df.write.format("noop").mode("overwrite").save()
+    for _ in range(5):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and df.count() == 1000
+
+
+def test_events_are_made_in_one_pass(spark, sf):
+    """The stream's input: orders and bids are read once for all events of an auction, shuffled once each and
+    once together; four events of ten auctions are as the rules say."""
+    from lotline import queries
+
+    df = queries.auction_events(spark, sf, 4)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange") <= 4
+    rows = df.where("auction_uid between 10 and 19").groupBy("auction_uid").agg(F.count("*").alias("n"), F.count("uuid").alias("uuids"), F.count("tag").alias("tags"), F.count("seller").alias("sellers"), F.sum(F.expr("int(highest_bid > 0)")).alias("priced")).collect()
+    high = {r["auction_uid"]: int(r["is_sold"]) for r in tables.auctions(spark, sf).where("auction_uid between 10 and 19").collect()}
+    assert len(rows) == 10
+    for r in rows:
+        k = r["auction_uid"] % 10
+        assert tuple(r)[1:] == {1: (3, 3, 2, 2, high[r["auction_uid"]]), 2: (3, 2, 3, 3, 2 * high[r["auction_uid"]])}.get(k, (2, 2, 2, 2, high[r["auction_uid"]]))
+
+
+def test_merge_shuffles_its_rows_once(spark, tmp_path, monkeypatch):
+    """Stored and new rows of a merge are shuffled once to be compared, not the new ones once more."""
+    import re
+
+    plans, best = [], merge.best_per_key
+
+    def noted(*a):
+        plans.append(best(*a))
+        return plans[-1]
+
+    monkeypatch.setattr(months.merge, "best_per_key", noted)
+    a = months.MonthArchive(spark, str(tmp_path))
+    for batch in (0, 1):
+        rows = spark.createDataFrame([(f"{i:032x}", "t", T, i + batch, "v") for i in range(20)], AUCTIONS)
+        assert a.merge(rows, "s", batch)
+    text = plans[-1]._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(tag#\d+, month#\d+, uuid#\d+", text)) == 1
+    assert sorted(r["highest_bid"] for r in a.read().collect()) == list(range(1, 21))
+
+
 AUCTIONS = "uuid string, tag string, end_ts timestamp_ntz, highest_bid long, v string"
 
 
