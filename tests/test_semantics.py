@@ -647,6 +647,36 @@ def test_packed_bids(spark):
     assert df.select(packed.bids_unpacked(F.lit(b"")).alias("x")).first()["x"] is None
 
 
+def test_packed_bids_in_columns(spark):
+    """Batches of bids get the bytes that the plain writer makes and are read in columns, every form of the fields'
+    types; other forms are read one by one, and raise as before."""
+    import pyarrow as pa
+
+    epoch, ids = packed.EPOCH, ["", "unknown", "a" * 32, "é" * 32, "0" * 31, None]
+    amounts = [0, 127, 128, 255, 256, 65535, 65536, 2**32 - 1, 2**32, 2**63 - 1, -1, -32, -33, -128, -129, -32768, -32769, -(2**31), -(2**31) - 1, -(2**63), None]
+    times = [epoch, epoch + timedelta(microseconds=1), epoch - timedelta(microseconds=1), epoch + timedelta(seconds=2**32 - 1), epoch + timedelta(seconds=2**32), epoch + timedelta(seconds=2**34), epoch + timedelta(days=-700_000, microseconds=5), epoch + timedelta(days=20_000, microseconds=999_999), None]
+    names = [None, "", "é" * 15, "b" * 31, "b" * 32, "b" * 255, "b" * 256, "é" * 32767 + "b", "b" * 65536]
+    bids = [dict(zip(packed.FIELDS, (ids[i % 6], ids[(i + 1) % 6], amounts[i % 21], times[i % 9], names[i % 9], ids[(i + 2) % 6]))) for i in range(70)]
+    dashed = lambda x: f"{x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:]}" if x and len(x) == 32 else x
+    for rows in ([bids[:n] for n in (0, 1, 15, 16, 60)] + [None, bids], [], [None], [[]], [bids[:1] * 65536], [bids[i : i + 3] for i in range(60)]):
+        want = [None if r is None else packed.packed([[dashed(v) if k in packed.IDS else v for k, v in b.items()] for b in r]) for r in rows]
+        given = pa.array([[{"amount": 1}], *rows], packed.ROWS)[1:]
+        values = packed._pack(given)
+        assert values.to_pylist() == want
+        undashed = [None if r is None else [{k: v.replace("-", "") if k in packed.IDS and v else v for k, v in b.items()} for b in r] for r in rows]
+        assert packed._unpack(values).to_pylist() == packed._one_by_one(values).to_pylist() == undashed
+    assert packed._columns(packed._pack(pa.array([bids[i : i + 3] for i in range(60)], packed.ROWS))).to_pylist() == [bids[i : i + 3] for i in range(60)]
+    plain = packed.packed([["a", "b", 5, epoch, None, "c"]]).hex()
+    forms = [plain, "dc0001" + plain[2:], "dd00000001" + plain[2:], plain.replace("a161", "d90161"), plain.replace("a161", "db0000000161"), plain.replace("a16205", "a162d3fffffffffffffffe"), plain.replace("a16205", "a162d101ff"), plain.replace("d6ff00000000", "d7ff" + "00" * 8), plain.replace("d6ff00000000", "c70cff" + "00" * 12), "", "c0", "90"]
+    values = pa.array([bytes.fromhex(x) for x in forms])
+    assert packed._columns(values).to_pylist() == packed._one_by_one(values).to_pylist()
+    short = pa.array([bytes.fromhex("dc0001dc0006" + plain[4:]), bytes.fromhex(packed.packed([["x", "y"]]).hex())])
+    assert packed._unpack(short).to_pylist()[0][0]["bidder"] == "b" and packed._unpack(short).to_pylist()[1][0]["amount"] is None
+    for bad in (plain[:-2], plain + "c0", "91", "c1", "9201", "dd7fffffff", plain.replace("a161", "c1"), plain.replace("a16205", "a162cfffffffffffffffff"), plain.replace("a161", "a1ff")):
+        with pytest.raises(Exception, match="."):
+            packed._unpack(pa.array([bytes.fromhex(bad)]))
+
+
 def test_item_trees(spark):
     import gzip
     import struct
